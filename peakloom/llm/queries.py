@@ -28,6 +28,18 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debruijn import dedup_words
+
+    return dedup_words(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
+def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bwt_dedup import dedup_bytes
+
+    return dedup_bytes(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -48,5 +60,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hit_words USING (k) LEFT JOIN hit_items USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_wavelet_tokens, op10_token_counts)}
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL}
+OP5_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT k, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM words)),
+twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT k, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN twice USING (s)),
+gone AS (SELECT k, list(p) AS ps FROM hit GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(ps, x)), lambda x: w[x]) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (k)
+"""
+
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_wavelet_tokens, op5_debruijn_dedup, op8_bwt_dedup, op10_token_counts)}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL}

@@ -104,3 +104,11 @@ def test_bytes(spark, window, hot):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     got = repeats.remove_repeats(df, repeats.Bytes, repeated_windows, window, window // 2, hot=hot)
     assert spark_rows(got) == brute(docs, octets, bytes, window)
+
+
+def test_words_against_sql(spark, sf):
+    from peakloom.llm.queries import OP5_SQL, op5_debruijn_dedup
+
+    from .helpers import of, oracle
+
+    assert of(op5_debruijn_dedup(spark, sf)) == oracle(OP5_SQL, sf)
