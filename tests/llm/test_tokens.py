@@ -49,3 +49,24 @@ def test_wavelet_matrix():
         for t in {*map(int, ids[:5]), 2, 99_999}:
             assert m.locate(t) == list(np.flatnonzero(ids == t))
             assert m.count(t, n // 3, n // 2) == (ids[n // 3 : n // 2] == t).sum() and m.rank(t, n // 2) == (ids[: n // 2] == t).sum()
+
+
+def test_simple_pattern_is_the_library_s():
+    from peakloom.llm.token_counts import PreTokens
+
+    by, rnd = PreTokens(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    split = lambda t: [t[a:b] for _, (a, b) in by.tokenizer.pre_tokenizer.pre_tokenize_str(t)]
+    texts = [x for c in range(0x250) for x in (f"a{chr(c)}b", f" {chr(c)}1{chr(c)}", f"!{chr(c)} ", f"{chr(c)}{chr(c)} {chr(c)}'s")]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(0x250), rnd.randrange(64), 32, 39, 115])) for _ in range(30)) for _ in range(3000)]
+    for t in texts:
+        assert by.split(t) == split(t), repr(t)
+
+
+def test_chunks_are_the_library_s():
+    from peakloom.llm.wavelet import ChunkEncoder
+
+    by, rnd = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(2)
+    texts = ["".join(chr(rnd.choice([rnd.randrange(0x250), rnd.randrange(32, 127), 32, 39, 0x301, 0x130, 0x3a3, 0x2003, 0xa0])) for _ in range(40)) for _ in range(4000)]
+    texts += ["<|ENDOFTEXT|> A<|endoftext|>'S <|StartOfText|>", "A\x1cB", "ΑΣ ΑΣ. İi", "é́ É"]
+    for t in texts:
+        assert np.frombuffer(by.encode([t.encode()])[0], by.dtype).tolist() == by.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
