@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +82,37 @@ def write_shared(path: str, data: bytes) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+MAX_MARK_BITS = 1 << 30
+
+
+class Marks:
+    """A bit map of hashed keys, broadcast: of bounded size, it only saves work. What it lets through is checked exactly after."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray):
+        self.shared = spark.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        low = keys.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+        return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def filter_arrow(self, key: str):
+        shared = self.shared
+
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(Marks.has(shared.value, b.column(key).to_numpy())))
+
+        return run
+
+
+def marks_of(df: DataFrame, key: str) -> Marks:
+    """df is read twice. The driver gathers at most MAX_MARK_BITS bits, as words of 64."""
+    size = min(MAX_MARK_BITS, max(1 << 12, 1 << (10 * df.count()).bit_length()))
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit(size - 1)), 6)
+    words = df.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({key} & 63L AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return Marks(df.sparkSession, bits)

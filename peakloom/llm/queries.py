@@ -40,6 +40,12 @@ def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -71,5 +77,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
 FROM words LEFT JOIN gone USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_wavelet_tokens, op5_debruijn_dedup, op8_bwt_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_wavelet_tokens, op5_debruijn_dedup, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
 ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL}
