@@ -22,6 +22,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import wavelet_round_trip
 
@@ -77,5 +83,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
 FROM words LEFT JOIN gone USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_wavelet_tokens, op5_debruijn_dedup, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
 ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL}
