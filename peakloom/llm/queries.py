@@ -16,6 +16,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .additive_ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontamination_report
 
@@ -40,6 +47,25 @@ def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(_table(spark, sf_dir, "documents")).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
+#: The one tool of the conversations: a question, at most 600 characters long.
+ASK = {"ask": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 600}, "turn": {"type": "integer", "minimum": 0}}}}
+
+
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn of `conversations` is a call named ask, which waits for the last call before it; an assistant's turn answers the turn before."""
+    from .tool_link import link_calls
+
+    said = _table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    turn = F.col("turn")
+    users = said.filter("role = 'user'")
+    before = users.select("conv_id", (turn + 2).alias("turn"), F.array(name(turn)).alias("after")).distinct()
+    calls = users.join(before, ["conv_id", "turn"], "left")
+    calls = calls.select("conv_id", "turn", name(turn).alias("call_id"), F.lit("ask").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"), "after")
+    results = said.filter("role = 'assistant'").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    return link_calls(calls, results, ASK)
+
+
 def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bwt_dedup import dedup_bytes
 
@@ -83,5 +109,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
 FROM words LEFT JOIN gone USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE users AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id FROM conversations WHERE role = 'user'),
+levels AS (
+  SELECT conv_id, turn, 0 AS level FROM users u WHERE NOT EXISTS (SELECT 1 FROM users p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, level + 1 FROM levels l JOIN users u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2)
+SELECT u.conv_id, u.turn, u.call_id, CAST(level AS INTEGER) AS level,
+  CASE WHEN length(u.text) < 1 THEN 'invalid $.text: minLength' WHEN length(u.text) > 600 THEN 'invalid $.text: maxLength' WHEN a.turn IS NULL THEN 'no result' ELSE 'ok' END AS status,
+  '{"arguments":{"text":' || to_json(u.text) || ',"turn":' || u.turn || '},"id":' || to_json(u.call_id) || ',"name":"ask","result":' ||
+  CASE WHEN a.turn IS NULL THEN 'null' ELSE '{"content":' || to_json(a.text) || ',"turn":' || a.turn || '}' END || '}' AS json
+FROM users u JOIN levels l USING (conv_id, turn) LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+"""
+
+QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op6_tool_call_linking, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL, "op6_tool_call_linking": OP6_SQL}
