@@ -11,11 +11,15 @@ by their ids' bytes; an empty table writes no file and gives no row; other colum
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +28,7 @@ from .common import batch, by_arrow, columns, materialise, new_path, write_share
 
 MAGIC = b"WVM1"
 _CACHE = 400_000
+PIECE = 16 << 20  # bytes of text encoded at a time
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -140,45 +145,131 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return ids, np.frombuffer(parts[2], "<u8").astype(np.int64), WaveletMatrix(header["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]], header["zeros"])
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+#: Letters (a-z, and U+00C0 to U+023F but for the two signs among them and the I with a dot, whose small letter is two characters), then marks that part words.
+_LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+)([.,;:!?]*)")
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct white-space-free chunk once while it is remembered.
 
-    Right only for tokenizers whose pieces never hold white space (it is dropped), as checked when opened."""
+    Chunks are remembered in two generations, so that frequent ones stay and memory is bounded. Right only for
+    tokenizers whose pieces never hold white space (it is dropped); others encode text by text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.by_chunk = self.tokenizer.encode(" a  b\n", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids
+        told = json.loads(self.tokenizer.to_str())
+        self.by_chunk = self._plain(" a  b\n") == self._plain("a b")
+        self.lower = "Lowercase" in str(told["normalizer"])
+        added = [x["content"].encode() for x in told["added_tokens"]]
+        #: With these in a text, capitals must stay: a special string, or a mark (U+0300 to U+037F) that may compose with the small letter only.
+        self.guards = [x[:2] for x in added] + [b"\xcc", b"\xcd"]
+        #: Words end with a suffix of their last piece, if the vocabulary has one; then words of letters can go through the library many at a time.
+        suffix = told["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, k in vocabulary.items():
+            self.ends[k] = bool(suffix) and piece.endswith(suffix)
+        self.joins = bool(suffix) and self.lower and self.by_chunk and self._plain("ab, c.") == self._plain("ab") + self._plain(",") + self._plain("c") + self._plain(".")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def of(path: str) -> ChunkEncoder:
+        """One for a worker process, which serves many tasks."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = ChunkEncoder(path)
+        return _ENCODERS[path]
 
-    def encode(self, text: bytes) -> bytes:
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype == "<u2" else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> None:
+        """Words of letters, joined by spaces: each ends with the only piece in it that has the suffix."""
+        for at in range(0, len(words), 1000):
+            own = words[at : at + 1000]
+            ids = np.array(self._plain(b" ".join(own).decode()), self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own):
+                data, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
+                self.known.update(zip(own, (data[a:z] for a, z in zip([0, *ends], ends)), strict=True))
+            else:
+                self.known.update(zip(own, self._ids([x.decode() for x in own]), strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, rest, parts, words = self.known, [], [], []
+        for x in new:
+            m = _LETTERS.fullmatch(x) if self.joins else None
+            if m is None:
+                rest.append(x)
+            elif m[2]:
+                parts.append((x, m[1], m[2]))
+            else:
+                words.append(x)
+        known.update(zip(rest, self._ids([x.decode() for x in rest]), strict=True))
+        self._words([*{*words, *(w for _, w, _ in parts if w not in known)}])
+        marks = {m for _, _, m in parts if m not in known}
+        known.update(zip(marks, self._ids([m.decode() for m in marks]), strict=True))
+        for x, w, m in parts:
+            known[x] = known[w] + known[m]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty), each text's followed by end, and each text's number of them."""
+        texts = texts.fill_null("")
+        last = np.array([end], self.dtype)
         if not self.by_chunk:
-            return self._ids([text.decode()])[0]
-        chunks, known = text.split(), self.known
-        new = [x for x in dict.fromkeys(chunks) if x not in known]
-        if new:
-            if len(known) + len(new) > _CACHE:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            known.update(zip(new, self._ids([x.decode() for x in new]), strict=True))
-        return b"".join(map(known.__getitem__, chunks))
+            got = [np.concatenate([np.frombuffer(x, self.dtype), last]) for x in self._ids(texts.to_pylist())]
+            return np.concatenate(got), np.array([len(x) for x in got])
+        if self.lower:  # ASCII capitals go first where the tokenizer lowers them anyway and nothing needs them
+            free = pa.array([not any(x in t for x in self.guards) for t in (v.as_buffer().to_pybytes() for v in texts)])
+            texts = pc.if_else(free, pc.ascii_lower(texts), texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
+        words = [x.as_buffer().to_pybytes() for x in coded.dictionary]
+        if len(self.known) > _CACHE:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for x in words:
+            if x not in known:
+                if (had := older.get(x)) is None:
+                    new.append(x)
+                else:
+                    known[x] = had
+        self._learn(new)
+        got = [known[x] for x in words]
+        lens = np.fromiter(map(len, got), np.int64, len(got)) // last.itemsize
+        pool = np.concatenate([np.frombuffer(b"".join(got), self.dtype), last])
+        starts = np.concatenate([np.cumsum(lens) - lens, [len(pool) - 1]])  # the last is the end id's own word
+        lens = np.concatenate([lens, [1]])
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        codes = np.insert(coded.indices.to_numpy(), offsets[1:], len(words))
+        own = lens[codes]
+        ends = np.cumsum(own)
+        ids = pool[np.repeat(starts[codes] - ends + own, own) + np.arange(ends[-1])]
+        return ids, np.diff(ends[offsets[1:] + np.arange(len(texts))], prepend=0)
 
 
 def _encode(path: str, end_id: int, bounds: list[int]):
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        by, cuts = ChunkEncoder(path), np.array(bounds, np.int64)
-        end = np.array([end_id], by.dtype).tobytes()
-        for b in batches:
-            if b.num_rows:
-                shard = np.searchsorted(cuts, b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-                yield batch(schema, shard, b.column(0), [by.encode(x.as_buffer().to_pybytes()) + end if x.is_valid else end for x in b.column(1)])
+        by, cuts = ChunkEncoder.of(path), np.array(bounds, np.int64)
+        for b in (x for x in batches if x.num_rows):
+            shard = np.searchsorted(cuts, b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
+            weight = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy().astype(np.int64))
+            cut = np.unique(np.concatenate([[0], np.searchsorted(weight, np.arange(PIECE, weight[-1], PIECE)), [b.num_rows]])).tolist()
+            for at, to in zip(cut, cut[1:]):
+                ids, lens = by.encode(b.column(1).slice(at, to - at), end_id)
+                data, ends = ids.tobytes(), (np.cumsum(lens) * ids.itemsize).tolist()
+                yield batch(schema, shard[at:to], b.column(0).slice(at, to - at), [data[a:z] for a, z in zip([0, *ends], ends)])
 
     return run
 

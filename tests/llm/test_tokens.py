@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -68,5 +69,8 @@ def test_chunks_are_the_library_s():
     by, rnd = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(2)
     texts = ["".join(chr(rnd.choice([rnd.randrange(0x250), rnd.randrange(32, 127), 32, 39, 0x301, 0x130, 0x3a3, 0x2003, 0xa0])) for _ in range(40)) for _ in range(4000)]
     texts += ["<|ENDOFTEXT|> A<|endoftext|>'S <|StartOfText|>", "A\x1cB", "ΑΣ ΑΣ. İi", "é́ É"]
-    for t in texts:
-        assert np.frombuffer(by.encode([t.encode()])[0], by.dtype).tolist() == by.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += ["".join(chr(rnd.choice([rnd.randrange(97, 123), rnd.randrange(0xc0, 0x240), 46, 44, 32])) for _ in range(60)) for _ in range(3000)]
+    ids, lens = by.encode(pa.array([None, *texts, ""]).slice(0), 1)
+    assert lens[0] == lens[-1] == 1
+    for t, x in zip(texts, np.split(ids, np.cumsum(lens))[1:]):
+        assert x.tolist() == by.tokenizer.encode(t, add_special_tokens=False).ids + [1], repr(t)
