@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +117,40 @@ def marks_of(df: DataFrame, key: str) -> Marks:
     bits = np.zeros(size // 64, np.uint64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return Marks(df.sparkSession, bits)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser (public domain); its three shifts and two factors are fixed values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: the sum of random numbers for (place, byte), mixed with the length."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    out = np.zeros(n, np.uint64)
+    if n and offsets[-1] > offsets[0]:
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        at, lens = offsets - offsets[0], np.diff(offsets)
+        place = np.arange(len(data)) - np.repeat(at[:-1], lens)
+        numbers = mix((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(0x9E3779B97F4A7C15))
+        full = lens > 0
+        out[full] = np.add.reduceat(numbers, at[:-1][full])
+        out = mix(out + lens.astype(np.uint64))
+    return out
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (between ASCII white space) of texts, none null, and the places where each text's begin, and their end."""
+    split = pc.ascii_split_whitespace(texts)
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    known, codes = hashes_of(coded.dictionary), coded.indices.to_numpy()
+    offsets = offsets - offsets[0]
+    real = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0
+    if real.all():
+        return known[codes], offsets
+    real = real[codes]
+    return known[codes[real]], np.concatenate([[0], np.cumsum(real)])[offsets]

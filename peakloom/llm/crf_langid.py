@@ -285,3 +285,16 @@ def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def language_id(docs: DataFrame) -> DataFrame:
     return predict(docs, fit_on(docs))
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The documents, all columns as they are, whose language has at least that share of the words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in (x for x in batches if x.num_rows):
+            found = [bool(words) and post.mean(0).max() >= least for words, post in _labelled(shared.value, b.column(at).to_pylist())]
+            yield b.filter(pa.array(found))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -225,3 +225,51 @@ def _clean(max_words: int, max_share: float):
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 10**9, max_share: float = 0.5) -> DataFrame:
     """(doc_id, text, n_hit, removed): texts without the hit spans; removed where they exceed max_words or max_share of the words."""
     return by_arrow(match_benchmark(docs, benchmark, window), _clean(max_words, max_share), "doc_id bigint, text string, n_hit bigint, removed boolean")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_share: float = 0.5, max_words: int = 10**9) -> DataFrame:
+    """The documents with all their columns, hit spans cut out of text; those over a limit go.
+
+    n_chars, where there is such a column, follows the text."""
+    items = _items(columns(benchmark, item_id=F.col("item_id").cast("bigint"), text="text")).filter("item_id is not null")
+    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    groups = max(1, -(-int(words) // MAX_WORDS))
+    at, out = docs.columns.index("text"), docs.withColumns({"__spans": F.lit(None).cast("binary")})
+    for g in range(groups):
+        own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+        shared = docs.sparkSession.sparkContext.broadcast(_automaton([tuple(r) for r in own.collect()], window))
+        out = out.mapInArrow(_mark_spans(shared, at), out.schema)
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    return out.mapInArrow(_cut_spans(at, chars, max_words, max_share), docs.schema)
+
+
+def _mark_spans(shared, at: int):
+    def run(batches):
+        for b in batches:
+            spans = []
+            for text, had in zip(b.column(at), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                got = shared.value.scan(words_of(text.as_buffer().to_pybytes()), set()) if text.is_valid else []
+                spans.append((had or b"") + np.array(got, "<u4").tobytes())
+            yield b.set_column(b.num_columns - 1, b.schema.field(b.num_columns - 1), pa.array(spans, pa.binary()))
+
+    return run
+
+
+def _cut_spans(at: int, chars: int | None, max_words: int, max_share: float):
+    clean = _clean(max_words, max_share)
+    told = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.binary()), ("items", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            n, spans = b.num_rows, b.column(b.num_columns - 1)
+            if not n:
+                continue
+            got = next(clean([batch(told, pa.nulls(n, pa.int64()), b.column(at), spans, pa.nulls(n, pa.binary()))]))
+            out = b.select(list(range(b.num_columns - 1))).set_column(at, b.schema.field(at), got.column(1))
+            if chars is not None:
+                field, cut = b.schema.field(chars), got.column(2).to_pylist()
+                sizes = [len(t.as_py()) if c else old for t, c, old in zip(got.column(1), cut, b.column(chars).to_pylist(), strict=True)]
+                out = out.set_column(chars, field, pa.array(sizes, field.type))
+            yield out.filter(pa.array([not x for x in got.column(3).to_pylist()]))
+
+    return run

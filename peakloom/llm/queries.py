@@ -66,6 +66,15 @@ def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(calls, results, ASK)
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring the expected tokens of good, poor and toxic text to 85, 15 and 0 of a hundred."""
+    from .mixing import DOMAINS, mix_rates
+
+    rated = mix_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), {"high": 0.85, "low": 0.15})
+    shares = [F.col("posteriors")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS)]
+    return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bwt_dedup import dedup_bytes
 
@@ -121,5 +130,5 @@ SELECT u.conv_id, u.turn, u.call_id, CAST(level AS INTEGER) AS level,
 FROM users u JOIN levels l USING (conv_id, turn) LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 """
 
-QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op6_tool_call_linking, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op6_tool_call_linking, op7_soft_mixing, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
 ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL, "op6_tool_call_linking": OP6_SQL}
