@@ -1,9 +1,9 @@
 """Tool-call linking: calls and results meet by identifier, are ordered by dependency, checked against schemas and written as canonical JSON.
 
 Plan: calls and results are hash-joined on (conversation, call id), results reduced to the first of each call before
-(map-side combine). Dependencies are levelled round by round, all conversations at once: a round levels the calls that
-wait for no unlevelled call, by anti joins, so that no conversation is gathered in one task; there are as many rounds as
-the longest chain of dependencies has calls. Arguments are validated row by row (narrow).
+(map-side combine). Dependencies are levelled for all conversations at once, by joins, so that none is gathered in one
+task: chains of calls with one dependency each by pointer jumping, in rounds as many as the logarithm of their length;
+calls with several in rounds as many as such calls lie on one path. Arguments are validated row by row (narrow).
 
 Edge cases: a call id given twice in a conversation: the first turn's call counts, later ones are status 'duplicate'; a
 call without a result: 'no result'; a result without a call, or before it: not linked, and in unlinked_results; calls in a
@@ -70,25 +70,50 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """Of calls with one dependency each, (conv_id, call_id, head, dist): the first call up their chain that hasn't one, by
+    pointer jumping, in as many rounds as the logarithm of the longest chain. Chains into a cycle keep none."""
+    key = ["conv_id", "call_id"]
+    at = materialise(edges.select(*key, F.col("dep").alias("head"), F.lit(1).cast("bigint").alias("dist")), "chains")
+    last = edges.select(*key)
+    left, rounds = at.count(), 0
+    while left and 2**rounds <= 2 * left:
+        up = at.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("dist").alias("more"))
+        at = at.join(up, ["conv_id", "head"], "left").select(*key, F.coalesce("next", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+        at, rounds = materialise(at, "chains"), rounds + 1
+        if at.join(last.withColumnRenamed("call_id", "head"), ["conv_id", "head"], "left_semi").isEmpty():
+            break
+    return at.join(last.withColumnRenamed("call_id", "head"), ["conv_id", "head"], "left_anti")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """calls: (conv_id, call_id, after). (conv_id, call_id, level), level from 0, null in or after a cycle."""
     key = ["conv_id", "call_id"]
     edges = calls.select(*key, F.explode(F.array_distinct("after")).alias("dep"))
     known = calls.select("conv_id", F.col("call_id").alias("dep"))
     edges = materialise(edges.join(known, ["conv_id", "dep"], "left_semi"), "call_edges")
-    waiting = calls.select(*key)
-    done, level = None, 0
-    while True:
-        ready = waiting.join(edges.select(*key).distinct(), key, "left_anti")
-        ready = materialise(ready.withColumn("level", F.lit(level)), "level")
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        waiting = materialise(waiting.join(ready, key, "left_anti"), "waiting")
-        edges = materialise(edges.join(ready.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"), "call_edges")
-        level += 1
-    left = waiting.withColumn("level", F.lit(None).cast("int"))
-    return left if done is None else done.unionByName(left)
+    degree = materialise(edges.groupBy(*key).agg(F.count("*").alias("degree")), "degrees")
+    chains = materialise(_chains(edges.join(degree.filter("degree = 1").select(*key), key, "left_semi")), "chains")
+    level = lambda x: F.lit(x).cast("bigint").alias("level")
+    done = calls.select(*key).join(degree, key, "left_anti").select(*key, level(0))
+    waiting = degree.filter("degree > 1").select(*key)
+    if not waiting.isEmpty():
+        # calls with several dependencies: a round levels those all of whose chains end at a levelled call
+        of = edges.join(waiting, key, "left_semi").join(chains.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left")
+        single = degree.filter("degree = 1").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("single"))
+        of = of.join(single, ["conv_id", "dep"], "left").select(*key, F.when(F.col("single").isNull(), F.col("dep")).otherwise(F.col("head")).alias("head"), F.coalesce("dist", F.lit(0)).alias("dist"))
+        of = materialise(of, "junctions")
+        done = materialise(done, "levels")
+        while True:
+            met = of.join(waiting, key, "left_semi").join(done.withColumnRenamed("call_id", "head"), ["conv_id", "head"], "left")
+            ready = met.groupBy(*key).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.count("*").alias("all"), F.count("level").alias("met"))
+            ready = materialise(ready.filter(F.col("all") == F.col("met")).select(*key, "level"), "levels")
+            if ready.isEmpty():
+                break
+            done = done.unionByName(ready)
+            waiting = materialise(waiting.join(ready, key, "left_anti"), "waiting")
+    along = chains.join(done.select("conv_id", F.col("call_id").alias("head"), "level"), ["conv_id", "head"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    return calls.select(*key).join(done.unionByName(along), key, "left").select(*key, F.col("level").cast("int"))
 
 
 def _serialise(schemas: dict[str, dict]):

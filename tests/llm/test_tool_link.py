@@ -36,6 +36,24 @@ def test_links_orders_and_validates(spark):
     assert link_calls(c.limit(0), r, schema).count() == 0 and link_calls(c, r.limit(0), schema).count() == 11
 
 
+def test_levels_against_brute_force(spark):
+    import random
+
+    from peakloom.llm.tool_link import levels
+
+    rnd, rows = random.Random(6), []
+    for conv in range(6):
+        for k in range(40):
+            after = [str(k - 1)] if conv < 2 and k else [str(rnd.randrange(k + 1 if conv == 5 else k)) for _ in range(rnd.choice([0, 1, 1, 1, 2]))] if k else []
+            rows.append((conv, str(k), after or None))
+    want = {}
+    for conv, k, after in rows:  # dependencies come first, but in conversation 5 some calls wait for themselves
+        deps = [want.get((conv, d)) for d in set(after or ())]
+        want[conv, k] = None if k in (after or ()) or None in deps else max(deps, default=-1) + 1
+    got = levels(spark.createDataFrame(rows, "conv_id bigint, call_id string, after array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want
+
+
 def test_faults():
     s = {"type": "array", "items": {"type": ["string", "null"], "maxLength": 2}, "maxItems": 2}
     assert [fault(x, s) for x in (["a", None], ["abc"], [1], "x", [None] * 3)] == [None, "$[0]: maxLength", "$[0]: type", "$: type", "$: maxItems"]
