@@ -178,12 +178,15 @@ def held_out_scores(x: np.ndarray, ranks: list[int], folds: int = 3, share: floa
         auc, rmse = [], []
         for f in range(folds):
             hidden = np.random.default_rng(seed * 1000 + f).random(x.shape) < share
-            w, h = masked_nmf(x, (~hidden).astype(float), k, f, l2=l2)
+            try:
+                w, h = masked_nmf(x, (~hidden).astype(float), k, f, l2=l2)
+            except RuntimeError:  # this fold has no fit at this rank; the others count
+                continue
             got, true = (w @ h)[hidden], x[hidden]
             rmse.append(float(np.sqrt(((got - true) ** 2).mean())))
             if 0 < (true > 0).sum() < len(true):
                 auc.append(rank_auc(got, true > 0))
-        out.append({"k": k, "auc": float(np.mean(auc or [np.nan])), "auc_sd": float(np.std(auc or [np.nan])), "rmse": float(np.mean(rmse)), "rmse_sd": float(np.std(rmse))})
+        out.append({"k": k, "auc": float(np.mean(auc or [np.nan])), "auc_sd": float(np.std(auc or [np.nan])), "rmse": float(np.mean(rmse or [np.nan])), "rmse_sd": float(np.std(rmse or [np.nan])), "folds": len(rmse)})
     return out
 
 

@@ -482,3 +482,145 @@ SELECT item, n_a, n_b, n_both, round((n_both / n_a + n_both / n_b) / 2, 6) AS ra
 def split_half_replication(spark, sf):
     rows = peaks(spark, sf).select(F.col("tf").alias("item"), F.floor(F.col("pos") / DAY).alias("unit"), F.col("chrom").alias("e"))
     return rounded(st.split_half(rows, "item", "unit", "e"), 6, "raw", "corrected")
+
+
+# segments, factors, clusters: no SQL; tests hold them against plain NumPy
+
+
+def anchored_points(spark, sf, unit: int = 60):
+    """Points around anchors on a grid of minutes, within 1,500 of them."""
+    windows = anchors(spark, sf).withColumns({"low": F.col("anchor") - 1500 * unit, "high": F.col("anchor") + 1500 * unit})
+    met = iv.point_in_interval_join(peaks(spark, sf), windows, ["chrom"], 3000 * unit)
+    offset = F.floor(iv.project_point(F.col("pos"), F.col("anchor"), F.col("strand")) / unit).cast("int")
+    return met.select("anchor_id", "chrom", "anchor", "strand", "tf", "score", offset.alias("offset"))
+
+
+@query()
+def modules(spark, sf):
+    from ..operators.segment import Segmenter, anchor_modules, module_ids
+
+    return module_ids(anchor_modules(anchored_points(spark, sf), "anchor_id", "tf", min_score=50, segmenter=Segmenter(sigma=100)), "anchor_id")
+
+
+@query()
+def elements(spark, sf):
+    from ..operators.segment import Segmenter, discover, label_elements
+
+    day = peaks(spark, sf).select(F.lit("all").alias("chrom"), "pos", "tf", "score")
+    found = discover(day, "chrom", "tf", min_score=50, floor=3, reach=1500, tile=5_000, grid=60, segmenter=Segmenter(sigma=25, mode="constant"))
+    marks = anchors(spark, sf).select(F.lit("all").alias("chrom"), F.floor(F.col("anchor") / 60).alias("anchor"))
+    return label_elements(found, marks, "chrom", gap=200, near=5, far=50)
+
+
+@query(f"""WITH {P}, o AS (SELECT tf, CAST(floor((CASE WHEN strand = '+' THEN pos - anchor ELSE anchor - pos END) / 3600.0) AS BIGINT) AS bin, anchor_id FROM peaks JOIN anchors ON peaks.chrom = anchors.chrom AND pos BETWEEN anchor - {DAY} AND anchor + {DAY}),
+w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY anchor_id, tf) AS weight FROM o) SELECT bin, count(*) AS n, round(sum(weight), 6) AS weight FROM w GROUP BY bin""")
+def density_curve(spark, sf):
+    windows = anchors(spark, sf).withColumns({"low": F.col("anchor") - DAY, "high": F.col("anchor") + DAY})
+    met = iv.point_in_interval_join(peaks(spark, sf), windows, ["chrom"], 2 * DAY)
+    bins = met.select("tf", "anchor_id", F.floor(iv.project_point(F.col("pos"), F.col("anchor"), F.col("strand")) / 3600).alias("bin"))
+    return rounded(iv.group_weights(bins, ["anchor_id", "tf"]).groupBy("bin").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")), 6, "weight")
+
+
+def customer_brands(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("row"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(part, "l_partkey")
+    return lines.groupBy("row", F.col("p_brand").alias("col")).agg(F.count("*").alias("value"))
+
+
+def brand_vectors(spark, sf):
+    from ..operators.factor import vectors
+
+    names = [r[0] for r in table(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    return vectors(customer_brands(spark, sf), "row", "col", "value", names), names
+
+
+@query()
+def nmf_programs(spark, sf):
+    """Each customer's weights on five brand programs, fitted in blocks."""
+    from ..operators.factor import block_nmf, transform
+
+    rows, names = brand_vectors(spark, sf)
+    h, _ = block_nmf(rows, "row", 5, len(names), rounds=8)
+    return transform(rows, "row", h)
+
+
+@query()
+def archetypes(spark, sf):
+    """Segments' counts of dominant programs, factorised on the driver (five rows, as many columns as programs)."""
+    from ..operators.factor import guarded_nmf, top_columns
+
+    dominant = nmf_programs(spark, sf).select(F.col("row").alias("c_custkey"), "dominant")
+    counts = dominant.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment").pivot("dominant", [1, 2, 3, 4, 5]).count().fillna(0).orderBy("c_mktsegment").toPandas()
+    _, h, _ = guarded_nmf(counts[["1", "2", "3", "4", "5"]].to_numpy(float), 2)
+    return spark.createDataFrame([(a, r, p, float(v)) for a, r, p, v in top_columns(h, [1, 2, 3, 4, 5], 5)], "archetype int, rank int, program int, loading double")
+
+
+def _brand_matrix(spark, sf):
+    """Brand by type counts: as many rows and columns as there are brands and part types."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    return table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("p_brand").pivot("p_type").count().fillna(0).orderBy("p_brand").toPandas()
+
+
+@query()
+def stability(spark, sf):
+    """How well each of three programs of the medoid fit recurs over five seeds."""
+    from ..operators.factor import guarded_nmf, medoid
+    from ..operators.factor import stability as recurs
+
+    x = _brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
+    fits = [guarded_nmf(x, 3, s)[1] for s in range(5)]
+    return spark.createDataFrame([tuple(r.values()) for r in recurs(fits, medoid(fits))], "component int, median double, least double, at_90 double, at_80 double")
+
+
+@query()
+def heldout_cv(spark, sf):
+    from ..operators.factor import held_out_scores
+
+    x = _brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
+    return spark.createDataFrame([tuple(r.values()) for r in held_out_scores(x / x.max(), [1, 2, 3], l2=0.01)], "k int, auc double, auc_sd double, rmse double, rmse_sd double, folds int")
+
+
+@query()
+def ward_clusters(spark, sf):
+    from ..operators.cluster import profile_clusters
+
+    m = _brand_matrix(spark, sf)
+    x = m.iloc[:, 1:].to_numpy(float)
+    kept, labels = profile_clusters(x / x.max(), 4, sigma=0.5)
+    return spark.createDataFrame([(m.iloc[i, 0], int(c)) for i, c in zip(kept, labels)], "brand string, cluster int")
+
+
+@query()
+def program_matching(spark, sf):
+    """Programs of two halves of the brands' rows, matched one to one by cosine."""
+    from ..operators.cluster import assign, cosine, greedy_match
+    from ..operators.factor import guarded_nmf
+
+    x = _brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
+    c = cosine(guarded_nmf(x[::2], 3)[1], guarded_nmf(x[1::2], 3)[1])
+    greedy = {i: j for i, j, _ in greedy_match(c)}
+    return spark.createDataFrame([(i + 1, j + 1, greedy[i] + 1, float(c[i, j])) for i, j in assign(1 - c)], "a int, b int, greedy int, cosine double")
+
+
+@query()
+def ami(spark, sf):
+    """Agreement of customers' segments with the smallest brand set that holds each, by counts of the two labellings."""
+    from ..operators.cluster import adjusted_mutual_information, smallest_set_label
+
+    sets = customer_brands(spark, sf).select(F.col("col").alias("term"), F.col("row").alias("item"))
+    items = table(spark, sf, "customer").select(F.col("c_custkey").alias("item"), "c_mktsegment")
+    cells = smallest_set_label(items, sets).join(items, "item").groupBy("term", "c_mktsegment").count().collect()
+    a, b, n = zip(*cells, strict=True)
+    import numpy as np
+
+    got = adjusted_mutual_information(np.repeat(np.array(a), n), np.repeat(np.array(b), n))
+    return spark.createDataFrame([(float(got), int(sum(n)))], "ami double, n bigint")
+
+
+@query("SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) AS n FROM events WHERE value >= 20 GROUP BY 1, 2")
+def stream_counts(spark, sf):
+    """Extension: the stream of events, filtered and counted by day, drained; equal to the batch result."""
+    from ..streaming.events import drained_counts
+
+    return drained_counts(spark, f"{sf}/events.parquet", 20)
