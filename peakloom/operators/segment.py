@@ -10,8 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
@@ -93,7 +95,21 @@ class Segmenter:
         return 1 / (self.sigma * np.sqrt(2 * np.pi))
 
     def density(self, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return gaussian(np.bincount(offsets + self.reach, weights, minlength=2 * self.reach + 1), self.sigma, self.mode)
+        """The smoothed grid; of few points the kernels are added where they lie, and where the edges mirror them."""
+        size, k = 2 * self.reach + 1, kernel(self.sigma)
+        grid, half = np.bincount(offsets + self.reach, weights, minlength=size), len(k) // 2
+        places = np.flatnonzero(grid)
+        if len(places) > 200 or half > size:
+            return gaussian(grid, self.sigma, self.mode)
+        out = np.zeros(size + 2 * half)
+        for p in places.tolist():
+            out[p : p + 2 * half + 1] += grid[p] * k
+            if self.mode == "reflect":
+                for q in (-1 - p, 2 * size - 1 - p):
+                    if -half <= q < size + half:
+                        a, b = max(0, q), min(size + 2 * half, q + 2 * half + 1)
+                        out[a:b] += grid[p] * k[a - q : b - q]
+        return out[half : half + size]
 
     def segments(self, density: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(low, high, centre, height) as places in the grid."""
@@ -122,12 +138,40 @@ def anchor_modules(points: DataFrame, anchor_id: str, feature: str, offset: str
     kind = dict(points.dtypes)[anchor_id]
     near = points.filter(F.abs(offset) <= segmenter.reach).groupBy(anchor_id, feature, F.col(offset).cast("int").alias("__o")).agg(F.count("*").alias("__n"), F.max(score).cast("double").alias("__s"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.loc[frame.index.repeat(frame["__n"])]
-        rows = segmenter.modules(f["__o"].to_numpy(), f[feature].to_numpy(), f["__s"].to_numpy(), min_score)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MODULE.split(", ")]).assign(**{anchor_id: frame[anchor_id].iloc[0]})
+    names = [c.split()[0] for c in MODULE.split(", ")]
+    schema = near.select(anchor_id).sparkSession.createDataFrame([], f"`{anchor_id}` {kind}, {MODULE}").schema
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        held, last = [], None
 
-    return near.groupBy(anchor_id).applyInPandas(run, f"{MODULE}, `{anchor_id}` {kind}").select(anchor_id, *[c.split()[0] for c in MODULE.split(", ")])
+        def close():
+            offsets, counts, scores = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            features = np.concatenate([h[0] for h in held])
+            each = np.repeat(np.arange(len(counts)), counts)
+            return [(last, *(m[n] for n in names)) for m in segmenter.modules(offsets[each], features[each], scores[each], min_score)]
+
+        out = []
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+            new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+            for a, z in zip(new, [*new[1:], len(ids)]):
+                if held and ids[a] != last:
+                    out += close()
+                    held = []
+                last = ids[a]
+                held.append([c[a:z] for c in cols])
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        if held:
+            out += close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    dealt = near.filter(F.col(anchor_id).isNotNull()).select(anchor_id, feature, "__o", "__n", "__s").repartition(anchor_id).sortWithinPartitions(anchor_id, "__o", feature)
+    return dealt.mapInArrow(run, schema)
 
 
 def module_ids(modules: DataFrame, anchor_id: str) -> DataFrame:

@@ -111,6 +111,24 @@ def test_segments():
         assert all(m["low"] <= m["center"] <= m["high"] and m["width"] == m["high"] - m["low"] + 1 for m in got)
 
 
+def test_density_and_grouped_modules(spark):
+    rng = np.random.default_rng(7)
+    for mode in ("reflect", "constant"):
+        s = segment.Segmenter(mode=mode)
+        o, w = np.concatenate([rng.integers(-1500, 1501, 30), [-1500, 1500, -1420]]), rng.random(33)
+        assert np.allclose(s.density(o, w), segment.gaussian(np.bincount(o + 1500, w, minlength=3001), 25, mode), atol=1e-14)
+    rows_ = [(a, f"t{rng.integers(4)}", int(o), int(rng.integers(600))) for a in range(30) for o in np.concatenate([rng.integers(-1600, 1600, 3), rng.normal(100, 15, 8).astype(int)])]
+    got = segment.anchor_modules(spark.createDataFrame(rows_, "anchor_id long, tf string, offset int, score int"), "anchor_id", "tf").orderBy("anchor_id", "local_idx").collect()
+    want = []
+    for a in range(30):
+        own = [r for r in rows_ if r[0] == a and abs(r[2]) <= 1500]
+        for m in segment.Segmenter().modules(np.array([r[2] for r in own]), np.array([r[1] for r in own]), np.array([r[3] for r in own]), 250):
+            want.append((a, m["local_idx"], m["low"], m["high"], m["center"], m["n_peaks"], m["n_supporting"]))
+    assert [(r.anchor_id, r.local_idx, r.low, r.high, r.center, r.n_peaks, r.n_supporting) for r in got] == want and len(want) >= 25
+    ids = [r.module_id for r in segment.module_ids(spark.createDataFrame(got), "anchor_id").orderBy("anchor_id", "local_idx").collect()]
+    assert ids == list(range(len(want)))
+
+
 def test_tiles_do_not_matter(spark):
     rng = np.random.default_rng(4)
     pts = [("c", int(p), f"t{rng.integers(6)}", int(rng.integers(1000))) for c in rng.integers(0, 60_000, 40) for p in c + rng.normal(0, 20, 8) if p > 0]
