@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise, word_hashes
+from .common import batch, by_arrow, columns, materialise, pieces_of, word_hashes
 from .decontaminate import _FOLD
 
 DOMAINS = ("high", "low", "toxic")
@@ -55,6 +55,11 @@ class Classifier:
     bias: np.ndarray
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors of the domains and numbers of words, of texts some megabytes at a time."""
+        parts = [self._posteriors(texts.slice(a, z - a)) for a, z in pieces_of(texts)]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         doc, hashes, words = presence(texts)
         score = np.repeat(self.bias[None], len(texts), 0)
         if len(self.vocabulary):
@@ -234,4 +239,4 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | N
             copies = np.where(words == 0, 1, np.floor(descent.rates(p) + 0.5)).astype(np.int64)
             yield b.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_arrow(docs, run, docs.schema)
