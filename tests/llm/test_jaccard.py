@@ -49,7 +49,18 @@ def test_against_brute_force(spark, seed):
             k += rnd.randrange(1, 3)
     docs += [(5000, None), (5001, ""), (5002, " "), (None, docs[3][1]), (docs[4][0], docs[4][1]), (5003, "a b"), (5004, "A  b"), (5005, "a b a b a b a b"), (5006, "a b a b a b a b a b c")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 AS n", "2 AS cid").repartition(4)
-    assert sorted(map(tuple, jaccard_components(df, salt=5).collect()), key=str) == brute(docs)
+    assert sorted(map(tuple, jaccard_components(df, block=1000 if seed == 1 else 4).collect()), key=str) == brute(docs)
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    from peakloom.llm.common import word_hashes
+
+    texts = ["a b", "", " b\t\nab é ", "a"]
+    for arr in (pa.array(texts), pa.array(["zz q", *texts]).slice(1)):
+        h, at = word_hashes(arr)
+        assert at.tolist() == [0, 2, 2, 5, 6] and h[0] == h[5] and h[1] == h[2] and len(set(h.tolist())) == 4
 
 
 def test_empty(spark):
@@ -79,3 +90,11 @@ def test_components(spark):
 
     got = components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, got)) == sorted((x, least(x)) for x in near if near[x])
+
+
+def test_against_sql(spark, sf):
+    from peakloom.llm.queries import OP9_SQL, op9_ngram_jaccard_join
+
+    from .helpers import of, oracle
+
+    assert of(op9_ngram_jaccard_join(spark, sf)) == oracle(OP9_SQL, sf)
