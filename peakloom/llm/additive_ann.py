@@ -28,7 +28,8 @@ QUERY_BLOCK = 4096
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = columns(df, vec_id=F.col(id_col).cast("bigint"), embedding=F.col(vector_col).cast("array<float>")).filter("vec_id is not null and embedding is not null")
+    kind = "array<double>" if dict(df.dtypes)[vector_col] == "array<double>" else "array<float>"  # doubles keep their digits
+    v = columns(df, vec_id=F.col(id_col).cast("bigint"), embedding=F.col(vector_col).cast(kind)).filter("vec_id is not null and embedding is not null")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.filter(fine).distinct()
     sizes = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -81,15 +82,16 @@ def encode(vectors: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarra
     return codes, _squares(total)
 
 
-def _encode(shared, beam: int):
-    schema = pa.schema([("vec_id", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("embedding", pa.list_(pa.float32()))])
+def _encode(shared, beam: int, kind: str):
+    element = pa.float64() if kind == "array<double>" else pa.float32()
+    schema = pa.schema([("vec_id", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("embedding", pa.list_(element))])
 
     def run(batches):
         for b in (x for x in batches if x.num_rows):
             x = _matrix(b.column(1), np.float32)
             got = [encode(x[a : a + 512], shared.value, beam) for a in range(0, len(x), 512)]
             codes = np.concatenate([c for c, _ in got])
-            yield batch(schema, b.column(0), [c.tobytes() for c in codes], np.concatenate([n for _, n in got]), b.column(1).cast(pa.list_(pa.float32())))
+            yield batch(schema, b.column(0), [c.tobytes() for c in codes], np.concatenate([n for _, n in got]), b.column(1).cast(pa.list_(element)))
 
     return run
 
@@ -101,8 +103,8 @@ def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int
     if not sample.num_rows:
         return None
     codebooks = fit_codebooks(_matrix(sample["embedding"].combine_chunks(), np.float32), books, size)
-    shared = vectors.sparkSession.sparkContext.broadcast(codebooks)
-    coded = by_arrow(vectors.repartition(max(1, -(-vectors.count() // rows))), _encode(shared, beam), "vec_id bigint, codes binary, norm float, embedding array<float>")
+    shared, kind = vectors.sparkSession.sparkContext.broadcast(codebooks), dict(vectors.dtypes)["embedding"]
+    coded = by_arrow(vectors.repartition(max(1, -(-vectors.count() // rows))), _encode(shared, beam, kind), f"vec_id bigint, codes binary, norm float, embedding {kind}")
     return materialise(coded, "additive_index"), codebooks
 
 
@@ -168,7 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int
         for g in range(blocks):
             own = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == g)).orderBy("vec_id").toArrow()
             if own.num_rows:
-                shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), np.float32), books))
+                shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), np.float64), books))
                 found = found.unionByName(by_arrow(table, _search(shared, k, shortlist), schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
