@@ -74,6 +74,7 @@ def block_nmf(rows: DataFrame, row: str, k: int, n_columns: int, seed: int = 0,
     and sums W'X and W'W over batches; only those sums are gathered."""
     mean = rows.select(F.avg(F.aggregate("x", F.lit(0.0), lambda a, b: a + b)) / n_columns).first()[0] or 0.0
     h, errors = _start(n_columns, k, float(np.sqrt(mean / k)), seed), []
+    rows = rows.select("x").persist()  # read each round; what a lost executor held is made again from its source
     schema = "wx array<double>, ww array<double>, e double"
     for _ in range(rounds):
 
@@ -84,7 +85,7 @@ def block_nmf(rows: DataFrame, row: str, k: int, n_columns: int, seed: int = 0,
                     w = update_rows(x, h)
                     yield pd.DataFrame({"wx": [(w.T @ x).ravel()], "ww": [(w.T @ w).ravel()], "e": [float(((x - w @ h) ** 2).sum())]})
 
-        parts = rows.select("x").mapInPandas(sums, schema)
+        parts = rows.mapInPandas(sums, schema)
         both = parts.select(F.posexplode(F.concat("wx", "ww", F.array("e"))).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
         if not both:
             return h, errors
@@ -94,6 +95,7 @@ def block_nmf(rows: DataFrame, row: str, k: int, n_columns: int, seed: int = 0,
         h = h * wx / (ww @ h + EPS)
         if len(errors) > 1 and errors[-2] - errors[-1] < 1e-5 * errors[0]:
             break
+    rows.unpersist()
     return h, errors
 
 

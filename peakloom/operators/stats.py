@@ -171,3 +171,40 @@ def split_half(df: DataFrame, item: str, unit: str, experiment: str) -> DataFram
     raw = (F.try_divide("both", "a") + F.try_divide("both", "b")) / 2
     fair = F.when(least <= chance, 0.0).otherwise(F.try_divide(F.col("both") - chance, least - chance))
     return got.select(item, F.col("a").alias("n_a"), F.col("b").alias("n_b"), F.col("both").alias("n_both"), raw.alias("raw"), fair.alias("corrected"))
+
+
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, n) over equal bins of [low, high], the last one closed; bins without rows are there with 0."""
+    v = clean(value)
+    width = (high - low) / bins
+    at = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("bigint")
+    counts = df.filter((v >= low) & (v <= high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").fillna(0, ["n"])
+
+
+def column_order(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Columns by the sum of ln(1 + value), the largest first, with their place from 1. The window's rows are columns."""
+    sums = df.groupBy(column).agg(F.sum(F.log1p(clean(value))).alias("weight"))
+    return sums.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), column)))
+
+
+def enrichment_quality(tests: DataFrame, by: str, term: str = "term", top: int = 5, least_q: float = 0.05, generic: int = 1000) -> DataFrame:
+    """Of each group's top terms below least_q: groups enriched, median of the best -log10 q, median odds ratio, distinct terms and the share of generic ones."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("q_value", "p_value", term))
+    best = tests.filter(F.col("q_value") < least_q).withColumn("__r", rank).filter(F.col("__r") <= top)
+    first = F.when(F.col("__r") == 1, -F.log10(F.greatest(F.col("q_value"), F.lit(1e-300))))
+    return best.agg(F.count_distinct(by).alias("n_groups"), F.median(first).alias("median_top"), F.median("odds_ratio").alias("median_odds"), F.count_distinct(term).alias("n_terms"), F.avg((F.col("big_k") >= generic).cast("double")).alias("generic_share"))
+
+
+def pick_level(df: DataFrame, item: str, level: str, value: str, floor: float) -> DataFrame:
+    """Each item's level with the largest value (ties: the strictest level) and whether that value reaches the floor."""
+    best = df.groupBy(item).agg(F.max(F.struct(value, level)).alias("b"))
+    reason = F.when(F.col(f"b.{value}") >= floor, "reaches floor").otherwise("peak below floor")
+    return best.select(item, F.col(f"b.{level}").alias("pick"), F.col(f"b.{value}").alias("value"), reason.alias("reason"))
+
+
+def member_rollup(members: DataFrame, values: DataFrame, module: str, item: str, value: str) -> DataFrame:
+    """By module: the median of its items' values and the item with the least."""
+    v = members.select(module, item).distinct().join(values.select(item, clean(value).alias("__v")), item).filter("__v is not null")
+    least = F.min(F.struct("__v", item)).alias("b")
+    return v.groupBy(module).agg(F.median("__v").alias("median"), F.count("*").alias("n"), least).select(module, "median", "n", F.col(f"b.{item}").alias("best"), F.col("b.__v").alias("best_value"))

@@ -624,3 +624,66 @@ def stream_counts(spark, sf):
     from ..streaming.events import drained_counts
 
     return drained_counts(spark, f"{sf}/events.parquet", 20)
+
+
+@query("SELECT CAST(k AS BIGINT) AS bin, count(o_orderkey) AS n FROM (SELECT unnest(range(0, 20)) AS k) LEFT JOIN orders ON o_totalprice >= 0 AND o_totalprice <= 400000 AND least(floor(o_totalprice / 20000), 19) = k GROUP BY k")
+def histogram(spark, sf):
+    return st.histogram(table(spark, sf, "orders"), "o_totalprice", 0, 400_000, 20)
+
+
+@query(f"WITH {NATION} SELECT col, round(sum(ln(1 + x)), 4) AS weight, row_number() OVER (ORDER BY sum(ln(1 + x)) DESC, col) AS place FROM v GROUP BY col")
+def column_order(spark, sf):
+    return rounded(st.column_order(nation_values(spark, sf), "col", "x"), 4, "weight")
+
+
+@query()
+def enrichment_quality(spark, sf):
+    return st.enrichment_quality(hypergeom_bh(spark, sf), "g", least_q=0.9)
+
+
+@query(f"""WITH {P}, x AS (SELECT DISTINCT tf AS item, pos // {DAY} AS unit, chrom AS e, s AS level FROM peaks JOIN (SELECT unnest([0, 50, 100, 200]) AS s) ON score >= s), h AS (SELECT level, item, e, (row_number() OVER (PARTITION BY level, item ORDER BY md5(CAST(e AS VARCHAR)), e) - 1) % 2 AS half FROM (SELECT DISTINCT level, item, e FROM x)),
+u AS (SELECT level, item, unit, max((half = 0)::INT) AS a, max((half = 1)::INT) AS b FROM x JOIN h USING (level, item, e) GROUP BY 1, 2, 3),
+g AS (SELECT level, item, round((sum(a * b) / sum(a) + sum(a * b) / sum(b)) / 2, 6) AS raw FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY raw DESC NULLS LAST, level DESC) AS k FROM g)
+SELECT item, level AS pick, raw AS value, CASE WHEN raw >= 0.9 THEN 'reaches floor' ELSE 'peak below floor' END AS reason FROM r WHERE k = 1""")
+def threshold_picks(spark, sf):
+    """The score at which each feature replicates best between halves of its experiments."""
+    out = None
+    for level in (0, 50, 100, 200):
+        rows = peaks(spark, sf).filter(F.col("score") >= level).select(F.col("tf").alias("item"), F.floor(F.col("pos") / DAY).alias("unit"), F.col("chrom").alias("e"))
+        one = rounded(st.split_half(rows, "item", "unit", "e"), 6, "raw").select("item", F.lit(level).alias("level"), "raw")
+        out = one if out is None else out.unionByName(one)
+    return st.pick_level(out, "item", "level", "raw", 0.9)
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), v AS (SELECT p_partkey AS l_partkey, p_retailprice AS v FROM part), j AS (SELECT l_orderkey, l_partkey, v, row_number() OVER (PARTITION BY l_orderkey ORDER BY v, l_partkey) AS k FROM m JOIN v USING (l_partkey))
+SELECT l_orderkey, round(median(v), 4) AS median, count(*) AS n, min(l_partkey) FILTER (k = 1) AS best, round(min(v), 4) AS best_value FROM j GROUP BY l_orderkey""")
+def member_rollup(spark, sf):
+    prices = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    return rounded(st.member_rollup(table(spark, sf, "lineitem"), prices, "l_orderkey", "l_partkey", "p_retailprice"), 4, "median", "best_value")
+
+
+@query("""WITH d AS (SELECT c_mktsegment AS g, p_brand AS item, count(*) AS w FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+t AS (SELECT g, item, w FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, item) AS r FROM d) WHERE r <= 5),
+c AS (SELECT p_brand AS item, l_returnflag AS k, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), n AS (SELECT item, sqrt(sum(c * c)) AS n FROM c GROUP BY item),
+s AS (SELECT a.item AS a, b.item AS b, sum(a.c * b.c) AS dot FROM c a JOIN c b USING (k) GROUP BY 1, 2)
+SELECT x.g AS c_mktsegment, round(sum(x.w * y.w * dot / (nx.n * ny.n)) / sum(x.w * y.w), 6) AS coherence FROM t x JOIN t y ON x.g = y.g AND x.item < y.item JOIN s ON s.a = x.item AND s.b = y.item JOIN n nx ON nx.item = x.item JOIN n ny ON ny.item = y.item GROUP BY 1""")
+def class_coherence(spark, sf):
+    from ..operators.factor import class_coherence as coherence
+
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").join(part, "l_partkey")
+    buyer = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    sums = lines.join(buyer, "l_orderkey").groupBy("c_mktsegment", "item").agg(F.count("*").cast("double").alias("w"))
+    top = rel.top_per_group(sums, ["c_mktsegment"], [F.desc("w"), F.col("item")], 5)
+    return rounded(coherence(top, lines.select("item", "l_returnflag"), "c_mktsegment", "item", "l_returnflag", "w"), 6, "coherence")
+
+
+@query(f"""WITH {P}, d AS (SELECT tf, CAST(floor(CASE WHEN strand = '+' THEN pos - anchor ELSE anchor - pos END / 3600) AS BIGINT) AS bin, count(*) AS n FROM peaks JOIN anchors ON peaks.chrom = anchors.chrom AND pos BETWEEN anchor - {DAY} AND anchor + {DAY} GROUP BY 1, 2)
+SELECT tf, arg_max(bin, (n, -bin)) AS top_bin, max(n) AS top FROM d GROUP BY tf""")
+def profile_peaks(spark, sf):
+    """Where each feature's profile around anchors is highest (ties: the most upstream bin)."""
+    windows = anchors(spark, sf).withColumns({"low": F.col("anchor") - DAY, "high": F.col("anchor") + DAY})
+    met = iv.point_in_interval_join(peaks(spark, sf), windows, ["chrom"], 2 * DAY)
+    bins = met.groupBy("tf", F.floor(iv.project_point(F.col("pos"), F.col("anchor"), F.col("strand")) / 3600).alias("bin")).agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", (-F.col("bin")).alias("b"))).alias("m")
+    return bins.groupBy("tf").agg(best).select("tf", (-F.col("m.b")).alias("top_bin"), F.col("m.n").alias("top"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +22,16 @@ def session(name: str = "peakloom", master: str | None = None, **settings: str)
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | settings).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers: nothing to do where they inherit a path to it, else it goes along as a zip, once a context."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in paths) or getattr(context, "_peakloom_shipped", False):
+        return
+    at = tempfile.mkdtemp(prefix="peakloom-ship-")  # the driver's own, which it serves to executors until it ends
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{at}/peakloom", "zip", root, "peakloom"))
+    context._peakloom_shipped = True

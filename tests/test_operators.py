@@ -174,3 +174,27 @@ def test_clusters():
     a = np.array([0, 0, 1, 1, 2, 2])
     assert abs(cluster.adjusted_mutual_information(a, a[::-1]) - 1) < 1e-9 and abs(cluster.adjusted_mutual_information(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])) + 0.5) < 1e-6
     assert cluster.greedy_match(np.array([[0.9, 0.8], [0.85, 0.1]])) == [(0, 0, 0.9), (1, 1, 0.1)]
+
+
+def test_gate_and_labels(spark):
+    elements = spark.createDataFrame([("c", 100, 200, 150), ("c", 20_000, 20_100, 20_050)], "chrom string, low long, high long, center long")
+    modules = spark.createDataFrame([(0, "c", 140, 180, 160, 12), (1, "c", 190, 700, 650, 12), (2, "c", 9_000, 9_100, 9_050, 3), (3, "d", 0, 9, 4, 20)], "module_id long, chrom string, low long, high long, center long, n_assigned long")
+    got = {r.support: (r.n, round(r.recovered, 3)) for r in segment.gate(elements, modules, "chrom", 50, 11).collect()}
+    assert got == {"at floor": (3, 0.667), "below": (1, 0.0)}
+    marks = spark.createDataFrame([("c", 140)], "chrom string, anchor long")
+    labels = segment.label_elements(elements, marks, "chrom").orderBy("low").collect()
+    assert [(r.distance, r.stratum, r.cluster, r.cluster_size) for r in labels] == [(10, "promoter", 0, 1), (19_910, "distal", 1, 1)]
+
+
+def test_streams(spark, tmp_path):
+    from peakloom.streaming.events import drained_counts, drained_sessions, split_stream
+
+    path = "/root/testdata/sf0.001/events.parquet"
+    events = spark.read.parquet(path)
+    assert drained_counts(spark, path, 20).agg(F.sum("n")).first()[0] == events.filter("value >= 20").count()
+    got = drained_sessions(spark, path, "1 day", "1 hour")
+    batch = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
+    assert got.subtract(batch).isEmpty()
+    split_stream(spark, path, str(tmp_path / "halves"))
+    halves = spark.read.parquet(str(tmp_path / "halves"))
+    assert halves.count() == events.count() and halves.groupBy("user_id").agg(F.count_distinct("half").alias("h")).filter("h > 1").isEmpty()
