@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -48,8 +49,31 @@ def columns(df: DataFrame, **named: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in named.items()])
 
 
-def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def release_memory() -> None:
+    """Hands free memory back to the system: an idle worker must not keep a task's memory beside the workers of the next tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def pieces_of(texts: pa.Array, size: int = 8 << 20) -> list[tuple[int, int]]:
+    """Bounds of runs of texts of about so many bytes each."""
+    if not len(texts):
+        return []
+    weight = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cut = np.unique(np.concatenate([[0], np.searchsorted(weight, np.arange(size, weight[-1], size)), [len(texts)]])).tolist()
+    return list(zip(cut, cut[1:]))
 
 
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:

@@ -8,10 +8,11 @@
 3. Of the classes left, every shingle's frequency by an exchange of packed arrays; shingles of one class go, they
    can't be common. The others are ordered rare first (frequency class, then hash): the set's prefix is its first
    n - ceil(t n) + 1 shingles, those that nobody shares included, so that most prefixes are short.
-4. Prefix rows join on their shingle under the length and positional filters; a pair is verified once, after the
-   suffix filter. So as not to make all pairs of a group of near copies, members of a shingle's group are first
-   chained in order of size, groups salted by size; the chains that hold make components, and only pairs across
-   components are made after that: no link between components is lost, those within one aren't needed.
+4. Prefix rows join on their shingle, each to the least class that has it, which is linear; connected classes are a
+   cluster, outside of which nothing can link. A cluster is compared in blocks of bounded size: by inverted lists of
+   the prefixes, the length, positional and suffix filters, and one intersection for each pair that is left and not
+   connected yet. The members nearest to what they share come first, so that a group of near copies costs about one
+   comparison for each member; links are only emitted where they connect, never a pair for each two members.
 
 Edge cases: null texts, texts without words: no shingle, their own component; fewer words than n: the whole sequence is
 one shingle; null ids: a component is null only if all its ids are; repeated ids stay, a row each; an empty table gives
@@ -21,19 +22,21 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, marks_of, materialise, shuffle_partitions
+from .common import batch, by_arrow, columns, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
 from .components import components
-from .repeats import Words, mix, rolling
+from .repeats import rolling
 
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GROUP_BITS = 13
+BLOCK = 4096  # members of a cluster compared in one task
 _U = np.uint64
 
 
@@ -45,24 +48,26 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def shingle_hashes(by: Words, text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    words = text.translate(_FOLD).split()
-    if not words:
-        return np.empty(0, _U)
-    units = by.hashes(words)
-    return np.unique(mix(rolling(units, min(n, len(words)), 0x9E3779B97F4A7C15) + _U(min(n, len(words)))))
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Of each text its sorted distinct 64-bit hashes of word n-grams; of fewer words, of the whole sequence."""
+    texts = pc.ascii_lower(texts.fill_null(b"" if pa.types.is_binary(texts.type) else "").cast(pa.string()))
+    for at, to in pieces_of(texts):
+        words, starts = word_hashes(texts.slice(at, to - at))
+        grams = mix(rolling(words, n, 0x9E3779B97F4A7C15) + _U(n)) if len(words) >= n else None
+        for a, z in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if z - a >= n:
+                yield np.unique(grams[a : z - n + 1])
+            else:
+                yield mix(rolling(words[a:z], z - a, 0x9E3779B97F4A7C15) + _U(z - a)) if z > a else np.empty(0, _U)
 
 
 def _classes(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
 
     def run(batches):
-        by = Words()
-        for b in batches:
+        for b in (x for x in batches if x.num_rows):
             cid, size = [], []
-            for text in b.column(1):
-                h = shingle_hashes(by, text.as_buffer().to_pybytes(), n) if text.is_valid else ()
+            for h in shingle_sets(b.column(1), n):
                 size.append(len(h))
                 cid.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None)
             yield batch(schema, b.column(0), cid, size, b.column(1))
@@ -86,14 +91,9 @@ _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("gids", pa.binary()), ("base",
 def _scatter(n: int, buckets: int, width: int, prefix):
     """Sends hashes of each class to buckets. prefix(n): how many of the sorted hashes go; width: bytes of each that go, the high ones."""
     def run(batches):
-        by = Words()
-        for b in batches:
-            gids, sets = b.column(0).to_numpy(), []
-            for text in b.column(1):
-                h = shingle_hashes(by, text.as_buffer().to_pybytes(), n)
-                sets.append(h[: prefix(len(h))])
-            if not sets:
-                continue
+        for b in (x for x in batches if x.num_rows):
+            gids = b.column(0).to_numpy()
+            sets = [h[: prefix(len(h))] for h in shingle_sets(b.column(1), n)]
             h = np.concatenate(sets)
             g = np.repeat(gids, [len(x) for x in sets])
             bucket = (h % _U(buckets)).astype(np.int32)
@@ -196,88 +196,176 @@ def _exchange(texts: DataFrame, n: int, width: int, prefix, with_hashes: bool) -
     return by_arrow(back, _grouped(with_hashes), "gid bigint, " + ("codes array<bigint>" if with_hashes else "shared bigint"))
 
 
-def _suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
-    """A lower bound of how many elements are in only one of two sorted arrays, by halving around a probe."""
-    if depth == 0 or not len(a) or not len(b):
-        return abs(len(a) - len(b))
-    mid = len(b) // 2
-    at = int(np.searchsorted(a, b[mid]))
-    same = at < len(a) and a[at] == b[mid]
-    return _suffix_bound(a[:at], b[:mid], depth - 1) + _suffix_bound(a[at + same :], b[mid + 1 :], depth - 1) + (not same)
-
-
-def _verify(t100: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def lists(column):
-        at, values = column.offsets.to_numpy(), column.values.to_numpy()
-        return [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the runs that begin at starts."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Cluster:
+    """Some classes that prefixes connect. links() verifies each pair of different components at most once."""
+
+    RANGES = 8
+
+    def __init__(self, n: np.ndarray, codes: list[np.ndarray], t100: int):
+        self.n, self.t100 = n, t100
+        self.k = np.array([len(c) for c in codes])
+        self.at = np.cumsum(self.k) - self.k
+        self.tokens = np.unique(np.concatenate(codes), return_inverse=True)[1]
+        self.first = np.maximum(0, n - least_common(n, t100) + 1 - (n - self.k))
+        size = int(self.tokens.max(initial=0)) + 1
+        # inverted lists of the prefixes: member and place of the token in its set
+        where = _places(self.at, self.first)
+        by_token = np.argsort(self.tokens[where], kind="stable")
+        self.member = np.repeat(np.arange(len(n)), self.first)[by_token]
+        self.place = (where - np.repeat(self.at, self.first))[by_token]
+        self.list_at = np.searchsorted(self.tokens[where][by_token], np.arange(size + 1))
+        # members' counts of tokens in ranges of the order, for the suffix filter
+        owner = np.repeat(np.arange(len(n)), self.k)
+        self.ranges = np.bincount(owner * self.RANGES + self.tokens * self.RANGES // size, minlength=len(n) * self.RANGES).reshape(len(n), -1)
+        self.mark = np.zeros(size, bool)
+
+    def partners(self, x: int, free: np.ndarray) -> np.ndarray:
+        """Members, of the free ones, that are similar to x: by prefix lists, then the length, positional and suffix filters, then the intersection."""
+        own = self.tokens[self.at[x] : self.at[x] + self.first[x]]
+        sizes = self.list_at[own + 1] - self.list_at[own]
+        hit = _places(self.list_at[own], sizes)
+        mine = np.repeat(np.arange(len(own)), sizes)[free[self.member[hit]]]
+        hit = hit[free[self.member[hit]]]
+        y, at = np.unique(self.member[hit], return_index=True)  # at the first common token
+        least = -(-(self.n[x] + self.n[y]) * self.t100 // (100 + self.t100))
+        fits = (self.n[x] * 100 >= self.n[y] * self.t100) & (self.n[y] * 100 >= self.n[x] * self.t100)
+        fits &= np.minimum(self.k[x] - mine[at], self.k[y] - self.place[hit[at]]) >= least
+        fits &= np.abs(self.ranges[x] - self.ranges[y]).sum(1) <= self.k[x] + self.k[y] - 2 * least
+        y, least = y[fits], least[fits]
+        if not len(y):
+            return y
+        self.mark[self.tokens[self.at[x] : self.at[x] + self.k[x]]] = True
+        common = np.add.reduceat(self.mark[self.tokens[_places(self.at[y], self.k[y])]].astype(np.int32), np.cumsum(self.k[y]) - self.k[y])
+        self.mark[self.tokens[self.at[x] : self.at[x] + self.k[x]]] = False
+        return y[common >= least]
+
+    def links(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links that connect what is connected. Members with the fewest shingles of their own come first: most others link to them.
+        side: only pairs of members whose sides differ count."""
+        top, out = np.arange(len(self.n)), []
+        order = np.lexsort((np.arange(len(self.n)), (self.n - self.k) / self.n))
+        later = np.ones(len(self.n), bool)
+        for x in order.tolist():
+            later[x] = False
+            free = later & (top != top[x])
+            if side is not None:
+                free &= side != side[x]
+            if not free.any():
+                continue
+            for y in self.partners(x, free).tolist():
+                if top[y] != top[x]:
+                    out.append((x, y))
+                    top[top == top[y]] = top[x]
+        return out
+
+
+def _linked(t100: int):
+    """(a, b, whole): of a cluster in one block each member with the least of its component; of a pair of blocks the links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("whole", pa.bool_())])
+
+    def close(parts):
+        gid, n, block, whole = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        i, j, codes = parts[0][4], parts[0][5], [c for p in parts for c in p[6]]
+        links = Cluster(n, codes, t100).links(None if i == j else block)
+        if not whole[0]:
+            return [(gid[x], gid[y], False) for x, y in links]
+        top = np.arange(len(gid))
+        for x, y in links:
+            top[top == top[y]] = top[x]
+        least = np.full(len(gid), np.iinfo(np.int64).max)
+        np.minimum.at(least, top, gid)
+        return list(zip(gid.tolist(), least[top].tolist(), [True] * len(gid)))
 
     def run(batches):
-        for batch_ in batches:
-            a, b, n, m = (batch_.column(i).to_numpy() for i in range(4))
-            keep = []
-            for x, y, i, j in zip(lists(batch_.column(4)), lists(batch_.column(5)), n.tolist(), m.tolist(), strict=True):
-                least = -(-(i + j) * t100 // (100 + t100))
-                apart = len(x) + len(y) - 2 * least
-                keep.append(apart >= 0 and _suffix_bound(x, y, 2) <= apart and len(np.intersect1d(x, y, True)) >= least)
-            keep = np.array(keep, bool)
-            yield batch(schema, a[keep], b[keep])
+        last, parts, out = None, [], []
+        for b in batches:
+            keys = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+            gid, n, block = (b.column(i).to_numpy() for i in (3, 4, 5))
+            whole = b.column(7).to_numpy(zero_copy_only=False)
+            at, values = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.empty(0, np.int64)
+            for a, z in zip(new.tolist(), [*new[1:].tolist(), len(keys)]):
+                key = tuple(keys[a].tolist())
+                if key != last and parts:
+                    out += close(parts)
+                    parts = []
+                last = key
+                parts.append((gid[a:z], n[a:z], block[a:z], whole[a:z], key[1], key[2], [values[x:y] for x, y in zip(at[a:z].tolist(), at[a + 1 : z + 1].tolist())]))
+            if len(out) > 5000:
+                yield batch(schema, *map(list, zip(*out, strict=True)))
+                out = []
+        if parts:
+            out += close(parts)
+        if out:
+            yield batch(schema, *map(list, zip(*out, strict=True)))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t100: int) -> DataFrame:
-    """pairs: distinct (a, b)."""
-    left = sets.select(F.col("gid").alias("a"), F.col("n").alias("n"), F.col("codes").alias("x"))
-    right = sets.select(F.col("gid").alias("b"), F.col("n").alias("m"), F.col("codes").alias("y"))
-    return by_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y"), _verify(t100), "a bigint, b bigint")
+def _numbered(classes: DataFrame) -> DataFrame:
+    """gid from 0 without gaps: each partition's first number, a row per partition, is added to the place in the partition."""
+    part = F.shiftright("gid", 33)
+    sizes, starts, at = sorted((r[0], r[1]) for r in classes.groupBy(part.alias("p")).count().collect()), [], 0
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    starts = classes.sparkSession.createDataFrame(starts, "p bigint, start bigint")
+    place = F.col("gid") - F.shiftleft("p", 33)
+    return classes.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("gid", place + F.col("start")).drop("p", "start")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, chain: int = 3, salt: int = 2000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: 100 * intersection >= t100 * union links two.
 
-    chain: of so many of a set's first shared shingles the groups are chained; salt: members of a chain's group at most, about."""
+    block: members of a cluster compared in one task at most, about."""
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text=F.col("text").cast("binary"))
-    made = by_arrow(docs, _classes(n), "doc_id bigint, cid bigint, n bigint, text binary")
+    made = materialise(by_arrow(docs, _classes(n), "doc_id bigint, cid bigint, n bigint, text binary"), "shingled")
     classes = made.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("text").alias("text"))
-    classes = materialise(classes.withColumn("gid", F.monotonically_increasing_id()), "shingle_classes")
+    classes = _numbered(materialise(classes.withColumn("gid", F.monotonically_increasing_id()), "shingle_classes"))
     texts, sizes = classes.select("gid", "text"), classes.select("gid", "n")
     shared = _exchange(texts, n, 5, lambda size: size - least_common(size, t100) + int(extra(size)), False)
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * t100 / 100) / 8))
     open_ = materialise(shared.join(sizes, "gid").filter(F.col("shared") >= need).select("gid"), "open_classes")
-    marks = marks_of(open_, "gid")
-    left = by_arrow(texts, marks.filter_arrow("gid"), "gid bigint, text binary").join(open_, "gid", "left_semi")
-    sets = materialise(_exchange(left, n, 8, lambda size: size, True).join(sizes, "gid"), "shared_shingles")
+    left = by_arrow(texts, marks_of(open_, "gid").filter_arrow("gid"), "gid bigint, text binary").join(open_, "gid", "left_semi")
     first = F.col("n") - F.ceil(F.col("n") * t100 / 100) + 1 - (F.col("n") - F.size("codes"))
-    prefix = sets.filter(first > 0).select("gid", "n", F.size("codes").alias("k"), F.posexplode(F.slice("codes", 1, first.cast("int"))).alias("pos", "code"))
-    prefix = materialise(prefix, "prefixes")
-    # chains: each member of a (salted) group with the next larger one
-    heads = prefix.filter(F.col("pos") < chain)
-    groups = heads.groupBy("code").agg(F.count("*").alias("members")).filter("members > 1")
-    heads = heads.join(groups, "code").withColumn("part", F.pmod(F.xxhash64("gid"), F.ceil(F.col("members") / salt)))
-    before = F.lag("gid").over(Window.partitionBy("code", "part").orderBy("n", "gid"))
-    chains = heads.withColumn("b", before).filter("b is not null").select(F.least("gid", "b").alias("a"), F.greatest("gid", "b").alias("b")).distinct()
-    linked = materialise(_verified(chains, sets, t100), "links")
-    known = materialise(components(linked), "chained")
-    # pairs across components
-    of = prefix.join(known.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-    several = of.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("code")
-    of = materialise(of.join(several, "code"), "open_prefixes")
-    l, r = of.alias("l"), of.alias("r")
-    least = F.ceil((F.col("l.n") + F.col("r.n")) * t100 / (100 + t100))
-    rest = F.least(F.col("l.k") - F.col("l.pos"), F.col("r.k") - F.col("r.pos"))
-    upper = F.least(F.col("l.pos"), F.col("r.pos")) + rest
-    cross = l.join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.component") < F.col("r.component")) & (F.col("l.n") * 100 >= F.col("r.n") * t100) & (F.col("r.n") * 100 >= F.col("l.n") * t100) & (upper >= least))
-    cross = cross.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct()
-    more = materialise(_verified(cross, sets, t100), "links")
-    own = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    merged = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = components(merged)
-    label = classes.select("cid", "gid", "least_id").join(known.withColumnRenamed("node", "gid"), "gid", "left").withColumn("node", F.coalesce("component", "gid")).drop("component")
-    label = label.join(top, "node", "left").select("cid", "least_id", F.coalesce("component", "node").alias("label"))
+    sets = materialise(_exchange(left, n, 8, lambda size: size, True).join(sizes, "gid").withColumn("first", first.cast("int")).filter("first > 0"), "shared_shingles")
+    # clusters: classes that a chain of common prefix shingles connects, found by an edge from each member to the shingle's least
+    prefix = sets.select("gid", F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
+    met = prefix.groupBy("code").agg(F.min("gid").alias("b"), F.count("*").alias("members")).filter("members > 1").select("code", "b")
+    clusters = materialise(components(prefix.join(met, "code").select(F.col("gid").alias("a"), "b")), "clusters").withColumnRenamed("node", "gid")
+    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.join(sets.select("gid", "n", "codes"), "gid").select(F.col("component").alias("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "gid", "n", "block", "codes", (F.col("blocks") == 1).alias("whole"))
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "gid")
+    links = materialise(by_arrow(dealt, _linked(t100), "a bigint, b bigint, whole boolean"), "links")
+    known = links.filter("whole").select(F.col("a").alias("gid"), F.col("b").alias("component"))
+    across = links.filter("not whole").select("a", "b")
+    if not across.isEmpty():  # clusters of several blocks
+        known = known.unionByName(components(across).select(F.col("node").alias("gid"), "component"))
+    label = classes.select("cid", "gid", "least_id").join(known, "gid", "left").select("cid", "least_id", F.coalesce("component", "gid").alias("label"))
     names = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_class = materialise(label.join(names, "label").select("cid", "component_id"), "class_components")
+    by_class = label.join(names, "label").select("cid", "component_id")
     # a class of very many copies is one small row: the skew join deals out the documents' side
     out = made.select("doc_id", "cid", "n").join(by_class, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, t100: int = 75) -> DataFrame:
+    """The documents, all columns, without those that are connected to one with a smaller id. Of rows with equal ids one
+    stays, the first by text; rows with null ids stay only if nothing with an id is connected to them."""
+    names = jaccard_components(docs, n, t100).select("doc_id", "component_id", "n_shingles").distinct()
+    kept = names.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    several = materialise(out.join(repeated, out["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi"), "repeated_ids")
+    first = several.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("text", "doc_id")])).alias("r"))
+    once = first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return out.join(repeated, out["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(once)
