@@ -7,7 +7,6 @@ stage's docs. All but the last return the columns of documents. Missing columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from peakloom.llm.common import materialise
 

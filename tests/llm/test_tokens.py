@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from peakloom.llm.token_counts import token_counts
-from peakloom.llm.wavelet import WaveletMatrix, pack, unpack, wavelet_round_trip
+from peakloom.llm.wavelet import pack, unpack, wavelet_round_trip
 
 ODD = [(1, "it's  a\n b\t\tc<|endoftext|> d  "), (2, None), (3, ""), (4, " "), (5, "a  b  \n c\x1c d é́ ß’s I'LL'll"), (6, "x" * 5000), (6, "x" * 5000), (None, "null id"), (7, "\n\n  lead"), (8, "<|startoftext|>Hi<|endoftext|>"), (9, "é é ́x 数字 123,456 ½")]
 
