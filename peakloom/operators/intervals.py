@@ -68,21 +68,34 @@ def point_in_interval_join(points: DataFrame, intervals: DataFrame, on: Names, b
     return met.filter(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
-def nearest_join(points: DataFrame, anchors: DataFrame, on: Names, position: str = "pos", anchor: str = "anchor", tie: str = "left", within: int | None = None) -> DataFrame:
+def nearest_join(points: DataFrame, anchors: DataFrame, on: Names, position: str = "pos", anchor: str = "anchor", tie: str = "left", within: int | None = None, tile: int | None = None) -> DataFrame:
     """Each point with its group's nearest anchor position (null without one) and signed distance; tie: left or right anchor.
 
-    One sort of both sides together, no range join: the last anchor at or before, and the first at or after, each point."""
+    One sort of both sides together, no range join: the last anchor at or before, and the first at or after, each point.
+    tile: long groups are dealt out in tiles of that length; the anchors next to a tile come from a table of tiles."""
     marks = anchors.select(*on, F.col(anchor).alias("__at")).distinct()
     both = points.withColumn("__at", F.lit(None).cast("bigint")).withColumn("__key", F.col(position))
     both = both.unionByName(marks.withColumn("__key", F.col("__at")), allowMissingColumns=True)
-    order = Window.partitionBy(*on).orderBy("__key")
-    before = F.last("__at", True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__at", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    by = [*on]
+    if tile:
+        by.append("__tile")
+        at = lambda c: F.floor(F.col(c) / tile).alias("__tile")
+        ends = marks.groupBy(*on, at("__at")).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+        every = points.select(*on, at(position)).distinct().join(ends, by, "full")
+        order = Window.partitionBy(*on).orderBy("__tile")
+        every = every.withColumn("__left", F.last("__hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        every = every.withColumn("__right", F.first("__lo", True).over(order.rowsBetween(1, Window.unboundedFollowing))).drop("__lo", "__hi")
+        both = both.withColumn("__tile", at("__key")).join(every, by)
+    else:
+        both = both.withColumns({"__left": F.lit(None).cast("bigint"), "__right": F.lit(None).cast("bigint")})
+    order = Window.partitionBy(*by).orderBy("__key")
+    before = F.coalesce(F.last("__at", True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__left"))
+    after = F.coalesce(F.first("__at", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)), F.col("__right"))
     both = both.withColumn("__before", before).withColumn("__after", after).filter(F.col(position).isNotNull())
     to_left, to_right = F.col(position) - F.col("__before"), F.col("__after") - F.col(position)
     left_wins = to_left <= to_right if tie == "left" else to_left < to_right
     near = F.when(F.col("__before").isNull(), F.col("__after")).when(F.col("__after").isNull() | left_wins, F.col("__before")).otherwise(F.col("__after"))
-    out = both.withColumn("nearest", near).withColumn("distance", F.col(position) - F.col("nearest")).drop("__at", "__key", "__before", "__after")
+    out = both.withColumn("nearest", near).withColumn("distance", F.col(position) - F.col("nearest")).drop("__at", "__key", "__before", "__after", "__left", "__right", "__tile")
     return out if within is None else out.filter(F.abs("distance") <= within)
 
 
@@ -125,10 +138,18 @@ def rebin(runs: DataFrame, by: Names, width: int, n_bins: int, low: int = 0) ->
     return cut.groupBy(*by, "bin").agg(F.sum(F.col("value") * part).alias("value"))
 
 
-def local_weights(df: DataFrame, by: Names, position: str = "pos", reach: int = 1500) -> DataFrame:
-    """weight = 1 / number of the group's points within reach, itself and its peers included."""
-    near = Window.partitionBy(*by).orderBy(position).rangeBetween(-reach, reach)
-    return df.withColumn("weight", 1 / F.count("*").over(near))
+def local_weights(df: DataFrame, by: Names, position: str = "pos", reach: int = 1500, tile: int | None = None) -> DataFrame:
+    """weight = 1 / number of the group's points within reach, itself and its peers included.
+
+    tile: long groups are dealt out in tiles of that length (at least twice the reach), with the neighbours' points within reach as halo."""
+    if tile is None:
+        near = Window.partitionBy(*by).orderBy(position).rangeBetween(-reach, reach)
+        return df.withColumn("weight", 1 / F.count("*").over(near))
+    first, last = F.floor((F.col(position) - reach) / tile), F.floor((F.col(position) + reach) / tile)
+    dealt = df.withColumn("__tile", F.explode(F.sequence(first, last)))
+    near = Window.partitionBy(*by, "__tile").orderBy(position).rangeBetween(-reach, reach)
+    weighed = dealt.withColumn("weight", 1 / F.count("*").over(near))
+    return weighed.filter(F.col("__tile") == F.floor(F.col(position) / tile)).drop("__tile")
 
 
 def group_weights(df: DataFrame, by: Names) -> DataFrame:

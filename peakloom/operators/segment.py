@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .intervals import gap_clusters, local_weights, nearest_join, overlap_join, stratum
+
 
 def kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     reach = int(truncate * sigma + 0.5)
@@ -187,9 +189,8 @@ def discover(points: DataFrame, chrom: str, feature: str, position: str = "pos",
     Each point weighs 1 over its feature's points within reach; the axis is worked on in tiles, each with a halo of its
     neighbours' points; an element belongs to the tile of its centre. Positions are divided by grid. floor: least
     number of assigned features."""
-    near = Window.partitionBy(chrom, feature).orderBy(position).rangeBetween(-reach, reach)
     halo = 20 * int(segmenter.sigma) + 10 * segmenter.distance
-    weighed = points.withColumn("__w", 1 / F.count("*").over(near)).withColumn("__p", F.floor(F.col(position) / grid))
+    weighed = local_weights(points, [chrom, feature], position, reach, max(tile * grid, 2 * reach)).withColumnRenamed("weight", "__w").withColumn("__p", F.floor(F.col(position) / grid))
     cells = weighed.groupBy(chrom, feature, "__p").agg(F.sum("__w").alias("__w"), F.count("*").alias("__n"), F.max(score).cast("double").alias("__s"))
     first, last = F.floor((F.col("__p") - halo) / tile), F.floor((F.col("__p") + halo) / tile)
     dealt = cells.withColumn("__t", F.explode(F.sequence(first, last)))
@@ -216,9 +217,7 @@ def discover(points: DataFrame, chrom: str, feature: str, position: str = "pos",
 
 def label_elements(elements: DataFrame, anchors: DataFrame, chrom: str, anchor: str = "anchor", gap: int = 12_500, near: int = 1_000, far: int = 10_000) -> DataFrame:
     """Distance to the nearest anchor, its stratum, gap cluster and cluster size."""
-    from .intervals import gap_clusters, nearest_join, stratum
-
-    out = nearest_join(elements, anchors, [chrom], position="center", anchor=anchor)
+    out = nearest_join(elements, anchors, [chrom], position="center", anchor=anchor, tile=1_000_000)
     out = out.withColumn("stratum", F.when(F.col("distance").isNotNull(), stratum(F.col("distance"), near, far)))
     return gap_clusters(out, [chrom], "center", gap, tie=["low"])
 
@@ -227,8 +226,6 @@ def gate(elements: DataFrame, modules: DataFrame, chrom: str, within: int, floor
     """Share of modules that an element recovers (centre within reach, or spans overlap), by support at or above the floor.
 
     modules: (module_id, chrom, low, high, center, n_assigned), positions on the axis."""
-    from .intervals import nearest_join, overlap_join
-
     near = nearest_join(modules, elements.select(chrom, F.col("center").alias("anchor")), [chrom], position="center", tie="right")
     half_open = lambda df, *names: df.select("*", F.col("low").alias(names[0]), (F.col("high") + 1).alias(names[1]))
     spans = half_open(elements, "r_start", "r_end").select(chrom, "r_start", "r_end")

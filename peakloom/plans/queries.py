@@ -411,7 +411,7 @@ def merge_intervals(spark, sf):
 
 @query(f"WITH {P} SELECT event_id, round(1.0 / count(*) OVER (PARTITION BY chrom, tf ORDER BY pos RANGE BETWEEN {10 * DAY} PRECEDING AND {10 * DAY} FOLLOWING), 6) AS weight FROM peaks")
 def local_weight(spark, sf):
-    return rounded(iv.local_weights(peaks(spark, sf), ["chrom", "tf"], reach=10 * DAY).select("event_id", "weight"), 6, "weight")
+    return rounded(iv.local_weights(peaks(spark, sf), ["chrom", "tf"], reach=10 * DAY, tile=30 * DAY).select("event_id", "weight"), 6, "weight")
 
 
 @query(f"""WITH {P}, g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, event_id) > {2 * DAY} THEN 1 ELSE 0 END AS o FROM peaks), c AS (SELECT *, CAST(sum(o) OVER (PARTITION BY chrom ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM g)
@@ -426,7 +426,7 @@ def _nearest_sql(tie: str) -> str:
 
 @query(f"WITH {P}, {_nearest_sql('left')} SELECT event_id, nearest, pos - nearest AS distance FROM n")
 def nearest_anchor(spark, sf):
-    return iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"]).select("event_id", "nearest", "distance")
+    return iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"], tile=10 * DAY).select("event_id", "nearest", "distance")
 
 
 @query(f"WITH {P}, {_nearest_sql('right')} SELECT event_id, nearest, pos - nearest AS distance FROM n WHERE abs(pos - nearest) <= {3 * DAY}")

@@ -58,6 +58,12 @@ def test_windows(spark):
     near = lambda tie: intervals.nearest_join(pos(150, 20, 260, 199), marks, ["tf"], tie=tie).orderBy("pos").select("nearest", "distance").collect()
     assert [tuple(r) for r in near("left")] == [(100, -80), (100, 50), (200, -1), (200, 60)]
     assert near("right")[1] == (200, -50)
+    rng = np.random.default_rng(5)
+    many = spark.createDataFrame([(f"g{rng.integers(3)}", int(p), i) for i, p in enumerate(rng.integers(-300, 3000, 300))], "tf string, pos long, i int")
+    marks = spark.createDataFrame([(f"g{rng.integers(2)}", int(p)) for p in rng.integers(0, 2500, 15)], "tf string, anchor long")
+    for tie in ("left", "right"):
+        assert rows(intervals.nearest_join(many, marks, ["tf"], tie=tie, tile=170).select("i", "nearest", "distance"), "i") == rows(intervals.nearest_join(many, marks, ["tf"], tie=tie).select("i", "nearest", "distance"), "i")
+    assert rows(intervals.local_weights(many, ["tf"], reach=40, tile=100).select("i", "weight"), "i") == rows(intervals.local_weights(many, ["tf"], reach=40).select("i", "weight"), "i")
     shifted = intervals.circular_shift(pos(5, 95, 99), ["tf"], "tf", "pos", 3, 1)
     assert shifted.groupBy("shuffle").count().filter("count = 3").count() == 3
     gaps = {tuple(sorted((b - a) % 100 for a, b in zip(p, p[1:] + p[:1]))) for p in ([r.pos for r in shifted.filter(F.col("shuffle") == k).orderBy("pos").collect()] for k in (1, 2, 3))}
