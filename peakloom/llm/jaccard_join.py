@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, by_arrow, columns, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
@@ -245,10 +245,10 @@ class Cluster:
         self.mark[self.tokens[self.at[x] : self.at[x] + self.k[x]]] = False
         return y[common >= least]
 
-    def links(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    def links(self, side: np.ndarray | None = None, top: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that connect what is connected. Members with the fewest shingles of their own come first: most others link to them.
-        side: only pairs of members whose sides differ count."""
-        top, out = np.arange(len(self.n)), []
+        side: only pairs of members whose sides differ count; top: components already known."""
+        top, out = np.arange(len(self.n)) if top is None else top.copy(), []
         order = np.lexsort((np.arange(len(self.n)), (self.n - self.k) / self.n))
         later = np.ones(len(self.n), bool)
         for x in order.tolist():
@@ -265,30 +265,30 @@ class Cluster:
         return out
 
 
-def _linked(t100: int):
-    """(a, b, whole): of a cluster in one block each member with the least of its component; of a pair of blocks the links."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("whole", pa.bool_())])
+def _linked(t100: int, whole: bool):
+    """Over rows (three keys, gid, n, side, component, codes) sorted by the keys: (a, b), links within each group; whole: instead
+    each member with the least of its component in the group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def close(parts):
-        gid, n, block, whole = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        i, j, codes = parts[0][4], parts[0][5], [c for p in parts for c in p[6]]
-        links = Cluster(n, codes, t100).links(None if i == j else block)
-        if not whole[0]:
-            return [(gid[x], gid[y], False) for x, y in links]
+        gid, n, side, component = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        cluster = Cluster(n, [c for p in parts for c in p[4]], t100)
+        if not whole:
+            links = cluster.links(side if side.any() else None, np.unique(component, return_inverse=True)[1])
+            return [(gid[x], gid[y]) for x, y in links]
         top = np.arange(len(gid))
-        for x, y in links:
+        for x, y in cluster.links():
             top[top == top[y]] = top[x]
         least = np.full(len(gid), np.iinfo(np.int64).max)
         np.minimum.at(least, top, gid)
-        return list(zip(gid.tolist(), least[top].tolist(), [True] * len(gid)))
+        return list(zip(gid.tolist(), least[top].tolist()))
 
     def run(batches):
         last, parts, out = None, [], []
         for b in batches:
             keys = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
-            gid, n, block = (b.column(i).to_numpy() for i in (3, 4, 5))
-            whole = b.column(7).to_numpy(zero_copy_only=False)
-            at, values = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
+            cols = [b.column(i).to_numpy() for i in (3, 4, 5, 6)]
+            at, values = b.column(7).offsets.to_numpy(), b.column(7).values.to_numpy()
             new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.empty(0, np.int64)
             for a, z in zip(new.tolist(), [*new[1:].tolist(), len(keys)]):
                 key = tuple(keys[a].tolist())
@@ -296,7 +296,7 @@ def _linked(t100: int):
                     out += close(parts)
                     parts = []
                 last = key
-                parts.append((gid[a:z], n[a:z], block[a:z], whole[a:z], key[1], key[2], [values[x:y] for x, y in zip(at[a:z].tolist(), at[a + 1 : z + 1].tolist())]))
+                parts.append((*(c[a:z] for c in cols), [values[x:y] for x, y in zip(at[a:z].tolist(), at[a + 1 : z + 1].tolist())]))
             if len(out) > 5000:
                 yield batch(schema, *map(list, zip(*out, strict=True)))
                 out = []
@@ -308,6 +308,50 @@ def _linked(t100: int):
     return run
 
 
+def _compare(members: DataFrame, sets: DataFrame, t100: int, whole: bool) -> DataFrame:
+    """members: (i, j, k, gid, side, component), compared within each (i, j, k)."""
+    rows = members.join(sets.select("gid", "n", "codes"), "gid").select("i", "j", "k", "gid", "n", "side", "component", "codes")
+    rows = rows.repartition("i", "j", "k").sortWithinPartitions("i", "j", "k", "gid")
+    return materialise(by_arrow(rows, _linked(t100, whole), "a bigint, b bigint"), "links")
+
+
+def _cluster_components(clusters: DataFrame, sets: DataFrame, t100: int, block: int, hubs: int = 8) -> DataFrame:
+    """clusters: (gid, cluster). (gid, component) of all members.
+
+    A cluster of one block is done by one comparison. Of a larger one the blocks are compared within, then their `hubs`
+    members nearest to what they share; then what is still outside the cluster's largest component is compared with
+    all blocks, so that work grows with the members times those outside, not with the square of a group of near copies."""
+    zero = F.lit(0).cast("bigint")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = materialise(clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks"))), "blocks")
+    key = [F.col("cluster").alias("i"), F.col("block").alias("j")]
+    found = _compare(dealt.select(*key, zero.alias("k"), "gid", zero.alias("side"), F.col("gid").alias("component")), sets, t100, True)
+    found = found.select(F.col("a").alias("gid"), F.col("b").alias("component"))
+    large = dealt.filter("blocks > 1")
+    if large.isEmpty():
+        return found
+    own = large.join(sets.select("gid", ((F.col("n") - F.size("codes")) / F.col("n")).alias("own")), "gid")
+    nth = F.row_number().over(Window.partitionBy("cluster", "block").orderBy("own", "gid"))
+    heads = own.withColumn("nth", nth).filter(F.col("nth") <= hubs).select(F.col("cluster").alias("i"), F.floor(F.col("block") * hubs / block).alias("j"), zero.alias("k"), "gid", zero.alias("side"), F.col("gid").alias("component"))
+    edges = found.join(large.select("gid"), "gid", "left_semi").select(F.col("gid").alias("a"), F.col("component").alias("b"))
+    edges = edges.unionByName(_compare(heads, sets, t100, False))
+    now = components(edges).select(F.col("node").alias("gid"), "component")
+    now = materialise(large.join(now, "gid", "left").withColumn("component", F.coalesce("component", "gid")), "cluster_components")
+    sizes = now.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
+    outside = now.join(largest, "cluster").filter("component <> main").drop("main")
+    parts = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("parts"))
+    if not outside.isEmpty():
+        to_all = outside.join(parts, "cluster").withColumn("k", F.pmod(F.xxhash64("gid", F.lit(1)), F.col("parts"))).withColumn("j", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        to_all = to_all.select(F.col("cluster").alias("i"), "j", "k", "gid", F.lit(1).cast("bigint").alias("side"), "component")
+        every = now.join(parts, "cluster").withColumn("k", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        every = every.select(F.col("cluster").alias("i"), F.col("block").alias("j"), "k", "gid", F.lit(2).cast("bigint").alias("side"), "component")
+        edges = edges.unionByName(_compare(to_all.unionByName(every), sets, t100, False))
+    last = components(edges).select(F.col("node").alias("gid"), "component")
+    last = large.select("gid").join(last, "gid", "left").select("gid", F.coalesce("component", "gid").alias("component"))
+    return found.join(large.select("gid"), "gid", "left_anti").unionByName(last)
+
+
 def _numbered(classes: DataFrame) -> DataFrame:
     """gid from 0 without gaps: each partition's first number, a row per partition, is added to the place in the partition."""
     part = F.shiftright("gid", 33)
@@ -339,15 +383,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int =
     prefix = sets.select("gid", F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
     met = prefix.groupBy("code").agg(F.min("gid").alias("b"), F.count("*").alias("members")).filter("members > 1").select("code", "b")
     clusters = materialise(components(prefix.join(met, "code").select(F.col("gid").alias("a"), "b")), "clusters").withColumnRenamed("node", "gid")
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = clusters.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.join(sets.select("gid", "n", "codes"), "gid").select(F.col("component").alias("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "gid", "n", "block", "codes", (F.col("blocks") == 1).alias("whole"))
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "gid")
-    links = materialise(by_arrow(dealt, _linked(t100), "a bigint, b bigint, whole boolean"), "links")
-    known = links.filter("whole").select(F.col("a").alias("gid"), F.col("b").alias("component"))
-    across = links.filter("not whole").select("a", "b")
-    if not across.isEmpty():  # clusters of several blocks
-        known = known.unionByName(components(across).select(F.col("node").alias("gid"), "component"))
+    known = _cluster_components(clusters.withColumnRenamed("component", "cluster"), sets, t100, block)
     label = classes.select("cid", "gid", "least_id").join(known, "gid", "left").select("cid", "least_id", F.coalesce("component", "gid").alias("label"))
     names = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_class = label.join(names, "label").select("cid", "component_id")
