@@ -57,8 +57,21 @@ def release_memory() -> None:
         trim(0)
 
 
-def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+#: What a worker process keeps from task to task of one stage, such as encoded words. Tasks of other stages drop it.
+KEPT: dict[str, object] = {}
+
+
+def forget() -> None:
+    """A function of the module, so that it meets the worker's own KEPT and no pickled copy."""
+    KEPT.clear()
+
+
+def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: bool = False) -> DataFrame:
+    """mapInArrow; keeps: the tasks use what the worker's KEPT holds."""
+
     def run(batches):
+        if not keeps:
+            forget()
         try:
             yield from f(batches)
         finally:

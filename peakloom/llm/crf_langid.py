@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow
-from .repeats import mix
+from .common import batch, by_arrow, mix, release_memory
 
 _WORD = re.compile(r"[^\W\d_]+")
 TABLE_BITS = 17
@@ -221,7 +220,9 @@ def fit_on(docs: DataFrame, max_rows: int = 600, max_words: int = 4000) -> Model
     ids = [r[0] for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_rows).collect()]
     got = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, max_words * 12).alias("text")).toArrow() if ids else None
     texts = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True))[:max_rows] if got else []
-    return fit([(" ".join(words_of(t)[:max_words]), y) for _, y, t in texts])
+    model = fit([(" ".join(words_of(t)[:max_words]), y) for _, y, t in texts])
+    release_memory()
+    return model
 
 
 def _labelled(model: Model | None, texts: list[str | None]):
@@ -297,4 +298,4 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) ->
             found = [bool(words) and post.mean(0).max() >= least for words, post in _labelled(shared.value, b.column(at).to_pylist())]
             yield b.filter(pa.array(found))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_arrow(docs, run, docs.schema)

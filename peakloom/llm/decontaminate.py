@@ -235,12 +235,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_shar
     words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     groups = max(1, -(-int(words) // MAX_WORDS))
     at, out = docs.columns.index("text"), docs.withColumns({"__spans": F.lit(None).cast("binary")})
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     for g in range(groups):
         own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
         shared = docs.sparkSession.sparkContext.broadcast(_automaton([tuple(r) for r in own.collect()], window))
-        out = out.mapInArrow(_mark_spans(shared, at), out.schema)
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    return out.mapInArrow(_cut_spans(at, chars, max_words, max_share), docs.schema)
+        if g < groups - 1:
+            out = by_arrow(out, _mark_spans(shared, at), out.schema)
+    mark, cut = _mark_spans(shared, at), _cut_spans(at, chars, max_words, max_share)
+    return by_arrow(out, lambda batches: cut(mark(batches)), docs.schema)
 
 
 def _mark_spans(shared, at: int):

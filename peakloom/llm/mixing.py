@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise, pieces_of, word_hashes
+from .common import batch, by_arrow, columns, materialise, pieces_of, release_memory, word_hashes
 from .decontaminate import _FOLD
 
 DOMAINS = ("high", "low", "toxic")
@@ -118,7 +118,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars:
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.domain) for r in chosen], "doc_id bigint, domain int")
     rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "domain", F.substring("text", 1, max_chars).alias("text"))
     got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"]))[:max_rows]
-    return fit([r["text"] for r in got], [r["domain"] for r in got], len(DOMAINS))
+    model = fit([r["text"] for r in got], [r["domain"] for r in got], len(DOMAINS))
+    release_memory()
+    return model
 
 
 def _posteriors(shared):
