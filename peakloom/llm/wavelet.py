@@ -10,6 +10,7 @@ by their ids' bytes; an empty table writes no file and gives no row; other colum
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -24,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise, new_path, write_shared
+from .common import KEPT, batch, by_arrow, columns, materialise, new_path, write_shared
 
 MAGIC = b"WVM1"
-_CACHE = 400_000
+_CACHE = 600_000
 PIECE = 16 << 20  # bytes of text encoded at a time
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
@@ -145,7 +146,6 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return ids, np.frombuffer(parts[2], "<u8").astype(np.int64), WaveletMatrix(header["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]], header["zeros"])
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
 #: Letters (a-z, and U+00C0 to U+023F but for the two signs among them and the I with a dot, whose small letter is two characters), then marks that part words.
 _LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+)([.,;:!?]*)")
 
@@ -181,9 +181,9 @@ class ChunkEncoder:
     @staticmethod
     def of(path: str) -> ChunkEncoder:
         """One for a worker process, which serves many tasks."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = ChunkEncoder(path)
-        return _ENCODERS[path]
+        if path not in KEPT:
+            KEPT[path] = ChunkEncoder(path)
+        return KEPT[path]
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -194,9 +194,10 @@ class ChunkEncoder:
 
     def _words(self, words: list[bytes]) -> None:
         """Words of letters, joined by spaces: each ends with the only piece in it that has the suffix."""
-        for at in range(0, len(words), 1000):
-            own = words[at : at + 1000]
-            ids = np.array(self._plain(b" ".join(own).decode()), self.dtype)
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        coded = self.tokenizer.encode_batch_fast([b" ".join(own).decode() for own in groups], add_special_tokens=False)
+        for own, code in zip(groups, coded, strict=True):
+            ids = np.array(code.ids, self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(own):
                 data, ends = ids.tobytes(), (ends * ids.itemsize).tolist()
@@ -231,20 +232,30 @@ class ChunkEncoder:
         if self.lower:  # ASCII capitals go first where the tokenizer lowers them anyway and nothing needs them
             free = pa.array([not any(x in t for x in self.guards) for t in (v.as_buffer().to_pybytes() for v in texts)])
             texts = pc.if_else(free, pc.ascii_lower(texts), texts)
+        gc.disable()  # many small objects are made, none in cycles
+        try:
+            return self._by_chunk(texts, last)
+        finally:
+            gc.enable()
+
+    def _by_chunk(self, texts: pa.Array, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         coded = split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()).dictionary_encode()
-        words = [x.as_buffer().to_pybytes() for x in coded.dictionary]
+        words = strings(coded.dictionary)
         if len(self.known) > _CACHE:
             self.older, self.known = self.known, {}
         known, older, new = self.known, self.older, []
-        for x in words:
-            if x not in known:
-                if (had := older.get(x)) is None:
-                    new.append(x)
-                else:
-                    known[x] = had
+        got = list(map(known.get, words))
+        missing = [i for i, x in enumerate(got) if x is None]
+        for i in missing:
+            x = words[i]
+            if (had := older.get(x)) is None:
+                new.append(x)
+            else:
+                known[x] = had
         self._learn(new)
-        got = [known[x] for x in words]
+        for i in missing:
+            got[i] = known[words[i]]
         lens = np.fromiter(map(len, got), np.int64, len(got)) // last.itemsize
         pool = np.concatenate([np.frombuffer(b"".join(got), self.dtype), last])
         starts = np.concatenate([np.cumsum(lens) - lens, [len(pool) - 1]])  # the last is the end id's own word
@@ -274,6 +285,15 @@ def _encode(path: str, end_id: int, bounds: list[int]):
     return run
 
 
+def strings(words: pa.Array) -> list[bytes]:
+    """The bytes of each string of an array without nulls, cut from one buffer."""
+    if not len(words):
+        return []
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    return [data[a:z] for a, z in zip(offsets, offsets[1:])]
+
+
 def _write(folder: str, dtype: str):
     schema = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file_bytes", pa.int64())])
 
@@ -311,9 +331,9 @@ def write_wavelets(docs: DataFrame, folder: str, tokenizer: str, end_id: int, sh
     n = max(1, -(-size // shard_bytes))
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or [])) if n > 1 else []
     dtype = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
-    coded = by_arrow(docs, _encode(tokenizer, end_id, bounds), "shard int, doc_id bigint, ids binary")
+    coded = by_arrow(docs, _encode(tokenizer, end_id, bounds), "shard int, doc_id bigint, ids binary", keeps=True)
     dealt = coded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    manifest = materialise(by_arrow(dealt, _write(folder, dtype), "shard int, docs bigint, tokens bigint, file_bytes bigint"), "wavelet_manifest")
+    manifest = materialise(by_arrow(dealt, _write(folder, dtype), "shard int, docs bigint, tokens bigint, file_bytes bigint", keeps=True), "wavelet_manifest")
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("start", before)
 
@@ -332,7 +352,7 @@ def _read(batches):
 def read_wavelets(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, doc_id, at, n_tokens, ids_crc32) of every document, all from the files' own bytes; at: place in the shard."""
     files = spark.read.format("binaryFile").load(f"{folder}/*.wvm").select("path", "content")
-    return by_arrow(files, _read, "shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    return by_arrow(files, _read, "shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint", keeps=True)
 
 
 def wavelet_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 16 << 20) -> DataFrame:
