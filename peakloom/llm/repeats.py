@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise
+from .common import batch, by_arrow, columns, materialise, mix, release_memory
 
 CHUNK_BITS = 20  # units in one piece of work; longer documents are cut with overlap
 BLOCK_BYTES = 16 << 20
@@ -34,13 +34,6 @@ MAX_MAP_BITS = 1 << 30
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser (public domain); its three constants are fixed values."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def rolling(units: np.ndarray, k: int, base: int) -> np.ndarray:
     """Polynomial hash mod 2^64 of every k consecutive units, by doubling."""
     out, done, power, length, step = None, 0, units, 1, base
@@ -306,6 +299,7 @@ def _finish(make: Callable, window: int, keep_text: bool):
     schema = pa.schema(FINAL)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        release_memory()
         by, spans, tall = make(), {}, {}
         for seg, where, packed in zip(found["seg"].to_pylist(), found["occ"].to_pylist(), found["spans"].to_pylist(), strict=True):
             if where is None:

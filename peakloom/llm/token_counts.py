@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise, shuffle_partitions
+from .common import batch, by_arrow, columns, materialise, release_memory, shuffle_partitions
 
 _BLOCKS = "block string, bucket int, ids array<bigint>, sizes array<bigint>, lens binary, words binary, freqs binary"
 _ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("lens", pa.binary()), ("words", pa.binary()), ("freqs", pa.binary())])
@@ -141,6 +141,7 @@ def _pieces(path: str):
 
 
 def _sums(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+    release_memory()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
     got = dict(zip(counts["bucket"].to_pylist(), counts["pieces"].to_pylist(), strict=True))
     pieces = np.concatenate([np.empty(0, np.int64), *(_unzip(got[k]) for k in sorted(got))]).astype(np.int64)
