@@ -3,8 +3,10 @@
 1. A softmax classifier of word presence, fitted on the driver on a bounded sample of the labels table, gives every
    document a posterior over the domains (narrow pass over whole texts; the model's size is fixed).
 2. Distributed projected gradient least squares: with n the tokens, p the posteriors, T the targets and S all tokens,
-   minimise |sum n p r - T|^2 / (2 S^2) + mu sum n (r - 1)^2 / (2 S) over rates r >= 0, each rate's step scaled by its
-   document's tokens, with Nesterov momentum. A round is one narrow pass over (tokens, posteriors) that sums a few
+   minimise sum_k w_k (sum n p_k r - T_k)^2 / (2 S^2) + mu sum n (r - 1)^2 / (2 S) over rates r >= 0, each rate's step
+   scaled by its document's tokens, with Nesterov momentum. w_k is 1, but for domains under SMALL of all tokens SMALL
+   divided by their share, so that mu holds a rare domain no more than one of that share. Rounds end when the projected
+   gradient moves no domain by more than the tolerance of its own tokens. A round is one narrow pass over (tokens, posteriors) that sums a few
    numbers per batch and a native aggregate over those; only the domains' totals reach the driver. Rates aren't stored
    between rounds: each is a function of its document's posteriors and the rounds' totals so far, so that nothing grows
    and a lost executor costs one task of one round.
@@ -29,6 +31,8 @@ from .decontaminate import _FOLD
 DOMAINS = ("high", "low", "toxic")
 LEAST_DOCS = 8
 LEAST_Z = 5.0
+#: Share of the tokens, or of the sampled labels, as which a rarer domain counts.
+SMALL = 0.1
 #: ASCII signs stay, all else parts them: runs of signs tell of tables, mark-up and noise.
 _SIGNS = bytes(c if 33 <= c <= 126 and not chr(c).isalnum() else 32 for c in range(256))
 
@@ -106,19 +110,38 @@ def domain_of(toxic: str = "toxic", quality: str = "quality") -> Column:
     return F.when(F.col(toxic) > 0, 2).when(F.col(quality) > 0, 0).when(F.col(quality).isNotNull() | F.col(toxic).isNotNull(), 1)
 
 
+def _sample(told: DataFrame, max_rows: int) -> list:
+    """The first rows by hash; where a domain has under SMALL of them, its own first ones instead of the others' last."""
+    least = int(max_rows * SMALL)
+    first = told.orderBy("h", "doc_id").limit(max_rows).collect()
+    held = {k: [r for r in first if r.domain == k] for k in range(len(DOMAINS))}
+    if len(first) < max_rows or all(len(rows) >= least for rows in held.values()):
+        return first
+    for k in (k for k, rows in held.items() if len(rows) < least):
+        held[k] = told.filter(F.col("domain") == k).orderBy("h", "doc_id").limit(least).collect()
+    for _ in range(sum(map(len, held.values())) - max_rows):
+        max(held.values(), key=len).pop()
+    return [r for rows in held.values() for r in rows]
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 40_000) -> Classifier:
-    """Fits on at most max_rows labelled texts (chosen by hash of the id), at most max_chars of each."""
+    """Fits on at most max_rows labelled texts (chosen by hash of the id), at most max_chars of each. Of a domain that would
+    have under SMALL of them, up to that many are taken; the bias then says the domains' shares of all labels."""
     told = columns(labels, doc_id=F.col("doc_id").cast("bigint"), domain=domain_of()).filter("doc_id is not null and domain is not null")
     told = told.groupBy("doc_id").agg(F.max("domain").alias("domain"))
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text="text").filter("text is not null")
     told = told.join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = told.select("doc_id", "domain", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(max_rows).collect()
+    told = materialise(told.select("doc_id", "domain", F.xxhash64("doc_id").alias("h")), "told")
+    chosen = _sample(told, max_rows)
     if not chosen:
         return fit([], [], len(DOMAINS))
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.domain) for r in chosen], "doc_id bigint, domain int")
     rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "domain", F.substring("text", 1, max_chars).alias("text"))
     got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"]))[:max_rows]
     model = fit([r["text"] for r in got], [r["domain"] for r in got], len(DOMAINS))
+    of_all = {r["domain"]: r["count"] for r in told.groupBy("domain").count().collect()}
+    shares = [(np.array(c) + 1) / (sum(c) + len(DOMAINS)) for c in ([of_all.get(k, 0) for k in range(len(DOMAINS))], np.bincount([r["domain"] for r in got], minlength=len(DOMAINS)))]
+    model.bias = model.bias + np.log(shares[0] / shares[1])
     release_memory()
     return model
 
@@ -148,14 +171,15 @@ class Descent:
     step: float
     slopes: tuple = ()
 
-    def _play(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates, the point where the next gradient is taken) of documents with posteriors p."""
-        rate, ahead, t = np.ones(len(p)), np.ones(len(p)), 1.0
+    def _play(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rates, the point where the next gradient is taken, what the last projected step moved) of documents with posteriors p."""
+        rate, ahead, moved, t = np.ones(len(p)), np.ones(len(p)), np.zeros(len(p)), 1.0
         for slope in self.slopes:
             new = np.maximum(0.0, ahead - self.step * (p @ np.array(slope) + self.mu * (ahead - 1)))
+            moved = np.abs(new - np.maximum(0.0, ahead))
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             ahead, rate, t = new + (t - 1) / t_new * (new - rate), new, t_new
-        return rate, ahead
+        return rate, ahead, moved
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return self._play(p)[0]
@@ -169,39 +193,44 @@ def _p(column: pa.Array) -> np.ndarray:
 
 
 def _totals(descent: Descent):
-    schema = pa.schema([("domain", pa.int32()), ("ahead", pa.float64()), ("now", pa.float64())])
+    schema = pa.schema([("domain", pa.int32()), ("ahead", pa.float64()), ("now", pa.float64()), ("moved", pa.float64())])
 
     def run(batches):
         for b in (x for x in batches if x.num_rows):
             p, n = _p(b.column(1)), b.column(0).to_numpy()
-            rate, ahead = descent._play(p)
-            yield batch(schema, np.arange(p.shape[1], dtype=np.int32), (n * ahead) @ p, (n * rate) @ p)
+            rate, ahead, moved = descent._play(p)
+            yield batch(schema, np.arange(p.shape[1], dtype=np.int32), (n * ahead) @ p, (n * rate) @ p, (n * moved) @ p)
 
     return run
 
 
+def _sums(table: DataFrame, descent: Descent) -> np.ndarray:
+    """Rows of the domains: expected tokens at the next point, at the rates, and moved by the last step."""
+    sums = by_arrow(table, _totals(descent), "domain int, ahead double, now double, moved double").groupBy("domain").agg(*[F.sum(c).alias(c) for c in ("ahead", "now", "moved")])
+    return np.array([(r.ahead, r.now, r.moved) for r in sorted(sums.collect(), key=lambda r: r.domain)])
+
+
 def fit_rates(table: DataFrame, weights: dict[int, float] | None, mu: float = 0.01, rounds: int = 60, tolerance: float = 1e-4) -> Descent:
     """table: (n_tokens, posteriors). weights: target shares by domain number; None: the present totals, without toxic ones."""
-    first = {r.domain: r.now for r in by_arrow(table, _totals(Descent(mu, 1.0)), "domain int, ahead double, now double").groupBy("domain").agg(F.sum("now").alias("now")).collect()}
-    total = sum(first.values())
-    if not total:
+    first = _sums(table, Descent(mu, 1.0))
+    if not len(first) or not first[:, 1].sum():
         return Descent(mu, 1.0)
-    k = max(first) + 1
-    have = np.array([first[i] for i in range(k)])
+    have = first[:, 1]
+    total, k = have.sum(), len(have)
     clean = have * (np.arange(k) != DOMAINS.index("toxic"))
     if weights is None:
         targets = clean
     else:
         targets = np.array([weights.get(i, 0.0) for i in range(k)])
         targets = targets / targets.sum() * clean.sum()
-    descent, last = Descent(mu, 1 / (1 + mu)), None
-    for _ in range(rounds):
-        sums = by_arrow(table, _totals(descent), "domain int, ahead double, now double").groupBy("domain").agg(F.sum("ahead").alias("ahead"), F.sum("now").alias("now")).collect()
-        ahead, now = (np.array([x for _, x in sorted((r.domain, r[c]) for r in sums)]) for c in ("ahead", "now"))
-        if last is not None and np.abs(now - last).max() < tolerance * total:
+    own = np.maximum(np.maximum(have, targets), 1e-12 * total)  # a domain's gap counts beside its own tokens
+    scale = np.maximum(1.0, SMALL * total / own)
+    descent = Descent(mu, 1 / ((scale * have).sum() / total + mu))  # the trace bounds the curvature
+    for i in range(rounds):
+        ahead, _, moved = _sums(table, descent).T
+        if i and (moved < tolerance * own).all():
             break
-        last = now
-        descent = Descent(mu, descent.step, (*descent.slopes, tuple(((ahead - targets) / total).tolist())))
+        descent = Descent(mu, descent.step, (*descent.slopes, tuple((scale * (ahead - targets) / total).tolist())))
     return descent
 
 

@@ -51,3 +51,24 @@ def test_odd_rows(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 0, 1, 2, 5000]
     assert mix_rates(odd.limit(0), labels).count() == 0 and mix_rates(odd, labels.limit(0)).count() == 6
     assert keep_mixed(odd, labels.limit(0)).columns == odd.columns and len(DOMAINS) == 3
+
+
+def test_rare_toxic_texts_go(spark):
+    rng = np.random.default_rng(2)
+    for share in (0.002, 0.005):
+        n, clean = rng.integers(1, 500, 8000), rng.beta(4, 2, 8000) * (1 - 0.4 * share)
+        p = np.stack([clean, 1 - 0.4 * share - clean, np.full(8000, 0.4 * share)], 1)
+        p[: int(8000 * share * 0.6)] = [0.025, 0.025, 0.95]
+        table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens bigint, posteriors array<double>").repartition(4)
+        rates = fit_rates(table, None).rates(p)
+        told = p[:, 2] > 0.5
+        assert rates[told].max() < 0.01 and np.abs(rates[~told] - 1).max() < 0.05
+        # whole texts, more of them than the bounded sample of labels
+        words, rows = [f"w{i}" for i in range(300)], []
+        for i in range(6000):
+            toxic, good = i % int(1 / share) == 7, i % 3 > 0
+            rows.append((i, " ".join(rng.choice(words, 12)) + (" vile scum" if toxic else " sound" if good else " junk"), int(good and not toxic), int(toxic)))
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+        labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id bigint, quality int, toxic int")
+        kept = sorted(r.doc_id for r in keep_mixed(docs, labels).collect())
+        assert kept == [r[0] for r in rows if not r[3]]
