@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batch, by_arrow, columns, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
 from .components import components
@@ -61,6 +62,10 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield mix(rolling(words[a:z], z - a, 0x9E3779B97F4A7C15) + _U(z - a)) if z > a else np.empty(0, _U)
 
 
+def _class(shingles: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
+
+
 def _classes(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
 
@@ -69,7 +74,7 @@ def _classes(n: int):
             cid, size = [], []
             for h in shingle_sets(b.column(1), n):
                 size.append(len(h))
-                cid.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None)
+                cid.append(_class(h))
             yield batch(schema, b.column(0), cid, size, b.column(1))
 
     return run
@@ -364,10 +369,8 @@ def _numbered(classes: DataFrame) -> DataFrame:
     return classes.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("gid", place + F.col("start")).drop("p", "start")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: 100 * intersection >= t100 * union links two.
-
-    block: members of a cluster compared in one task at most, about."""
+def _labels(docs: DataFrame, n: int, t100: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cid, n, text) of every document, cid null without words, and (cid, least_id, label) of every class, label by component."""
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text=F.col("text").cast("binary"))
     made = materialise(by_arrow(docs, _classes(n), "doc_id bigint, cid bigint, n bigint, text binary"), "shingled")
     classes = made.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("text").alias("text"))
@@ -384,7 +387,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int =
     met = prefix.groupBy("code").agg(F.min("gid").alias("b"), F.count("*").alias("members")).filter("members > 1").select("code", "b")
     clusters = materialise(components(prefix.join(met, "code").select(F.col("gid").alias("a"), "b")), "clusters").withColumnRenamed("node", "gid")
     known = _cluster_components(clusters.withColumnRenamed("component", "cluster"), sets, t100, block)
-    label = classes.select("cid", "gid", "least_id").join(known, "gid", "left").select("cid", "least_id", F.coalesce("component", "gid").alias("label"))
+    return made, classes.select("cid", "gid", "least_id").join(known, "gid", "left").select("cid", "least_id", F.coalesce("component", "gid").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: 100 * intersection >= t100 * union links two.
+
+    block: members of a cluster compared in one task at most, about."""
+    made, label = _labels(docs, n, t100, block)
     names = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_class = label.join(names, "label").select("cid", "component_id")
     # a class of very many copies is one small row: the skew join deals out the documents' side
@@ -392,16 +402,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_class(n: int, at: int):
+    """Rows with the class of their text, at column `at`, added."""
+    def run(batches):
+        for b in (x for x in batches if x.num_rows):
+            cid = [_class(h) for h in shingle_sets(b.column(at), n)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.int64())], names=[*b.schema.names, "__cid"])
+
+    return run
+
+
 def keep_first(docs: DataFrame, n: int = 5, t100: int = 75) -> DataFrame:
-    """The documents, all columns, without those that are connected to one with a smaller id. Of rows with equal ids one
-    stays, the first by text; rows with null ids stay only if nothing with an id is connected to them."""
-    names = jaccard_components(docs, n, t100).select("doc_id", "component_id", "n_shingles").distinct()
-    kept = names.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1").select("doc_id")
-    if repeated.isEmpty():
+    """The documents, all columns, one row of each component: of its classes the one with the least id (nulls last, then
+    by class), of that class's rows with this id the first by text. Rows whose texts have no words all stay.
+
+    Where an id is on one row only, it finds the row; rows with null or repeated ids are found by id and class."""
+    made, label = _labels(docs, n, t100, BLOCK)
+    first = label.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "cid")).alias("r"))
+    first = materialise(first.select(F.col("r.least_id").alias("__id"), F.col("r.cid").alias("__class")), "first_of_components")
+    repeated = materialise(made.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "repeated_ids")
+    own = F.col("doc_id").cast("bigint")
+    ids = first.select("__id").unionByName(made.filter("n = 0").select(F.col("doc_id").alias("__id"))).filter("__id is not null")
+    out = docs.join(ids.join(repeated, "__id", "left_anti"), own == F.col("__id"), "left_semi")
+    unclear = None if repeated.isEmpty() else docs.join(repeated, own == F.col("__id"), "left_semi")
+    if not made.filter("doc_id is null").isEmpty():
+        nameless = docs.filter(own.isNull())
+        unclear = nameless if unclear is None else unclear.unionByName(nameless)
+    if unclear is None:
         return out
-    several = materialise(out.join(repeated, out["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi"), "repeated_ids")
-    first = several.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("text", "doc_id")])).alias("r"))
-    once = first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
-    return out.join(repeated, out["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(once)
+    held = materialise(by_arrow(unclear, _with_class(n, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("__cid", LongType())])), "unclear_rows")
+    wordless = held.filter("__cid is null").drop("__cid")
+    met = held.join(first, (F.col("__cid") == F.col("__class")) & own.eqNullSafe(F.col("__id")), "left_semi")
+    once = met.groupBy("__cid").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("r"))
+    return out.unionByName(wordless).unionByName(once.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns]))

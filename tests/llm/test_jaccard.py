@@ -3,7 +3,7 @@ import random
 import pytest
 
 from peakloom.llm.components import components
-from peakloom.llm.jaccard_join import jaccard_components
+from peakloom.llm.jaccard_join import jaccard_components, keep_first
 
 
 def brute(docs, n=5):
@@ -98,3 +98,20 @@ def test_against_sql(spark, sf):
     from .helpers import of, oracle
 
     assert of(op9_ngram_jaccard_join(spark, sf)) == oracle(OP9_SQL, sf)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (None, None), (None, ""), (None, None)]  # equal null ids
+    rows += [(7, text(10)), (7, text(11)), (7, text(11)), (8, text(11)), (9, text(12)), (9, "a " + text(12)), (6, text(13)), (None, text(13))]
+    rows += [(20, text(14)), (21, text(14)), (22, text(15)), (23, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS n", "'s' AS source").repartition(3)
+    got = keep_first(docs)
+    assert got.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    nines = [r for r in got if r[0] == 9]
+    assert len(nines) == 1 and nines[0][1] in (text(12), "a " + text(12))
+    want = [(None, text(k)) for k in range(6)] + [(None, None), (None, ""), (None, None)]
+    want += [(7, text(10)), (7, text(11)), (6, text(13)), (20, text(14)), (22, text(15)), (23, None)]
+    assert sorted((r for r in got if r[0] != 9), key=str) == sorted(want, key=str)
+    assert keep_first(docs.limit(0)).count() == 0
