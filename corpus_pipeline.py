@@ -12,7 +12,7 @@ from peakloom.llm.common import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 3. Documents without a language, or less than half of whose words are expected to be in one, go."""
+    """Op 3. Documents without words go, and those whose words are told with a mean confidence under a half; mixed languages stay."""
     from peakloom.llm.crf_langid import fit_on, keep_identified
 
     return keep_identified(docs, fit_on(docs), least=0.5)

@@ -289,13 +289,16 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The documents, all columns as they are, whose language has at least that share of the words."""
+    """The documents, all columns as they are, whose words are told with at least that confidence: the mean of each word's
+    largest posterior, so that texts in several languages stay. Texts without words go; without a fitted model all stay."""
+    if model is None or not len(model.lexicon):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in (x for x in batches if x.num_rows):
-            found = [bool(words) and post.mean(0).max() >= least for words, post in _labelled(shared.value, b.column(at).to_pylist())]
+            found = [bool(words) and post.max(1).mean() >= least for words, post in _labelled(shared.value, b.column(at).to_pylist())]
             yield b.filter(pa.array(found))
 
     return by_arrow(docs, run, docs.schema)

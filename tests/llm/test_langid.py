@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from peakloom.llm import crf_langid
-from peakloom.llm.crf_langid import fit_on, label_words, language_id, marginals, predict
+from peakloom.llm.crf_langid import fit_on, keep_identified, label_words, language_id, marginals, predict
 
 
 def test_marginals_are_exact(monkeypatch):
@@ -42,3 +42,18 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert np.mean([x == "de" for x in labels[:40]]) > 0.9 and np.mean([x == "fr" for x in labels[-40:]]) > 0.9
     assert language_id(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id(odd.withColumn("lang", odd.lang.substr(9, 1)).withColumn("lang", odd.text.substr(0, 0)).filter("doc_id in (1, 2)")).collect()} == {"und"}
+
+
+def test_mixed_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by_lang = {r.lang: r.text.split() for r in docs.filter("n_chars > 2500").collect()}
+    cut = lambda lang, n: " ".join(by_lang[lang][:n])
+    three = cut("de", 80) + " " + cut("fr", 60) + " " + cut("es", 60)
+    four = " ".join(cut(lang, 50) for lang in ("de", "en", "es", "fr"))
+    rows = [(1, None), (2, "12 ½ _"), (3, three), (4, four), (None, cut("de", 90) + " " + cut("en", 90)), (5, cut("en", 50))]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    model = fit_on(docs)
+    assert [r.score < 0.5 for r in predict(odd.filter("doc_id in (3, 4)"), model).collect()] == [True, True]
+    kept = keep_identified(odd, model)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "None"]
+    assert fit_on(odd) is None and keep_identified(odd, fit_on(odd)).count() == len(rows)
