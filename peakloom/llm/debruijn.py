@@ -1,10 +1,12 @@
-"""Substring dedup of words by a compacted de Bruijn graph of token k-mers, k the window length.
-
-An edge is k consecutive words. Within a document, consecutive edges with one minimizer are compacted into a path piece
-before anything is sent (see repeats); Spark's exchange by minimizer joins all pieces that could share an edge, equal
-pieces fold into one with a multiplicity, and where pieces differ the graph of their edges is built: edges met twice
-are kept, runs of them that no repeat leaves or enters are compacted to paths. Piece numbers and block coordinates
-then join the paths back to their sources, where words decide (contents are compared, not hashes, but for hot
+"""Substring dedup of words by matching windows within minimizer buckets. It stands in place of the compacted de Bruijn
+graph: no nodes, degrees or branches are made, and no join compacts paths. The rows are those the graph's edges of
+multiplicity two or more would give.
+
+A window, the graph's edge, is k consecutive words. Within a document, consecutive windows with one minimizer make a piece
+before anything is sent (see repeats); Spark's exchange by minimizer joins all pieces that could share a window, equal
+pieces fold into one with a multiplicity, and where pieces differ their windows are numbered: those met twice are kept,
+and runs of them in a piece's own order are its repeated spans, branches or not. Piece numbers and block coordinates
+then join the spans back to their sources, where words decide (contents are compared, not hashes, but for hot
 minimizers, where two independent 64-bit hashes of the whole edge stand for it).
 
 Edge cases: null or empty texts have no words; texts of fewer than `window` words keep all; repeated ids stay, a row
