@@ -269,15 +269,25 @@ class Cluster:
                     top[top == top[y]] = top[x]
         return out
 
+    def every(self, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """All links, each once. side: only pairs of members whose sides differ count."""
+        later, out = np.ones(len(self.n), bool), []
+        for x in range(len(self.n)):
+            later[x] = False
+            out += [(x, y) for y in self.partners(x, later if side is None else later & (side != side[x])).tolist()]
+        return out
+
 
-def _linked(t100: int, whole: bool):
-    """Over rows (three keys, gid, n, side, component, codes) sorted by the keys: (a, b), links within each group; whole: instead
-    each member with the least of its component in the group."""
+def _linked(t100: int, whole: bool, every: bool = False):
+    """Over rows (three keys, gid, n, side, component, codes) sorted by the keys: (a, b), links within each group that connect, or
+    every one of them; whole: instead each member with the least of its component in the group."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def close(parts):
         gid, n, side, component = (np.concatenate([p[i] for p in parts]) for i in range(4))
         cluster = Cluster(n, [c for p in parts for c in p[4]], t100)
+        if every:
+            return [(gid[x], gid[y]) for x, y in cluster.every(side if side.any() else None)]
         if not whole:
             links = cluster.links(side if side.any() else None, np.unique(component, return_inverse=True)[1])
             return [(gid[x], gid[y]) for x, y in links]
@@ -313,11 +323,11 @@ def _linked(t100: int, whole: bool):
     return run
 
 
-def _compare(members: DataFrame, sets: DataFrame, t100: int, whole: bool) -> DataFrame:
+def _compare(members: DataFrame, sets: DataFrame, t100: int, whole: bool, every: bool = False) -> DataFrame:
     """members: (i, j, k, gid, side, component), compared within each (i, j, k)."""
     rows = members.join(sets.select("gid", "n", "codes"), "gid").select("i", "j", "k", "gid", "n", "side", "component", "codes")
     rows = rows.repartition("i", "j", "k").sortWithinPartitions("i", "j", "k", "gid")
-    return materialise(by_arrow(rows, _linked(t100, whole), "a bigint, b bigint"), "links")
+    return materialise(by_arrow(rows, _linked(t100, whole, every), "a bigint, b bigint"), "links")
 
 
 def _cluster_components(clusters: DataFrame, sets: DataFrame, t100: int, block: int, hubs: int = 8) -> DataFrame:
@@ -369,8 +379,8 @@ def _numbered(classes: DataFrame) -> DataFrame:
     return classes.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("gid", place + F.col("start")).drop("p", "start")
 
 
-def _labels(docs: DataFrame, n: int, t100: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cid, n, text) of every document, cid null without words, and (cid, least_id, label) of every class, label by component."""
+def _clusters(docs: DataFrame, n: int, t100: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, cid, n, text) of every document, cid null without words; the classes; their shared shingles; (gid, cluster) of those that can link."""
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text=F.col("text").cast("binary"))
     made = materialise(by_arrow(docs, _classes(n), "doc_id bigint, cid bigint, n bigint, text binary"), "shingled")
     classes = made.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("text").alias("text"))
@@ -386,7 +396,13 @@ def _labels(docs: DataFrame, n: int, t100: int, block: int) -> tuple[DataFrame,
     prefix = sets.select("gid", F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
     met = prefix.groupBy("code").agg(F.min("gid").alias("b"), F.count("*").alias("members")).filter("members > 1").select("code", "b")
     clusters = materialise(components(prefix.join(met, "code").select(F.col("gid").alias("a"), "b")), "clusters").withColumnRenamed("node", "gid")
-    known = _cluster_components(clusters.withColumnRenamed("component", "cluster"), sets, t100, block)
+    return made, classes, sets, clusters.withColumnRenamed("component", "cluster")
+
+
+def _labels(docs: DataFrame, n: int, t100: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cid, n, text) of every document, and (cid, least_id, label) of every class, label by component."""
+    made, classes, sets, clusters = _clusters(docs, n, t100)
+    known = _cluster_components(clusters, sets, t100, block)
     return made, classes.select("cid", "gid", "least_id").join(known, "gid", "left").select("cid", "least_id", F.coalesce("component", "gid").alias("label"))
 
 
@@ -402,6 +418,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, t100: int = 75, block: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, n: int = 5, t100: int = 75, block: int = BLOCK // 4) -> tuple[DataFrame, DataFrame]:
+    """All links: (doc_id, n_shingles, class_id, n_links) of every document and (a, b), the pairs of classes that link, each once.
+
+    Documents of one class have the same shingles and link too; n_links counts the other rows that a document links to.
+    All pairs of blocks of a cluster are compared, so that work and links grow with the square of a group of near copies."""
+    made, classes, sets, clusters = _clusters(docs, n, t100)
+    zero = F.lit(0).cast("bigint")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("bigint")
+    keys = [F.col("cluster").alias("i"), F.least("own", "other").alias("j"), F.greatest("own", "other").alias("k")]
+    links = _compare(met.select(*keys, "gid", side.alias("side"), F.col("gid").alias("component")), sets, t100, False, True)
+    name = classes.select("gid", "cid")
+    links = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = materialise(links, "all_links")
+    rows = made.filter("n > 0").groupBy("cid").agg(F.count("*").alias("rows"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(rows.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("rows").alias("near"))
+    count = rows.join(near, "cid", "left").select("cid", (F.col("rows") - 1 + F.coalesce("near", zero)).alias("n_links"))
+    members = made.select("doc_id", "cid", "n").join(count, "cid", "left")
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_links", zero).alias("n_links")), links
+
+
 def _with_class(n: int, at: int):
     """Rows with the class of their text, at column `at`, added."""
     def run(batches):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from peakloom.llm.components import components
-from peakloom.llm.jaccard_join import jaccard_components, keep_first
+from peakloom.llm.jaccard_join import jaccard_components, jaccard_links, keep_first
 
 
 def brute(docs, n=5):
@@ -115,3 +115,26 @@ def test_one_row_of_each_group_stays(spark):
     want += [(7, text(10)), (7, text(11)), (6, text(13)), (20, text(14)), (22, text(15)), (23, None)]
     assert sorted((r for r in got if r[0] != 9), key=str) == sorted(want, key=str)
     assert keep_first(docs.limit(0)).count() == 0
+
+
+def test_all_links(spark):
+    rnd, docs = random.Random(5), []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(rnd.randrange(1, 12)):
+            own = list(base)
+            for _ in range(rnd.randrange(3)):
+                own[rnd.randrange(60)] = f"x{rnd.randrange(9)}"
+            docs.append((len(docs), " ".join(own)))
+    docs += [(len(docs), docs[0][1]), (len(docs) + 1, None), (len(docs) + 2, "a b")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in docs]
+    like = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 75 * len(a | b)}
+    for block in (1024, 3):
+        members, links = jaccard_links(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), block=block)
+        members, pairs = members.collect(), [tuple(r) for r in links.collect()]
+        known, of = set(pairs), {r.doc_id: r.class_id for r in members}
+        assert len(pairs) == len(known) and all(a < b for a, b in pairs)
+        got = {(i, j) for i in of for j in of if i != j and of[i] is not None and of[j] is not None and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in known)}
+        assert got == like and len(members) == len(docs)
+        assert {r.doc_id: r.n_links for r in members} == {d: sum(i == d for i, _ in like) for d, _ in docs}
+    assert [f.count() for f in jaccard_links(spark.createDataFrame([], "doc_id bigint, text string"))] == [0, 0]
