@@ -23,25 +23,50 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local
+    mode (tests); on a cluster, where executors couldn't see that, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="peakloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
     return f"file://{_OWN['dir']}"
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/peakloom/{uuid.uuid4().hex}/{label}"
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new folder of this application in the shared one; all but those to keep go when it ends."""
+    own = f"{shared_dir(spark)}/peakloom/{'kept' if keep else spark.sparkContext.applicationId}"
+    if not keep:
+        at, store = _store(spark, own)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+    return f"{own}/{uuid.uuid4().hex}/{label}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs one task, not the plan."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote for tables that nothing reads any more; other tables are let be."""
+    for t in tables:
+        if path := vars(t).get("_written"):
+            at, store = _store(t.sparkSession, os.path.dirname(path))
+            store.delete(at, True)
 
 
 def columns(df: DataFrame, **named: str | Column) -> DataFrame:
@@ -49,6 +74,14 @@ def columns(df: DataFrame, **named: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in named.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or it with marks before it, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release_memory() -> None:
     """Hands free memory back to the system: an idle worker must not keep a task's memory beside the workers of the next tasks."""
     pa.default_memory_pool().release_unused()

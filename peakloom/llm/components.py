@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,6 +35,7 @@ def components(pairs: DataFrame) -> DataFrame:
     while (mark := _mark(edges)) != last:
         if not mark[0]:
             break
-        edges, last = materialise(_small(_large(edges)), "edges"), mark
+        before, edges, last = edges, materialise(_small(_large(edges)), "edges"), mark
+        discard(before)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

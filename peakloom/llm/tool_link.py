@@ -1,14 +1,15 @@
 """Tool-call linking: calls and results meet by identifier, are ordered by dependency, checked against schemas and written as canonical JSON.
 
-Plan: calls and results are hash-joined on (conversation, call id), results reduced to the first of each call before
-(map-side combine). Dependencies are levelled for all conversations at once, by joins, so that none is gathered in one
+Plan: calls and results are hash-joined on (conversation, call id), with the calls, and then the results reduced to the
+first of each call (map-side combine), as the built side: a row per call, so that no key's rows are many. Dependencies are levelled for all conversations at once, by joins, so that none is gathered in one
 task: chains of calls with one dependency each by pointer jumping, in rounds as many as the logarithm of their length;
 calls with several in rounds as many as such calls lie on one path. Arguments are validated row by row (narrow).
 
 Edge cases: a call id given twice in a conversation: the first turn's call counts, later ones are status 'duplicate'; a
 call without a result: 'no result'; a result without a call, or before it: not linked, and in unlinked_results; calls in a
 cycle, or after one, have level null and status 'cycle'; dependencies on unknown calls are ignored; arguments that
-aren't JSON, or break the schema: 'invalid' with the first reason; a name without schema: 'unknown tool'; null ids link
+aren't JSON (NaN, infinite numbers, lone surrogates and nesting too deep to read included), or break the schema: 'invalid'
+with the first reason; enum compares type and value (true isn't 1, 1.0 is); a name without schema: 'unknown tool'; null ids link
 to nothing; repeated rows count once; empty tables give empty results; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise
+from .common import batch, by_arrow, columns, discard, materialise
 
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -33,12 +34,44 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, _KINDS[kind])
 
 
+def same(a, b) -> bool:
+    """Equality of JSON values: numbers by value, never equal to booleans."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, int | float) and isinstance(b, int | float):
+        return a == b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return type(a) is type(b) and a == b
+
+
+def _no_json(text: str):
+    raise ValueError(f"{text} isn't JSON")
+
+
+def _finite(text: str) -> float:
+    got = float(text)
+    return got if abs(got) != float("inf") else _no_json(text)
+
+
+def read(text: str | None):
+    """The JSON value of text; ValueError where it has none that can be written as JSON again."""
+    try:
+        value = json.loads(text or "", parse_constant=_no_json, parse_float=_finite)
+        canonical(value).encode()
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
+
+
 def fault(value, schema: dict, at: str = "$") -> str | None:
     """The first breach of a JSON schema: type, enum, bounds, lengths, items, properties, required, additionalProperties."""
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: type"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         return f"{at}: enum"
     if isinstance(value, int | float) and not isinstance(value, bool):
         if value < schema.get("minimum", value):
@@ -67,7 +100,7 @@ def fault(value, schema: dict, at: str = "$") -> str | None:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def _chains(edges: DataFrame) -> DataFrame:
@@ -79,8 +112,9 @@ def _chains(edges: DataFrame) -> DataFrame:
     left, rounds = at.count(), 0
     while left and 2**rounds <= 2 * left:
         up = at.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("dist").alias("more"))
-        at = at.join(up, ["conv_id", "head"], "left").select(*key, F.coalesce("next", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
-        at, rounds = materialise(at, "chains"), rounds + 1
+        jumped = at.join(up, ["conv_id", "head"], "left").select(*key, F.coalesce("next", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+        before, at, rounds = at, materialise(jumped, "chains"), rounds + 1
+        discard(before)
         if at.join(last.withColumnRenamed("call_id", "head"), ["conv_id", "head"], "left_semi").isEmpty():
             break
     return at.join(last.withColumnRenamed("call_id", "head"), ["conv_id", "head"], "left_anti")
@@ -111,7 +145,8 @@ def levels(calls: DataFrame) -> DataFrame:
             if ready.isEmpty():
                 break
             done = done.unionByName(ready)
-            waiting = materialise(waiting.join(ready, key, "left_anti"), "waiting")
+            before, waiting = waiting, materialise(waiting.join(ready, key, "left_anti"), "waiting")
+            discard(before)
     along = chains.join(done.select("conv_id", F.col("call_id").alias("head"), "level"), ["conv_id", "head"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
     return calls.select(*key).join(done.unionByName(along), key, "left").select(*key, F.col("level").cast("int"))
 
@@ -124,7 +159,7 @@ def _serialise(schemas: dict[str, dict]):
             status, texts = [], []
             for r in b.to_pylist():
                 try:
-                    arguments = json.loads(r["arguments"] or "")
+                    arguments = read(r["arguments"])
                     why = "unknown tool" if r["name"] not in schemas else (f := fault(arguments, schemas[r["name"]])) and f"invalid {f}"
                 except ValueError:
                     arguments, why = None, "invalid $: JSON"
@@ -145,9 +180,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     first = calls.filter("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
     first = materialise(first.select(*key, "c.turn", "c.name", "c.arguments", "c.after"), "calls")
     replies = columns(results, conv_id="conv_id", call_id="call_id", result_turn="turn", content="content")
-    replies = replies.join(first.select(*key, "turn"), key).filter("result_turn > turn").groupBy(*key).agg(F.min(F.struct("result_turn", "content")).alias("r"))
+    replies = replies.join(first.select(*key, "turn").hint("shuffle_hash"), key).filter("result_turn > turn").groupBy(*key).agg(F.min(F.struct("result_turn", "content")).alias("r"))
     replies = replies.select(*key, "r.result_turn", "r.content")
-    kept = first.join(levels(first), key).join(replies, key, "left").withColumn("duplicate", F.lit(False))
+    kept = first.join(levels(first), key).join(replies.hint("shuffle_hash"), key, "left").withColumn("duplicate", F.lit(False))
     same = [calls[c].eqNullSafe(first[c]) for c in ("conv_id", "call_id", "turn", "name", "arguments", "after")]
     again = calls.join(first, same[0] & same[1] & same[2] & same[3] & same[4] & same[5], "left_anti")
     none = {"level": "int", "result_turn": "bigint", "content": "string"}

@@ -58,3 +58,30 @@ def test_faults():
     s = {"type": "array", "items": {"type": ["string", "null"], "maxLength": 2}, "maxItems": 2}
     assert [fault(x, s) for x in (["a", None], ["abc"], [1], "x", [None] * 3)] == [None, "$[0]: maxLength", "$[0]: type", "$: type", "$: maxItems"]
     assert fault(True, {"type": "integer"}) == "$: type" and fault("b", {"enum": ["a"]}) == "$: enum" and fault(2.0, {"type": "integer", "maximum": 1}) == "$: maximum"
+
+
+def test_values_are_compared_as_json(spark):
+    from peakloom.llm.tool_link import canonical, read, same
+
+    assert fault(True, {"enum": [1]}) == "$: enum" and fault(1.0, {"enum": [1]}) is None and fault([{"a": 0}], {"enum": [[{"a": False}]]}) == "$: enum"
+    assert same({"a": [1, None]}, {"a": [1.0, None]}) and not same("1", 1)
+    for text in ('{"x":NaN}', "Infinity", "[1e400]", '"\\ud800"', "[" * 100_000, "", None):
+        try:
+            raise AssertionError(read(text))
+        except ValueError:
+            pass
+    assert canonical(read('{"b":1e3,"a":"é"}')) == '{"a":"é","b":1000.0}'
+    rows = [(1, 0, "a", "f", '{"x":NaN}', None), (1, 1, "b", "f", "[1e400]", None), (1, 2, "c", "f", "[" * 50_000, None), (1, 3, "d", "f", '"' + "x" * 3_000_000 + '"', None)]
+    c, r = spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS)
+    got = {x.call_id: (x.status, x.json) for x in link_calls(c, r, {"f": {}}).collect()}
+    assert [got[k][0] for k in "abcd"] == ["invalid $: JSON"] * 3 + ["no result"] and len(got["d"][1]) > 3_000_000
+    assert got["a"][1] == '{"arguments":null,"id":"a","name":"f","result":null}'
+
+
+def test_identifiers_meet_by_hash_join_and_long_chains_are_levelled(spark):
+    from peakloom.llm.tool_link import levels
+
+    rows = [(1, k, str(k), "f", "{}", [str(k - 1)]) for k in range(700)]
+    calls, results = spark.createDataFrame(rows, CALLS), spark.createDataFrame([(1, 900, "5", "x")], RESULTS)
+    assert {int(r.call_id): r.level for r in levels(calls).collect()} == {k: k for k in range(700)}
+    assert "ShuffledHashJoin" in link_calls(calls, results, {"f": {}})._jdf.queryExecution().toString()
