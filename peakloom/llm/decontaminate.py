@@ -1,12 +1,14 @@
 """Benchmark decontamination: a generalised suffix automaton of the test items, streamed over by every document's words.
 
 Plan: test items are cut into groups of bounded size; each group's automaton is broadcast (its size is bounded by
-max_words, whatever the benchmark's) and the documents pass through the groups' passes one after another, narrowly:
-no shuffle, no text leaves its partition. At each word the automaton holds the longest suffix of the text that some
+max_words, whatever the benchmark's) and the documents pass through one group's pass after another, narrowly: no
+shuffle, no text leaves its partition. With several groups each pass is written before the next one's automaton is made,
+so that one is held at a time. At each word the automaton holds the longest suffix of the text that some
 item contains; where it is `window` words or more, those words are hit. Shorter items count whole.
 
 Edge cases: null or empty texts have no words and no hits; items without words are ignored; with no items nothing is
-hit; repeated ids stay, a row each; repeated items all count; other columns are ignored.
+hit; repeated ids stay, a row each; repeated items all count; items without id hit too, count as one item and stand in no
+list of ids; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import batch, by_arrow, columns
+from .common import batch, by_arrow, columns, discard, free_name, materialise
 
 #: ASCII that isn't a letter or digit parts words; A-Z become a-z; other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -141,7 +144,7 @@ def _pass(shared):
                 found: set[int] = set(had or ())
                 got = automaton.scan(words_of(text.as_buffer().to_pybytes()), found) if text.is_valid else []
                 spans.append((was or b"") + (np.array(got, "<u4").tobytes() if got else b""))
-                items.append(sorted(found))
+                items.append(sorted(found, key=lambda x: (x is None, x or 0)))
             yield batch(schema, b.column(0), b.column(1), spans, items)
 
     return run
@@ -163,14 +166,26 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, max
 
     An automaton holds items of at most about max_words words; more items make more passes, not a larger broadcast."""
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text="text")
-    items = _items(columns(benchmark, item_id=F.col("item_id").cast("bigint"), text="text")).filter("item_id is not null")
-    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # a word and its gap are two bytes at least
-    groups = max(1, -(-int(words) // max_words))
     out = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
+    schema = "doc_id bigint, text string, spans binary, items array<bigint>"
+    return _passes(out, benchmark, window, max_words, lambda shared, first, last: (_pass(shared), schema))
+
+
+def _passes(out: DataFrame, benchmark: DataFrame, window: int, max_words: int, step) -> DataFrame:
+    """out through one group of items after another: step(automaton, whether it is the first, the last) gives a pass and its schema."""
+    items = _items(columns(benchmark, item_id=F.col("item_id").cast("bigint"), text="text"))
+    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # a word and its gap are two bytes at least
+    groups, before = max(1, -(-int(words) // max_words)), None
     for g in range(groups):
         own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        shared = docs.sparkSession.sparkContext.broadcast(_automaton([tuple(r) for r in own.collect()], window))
-        out = by_arrow(out, _pass(shared), "doc_id bigint, text string, spans binary, items array<bigint>")
+        shared = out.sparkSession.sparkContext.broadcast(_automaton([tuple(r) for r in own.collect()], window))
+        out = by_arrow(out, *step(shared, g == 0, g == groups - 1))
+        if g < groups - 1:
+            out = materialise(out, "marked_texts")
+            shared.destroy()
+            if before:
+                discard(before)
+            before = out
     return out
 
 
@@ -181,7 +196,7 @@ def _report(batches):
         for text, spans in zip(b.column(1), b.column(2).to_pylist(), strict=True):
             n_words.append(n := len(words_of(text.as_buffer().to_pybytes())) if text.is_valid else 0)
             n_hit.append(int(covered(spans, n).sum()) if spans else 0)
-        sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+        sha = [hashlib.sha256(",".join(sorted(str(i) for i in x if i is not None)).encode()).hexdigest() for x in items]
         yield batch(schema, b.column(0), n_words, n_hit, [len(x) for x in items], sha, [n > 0 for n in n_hit])
 
 
@@ -231,28 +246,28 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_shar
     """The documents with all their columns, hit spans cut out of text; those over a limit go.
 
     n_chars, where there is such a column, follows the text."""
-    items = _items(columns(benchmark, item_id=F.col("item_id").cast("bigint"), text="text")).filter("item_id is not null")
-    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    groups = max(1, -(-int(words) // MAX_WORDS))
-    at, out = docs.columns.index("text"), docs.withColumns({"__spans": F.lit(None).cast("binary")})
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    for g in range(groups):
-        own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        shared = docs.sparkSession.sparkContext.broadcast(_automaton([tuple(r) for r in own.collect()], window))
-        if g < groups - 1:
-            out = by_arrow(out, _mark_spans(shared, at), out.schema)
-    mark, cut = _mark_spans(shared, at), _cut_spans(at, chars, max_words, max_share)
-    return by_arrow(out, lambda batches: cut(mark(batches)), docs.schema)
+    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    held = StructType([*docs.schema.fields, StructField(free_name(docs, "spans"), BinaryType())])
+    cut = _cut_spans(at, chars, max_words, max_share)
+
+    def step(shared, first, last):
+        mark = _mark_spans(shared, at, first)
+        return (lambda batches: cut(mark(batches)), docs.schema) if last else (mark, held)
+
+    return _passes(docs, benchmark, window, MAX_WORDS, step)
+
 
+def _mark_spans(shared, at: int, first: bool):
+    """Adds to the spans in the last column, which the first pass makes."""
 
-def _mark_spans(shared, at: int):
     def run(batches):
         for b in batches:
-            spans = []
-            for text, had in zip(b.column(at), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            spans, known = [], [None] * b.num_rows if first else b.column(b.num_columns - 1).to_pylist()
+            for text, had in zip(b.column(at), known, strict=True):
                 got = shared.value.scan(words_of(text.as_buffer().to_pybytes()), set()) if text.is_valid else []
                 spans.append((had or b"") + np.array(got, "<u4").tobytes())
-            yield b.set_column(b.num_columns - 1, b.schema.field(b.num_columns - 1), pa.array(spans, pa.binary()))
+            own = b.columns if first else b.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.binary())], names=[*b.schema.names[: len(own)], "spans"])
 
     return run
 
@@ -267,7 +282,7 @@ def _cut_spans(at: int, chars: int | None, max_words: int, max_share: float):
             if not n:
                 continue
             got = next(clean([batch(told, pa.nulls(n, pa.int64()), b.column(at), spans, pa.nulls(n, pa.binary()))]))
-            out = b.select(list(range(b.num_columns - 1))).set_column(at, b.schema.field(at), got.column(1))
+            out = pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).set_column(at, b.schema.field(at), got.column(1))
             if chars is not None:
                 field, cut = b.schema.field(chars), got.column(2).to_pylist()
                 sizes = [len(t.as_py()) if c else old for t, c, old in zip(got.column(1), cut, b.column(chars).to_pylist(), strict=True)]

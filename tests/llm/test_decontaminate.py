@@ -30,3 +30,22 @@ def test_small_and_odd(spark, sf):
     assert decontamination_report(ds.limit(0), bs).count() == 0
     r = remove_spans(spark.createDataFrame([(1, f"Clean start, {items[5][1]}! and more clean words follow here so that it is kept " * 1 + "w " * 30)], "doc_id bigint, text string"), bs.filter("item_id = 6")).first()
     assert not r.removed and r.n_hit == 25 and r.text.startswith("Clean start, ! and more")
+
+
+def test_items_without_id_and_clashing_columns(spark, sf):
+    from pyspark.sql import functions as F
+
+    from peakloom.llm.decontaminate import keep_clean
+
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"Some words, then {item}. " + "x " * 40), (2, "clean"), (3, None)], "doc_id bigint, text string").selectExpr("*", "'mine' AS spans", "text AS __spans")
+    bench = spark.createDataFrame([(None, item), (None, "w1 w2"), (4, "w3")], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontamination_report(docs, bench).collect()}
+    assert got[1].n_hit == 12 and got[1].n_items == 2 and not got[2].contaminated
+    want = oracle(OP2_SQL, sf, documents=docs.select("doc_id", "text").toPandas(), benchmark=bench.toPandas().astype({"item_id": "Int64"}))
+    assert of(decontamination_report(docs, bench)) == want
+    kept = keep_clean(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id: (r.spans, r.text) for r in kept.collect()} == {1: ("mine", f"Some words, then . {'x ' * 40}"), 2: ("mine", "clean"), 3: ("mine", None)}
+    long = spark.createDataFrame([(1, "a " * 200_000 + item)], "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    r = keep_clean(long, bench).first()
+    assert r.n_chars == len(r.text) == 400_000
