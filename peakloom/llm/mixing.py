@@ -1,7 +1,7 @@
 """Soft-membership mixing: document rates whose expected domain token totals match targets.
 
-1. A softmax classifier of word presence, fitted on the driver on a bounded sample of the labels table, gives every
-   document a posterior over the domains (narrow pass over whole texts; the model's size is fixed).
+1. A softmax classifier of word presence, fitted on the driver on a bounded sample of the labels table (whole texts, as the
+   hashes of their distinct words), gives every document a posterior over the domains (narrow; the model's size is fixed).
 2. Distributed projected gradient least squares: with n the tokens, p the posteriors, T the targets and S all tokens,
    minimise sum_k w_k (sum n p_k r - T_k)^2 / (2 S^2) + mu sum n (r - 1)^2 / (2 S) over rates r >= 0, each rate's step
    scaled by its document's tokens, with Nesterov momentum. w_k is 1, but for domains under SMALL of all tokens SMALL
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_arrow, columns, materialise, pieces_of, release_memory, word_hashes
+from .common import batch, by_arrow, columns, discard, materialise, pieces_of, release_memory, word_hashes
 from .decontaminate import _FOLD
 
 DOMAINS = ("high", "low", "toxic")
@@ -75,15 +75,15 @@ class Classifier:
         return p / p.sum(1, keepdims=True), words
 
 
-def fit(texts: list[str], domains: list[int], n_domains: int, rounds: int = 300, l2: float = 0.1) -> Classifier:
-    """Full-batch gradient ascent with momentum on the penalised likelihood. Features are words in LEAST_DOCS texts or
-    more, whose number in some domain is LEAST_Z deviations above what chance gives: labels may be noisy, and thousands
-    of words that say nothing would learn the noise."""
+def fit(features: list[np.ndarray], domains: list[int], n_domains: int, rounds: int = 300, l2: float = 0.1) -> Classifier:
+    """features: each text's distinct hashes, as of presence(). Full-batch gradient ascent with momentum on the penalised
+    likelihood. Features are words in LEAST_DOCS texts or more, whose number in some domain is LEAST_Z deviations above what
+    chance gives: labels may be noisy, and thousands of words that say nothing would learn the noise."""
     counts = np.bincount(np.array(domains, np.int64), minlength=n_domains)
     bias = np.log((counts + 1) / (counts.sum() + n_domains))
-    if not texts:
+    if not features:
         return Classifier(np.empty(0, np.uint64), np.zeros((0, n_domains)), np.zeros(n_domains))
-    doc, hashes, _ = presence(pa.array(texts))
+    doc, hashes = np.repeat(np.arange(len(features)), [len(x) for x in features]), np.concatenate(features)
     vocabulary, at, docs_with = np.unique(hashes, return_inverse=True, return_counts=True)
     y = np.eye(n_domains)[domains]
     seen = np.stack([np.bincount(at, y[doc, k], len(vocabulary)) for k in range(n_domains)], 1)
@@ -95,7 +95,7 @@ def fit(texts: list[str], domains: list[int], n_domains: int, rounds: int = 300,
     weights, moved = np.zeros((len(vocabulary), n_domains)), np.zeros((len(vocabulary), n_domains))
     step = 1.0 / (docs_with[:, None] * 0.25 + l2)  # a bound of each weight's own curvature
     for _ in range(rounds):
-        score = np.stack([np.bincount(doc, weights[at, k], len(texts)) for k in range(n_domains)], 1) + bias
+        score = np.stack([np.bincount(doc, weights[at, k], len(features)) for k in range(n_domains)], 1) + bias
         p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         slope = np.stack([np.bincount(at, (p - y)[doc, k], len(vocabulary)) for k in range(n_domains)], 1) + l2 * weights
@@ -124,9 +124,18 @@ def _sample(told: DataFrame, max_rows: int) -> list:
     return [r for rows in held.values() for r in rows]
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 40_000) -> Classifier:
-    """Fits on at most max_rows labelled texts (chosen by hash of the id), at most max_chars of each. Of a domain that would
-    have under SMALL of them, up to that many are taken; the bias then says the domains' shares of all labels."""
+def _present(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("domain", pa.int32()), ("hashes", pa.binary())])
+    for b in (x for x in batches if x.num_rows):
+        for a, z in pieces_of(b.column(2)):
+            doc, hashes, _ = presence(b.column(2).slice(a, z - a))
+            own = np.split(hashes, np.searchsorted(doc, np.arange(1, z - a)))
+            yield batch(schema, b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), [x.tobytes() for x in own])
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Classifier:
+    """Fits on at most max_rows labelled texts (chosen by hash of the id), whole ones. Of a domain that would have under
+    SMALL of them, up to that many are taken; the bias then says the domains' shares of all labels."""
     told = columns(labels, doc_id=F.col("doc_id").cast("bigint"), domain=domain_of()).filter("doc_id is not null and domain is not null")
     told = told.groupBy("doc_id").agg(F.max("domain").alias("domain"))
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text="text").filter("text is not null")
@@ -136,10 +145,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars:
     if not chosen:
         return fit([], [], len(DOMAINS))
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.domain) for r in chosen], "doc_id bigint, domain int")
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "domain", F.substring("text", 1, max_chars).alias("text"))
-    got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"]))[:max_rows]
-    model = fit([r["text"] for r in got], [r["domain"] for r in got], len(DOMAINS))
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "domain", "text")
+    rows = by_arrow(rows, _present, "doc_id bigint, domain int, hashes binary").orderBy("doc_id", "hashes").limit(max_rows)  # ids may be repeated
+    got = sorted(rows.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["hashes"]))
+    model = fit([np.frombuffer(r["hashes"], np.uint64) for r in got], [r["domain"] for r in got], len(DOMAINS))
     of_all = {r["domain"]: r["count"] for r in told.groupBy("domain").count().collect()}
+    discard(told)
     shares = [(np.array(c) + 1) / (sum(c) + len(DOMAINS)) for c in ([of_all.get(k, 0) for k in range(len(DOMAINS))], np.bincount([r["domain"] for r in got], minlength=len(DOMAINS)))]
     model.bias = model.bias + np.log(shares[0] / shares[1])
     release_memory()
