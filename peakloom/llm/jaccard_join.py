@@ -22,6 +22,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import batch, by_arrow, columns, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
+from .common import batch, by_arrow, columns, free_name, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
 from .components import components
 from .repeats import rolling
 
@@ -443,35 +444,41 @@ def jaccard_links(docs: DataFrame, n: int = 5, t100: int = 75, block: int = BLOC
 
 
 def _with_class(n: int, at: int):
-    """Rows with the class of their text, at column `at`, added."""
+    """Rows with the class of their text, at column `at`, and a digest of the whole row added."""
+
     def run(batches):
         for b in (x for x in batches if x.num_rows):
             cid = [_class(h) for h in shingle_sets(b.column(at), n)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.int64())], names=[*b.schema.names, "__cid"])
+            row = [hashlib.blake2b(pickle.dumps(r, 4), digest_size=16).digest() for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.int64()), pa.array(row, pa.binary())], names=[*b.schema.names, "__class", "__row"])
 
     return run
 
 
 def keep_first(docs: DataFrame, n: int = 5, t100: int = 75) -> DataFrame:
-    """The documents, all columns, one row of each component: of its classes the one with the least id (nulls last, then
-    by class), of that class's rows with this id the first by text. Rows whose texts have no words all stay.
+    """The documents, all columns (of any type), one row of each component: of its classes the one with the least id (nulls
+    last, then by class), of that class's rows with this id the first by text. Rows whose texts have no words all stay.
 
     Where an id is on one row only, it finds the row; rows with null or repeated ids are found by id and class."""
     made, label = _labels(docs, n, t100, BLOCK)
+    by_id, cid, row, nth = (free_name(docs, c) for c in ("first_id", "class_id", "row_digest", "nth_row"))
     first = label.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "cid")).alias("r"))
-    first = materialise(first.select(F.col("r.least_id").alias("__id"), F.col("r.cid").alias("__class")), "first_of_components")
-    repeated = materialise(made.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "repeated_ids")
-    own = F.col("doc_id").cast("bigint")
-    ids = first.select("__id").unionByName(made.filter("n = 0").select(F.col("doc_id").alias("__id"))).filter("__id is not null")
-    out = docs.join(ids.join(repeated, "__id", "left_anti"), own == F.col("__id"), "left_semi")
-    unclear = None if repeated.isEmpty() else docs.join(repeated, own == F.col("__id"), "left_semi")
+    first = materialise(first.select(F.col("r.least_id").alias(by_id), F.col("r.cid").alias("of_class")), "first_of_components")
+    repeated = materialise(made.filter("doc_id is not null").groupBy(F.col("doc_id").alias(by_id)).count().filter("count > 1").select(by_id), "repeated_ids")
+    own = docs["doc_id"].cast("bigint")
+    ids = first.select(by_id).unionByName(made.filter("n = 0").select(F.col("doc_id").alias(by_id))).filter(F.col(by_id).isNotNull())
+    found = ids.join(repeated, by_id, "left_anti")
+    out = docs.join(found, own == found[by_id], "left_semi")
+    unclear = None if repeated.isEmpty() else docs.join(repeated, own == repeated[by_id], "left_semi")
     if not made.filter("doc_id is null").isEmpty():
         nameless = docs.filter(own.isNull())
         unclear = nameless if unclear is None else unclear.unionByName(nameless)
     if unclear is None:
         return out
-    held = materialise(by_arrow(unclear, _with_class(n, docs.columns.index("text")), StructType([*docs.schema.fields, StructField("__cid", LongType())])), "unclear_rows")
-    wordless = held.filter("__cid is null").drop("__cid")
-    met = held.join(first, (F.col("__cid") == F.col("__class")) & own.eqNullSafe(F.col("__id")), "left_semi")
-    once = met.groupBy("__cid").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("r"))
-    return out.unionByName(wordless).unionByName(once.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns]))
+    fields = [*docs.schema.fields, StructField(cid, LongType()), StructField(row, BinaryType())]
+    held = materialise(by_arrow(unclear, _with_class(n, docs.columns.index("text")), StructType(fields)), "unclear_rows")
+    wordless = held.filter(F.col(cid).isNull())
+    met = held.join(first, (F.col(cid) == first["of_class"]) & held["doc_id"].cast("bigint").eqNullSafe(first[by_id]), "left_semi")
+    order = Window.partitionBy(cid).orderBy("text", row)
+    once = met.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    return out.unionByName(wordless.drop(cid, row)).unionByName(once.drop(cid, row, nth))

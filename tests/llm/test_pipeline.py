@@ -44,4 +44,14 @@ def test_odd_rows(spark, sf):
             frame = corpus_pipeline.materialise(stage(spark, frame, sf), name)
     from peakloom.llm.jaccard_join import keep_first
 
-    assert sorted((str(r.doc_id), r.text) for r in keep_first(docs).collect()) == sorted([("1", None), ("None", odd[1][1]), ("2", ""), ("3", odd[5][1])])
+    assert sorted((str(r.doc_id), r.text) for r in keep_first(docs).collect()) == sorted([("1", None), ("None", odd[1][1]), ("2", ""), ("3", odd[3][1]), ("3", odd[5][1])])
+
+
+def test_keep_first_with_clashing_names_and_maps(spark):
+    from peakloom.llm.jaccard_join import keep_first
+
+    text = "one text of some words that many rows have"
+    rows = [(1, text, {"a": 1}), (1, text, {"a": 2}), (2, text, None), (None, "alone here", {"b": 1}), (None, "alone here", None), (7, "", None), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __id map<string, int>").selectExpr("*", "1 AS first_id", "2 AS class_id", "3 AS cid", "4 AS row_digest", "5 AS of_class")
+    got = keep_first(docs)
+    assert got.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", text), ("7", ""), ("7", "None"), ("None", "alone here")]
