@@ -17,9 +17,10 @@ ignored. Results are of bytes: a cut may fall within a character.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Bytes, remove_repeats
+from .repeats import HOT, SPANS, Bytes, Entry, by_block, cut_repeats, mark_repeats, meet
 
 
 class RangeMinimum:
@@ -80,7 +81,7 @@ def collection_bwt(symbols: np.ndarray, starts: np.ndarray, lens: np.ndarray) ->
     return place, common
 
 
-def repeated_windows(by, groups: list[list[bytes]], window: int):
+def repeated_windows(groups: list[list[bytes]], window: int):
     """For each group, for each of its contents: spans of windows that another content has too."""
     contents = [c for g in groups for c in g]
     width = next(w for w in (8, 7, 6, 5, 4, 3, 2, 1) if window % w == 0)
@@ -113,6 +114,24 @@ def repeated_windows(by, groups: list[list[bytes]], window: int):
         yield [next(it) for _ in g]
 
 
-def dedup_bytes(docs: DataFrame, window: int = 400, keep_text: bool = False) -> DataFrame:
-    """Bytes in any string of that many bytes that starts at another place too are removed. See repeats.remove_repeats for the result."""
-    return remove_repeats(docs, Bytes, repeated_windows, window, k=max(1, window // 2), keep_text=keep_text)
+def _matcher(window: int):
+    def run(groups: list[list[Entry]]):
+        several = [g for g in groups if len(g) > 1]
+        found = iter(repeated_windows([[e.content for e in g] for g in several], window) if several else ())
+        rows = []
+        for g in groups:
+            for e, spans in zip(g, next(found) if len(g) > 1 else [()] * len(g), strict=True):
+                if e.n > 1:
+                    spans = [(0, len(e.content) - window + 1)]
+                for a, z in spans:
+                    rows.append(np.stack([np.array(e.blocks), np.array(e.segs), np.full(len(e.segs), a), np.full(len(e.segs), z)], 1))
+        return by_block(np.concatenate(rows)) if rows else []
+
+    return run
+
+
+def dedup_bytes(docs: DataFrame, window: int = 400, keep_text: bool = False, k: int | None = None, hot: int = HOT) -> DataFrame:
+    """Bytes in any string of that many bytes that starts at another place too are removed. See repeats.cut_repeats for the result."""
+    marked = mark_repeats(docs, Bytes, window, 0, k or max(1, window // 2), keep_text, hot)
+    found = meet(marked, _matcher(window), pa.schema([("block", pa.int64()), ("spans", pa.binary())]), SPANS)
+    return cut_repeats(marked, found, Bytes, window, 3, keep_text)

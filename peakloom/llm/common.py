@@ -179,14 +179,18 @@ class Marks:
         return run
 
 
-def marks_of(df: DataFrame, key: str) -> Marks:
-    """df is read twice. The driver gathers at most MAX_MARK_BITS bits, as words of 64."""
+def bits_of(df: DataFrame, key: str) -> np.ndarray:
+    """A bit map of the key's values; df is read twice. The driver gathers at most MAX_MARK_BITS bits, as words of 64."""
     size = min(MAX_MARK_BITS, max(1 << 12, 1 << (10 * df.count()).bit_length()))
     word = F.shiftright(F.col(key).bitwiseAND(F.lit(size - 1)), 6)
     words = df.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({key} & 63L AS INT))")).alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.uint64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return Marks(df.sparkSession, bits)
+    return bits
+
+
+def marks_of(df: DataFrame, key: str) -> Marks:
+    return Marks(df.sparkSession, bits_of(df, key))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

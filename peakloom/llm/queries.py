@@ -130,6 +130,18 @@ SELECT u.conv_id, u.turn, u.call_id, CAST(level AS INTEGER) AS level,
 FROM users u JOIN levels l USING (conv_id, turn) LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 """
 
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT k, i, md5_number(substr(x, 2 * i + 1, 800)) AS s FROM (SELECT k, x, unnest(range(0, strlen(x) // 2 - 399)) AS i FROM docs)),
+twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM windows SEMI JOIN twice USING (s)),
+runs AS (SELECT k, min(i) AS a, max(i) + 400 AS z FROM (SELECT k, i, sum(opens) OVER (PARTITION BY k ORDER BY i) AS run FROM hits) GROUP BY k, run),
+gaps AS (SELECT k, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS g, a, z FROM runs),
+cuts AS (SELECT k, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(x, 2 * g + 1, 2 * (a - g)), '' ORDER BY a) AS head FROM gaps JOIN docs USING (k) GROUP BY k)
+SELECT doc_id, strlen(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cuts USING (k)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
@@ -142,4 +154,4 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEF
 """
 
 QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op6_tool_call_linking, op7_soft_mixing, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts)}
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL, "op6_tool_call_linking": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL, "op6_tool_call_linking": OP6_SQL, "op8_bwt_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
