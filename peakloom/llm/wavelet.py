@@ -1,15 +1,22 @@
 """Token ids as wavelet matrices: one compressed file per shard with access, rank, select, counting and occurrence lookup.
 
-Plan: documents are encoded where they lie (narrow), then only the ids, two bytes each for vocabularies up to 65,536,
-are hash-shuffled by shard; a shard is a range of doc_id, so that ascending shards hold ascending ids. Each task builds
-the bit planes of its shards and writes each as one file. Global starts come from the small manifest of shard totals.
-
-Edge cases: a null text is empty and so holds the end id only; null ids come first, repeated ids stay together, ordered
-by their ids' bytes; an empty table writes no file and gives no row; other columns are ignored.
+The file: MAGIC, the length of the header, a JSON header, then its parts, each compressed by itself. A part is a block of a
+bit plane (BLOCK bytes of it), the directory of a plane (ones before each block), or a block of the documents' table (ids,
+null marks, ends). A reader takes the header and the directories, and of the planes only the blocks that a question
+touches: one a plane for a token, two for a count, so that a question reads a small part of one file.
+
+Plan: a sample of (doc_id, hash of the text) in which each row stands for its bytes gives range bounds, so that partitions
+hold about the same number of bytes and rows of one id, or without id, are split too. Documents are encoded where they lie
+(narrow) and only the ids, two bytes each for vocabularies up to 65,536, are shuffled, by range. A task sorts its range
+(which may spill) and cuts it into shards by bytes as it goes; it holds one shard. Starts come from the manifest of shards.
+
+Edge cases: a null text is empty and so holds the end id only; null ids come first, rows of one id are ordered by the hash
+of their text, then by their token ids; an empty table writes no file and gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import gc
 import json
 import os
@@ -17,6 +24,7 @@ import re
 import struct
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,57 +35,84 @@ from pyspark.sql import functions as F
 
 from .common import KEPT, batch, by_arrow, columns, materialise, new_path, write_shared
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+BLOCK = 16 << 10  # bytes of a plane to a block
+DOCS = 4096  # documents to a block of their table
 _CACHE = 600_000
 PIECE = 16 << 20  # bytes of text encoded at a time
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
-class WaveletMatrix:
-    """Bit planes from the highest bit down; each level sorts stably by its bit. rank and select run on the packed planes."""
-
-    BLOCK = 64  # bytes to a rank entry
-
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros, self.bits = n, planes, zeros, len(planes)
-        self.ranks = []
-        for p in planes:
-            full = np.zeros(-(-len(p) // self.BLOCK) * self.BLOCK, np.uint8)
-            full[: len(p)] = _ONES[p]
-            self.ranks.append(np.concatenate([[0], np.cumsum(full.reshape(-1, self.BLOCK).sum(1, dtype=np.int64))]))
-
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-        planes, zeros, now = [], [], ids
-        for level in reversed(range(bits)):
-            bit = (now >> level & 1).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
-            low = now[~bit]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
-        return cls(len(ids), planes, zeros)
+class WaveletFile:
+    """One file, read in parts. fetch(at, size) gives bytes of it; read counts those fetched.
+
+    Planes run from the highest bit down; each level sorts stably by its bit."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes]):
+        self._fetch, self.read, self._held = fetch, 0, {}
+        start = self._bytes(0, 8)
+        if start[:4] != MAGIC:
+            raise ValueError("not a wavelet file")
+        size = struct.unpack("<I", start[4:])[0]
+        h = json.loads(self._bytes(8, size))
+        self.n, self.bits, self.zeros, self.n_docs = h["n"], h["bits"], h["zeros"], h["docs"]
+        sizes = np.array(h["parts"], np.int64)
+        self._at = 8 + size + np.concatenate([[0], np.cumsum(sizes)])
+        self._doc_parts, self._blocks = -(-self.n_docs // DOCS), -(-self.n // (8 * BLOCK))
+        self._ones: dict[int, np.ndarray] = {}
+
+    def _bytes(self, at: int, size: int) -> bytes:
+        self.read += size
+        return self._fetch(at, size)
+
+    def _part(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._bytes(int(self._at[k]), int(self._at[k + 1] - self._at[k])))
+
+    def directory(self, level: int) -> np.ndarray:
+        """Ones of the level before each block, and all."""
+        if level not in self._ones:
+            self._ones[level] = np.frombuffer(self._part(self._doc_parts + level * (self._blocks + 1)), "<u8").astype(np.int64)
+        return self._ones[level]
+
+    def block(self, level: int, k: int) -> np.ndarray:
+        """A block's bytes; the last few used stay."""
+        if (level, k) not in self._held:
+            if len(self._held) >= 4 * self.bits:
+                self._held.pop(next(iter(self._held)))
+            self._held[level, k] = np.frombuffer(self._part(self._doc_parts + level * (self._blocks + 1) + 1 + k), np.uint8)
+        return self._held[level, k]
+
+    def documents(self, k: int) -> tuple[list[int | None], np.ndarray]:
+        """Ids and ends (places after their last token) of the k-th DOCS documents."""
+        data = self._part(k)
+        n = min(DOCS, self.n_docs - k * DOCS)
+        ids, ends = np.frombuffer(data, "<i8", n).tolist(), np.frombuffer(data, "<u8", n, 8 * n).astype(np.int64)
+        gone = np.frombuffer(data, np.uint8, n, 16 * n)
+        return [None if g else i for i, g in zip(ids, gone.tolist(), strict=True)], ends
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i."""
-        byte, rest = divmod(i, 8)
-        k = byte // self.BLOCK
-        plane = self.planes[level]
-        got = int(self.ranks[level][k]) + int(_ONES[plane[k * self.BLOCK : byte]].sum())
-        return got + int(_ONES[plane[byte] & ((1 << rest) - 1)]) if rest else got
+        k, rest = divmod(i, 8 * BLOCK)
+        got = int(self.directory(level)[k])
+        if not rest:
+            return got
+        held, (byte, bit) = self.block(level, k), divmod(rest, 8)
+        got += int(_ONES[held[:byte]].sum())
+        return got + int(_ONES[held[byte] & ((1 << bit) - 1)]) if bit else got
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit, ones = self.planes[level][i >> 3] >> (i & 7) & 1, self._rank1(level, i)
-            value = value << 1 | int(bit)
+            k, rest = divmod(i, 8 * BLOCK)
+            bit, ones = int(self.block(level, k)[rest >> 3]) >> (rest & 7) & 1, self._rank1(level, i)
+            value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return value
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token >> self.bits:
+        if token < 0 or token >> self.bits:
             return 0, 0
         for level in range(self.bits):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
@@ -94,10 +129,11 @@ class WaveletMatrix:
 
     def _select_bit(self, level: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) of the level's bits of that kind."""
-        ranks = self.ranks[level] if bit else np.arange(len(self.ranks[level])) * self.BLOCK * 8 - self.ranks[level]
-        block = int(np.searchsorted(ranks, k, "right")) - 1
-        held = np.unpackbits(self.planes[level][block * self.BLOCK : (block + 1) * self.BLOCK], bitorder="little")
-        return block * self.BLOCK * 8 + int(np.flatnonzero(held == bit)[k - int(ranks[block])])
+        ones = self.directory(level)
+        before = ones if bit else np.minimum(np.arange(len(ones)) * 8 * BLOCK, self.n) - ones
+        block = int(np.searchsorted(before, k, "right")) - 1
+        held = np.unpackbits(self.block(level, block), bitorder="little")
+        return block * BLOCK * 8 + int(np.flatnonzero(held == bit)[k - int(before[block])])
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of token."""
@@ -117,7 +153,8 @@ class WaveletMatrix:
         """All ids, from the lowest plane up: each level's sort is undone."""
         now = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for level in reversed(range(self.bits)):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            plane = np.concatenate([np.frombuffer(self._part(self._doc_parts + level * (self._blocks + 1) + 1 + k), np.uint8) for k in range(self._blocks)] or [np.empty(0, np.uint8)])
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(now)
             back[~bit] = now[: self.zeros[level]]
             back[bit] = now[self.zeros[level] :] | (1 << (self.bits - 1 - level))
@@ -126,24 +163,42 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: list[int | None], lens: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file: magic, header length, JSON header, then the zstd parts that it lists: doc ids, null marks, lengths, planes."""
-    matrix, zip_ = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
-    parts = [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), np.asarray(lens, "<u8").tobytes(), *(p.tobytes() for p in matrix.planes)]
-    packed = [zip_.compress(p) for p in parts]
-    header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "parts": [len(p) for p in packed]}).encode()
-    return MAGIC + struct.pack("<I", len(header)) + header + b"".join(packed)
-
-
-def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    if data[:4] != MAGIC:
-        raise ValueError("not a wavelet file")
-    size = struct.unpack("<I", data[4:8])[0]
-    header, at, parts, unzip = json.loads(data[8 : 8 + size]), 8 + size, [], zstandard.ZstdDecompressor()
-    for n in header["parts"]:
-        parts.append(unzip.decompress(data[at : at + n]))
-        at += n
-    ids = [None if gone else int(x) for x, gone in zip(np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8), strict=True)]
-    return ids, np.frombuffer(parts[2], "<u8").astype(np.int64), WaveletMatrix(header["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]], header["zeros"])
+    """The file of some documents' ids, laid end to end."""
+    zip_, parts = zstandard.ZstdCompressor(level=1), []
+    ends = np.cumsum(np.asarray(lens, np.int64)).astype("<u8")
+    for a in range(0, len(doc_ids), DOCS):
+        own = doc_ids[a : a + DOCS]
+        parts.append(np.array([x or 0 for x in own], "<i8").tobytes() + ends[a : a + DOCS].tobytes() + bytes(x is None for x in own))
+    bits, zeros, now = max(1, int(ids.max(initial=0)).bit_length()), [], ids
+    for level in reversed(range(bits)):
+        bit = (now >> level & 1).astype(bool)
+        plane = np.packbits(bit, bitorder="little")
+        blocks = [plane[k : k + BLOCK] for k in range(0, len(plane), BLOCK)]
+        parts.append(np.cumsum([0, *(int(_ONES[x].sum()) for x in blocks)]).astype("<u8").tobytes())
+        parts += [x.tobytes() for x in blocks]
+        low = now[~bit]
+        zeros.append(len(low))
+        now = np.concatenate([low, now[bit]])
+    packed = [zip_.compress(x) for x in parts]
+    header = json.dumps({"n": len(ids), "bits": bits, "docs": len(doc_ids), "zeros": zeros, "parts": [len(x) for x in packed]}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *packed])
+
+
+def unpack(data: bytes) -> WaveletFile:
+    """The file whose bytes are at hand."""
+    return WaveletFile(lambda at, size: data[at : at + size])
+
+
+def open_wavelet(spark: SparkSession, path: str) -> WaveletFile:
+    """A file in any store that Spark reads; each part that a question touches is fetched from there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+
+    def fetch(start: int, size: int) -> bytes:
+        stream.seek(start)
+        return bytes(stream.readNBytes(size))
+
+    return WaveletFile(fetch)
 
 
 #: Letters (a-z, and U+00C0 to U+023F but for the two signs among them and the I with a dot, whose small letter is two characters), then marks that part words.
@@ -268,19 +323,20 @@ class ChunkEncoder:
         return ids, np.diff(ends[offsets[1:] + np.arange(len(texts))], prepend=0)
 
 
-def _encode(path: str, end_id: int, bounds: list[int]):
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+def _encode(path: str, end_id: int, bounds: list[tuple]):
+    """(part, doc_id, tie, ids): the number of the range that a row falls into, its place there, and its ids."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        by, cuts = ChunkEncoder.of(path), np.array(bounds, np.int64)
+        by = ChunkEncoder.of(path)
         for b in (x for x in batches if x.num_rows):
-            shard = np.searchsorted(cuts, b.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
+            part = [bisect.bisect_right(bounds, (d is not None, d or 0, t)) for d, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             weight = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy().astype(np.int64))
             cut = np.unique(np.concatenate([[0], np.searchsorted(weight, np.arange(PIECE, weight[-1], PIECE)), [b.num_rows]])).tolist()
             for at, to in zip(cut, cut[1:]):
                 ids, lens = by.encode(b.column(1).slice(at, to - at), end_id)
                 data, ends = ids.tobytes(), (np.cumsum(lens) * ids.itemsize).tolist()
-                yield batch(schema, shard[at:to], b.column(0).slice(at, to - at), [data[a:z] for a, z in zip([0, *ends], ends)])
+                yield batch(schema, part[at:to], b.column(0).slice(at, to - at), b.column(2).slice(at, to - at), [data[a:z] for a, z in zip([0, *ends], ends)])
 
     return run
 
@@ -294,73 +350,101 @@ def strings(words: pa.Array) -> list[bytes]:
     return [data[a:z] for a, z in zip(offsets, offsets[1:])]
 
 
-def _write(folder: str, dtype: str):
-    schema = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file_bytes", pa.int64())])
+def _write(folder: str, dtype: str, shard_ids: int):
+    """Writes a partition's rows, in order, as shards of about so many ids."""
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file_bytes", pa.int64())])
+    width = np.dtype(dtype).itemsize
 
     def run(batches):
-        shard, docs, ids = None, [], []
+        part, shard, size, docs, ids = None, 0, 0, [], []
 
         def close():
-            lens = np.array([len(x) // np.dtype(dtype).itemsize for x in ids])
-            data = pack(docs, lens, np.frombuffer(b"".join(ids), dtype))
-            write_shared(f"{folder}/shard-{shard:08d}.wvm", data)
-            return batch(schema, [shard], [len(docs)], [int(lens.sum())], [len(data)])
+            lens = np.array([len(x) // width for x in ids])
+            data, name = pack(docs, lens, np.frombuffer(b"".join(ids), dtype)), f"part-{part:07d}-shard-{shard:05d}.wvm"
+            write_shared(f"{folder}/{name}", data)
+            return batch(schema, [part], [shard], [name], [len(docs)], [int(lens.sum())], [len(data)])
 
         for b in batches:
-            for s, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if s != shard:
-                    if docs:
-                        yield close()
-                    shard, docs, ids = s, [], []
+            for p, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                if docs and (p != part or size >= shard_ids * width):
+                    yield close()
+                    shard, size, docs, ids = shard + 1 if p == part else 0, 0, [], []
+                part = p
                 docs.append(d)
                 ids.append(x.as_py())
+                size += len(ids[-1])
         if docs:
             yield close()
 
     return run
 
 
+def _bounds(docs: DataFrame, parts: int, total: int) -> list[tuple]:
+    """parts - 1 keys (has an id, id, tie) that cut the rows into ranges of about the same bytes. A row is in the sample if its hash is
+    below its bytes' share, and stands for the larger of its bytes and a step; at most about a million rows are gathered."""
+    step = max(1, total // min(20 * parts, 1_000_000))
+    chance = F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    rows = docs.filter(chance * step < F.col("size")).select("doc_id", "tie", F.greatest("size", F.lit(step)).alias("weight")).collect()
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.weight) for r in rows)
+    ends = np.cumsum([r[3] for r in rows])
+    if not len(ends):
+        return []
+    at = np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts)
+    return sorted({rows[i][:3] for i in np.minimum(at, len(rows) - 1).tolist()})
+
+
 def write_wavelets(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every document, appends end_id and writes folder/shard-N.wvm; gives the manifest (shard, docs, tokens, file_bytes, start).
+    """Encodes every document, appends end_id and writes folder/part-P-shard-S.wvm; gives the manifest (part, shard, file, docs, tokens, file_bytes, start).
 
-    shard_bytes: about so much text to a shard; the only thing that the driver gathers is one boundary for each shard."""
+    shard_bytes: about so much text to a shard."""
     from tokenizers import Tokenizer
 
-    docs = columns(docs, doc_id=F.col(id_col).cast("bigint"), text=text_col)
-    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    n = max(1, -(-size // shard_bytes))
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or [])) if n > 1 else []
+    docs = columns(docs, doc_id=F.col(id_col).cast("bigint"), text=text_col).withColumn("tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    sized = docs.select("doc_id", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    total, n_rows = (x or 0 for x in sized.agg(F.sum("size"), F.count("*")).first())
+    # two shards to a partition, or more where there would be very many partitions
+    parts = max(1, min(-(-total // (2 * shard_bytes)), 2048), total // (16 * shard_bytes))
+    bounds = _bounds(sized, parts, total) if parts > 1 else []
     dtype = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
-    coded = by_arrow(docs, _encode(tokenizer, end_id, bounds), "shard int, doc_id bigint, ids binary", keeps=True)
-    dealt = coded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    manifest = materialise(by_arrow(dealt, _write(folder, dtype), "shard int, docs bigint, tokens bigint, file_bytes bigint", keeps=True), "wavelet_manifest")
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return manifest.withColumn("start", before)
+    coded = by_arrow(docs.select("doc_id", "text", "tie"), _encode(tokenizer, end_id, bounds), "part int, doc_id bigint, tie bigint, ids binary", keeps=True)
+    dealt = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "ids")
+    written = by_arrow(dealt, _write(folder, dtype, max(1, shard_bytes // 4)), "part int, shard int, file string, docs bigint, tokens bigint, file_bytes bigint", keeps=True)
+    manifest = materialise(written, "wavelet_manifest")
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    of_parts = of_parts.select("part", before(Window.orderBy("part")).alias("of_part"))  # a row for each partition
+    within = manifest.withColumn("start", before(Window.partitionBy("part").orderBy("shard")))
+    return within.join(of_parts, "part").withColumn("start", F.col("start") + F.col("of_part")).drop("of_part")
 
 
 def _read(batches):
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            ids, lens, matrix = unpack(content.as_buffer().to_pybytes())
-            tokens = memoryview(matrix.decode().astype("<u4")).cast("B")
-            ends = np.cumsum(lens)
-            crc = [zlib.crc32(tokens[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-            yield batch(schema, [int(path.rpartition("shard-")[2][:8])] * len(ids), ids, ends - lens, lens, crc)
+            held = unpack(content.as_buffer().to_pybytes())
+            tokens = memoryview(held.decode().astype("<u4")).cast("B")
+            begin = 0
+            for k in range(-(-held.n_docs // DOCS)):
+                ids, ends = held.documents(k)
+                starts = np.concatenate([[begin], ends[:-1]])
+                crc = [zlib.crc32(tokens[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield batch(schema, [path] * len(ids), ids, starts, ends - starts, crc)
+                begin = int(ends[-1])
 
 
 def read_wavelets(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, doc_id, at, n_tokens, ids_crc32) of every document, all from the files' own bytes; at: place in the shard."""
-    files = spark.read.format("binaryFile").load(f"{folder}/*.wvm").select("path", "content")
-    return by_arrow(files, _read, "shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint", keeps=True)
+    """(file, doc_id, at, n_tokens, ids_crc32) of every document, all from the files' own bytes; at: place in the file."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*.wvm").select(F.substring_index("path", "/", -1).alias("file"), "content")
+    return by_arrow(files, _read, "file string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint", keeps=True)
 
 
-def wavelet_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 16 << 20) -> DataFrame:
-    """Writes the shards into the shared folder and gives (doc_id, start, n_tokens, ids_crc32, shard) as read from them."""
+def wavelet_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = 16 << 20, folder: str | None = None) -> DataFrame:
+    """Writes the shards into the folder (a new one in the shared folder, which stays) and gives (doc_id, start, n_tokens,
+    ids_crc32, shard, folder) as read from them: the file is folder/shard."""
     spark = docs.sparkSession
-    folder = new_path(spark, "wavelets")
+    folder = folder or new_path(spark, "wavelets", keep=True)
     manifest = write_wavelets(docs, folder, tokenizer, end_id, shard_bytes)
     if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard int")
-    got = read_wavelets(spark, folder).join(manifest.select("shard", "start"), "shard")
-    return got.select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
+        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, shard string, folder string")
+    got = read_wavelets(spark, folder).join(manifest.select("file", "start"), "file")
+    return got.select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", F.col("file").alias("shard"), F.lit(folder).alias("folder"))

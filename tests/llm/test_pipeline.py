@@ -33,7 +33,8 @@ def test_stages_and_their_effects(spark, sf):
     got = frames[5].collect()
     assert sorted(r.doc_id for r in got) == kept[4]
     assert all(r.n_tokens == len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1 for r in got)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, got))
+    bare = lambda rows: sorted(tuple(r)[:-1] for r in rows)  # noqa: E731  # each run has a folder of its own
+    assert bare(corpus_pipeline.run(spark, sf).collect()) == bare(got)
 
 
 def test_odd_rows(spark, sf):
