@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by additive quantisation, with exact reranking.
 
 Codebooks have full dimension: the m-th is fitted by k-means to what the first m - 1 leave of a bounded sample. A vector
-is encoded by beam search over all of them, and stored with its codes, the norm of their sum, and itself. A search
-reads the index once per block of queries (broadcast, of fixed size): the tables of inner products of the queries with
-all codewords give an approximate distance by one look-up for each code, plus the stored norm; of each Arrow batch the
-nearest `shortlist` are reranked exactly there, and only `k` rows per query and batch leave the task.
+is encoded by beam search over all of them, and stored with its codes, the norm of their sum, and itself. Vectors with one
+nearest first codeword form a list; a query is sent to the `probe` lists whose codewords are nearest to it (most of the 256
+by default, for vectors without clusters have near neighbours in most lists; fewer do where there are clusters). Lists and their queries
+meet by a shuffle; lists of many vectors are dealt out in parts of about ROWS, many queries of a list in blocks of about
+QUERIES, so that what a task holds is bounded and nothing passes through the driver. There the tables of inner products of
+the queries with all codewords give an approximate distance by one look-up for each code, plus the stored norm; the nearest
+`shortlist` are reranked exactly, and only `k` rows per query and part leave the task.
 
 Of more than k + 1 equal vectors only the k + 1 with the smallest ids can be in a result; the others leave before the
 index is built, so that a very common vector can't fill the short lists. Nothing else is dropped: every vector is indexed.
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import batch, by_arrow, columns, materialise
 
 SAMPLE = 8192
-QUERY_BLOCK = 4096
+ROWS, QUERIES = 10_000, 2048
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -83,94 +86,107 @@ def encode(vectors: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarra
 
 
 def _encode(shared, beam: int, kind: str):
-    element = pa.float64() if kind == "array<double>" else pa.float32()
-    schema = pa.schema([("vec_id", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("embedding", pa.list_(element))])
+    schema = pa.schema([("list", pa.int32()), ("vec_id", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("embedding", pa.list_(_element(kind)))])
 
     def run(batches):
         for b in (x for x in batches if x.num_rows):
             x = _matrix(b.column(1), np.float32)
             got = [encode(x[a : a + 512], shared.value, beam) for a in range(0, len(x), 512)]
             codes = np.concatenate([c for c, _ in got])
-            yield batch(schema, b.column(0), [c.tobytes() for c in codes], np.concatenate([n for _, n in got]), b.column(1).cast(pa.list_(element)))
+            near = np.argmin(_squares(shared.value[0]) - 2 * x @ shared.value[0].T, 1)
+            yield batch(schema, near.astype(np.int32), b.column(0), [c.tobytes() for c in codes], np.concatenate([n for _, n in got]), b.column(1).cast(pa.list_(_element(kind))))
 
     return run
 
 
-def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int = 8, rows: int = 10_000) -> tuple[DataFrame, np.ndarray] | None:
-    """vectors: of valid_vectors. (index, codebooks); None without vectors. rows: about so many to a partition of the index."""
+def _element(kind: str) -> pa.DataType:
+    return pa.float64() if kind == "array<double>" else pa.float32()
+
+
+def build_index(vectors: DataFrame, books: int = 16, size: int = 256, beam: int = 8) -> tuple[DataFrame, np.ndarray] | None:
+    """vectors: of valid_vectors. (index, codebooks); None without vectors."""
     ids = vectors.select("vec_id", F.xxhash64("vec_id").alias("h")).orderBy("h", "vec_id").limit(SAMPLE).select("vec_id")
     sample = vectors.join(ids, "vec_id", "left_semi").orderBy("vec_id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return None
     codebooks = fit_codebooks(_matrix(sample["embedding"].combine_chunks(), np.float32), books, size)
     shared, kind = vectors.sparkSession.sparkContext.broadcast(codebooks), dict(vectors.dtypes)["embedding"]
-    coded = by_arrow(vectors.repartition(max(1, -(-vectors.count() // rows))), _encode(shared, beam, kind), f"vec_id bigint, codes binary, norm float, embedding {kind}")
+    coded = by_arrow(vectors.select("vec_id", "embedding"), _encode(shared, beam, kind), f"list int, vec_id bigint, codes binary, norm float, embedding {kind}")
     return materialise(coded, "additive_index"), codebooks
 
 
-def _search(shared, k: int, shortlist: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def _probes(shared, probe: int, kind: str):
+    """A row for each query and each of the lists nearest to it."""
+    schema = pa.schema([("list", pa.int32()), ("query_id", pa.int64()), ("query", pa.list_(_element(kind)))])
 
     def run(batches):
-        query_ids, queries, books = shared.value
-        tables = np.einsum("qd,mcd->mcq", queries.astype(np.float32), books)
-        exact = queries.astype(np.float64)
         for b in (x for x in batches if x.num_rows):
-            ids = b.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            x = _matrix(b.column(3), np.float64)[order]
-            codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            norms = b.column(2).to_numpy()[order]
-            for a in range(0, len(query_ids), 64):
-                own = query_ids[a : a + 64]
-                score = np.repeat(norms[:, None], len(own), 1)
-                for m in range(codes.shape[1]):
-                    score -= 2 * tables[m][:, a : a + 64][codes[:, m]]
-                score = score.T
-                for q, s in enumerate(score):
-                    if len(s) > shortlist + 1:
-                        edge = np.partition(s, shortlist)[shortlist]
-                        some = np.flatnonzero(s < edge)
-                        some = np.sort(np.concatenate([some, np.flatnonzero(s == edge)[: shortlist + 1 - len(some)]]))
-                    else:
-                        some = np.arange(len(s))
-                    some = some[ids[some] != own[q]]
-                    apart = x[some] - exact[a + q]
-                    far = np.sqrt(np.einsum("ij,ij->i", apart, apart))
-                    near = np.lexsort((ids[some], far))[:k]
-                    yield batch(schema, np.full(len(near), own[q]), ids[some][near], far[near])
-
-    def joined(batches):
-        held, size = [], 0
-        for b in run(batches):
-            held.append(b)
-            size += b.num_rows
-            if size > 5000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return joined
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int = 300, id_col: str = "vec_id", vector_col: str = "embedding", **index) -> DataFrame:
+            first = shared.value[0]
+            far = _squares(first) - 2 * _matrix(b.column(1), np.float32) @ first.T
+            near = np.argsort(far, 1, kind="stable")[:, :probe]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+            yield batch(schema, near.ravel().astype(np.int32), b.column(0).take(rows), b.column(1).take(rows).cast(pa.list_(_element(kind))))
+
+    return run
+
+
+def _search(shared, k: int, shortlist: int):
+    """Of some vectors of a list and some of its queries: each query's k nearest."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        books, out = shared.value, []
+        vectors = vectors.sort_by("vec_id")
+        ids, x = vectors["vec_id"].to_numpy(), _matrix(vectors["embedding"].combine_chunks(), np.float64)
+        codes = np.frombuffer(b"".join(vectors["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        norms = vectors["norm"].to_numpy()
+        asked, exact = queries["query_id"].to_numpy(), _matrix(queries["query"].combine_chunks(), np.float64)
+        for a in range(0, len(asked), 64):
+            own = asked[a : a + 64]
+            tables = np.einsum("qd,mcd->mcq", exact[a : a + 64].astype(np.float32), books)
+            score = np.repeat(norms[:, None], len(own), 1)
+            for m in range(codes.shape[1]):
+                score -= 2 * tables[m][codes[:, m]]
+            for q, s in enumerate(score.T):
+                if len(s) > shortlist + 1:
+                    edge = np.partition(s, shortlist)[shortlist]
+                    some = np.flatnonzero(s < edge)
+                    some = np.sort(np.concatenate([some, np.flatnonzero(s == edge)[: shortlist + 1 - len(some)]]))
+                else:
+                    some = np.arange(len(s))
+                some = some[ids[some] != own[q]]
+                apart = x[some] - exact[a + q]
+                far = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+                near = np.lexsort((ids[some], far))[:k]
+                out.append((np.full(len(near), own[q]), ids[some][near], far[near]))
+        return pa.Table.from_batches([batch(schema, *map(np.concatenate, zip(*out, strict=True)))])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int = 300, probe: int = 192, id_col: str = "vec_id", vector_col: str = "embedding", **index) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k nearest found, by Euclidean distance; a vector with the query's id isn't its neighbour."""
     spark, schema = vectors.sparkSession, "query_id bigint, vec_id bigint, score double"
     every = materialise(valid_vectors(vectors, id_col, vector_col), "vectors")
     asked = columns(queries, vec_id=F.col(id_col).cast("bigint")).distinct()
-    asked = every.join(asked, "vec_id", "left_semi")
+    asked = every.join(asked, "vec_id", "left_semi").select("vec_id", "embedding")
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     built = build_index(every.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"), **index)
-    found = spark.createDataFrame([], schema)
-    if built:
-        table, books = built
-        blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-        for g in range(blocks):
-            own = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == g)).orderBy("vec_id").toArrow()
-            if own.num_rows:
-                shared = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), np.float64), books))
-                found = found.unionByName(by_arrow(table, _search(shared, k, shortlist), schema))
+    if not built:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    table, books = built
+    shared, kind = spark.sparkContext.broadcast(books), dict(every.dtypes)["embedding"]
+    probes = materialise(by_arrow(asked, _probes(shared, probe, kind), f"list int, query_id bigint, query {kind}"), "probes")
+    # a row for each list, 256 at most
+    parts = table.groupBy("list").agg(F.ceil(F.count("*") / ROWS).alias("parts")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "list")
+    parts = F.broadcast(materialise(parts, "lists"))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    held = table.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("block", every_one("blocks"))
+    sent = probes.join(parts, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).withColumn("part", every_one("parts"))
+    key = ["list", "part", "block"]
+    held, sent = held.select(*key, "vec_id", "codes", "norm", "embedding"), sent.select(*key, "query_id", "query")
+    found = held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_search(shared, k, shortlist), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,3 +57,25 @@ def test_beam_beats_greedy():
     books = fit_codebooks(x, 6, 32)
     error = lambda beam: ((x - sum(b[encode(x, books, beam)[0][:, m]] for m, b in enumerate(books))) ** 2).sum()
     assert error(8) < error(1) < (x**2).sum()
+
+
+def test_lists_and_queries_in_parts(spark, monkeypatch):
+    from peakloom.llm import additive_ann
+
+    monkeypatch.setattr(additive_ann, "ROWS", 40)
+    monkeypatch.setattr(additive_ann, "QUERIES", 7)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(400, 6)), rng.normal(size=(300, 6)) * 0.01 + 5])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = result(nearest(df, df, books=4, size=8, probe=8))
+    want = brute(list(range(700)), x, range(700))
+    assert got.keys() == want.keys() and sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) > 0.97 * 7000
+
+
+def test_query_against_brute_force(spark, sf):
+    from peakloom.llm.queries import op1_additive_ann
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
+    got, want = result(op1_additive_ann(spark, sf)), brute(ids, x, [i for i in ids if i % 100 == 0])
+    assert got.keys() == want.keys() and sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
