@@ -8,7 +8,8 @@
 3. Of the classes left, every shingle's frequency by an exchange of packed arrays; shingles of one class go, they
    can't be common. The others are ordered rare first (frequency class, then hash): the set's prefix is its first
    n - ceil(t n) + 1 shingles, those that nobody shares included, so that most prefixes are short.
-4. Prefix rows join on their shingle, each to the least class that has it, which is linear; connected classes are a
+4. Prefix rows meet on their shingle and the class of their length (lengths of a link differ by a third at most, so only
+   neighbouring length classes can link), each with the least member there, which is linear; connected classes are a
    cluster, outside of which nothing can link. A cluster is compared in blocks of bounded size: by inverted lists of
    the prefixes, the length, positional and suffix filters, and one intersection for each pair that is left and not
    connected yet. The members nearest to what they share come first, so that a group of near copies costs about one
@@ -31,14 +32,15 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import batch, by_arrow, columns, free_name, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
+from .common import batch, by_arrow, columns, discard, free_name, marks_of, materialise, mix, pieces_of, shuffle_partitions, word_hashes
 from .components import components
 from .repeats import rolling
 
-GROUP_BITS = 13
-BLOCK = 4096  # members of a cluster compared in one task
+GROUP_BITS = 13  # of class numbers, at most, to a group
+HELD = 4_000_000  # shingles to a bucket or a group, about: what a task holds at a time, whatever the corpus' size
+BLOCK = 1024  # members of a cluster compared in one task
 _U = np.uint64
 
 
@@ -63,12 +65,13 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield mix(rolling(words[a:z], z - a, 0x9E3779B97F4A7C15) + _U(z - a)) if z > a else np.empty(0, _U)
 
 
-def _class(shingles: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
+def _class(shingles: np.ndarray) -> bytes | None:
+    """128 bits: of any number of sets that can be stored, no two different ones are expected to meet."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def _classes(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.binary()), ("n", pa.int64()), ("text", pa.binary())])
 
     def run(batches):
         for b in (x for x in batches if x.num_rows):
@@ -116,7 +119,7 @@ def _scatter(n: int, buckets: int, width: int, prefix):
     return run
 
 
-def _gather(width: int, with_hashes: bool):
+def _gather(width: int, with_hashes: bool, bits: int):
     """A bucket's hashes met; those of two classes or more go to their classes' groups, with their frequency if asked."""
     schema = pa.schema([("grp", pa.int64()), ("gids", pa.binary()), ("codes", pa.binary())])
     def met(parts):
@@ -139,11 +142,11 @@ def _gather(width: int, with_hashes: bool):
         code = (np.minimum(np.log2(freq) * 4, 255).astype(_U) << _U(55) | h >> _U(9))[order]
         if not with_hashes:  # a count for each class is enough
             g, code = np.unique(g, return_counts=True)
-        cut = np.flatnonzero(np.diff(g >> GROUP_BITS)) + 1
+        cut = np.flatnonzero(np.diff(g >> bits)) + 1
         for own, codes in zip(np.split(g, cut), np.split(code, cut), strict=True):
             if len(own):
-                low = (own & ((1 << GROUP_BITS) - 1)).astype("<u2")
-                yield int(own[0] >> GROUP_BITS), _zip(low.view(np.uint8).reshape(-1, 2).T.tobytes()), codes.astype("<u8").tobytes() if with_hashes else _zip(codes.astype("<u4").tobytes())
+                low = (own & ((1 << bits) - 1)).astype("<u2")
+                yield int(own[0] >> bits), _zip(low.view(np.uint8).reshape(-1, 2).T.tobytes()), codes.astype("<u8").tobytes() if with_hashes else _zip(codes.astype("<u4").tobytes())
 
     def run(batches):
         last, parts = None, []
@@ -161,7 +164,7 @@ def _gather(width: int, with_hashes: bool):
     return run
 
 
-def _grouped(with_hashes: bool):
+def _grouped(with_hashes: bool, bits: int):
     """Of a group of classes: (gid, shared) or (gid, codes in order)."""
     schema = pa.schema([("gid", pa.int64()), ("codes", pa.list_(pa.int64())) if with_hashes else ("shared", pa.int64())])
 
@@ -174,11 +177,11 @@ def _grouped(with_hashes: bool):
                 low, codes = low[order], codes[order]
                 ids, at = np.unique(low, return_index=True)
                 offsets = np.concatenate([at, [len(low)]]).astype(np.int32)
-                return pa.RecordBatch.from_arrays([pa.array(ids + (grp << GROUP_BITS)), pa.ListArray.from_arrays(offsets, codes)], schema=schema)
+                return pa.RecordBatch.from_arrays([pa.array(ids + (grp << bits)), pa.ListArray.from_arrays(offsets, codes)], schema=schema)
             counts = np.concatenate([np.frombuffer(_unzip(c), "<u4") for _, c in parts])
             total = np.bincount(low, counts).astype(np.int64)
             ids = np.flatnonzero(total)
-            return batch(schema, ids + (grp << GROUP_BITS), total[ids])
+            return batch(schema, ids + (grp << bits), total[ids])
 
         last, parts = None, []
         for b in batches:
@@ -194,12 +197,13 @@ def _grouped(with_hashes: bool):
     return run
 
 
-def _exchange(texts: DataFrame, n: int, width: int, prefix, with_hashes: bool) -> DataFrame:
-    """texts: (gid, text). Frequencies of the shingles sent, back at their classes."""
-    buckets = min(1 << 16, 4 * shuffle_partitions(texts.sparkSession))
+def _exchange(texts: DataFrame, n: int, width: int, prefix, with_hashes: bool, shingles: int, classes: int) -> DataFrame:
+    """texts: (gid, text), so many classes of so many shingles. Frequencies of the shingles sent, back at their classes."""
+    buckets = max(4 * shuffle_partitions(texts.sparkSession), shingles // HELD)
+    bits = min(GROUP_BITS, max(0, (HELD * max(1, classes) // max(1, shingles)).bit_length() - 1))
     sent = by_arrow(texts, _scatter(n, buckets, width, prefix), _SENT).repartition("bucket").sortWithinPartitions("bucket")
-    back = by_arrow(sent, _gather(width, with_hashes), "grp bigint, gids binary, codes binary").repartition("grp").sortWithinPartitions("grp")
-    return by_arrow(back, _grouped(with_hashes), "gid bigint, " + ("codes array<bigint>" if with_hashes else "shared bigint"))
+    back = by_arrow(sent, _gather(width, with_hashes, bits), "grp bigint, gids binary, codes binary").repartition("grp").sortWithinPartitions("grp")
+    return by_arrow(back, _grouped(with_hashes, bits), "gid bigint, " + ("codes array<bigint>" if with_hashes else "shared bigint"))
 
 
 def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -383,20 +387,29 @@ def _numbered(classes: DataFrame) -> DataFrame:
 def _clusters(docs: DataFrame, n: int, t100: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(doc_id, cid, n, text) of every document, cid null without words; the classes; their shared shingles; (gid, cluster) of those that can link."""
     docs = columns(docs, doc_id=F.col("doc_id").cast("bigint"), text=F.col("text").cast("binary"))
-    made = materialise(by_arrow(docs, _classes(n), "doc_id bigint, cid bigint, n bigint, text binary"), "shingled")
+    made = materialise(by_arrow(docs, _classes(n), "doc_id bigint, cid binary, n bigint, text binary"), "shingled")
     classes = made.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("text").alias("text"))
     classes = _numbered(materialise(classes.withColumn("gid", F.monotonically_increasing_id()), "shingle_classes"))
     texts, sizes = classes.select("gid", "text"), classes.select("gid", "n")
-    shared = _exchange(texts, n, 5, lambda size: size - least_common(size, t100) + int(extra(size)), False)
+    of_all = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shared = _exchange(texts, n, 5, lambda size: size - least_common(size, t100) + int(extra(size)), False, *of_all)
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * t100 / 100) / 8))
     open_ = materialise(shared.join(sizes, "gid").filter(F.col("shared") >= need).select("gid"), "open_classes")
+    of_open = sizes.join(open_, "gid", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     left = by_arrow(texts, marks_of(open_, "gid").filter_arrow("gid"), "gid bigint, text binary").join(open_, "gid", "left_semi")
     first = F.col("n") - F.ceil(F.col("n") * t100 / 100) + 1 - (F.col("n") - F.size("codes"))
-    sets = materialise(_exchange(left, n, 8, lambda size: size, True).join(sizes, "gid").withColumn("first", first.cast("int")).filter("first > 0"), "shared_shingles")
-    # clusters: classes that a chain of common prefix shingles connects, found by an edge from each member to the shingle's least
-    prefix = sets.select("gid", F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
-    met = prefix.groupBy("code").agg(F.min("gid").alias("b"), F.count("*").alias("members")).filter("members > 1").select("code", "b")
-    clusters = materialise(components(prefix.join(met, "code").select(F.col("gid").alias("a"), "b")), "clusters").withColumnRenamed("node", "gid")
+    sets = materialise(_exchange(left, n, 8, lambda size: size, True, *of_open).join(sizes, "gid").withColumn("first", first.cast("int")).filter("first > 0"), "shared_shingles")
+    # clusters: classes that common prefix shingles connect, found by an edge from each member to the least of the shingle and its
+    # length class, and one between the leasts of neighbouring length classes that have lengths near enough to link
+    length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t100)) + 1e-9) if t100 < 100 else F.col("n")
+    prefix = sets.select("gid", "n", length.alias("length"), F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
+    met = materialise(prefix.groupBy("code", "length").agg(F.min("gid").alias("b"), F.count("*").alias("members"), F.min("n").alias("short"), F.max("n").alias("long")), "prefix_shingles")
+    own = prefix.join(met.filter("members > 1"), ["code", "length"]).select(F.col("gid").alias("a"), "b")
+    next_ = Window.partitionBy("code").orderBy("length")  # a row for each length class
+    after = met.select(F.col("b").alias("a"), "length", "long", *[F.lead(c).over(next_).alias(f"next_{c}") for c in ("b", "length", "short")])
+    after = after.filter((F.col("next_length") <= F.col("length") + 2) & (F.col("next_short") * t100 <= F.col("long") * 100)).select("a", F.col("next_b").alias("b"))
+    clusters = materialise(components(own.unionByName(after)), "clusters").withColumnRenamed("node", "gid")
+    discard(met)
     return made, classes, sets, clusters.withColumnRenamed("component", "cluster")
 
 
@@ -450,7 +463,7 @@ def _with_class(n: int, at: int):
         for b in (x for x in batches if x.num_rows):
             cid = [_class(h) for h in shingle_sets(b.column(at), n)]
             row = [hashlib.blake2b(pickle.dumps(r, 4), digest_size=16).digest() for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.int64()), pa.array(row, pa.binary())], names=[*b.schema.names, "__class", "__row"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.binary()), pa.array(row, pa.binary())], names=[*b.schema.names, "__class", "__row"])
 
     return run
 
@@ -475,7 +488,7 @@ def keep_first(docs: DataFrame, n: int = 5, t100: int = 75) -> DataFrame:
         unclear = nameless if unclear is None else unclear.unionByName(nameless)
     if unclear is None:
         return out
-    fields = [*docs.schema.fields, StructField(cid, LongType()), StructField(row, BinaryType())]
+    fields = [*docs.schema.fields, StructField(cid, BinaryType()), StructField(row, BinaryType())]
     held = materialise(by_arrow(unclear, _with_class(n, docs.columns.index("text")), StructType(fields)), "unclear_rows")
     wordless = held.filter(F.col(cid).isNull())
     met = held.join(first, (F.col(cid) == first["of_class"]) & held["doc_id"].cast("bigint").eqNullSafe(first[by_id]), "left_semi")
