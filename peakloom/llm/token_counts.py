@@ -51,6 +51,8 @@ class PreTokens:
         told = json.loads(self.tokenizer.to_str())
         added = sorted((x["content"] for x in told["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in told["added_tokens"]):
+            raise ValueError("token counts by pre-token need special strings that take no white space and stand anywhere")
         if told["normalizer"]:
             raise ValueError("token counts by pre-token need a tokenizer without a normalizer")
         before = told["pre_tokenizer"] or {}

@@ -38,8 +38,8 @@ from .common import KEPT, batch, by_arrow, columns, materialise, new_path, write
 MAGIC = b"WVM2"
 BLOCK = 16 << 10  # bytes of a plane to a block
 DOCS = 4096  # documents to a block of their table
-_CACHE = 600_000
-PIECE = 16 << 20  # bytes of text encoded at a time
+_CACHE = 500_000
+PIECE = 8 << 20  # bytes of text encoded at a time
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
