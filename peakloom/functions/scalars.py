@@ -31,6 +31,7 @@ def safe_name(c: Column) -> Column:
 
 
 def scientific(c: Column) -> Column:
+    """Two decimals and an exponent; ties round up."""
     return F.format_string("%.2e", c.cast("double"))
 
 

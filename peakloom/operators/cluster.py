@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells of a matrix that a dense step on the driver takes at most.
+DENSE = 4_000_000
+
+
+def dense(frame, what: str):
+    """The rows of a table for a dense step, once it is known that there are few enough."""
+    rows, columns = frame.count(), len(frame.columns)
+    if rows * columns > DENSE:
+        raise ValueError(f"{what}: {rows} rows by {columns} columns are too many for one machine")
+    return frame.toPandas()
+
+
 def consensus(runs: DataFrame) -> DataFrame:
     """runs: (seed, item, label). (a < b, together): the fraction of seeds that label both alike. The matrix is the result; items are a bounded sample."""
     pairs = runs.withColumnRenamed("item", "a").withColumnRenamed("label", "la").join(runs.withColumnRenamed("item", "b").withColumnRenamed("label", "lb"), "seed").filter("a < b")

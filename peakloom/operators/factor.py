@@ -69,9 +69,21 @@ def vectors(entries: DataFrame, row: str, column: str, value: str, columns: list
     return got.select(row, F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0))).alias("x"))
 
 
-def block_nmf(rows: DataFrame, row: str, k: int, n_columns: int, seed: int = 0, rounds: int = 30) -> tuple[np.ndarray, list[float]]:
-    """H and the errors by round, for rows (row, x) of any number: each round fits the rows' weights to H where they lie
-    and sums W'X and W'W over batches; only those sums are gathered."""
+def block_nmf(rows: DataFrame, row: str, k: int, n_columns: int, seed: int = 0, rounds: int = 30, extra: int = 5) -> tuple[np.ndarray, list[float]]:
+    """H and the errors by round, for rows (row, x) of any number, from a fit that isn't collapsed; else from other seeds, and an
+    error at the end. Components come by the rows that they win, the most first."""
+    for s in [seed, *(100_000 + seed * extra + i for i in range(extra))]:
+        h, errors = _block_fit(rows, k, n_columns, s, rounds)
+        if not errors:
+            return h, errors
+        won = dict(map(tuple, transform(rows, row, h).groupBy("dominant").count().collect()))
+        if np.isfinite(errors[-1]) and all(won.get(c + 1) for c in range(k)):
+            return h[np.argsort([-won[c + 1] for c in range(k)], kind="stable")], errors
+    raise RuntimeError(f"every fit at rank {k} collapsed")
+
+
+def _block_fit(rows: DataFrame, k: int, n_columns: int, seed: int, rounds: int) -> tuple[np.ndarray, list[float]]:
+    """Each round fits the rows' weights to H where they lie and sums W'X and W'W over batches; only those sums are gathered."""
     mean = rows.select(F.avg(F.aggregate("x", F.lit(0.0), lambda a, b: a + b)) / n_columns).first()[0] or 0.0
     h, errors = _start(n_columns, k, float(np.sqrt(mean / k)), seed), []
     rows = rows.select("x").persist()  # read each round; what a lost executor held is made again from its source
@@ -199,8 +211,10 @@ def program_summary(dominant: DataFrame, component: str, weight: str, *medians:
 
 def matched_enrichment(df: DataFrame, stratum: str, complexity: str, foreground: str, bins: int = 8) -> DataFrame:
     """log2 enrichment of the foreground in each stratum, within bins of complexity at its quantiles, weighted by the bins' foreground."""
-    qs = [i / bins for i in range(1, bins)]
-    edges = df.agg(F.percentile(complexity, F.array(*map(F.lit, qs))).alias("__e"))
+    from .stats import quantiles
+
+    names = {f"q{i}": i / bins for i in range(1, bins)}
+    edges = quantiles(df, [], complexity, **names).select(F.array(*names).alias("__e"))
     bin_ = F.size(F.filter("__e", lambda e: F.col(complexity) > e))
     one = F.sum(F.col(foreground).cast("bigint"))
     cells = df.crossJoin(edges).groupBy(stratum, bin_.alias("__bin")).agg(one.alias("f"), F.count("*").alias("a"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import null_safe_join
+
 Names = Sequence[str]
 
 
@@ -99,26 +101,44 @@ def nearest_join(points: DataFrame, anchors: DataFrame, on: Names, position: str
     return out if within is None else out.filter(F.abs("distance") <= within)
 
 
-def merge_intervals(df: DataFrame, by: Names, start: str = "start", end: str = "end") -> DataFrame:
-    """The union of each group's half-open intervals; touching ones join."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    island = F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("__opens", opens).withColumn("__island", island)
-    return marked.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+def tiled(df: DataFrame, position: str, tile: int | None) -> DataFrame:
+    """With __tile: a long group's rows are dealt out in tiles of that length; without a length, in one."""
+    return df.withColumn("__tile", F.floor(F.col(position) / tile) if tile else F.lit(0).cast("bigint"))
+
+
+def carried(df: DataFrame, by: Names, **of: tuple) -> DataFrame:
+    """df, of tiled(), with a column for each (kind, column): over all earlier ('before') or later ('after') tiles of the group the
+    sum, least, most. The window's rows are tiles."""
+    kinds = {"sum_before": (F.sum, F.sum, -1), "max_before": (F.max, F.max, -1), "min_after": (F.min, F.min, 1)}
+    tiles = df.groupBy(*by, "__tile").agg(*[kinds[k][0](c).alias(n) for n, (k, c) in of.items()])
+    order = Window.partitionBy(*by).orderBy("__tile")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    tiles = tiles.select(*by, "__tile", *[kinds[k][1](n).over(before if kinds[k][2] < 0 else after).alias(n) for n, (k, _) in of.items()])
+    return null_safe_join(df, tiles, [*by, "__tile"])
+
 
+def merge_intervals(df: DataFrame, by: Names, start: str = "start", end: str = "end", tile: int | None = None) -> DataFrame:
+    """The union of each group's half-open intervals; touching ones join. tile: see tiled."""
+    order = Window.partitionBy(*by, "__tile").orderBy(start, end)
+    reached = carried(tiled(df, start, tile), by, __far=("max_before", end))
+    reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))
+    marked = reached.withColumn("__opens", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).drop("__far")
+    marked = carried(marked, by, __first=("sum_before", "__opens"))
+    island = F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("__first", F.lit(0))
+    return marked.withColumn("__island", island).groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
-def coverage(df: DataFrame, by: Names, start: str = "start", end: str = "end", weight: Column | None = None) -> DataFrame:
-    """Step coverage: (group, start, end, value) where value isn't 0, by a running sum of the steps at the interval ends.
+
+def coverage(df: DataFrame, by: Names, start: str = "start", end: str = "end", weight: Column | None = None, tile: int | None = None) -> DataFrame:
+    """Step coverage: (group, start, end, value) where value isn't 0, by a running sum of the steps at the interval ends. tile: see tiled.
 
     No position is stored that isn't an end of an interval; densify() gives one row per position."""
     weight = F.lit(1) if weight is None else weight
     steps = df.select(*by, F.explode(F.array(F.struct(F.col(start).alias("at"), weight.alias("w")), F.struct(F.col(end).alias("at"), (-weight).alias("w")))).alias("s"))
     steps = steps.groupBy(*by, F.col("s.at").alias("start")).agg(F.sum("s.w").alias("w"))
-    order = Window.partitionBy(*by).orderBy("start")
-    value = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = steps.withColumn("value", value).withColumn("end", F.lead("start").over(order))
+    order = Window.partitionBy(*by, "__tile").orderBy("start")
+    value = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("__had", F.lit(0))
+    steps = carried(tiled(steps, "start", tile), by, __had=("sum_before", "w"), __next=("min_after", "start"))
+    runs = steps.withColumn("value", value).withColumn("end", F.coalesce(F.lead("start").over(order), F.col("__next")))
     return runs.filter("value <> 0 and end is not null").select(*by, "start", "end", "value")
 
 
@@ -156,11 +176,15 @@ def group_weights(df: DataFrame, by: Names) -> DataFrame:
     return df.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(*by)))
 
 
-def gap_clusters(df: DataFrame, by: Names, position: str = "pos", gap: int = 12_500, tie: Names = ()) -> DataFrame:
-    """cluster (from 0 in each group; a step of more than gap opens the next) and cluster_size."""
-    order = Window.partitionBy(*by).orderBy(position, *tie)
-    opens = F.coalesce((F.col(position) - F.lag(position).over(order) > gap).cast("int"), F.lit(0))
-    out = df.withColumn("__opens", opens).withColumn("cluster", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
+def gap_clusters(df: DataFrame, by: Names, position: str = "pos", gap: int = 12_500, tie: Names = (), tile: int | None = None) -> DataFrame:
+    """cluster (from 0 in each group; a step of more than gap opens the next) and cluster_size. tile: see tiled."""
+    order = Window.partitionBy(*by, "__tile").orderBy(position, *tie)
+    held = carried(tiled(df, position, tile), by, __last=("max_before", position))
+    before = F.coalesce(F.lag(position).over(order), F.col("__last"))
+    held = held.withColumn("__opens", F.coalesce((F.col(position) - before > gap).cast("int"), F.lit(0))).drop("__last")
+    held = carried(held, by, __first=("sum_before", "__opens"))
+    cluster = F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("__first", F.lit(0))
+    out = held.withColumn("cluster", cluster).drop("__opens", "__first", "__tile")
     return out.withColumn("cluster_size", F.count("*").over(Window.partitionBy(*by, "cluster")))
 
 
@@ -189,6 +213,28 @@ def multi_bin_occupancy(points: DataFrame, windows: DataFrame, on: Names, featur
     return met.select(feature, anchor_id, bin_label(F.col("offset"), edges).alias("bin")).distinct()
 
 
+def mean_profile(runs: DataFrame, n_anchors: DataFrame, value: str = "value") -> DataFrame:
+    """Coverage runs as means by anchor: value over the number of anchors (one row, one column), at least 1. Raw counts stay as they are."""
+    n = n_anchors.toDF("__n")
+    return runs.crossJoin(n).withColumn(value, F.col(value) / F.greatest("__n", F.lit(1))).drop("__n")
+
+
+def feature_summary(peaks: DataFrame, kept: DataFrame, binary: DataFrame, score: DataFrame, feature: str = "tf") -> DataFrame:
+    """A row for each feature of peaks: peaks in all and kept, totals and maxima of its binary and score coverage runs; the largest
+    binary total first, features without a kept peak with zeros."""
+    size = F.col("end") - F.col("start")
+    runs = lambda df, name: df.groupBy(feature).agg(F.sum(F.col("value") * size).alias(f"{name}_total"), F.max("value").alias(f"{name}_max"))
+    out = peaks.groupBy(feature).agg(F.count("*").alias("n_total")).join(kept.groupBy(feature).agg(F.count("*").alias("n_kept")), feature, "left")
+    out = out.join(runs(binary, "binary"), feature, "left").join(runs(score, "score"), feature, "left").fillna(0)
+    return out.orderBy(F.desc("binary_total"), feature)
+
+
+def contained(elements: DataFrame, points: DataFrame, on: Names, key: str, feature: str, bin_size: int) -> DataFrame:
+    """For each element (key, closed low and high) how many points lie in it, and of how many features; elements without points too."""
+    met = point_in_interval_join(points, elements.select(*on, key, "low", "high"), on, bin_size).groupBy(key).agg(F.count("*").alias("n_points"), F.count_distinct(feature).alias("n_features"))
+    return elements.select(key).distinct().join(met, key, "left").fillna(0)
+
+
 def profile_summary(blocks: DataFrame, feature: str = "tf", value: str = "value") -> DataFrame:
     """Totals and maxima of coverage runs by feature, the largest total first."""
     size = F.col("end") - F.col("start")
@@ -207,6 +253,11 @@ def circular_shift(points: DataFrame, by: Names, chrom: str, position: str, shuf
 
 
 def locality(points: DataFrame, feature: str, distance: str = "distance", near: int = 1_500, far: int = 10_000) -> DataFrame:
+    """Shares of each feature's points near, in the middle and far, the median distance and how many have one."""
+    from .stats import quantiles
+
     d = F.abs(distance)
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return points.filter(F.col(distance).isNotNull()).groupBy(feature).agg(share(d <= near).alias("near"), share((d > near) & (d <= far)).alias("middle"), share(d > far).alias("far"), F.median(d).alias("median_distance"), F.count("*").alias("n"))
+    known = points.filter(F.col(distance).isNotNull()).withColumn("__d", d)
+    got = known.groupBy(feature).agg(share(d <= near).alias("near"), share((d > near) & (d <= far)).alias("middle"), share(d > far).alias("far"), F.count("*").alias("n"))
+    return got.join(quantiles(known, [feature], "__d", median_distance=0.5), feature)

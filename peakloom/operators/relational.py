@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HEAVY = 2000
+
+
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
     return F.try_divide(shared, a + b - shared)
 
@@ -16,16 +19,33 @@ def lift(shared: Column, a: Column, b: Column, n: Column) -> Column:
     return F.try_divide(shared * n, a * b)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, on equal keys, null with null; right may be made of left. Without keys right is one row."""
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    if not keys:
+        return left.crossJoin(right)
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # names of its own, so that a table may meet itself
+    condition = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, condition, how).drop(*names.values())
+
+
 def pair_cooccurrence(members: DataFrame, row: str, item: str, floor: int = 5) -> DataFrame:
     """(item_a < item_b, n_shared, n_a, n_b, jaccard, lift) of items that meet in floor rows or more.
 
     members is made unique first. The self join is on the row key, and its pairs are summed before the second shuffle
-    (map-side); rows are baskets of bounded size. Item totals join by hash and are broadcast only if Spark finds them small."""
+    (map-side). Rows of more than HEAVY items are cut into blocks, and their pairs of blocks dealt out, so that no task makes
+    more than HEAVY squared of a row's pairs. Item totals join by hash and are broadcast only if Spark finds them small."""
     one = members.select(F.col(row).alias("__row"), F.col(item).alias("item")).distinct()
     sizes = one.groupBy("item").agg(F.count("*").alias("n"))
     n_rows = one.agg(F.count_distinct("__row").alias("n_rows"))
-    left, right = one.withColumnRenamed("item", "item_a"), one.withColumnRenamed("item", "item_b")
-    pairs = left.join(right, "__row").filter("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= floor)
+    blocks = one.groupBy("__row").agg(F.ceil(F.count("*") / HEAVY).alias("__n")).filter("__n > 1")
+    dealt = one.join(blocks, "__row", "left").withColumn("__own", F.when(F.col("__n").isNull(), 0).otherwise(F.pmod(F.xxhash64("item"), F.col("__n"))))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__n", F.lit(1)) - 1)))
+    dealt = dealt.select("__row", "item", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own")
+    left, right = (dealt.withColumnsRenamed({"item": f"item_{s}", "__own": f"__own_{s}"}) for s in "ab")
+    met = left.join(right, ["__row", "__i", "__j"]).filter((F.col("item_a") < F.col("item_b")) & ((F.col("__i") == F.col("__j")) | (F.col("__own_a") != F.col("__own_b"))))
+    pairs = met.groupBy("item_a", "item_b").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= floor)
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("item").alias(f"item_{side}"), F.col("n").alias(f"n_{side}")), f"item_{side}")
     pairs = pairs.crossJoin(n_rows)  # one row
@@ -133,3 +153,36 @@ def assert_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def driver_class(n: Column) -> Column:
     return F.when(n.isNull(), "").when(n == 0, "no-driver").when(n == 1, "single-driver").otherwise("multi-driver")
+
+
+def max_by_group(df: DataFrame, members: DataFrame, member: str, group: str, category: str, value: str) -> DataFrame:
+    """(group, category, value): the largest of the group's members' values, as of a gene's transcripts by tissue."""
+    return df.join(members.select(member, group).distinct(), member).groupBy(group, category).agg(F.max(value).alias(value))
+
+
+def member_means(members: DataFrame, values: DataFrame, module: str, item: str, category: str, value: str) -> DataFrame:
+    """(module, category, mean, n_items): mean over a module's distinct items of their values, by category; missing values don't count."""
+    met = members.select(module, item).distinct().join(values.select(item, category, value), item).filter(F.col(value).isNotNull())
+    return met.groupBy(module, category).agg(F.avg(value).alias("mean"), F.count_distinct(item).alias("n_items"))
+
+
+def matrix_rows(modules: DataFrame, members: DataFrame, module: str, item: str, assigned: str, tile: int = 65_536) -> DataFrame:
+    """(row_id, module, item, value 1.0) of the modules with assigned items: row ids are dense from 0 by module number. The module is an
+    integer; ranks are summed over ranges of `tile` numbers, so that no task sorts all modules."""
+    kept = modules.filter(F.col(assigned) > 0).select(module).distinct().withColumn("__t", F.floor(F.col(module) / tile))
+    before = kept.groupBy("__t").agg(F.count("*").alias("__n"))
+    before = before.withColumn("__at", F.coalesce(F.sum("__n").over(Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("__t").orderBy(module)) - 1
+    ids = kept.withColumn("__r", nth).join(before, "__t").select(module, (F.col("__at") + F.col("__r")).alias("row_id"))
+    return members.select(module, item).distinct().join(ids, module).select("row_id", module, item, F.lit(1.0).alias("value"))
+
+
+def collapse(df: DataFrame, group: str, item: str, key: str) -> DataFrame:
+    """One row: groups, items, items to a group (the collapse factor), groups of one item, groups that span several keys."""
+    per = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(item).alias("n"), F.count_distinct(key).alias("k"))
+    return per.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_items"), F.try_divide(F.sum("n"), F.count("*").cast("double")).alias("factor"), F.sum((F.col("n") == 1).cast("bigint")).alias("n_single"), F.sum((F.col("k") > 1).cast("bigint")).alias("n_spanning"))
+
+
+def any_value(df: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    """One value of each column by group; the least, so that results repeat."""
+    return df.groupBy(*by).agg(*[F.min(c).alias(c) for c in columns])

@@ -97,21 +97,8 @@ class Segmenter:
         return 1 / (self.sigma * np.sqrt(2 * np.pi))
 
     def density(self, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The smoothed grid; of few points the kernels are added where they lie, and where the edges mirror them."""
-        size, k = 2 * self.reach + 1, kernel(self.sigma)
-        grid, half = np.bincount(offsets + self.reach, weights, minlength=size), len(k) // 2
-        places = np.flatnonzero(grid)
-        if len(places) > 200 or half > size:
-            return gaussian(grid, self.sigma, self.mode)
-        out = np.zeros(size + 2 * half)
-        for p in places.tolist():
-            out[p : p + 2 * half + 1] += grid[p] * k
-            if self.mode == "reflect":
-                for q in (-1 - p, 2 * size - 1 - p):
-                    if -half <= q < size + half:
-                        a, b = max(0, q), min(size + 2 * half, q + 2 * half + 1)
-                        out[a:b] += grid[p] * k[a - q : b - q]
-        return out[half : half + size]
+        """The smoothed grid."""
+        return gaussian(np.bincount(offsets + self.reach, weights, minlength=2 * self.reach + 1), self.sigma, self.mode)
 
     def segments(self, density: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(low, high, centre, height) as places in the grid."""
@@ -176,11 +163,17 @@ def anchor_modules(points: DataFrame, anchor_id: str, feature: str, offset: str
     return dealt.mapInArrow(run, schema)
 
 
-def module_ids(modules: DataFrame, anchor_id: str) -> DataFrame:
-    """module_id from 0 by (anchor, local index): sizes of the anchors' runs are summed, not the modules sorted in one task."""
+def module_ids(modules: DataFrame, anchor_id: str, tile: int = 65_536) -> DataFrame:
+    """module_id from 0 by (anchor, local index): sizes of the anchors' runs are summed, for numbered anchors in ranges of `tile`
+    numbers and over the ranges, so that neither modules nor anchors are sorted in one task."""
     sizes = modules.groupBy(anchor_id).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(anchor_id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return modules.join(sizes.withColumn("__at", before).drop("__n"), anchor_id).withColumn("module_id", F.col("__at") + F.col("local_idx")).drop("__at")
+    numbered = dict(modules.dtypes)[anchor_id] in ("tinyint", "smallint", "int", "bigint")
+    sizes = sizes.withColumn("__t", F.floor(F.col(anchor_id) / tile) if numbered else F.lit(0))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("__t").agg(F.sum("__n").alias("__s")).withColumn("__lower", before("__s", Window.orderBy("__t"))).drop("__s")
+    sizes = sizes.withColumn("__own", before("__n", Window.partitionBy("__t").orderBy(anchor_id))).join(ranges, "__t")
+    at = sizes.select(anchor_id, (F.col("__own") + F.col("__lower")).alias("__at"))
+    return modules.join(at, anchor_id).withColumn("module_id", F.col("__at") + F.col("local_idx")).drop("__at")
 
 
 def discover(points: DataFrame, chrom: str, feature: str, position: str = "pos", score: str = "score", min_score: float = 250, floor: int = 11, reach: int = 1500, tile: int = 200_000, grid: int = 1, segmenter: Segmenter = Segmenter(mode="constant")) -> DataFrame:
@@ -219,7 +212,7 @@ def label_elements(elements: DataFrame, anchors: DataFrame, chrom: str, anchor:
     """Distance to the nearest anchor, its stratum, gap cluster and cluster size."""
     out = nearest_join(elements, anchors, [chrom], position="center", anchor=anchor, tile=1_000_000)
     out = out.withColumn("stratum", F.when(F.col("distance").isNotNull(), stratum(F.col("distance"), near, far)))
-    return gap_clusters(out, [chrom], "center", gap, tie=["low"])
+    return gap_clusters(out, [chrom], "center", gap, tie=["low"], tile=1_000_000)
 
 
 def gate(elements: DataFrame, modules: DataFrame, chrom: str, within: int, floor: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import null_safe_join
+
 
 def clean(x: str) -> Column:
     """NaN as null."""
@@ -43,11 +46,53 @@ def top_category(df: DataFrame, row: str, category: str, value: str) -> DataFram
     return df.groupBy(row).agg(best).select(row, F.col(f"b.{category}").alias("top"), (-F.col("b.col1")).alias("top_value"))
 
 
+def _ranges(df: DataFrame, value: str, parts: int) -> DataFrame:
+    """df with __part, a number that rises with the value: about equal shares of the rows, by approximate quantiles. These few numbers
+    are read first, so that the plan has no join for them."""
+    found = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts))).first()[0]
+    edges = F.array(*[F.lit(e) for e in sorted(set(found or []))]) if found else F.array().cast("array<double>")
+    return df.withColumn("__part", F.size(F.filter(edges, lambda e: e < F.col(value))))
+
+
+def running_before(df: DataFrame, by: Sequence[str], value: str, count: str, parts: int = 64) -> DataFrame:
+    """df, whose rows are distinct values of a group, with __before: the sum of count over the group's smaller values. Summed in ranges
+    of the value and over the ranges, so that no task holds a group."""
+    held = _ranges(df, value, parts)
+    order = Window.partitionBy(*by, "__part").orderBy(value)
+    held = held.withColumn("__own", F.coalesce(F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = held.groupBy(*by, "__part").agg(F.sum(count).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__lower", before).drop("__s")
+    met = null_safe_join(held, sums, [*by, "__part"])
+    return met.withColumn("__before", F.col("__own") + F.col("__lower")).drop("__own", "__lower", "__part")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, **at: float) -> DataFrame:
+    """(by, a column for each quantile), exact, by linear interpolation: equal values are counted first, and ranks come from running
+    sums, so that no buffer grows with a group. Missing values don't count."""
+    counts = df.select(*by, clean(value).alias("__v")).filter("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    ranked = running_before(counts, by, "__v", "__c")
+    n = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    ranked = null_safe_join(ranked, n, by)
+    ends = []
+    for name, q in at.items():
+        place = (F.col("__n") - 1) * F.lit(float(q))
+        for end, k in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends.append(F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col("__v"))).alias(f"__{name}_{end}"))
+    got = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *ends)
+    part = lambda q: (F.col("__n") - 1) * F.lit(float(q)) - F.floor((F.col("__n") - 1) * F.lit(float(q)))
+    return got.select(*by, *[(F.col(f"__{c}_lo") + (F.col(f"__{c}_hi") - F.col(f"__{c}_lo")) * part(q)).alias(c) for c, q in at.items()])
+
+
+def _with_quantiles(got: DataFrame, q: DataFrame, by: Sequence[str]) -> DataFrame:
+    return null_safe_join(got, q, by, "left")
+
+
 def quantile_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, quartiles (linear interpolation), sample deviation and standard error, of values that aren't missing."""
     v = clean(value)
-    q = lambda p: F.percentile(v, p)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.stddev_samp(v).alias("std"), F.try_divide(F.stddev_samp(v), F.sqrt(F.count(v).cast("double"))).alias("sem"))
+    got = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.try_divide(F.stddev_samp(v), F.sqrt(F.count(v).cast("double"))).alias("sem"))
+    return _with_quantiles(got, quantiles(df, by, value, q1=0.25, median=0.5, q3=0.75), by).select(*by, "n", "mean", "q1", "median", "q3", "std", "sem")
 
 
 def error_bars(stats: DataFrame) -> DataFrame:
@@ -57,7 +102,8 @@ def error_bars(stats: DataFrame) -> DataFrame:
 def fraction_below(df: DataFrame, by: Sequence[str], value: str, limit: float) -> DataFrame:
     """Size, mean, median and the fraction below the limit; missing values count in the fraction's denominator."""
     v = clean(value)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.avg(F.when(v < limit, 1.0).otherwise(0.0)).alias("fraction"))
+    got = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.avg(F.when(v < limit, 1.0).otherwise(0.0)).alias("fraction"))
+    return _with_quantiles(got, quantiles(df, by, value, median=0.5), by).select(*by, "n", "mean", "median", "fraction")
 
 
 def ols(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -83,36 +129,57 @@ def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str = "p_value", q:
     return ranked.withColumn(q, F.least(F.lit(1.0), running)).drop("__r", "__m")
 
 
+def log_factorial(x) -> Column:
+    """ln x! of a number from 0, by Stirling's series from 10 on, below by shifting: fixed work whatever x is."""
+    x = x.cast("double")
+    y = x + 11
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * F.pow(y, 7)) + 1 / (1188 * F.pow(y, 9))
+    shift = x + 1
+    for i in range(2, 11):
+        shift = shift * (x + i)
+    return series - F.log(shift)
+
+
 def hypergeometric(counts: DataFrame, k: str = "k", n: str = "n", big_k: str = "big_k", big_n: str = "big_n") -> DataFrame:
     """Adds p_value = P(X >= k) and odds_ratio (0.5 added to each cell) to rows of counts; only k >= 1 and big_k >= 3 are tested.
 
-    The first term is a sum of logs, the others follow by their ratios, all in one native expression without any table."""
+    The first term comes from logarithms of factorials, the others by their ratios, summed on the side of the mean where k
+    lies and as far as a double tells (40 deviations), all in one native expression without any table."""
     rows = counts.filter((F.col(k) >= 1) & (F.col(big_k) >= 3))
-    # ln C(a, b) as a sum over b terms: exact to rounding, no table to collect
-    ln_choose = lambda a, b: F.aggregate(F.when(b >= 1, F.sequence(F.lit(1).cast("bigint"), b)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda acc, i: acc + F.log((a - b + i).cast("double")) - F.log(i.cast("double")))
-    top = F.least(F.col(n), F.col(big_k))
-    # the first term in logs, the others by their ratios to the one before
-    x0 = F.greatest(F.col(k), F.col(n) + F.col(big_k) - F.col(big_n))
-    first = ln_choose(F.col(big_k), x0) + ln_choose(F.col(big_n) - F.col(big_k), F.col(n) - x0) - ln_choose(F.col(big_n), F.col(n))
-    rest = F.when(top > x0, F.sequence(x0, top - 1)).otherwise(F.array().cast("array<bigint>"))
+    N, K, n_ = (F.col(c).cast("double") for c in (big_n, big_k, n))
+    ln_choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    low, top = F.greatest(F.lit(0), F.col(n) + F.col(big_k) - F.col(big_n)), F.least(F.col(n), F.col(big_k))
+    share = K / N
+    reach = (F.ceil(F.sqrt(n_ * share * (1 - share)) * 40) + 100).cast("bigint")
+    upper = F.col(k) >= n_ * share
+    x0 = F.greatest(low, F.when(upper, F.col(k)).otherwise(F.col(k) - 1))
+    first = ln_choose(K, x0) + ln_choose(N - K, n_ - x0) - ln_choose(N, n_)
+    none = F.array().cast("array<bigint>")
+    rest = F.when(upper, F.when(top > x0, F.sequence(x0, F.least(top - 1, x0 + reach))).otherwise(none)).otherwise(F.when(x0 > low, F.sequence(x0, F.greatest(low + 1, x0 - reach))).otherwise(none))
     zero = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
     def step(acc, x):
-        ratio = ((F.col(big_k) - x).cast("double") * (F.col(n) - x)) / ((x + 1).cast("double") * (F.col(big_n) - F.col(big_k) - F.col(n) + x + 1))
+        up = ((F.col(big_k) - x).cast("double") * (F.col(n) - x)) / ((x + 1).cast("double") * (F.col(big_n) - F.col(big_k) - F.col(n) + x + 1))
+        down = (x.cast("double") * (F.col(big_n) - F.col(big_k) - F.col(n) + x)) / ((F.col(big_k) - x + 1).cast("double") * (F.col(n) - x + 1))
+        ratio = F.when(upper, up).otherwise(down)
         return F.struct((acc["t"] * ratio).alias("t"), (acc["s"] + acc["t"] * ratio).alias("s"))
 
-    tail = F.aggregate(rest, zero, step, lambda acc: acc["s"])
+    side = F.exp(first) * F.aggregate(rest, zero, step, lambda acc: acc["s"])
+    p = F.when(F.col(k) <= low, 1.0).when(upper, side).otherwise(1 - side)
     a, b = F.col(k) + 0.5, F.col(n) - F.col(k) + 0.5
     c = F.col(big_k) - F.col(k) + 0.5
     d = F.col(big_n) - F.col(big_k) - (F.col(n) - F.col(k)) + 0.5
-    return rows.withColumn("p_value", F.least(F.lit(1.0), F.exp(first) * tail)).withColumn("odds_ratio", (a / b) / (c / d))
+    return rows.withColumn("p_value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).withColumn("odds_ratio", (a / b) / (c / d))
 
 
-def enrichment(foreground: DataFrame, sets: DataFrame, universe: DataFrame, by: str, item: str = "item", term: str = "term") -> DataFrame:
+def enrichment(foreground: DataFrame, sets: DataFrame, universe: DataFrame, by: str, item: str = "item", term: str = "term", background: DataFrame | None = None) -> DataFrame:
     """Hypergeometric tests of each group's items against each term's, with q over the tested terms of a group.
 
-    foreground: (by, item), sets: (term, item), universe: (item); all made unique and cut to the universe."""
+    foreground: (by, item), sets: (term, item), universe: (item); all made unique and cut to the universe. background: (item),
+    tests count only what is in it and the universe."""
     universe = universe.select(item).distinct()
+    if background is not None:
+        universe = universe.join(background.select(item).distinct(), item, "left_semi")
     fg = foreground.select(by, item).distinct().join(universe, item, "left_semi")
     st = sets.select(term, item).distinct().join(universe, item, "left_semi")
     hits = fg.join(st, item).groupBy(by, term).agg(F.count("*").alias("k"))
@@ -120,17 +187,30 @@ def enrichment(foreground: DataFrame, sets: DataFrame, universe: DataFrame, by:
     return benjamini_hochberg(hypergeometric(counts), [by])
 
 
+def enrichment_two_backgrounds(foreground: DataFrame, sets: DataFrame, universe: DataFrame, by: str, item: str = "item", term: str = "term") -> DataFrame:
+    """The tests against both backgrounds: 'own', the items that are in any foreground, and 'whole', the universe."""
+    own = enrichment(foreground, sets, universe, by, item, term, foreground.select(item))
+    return own.withColumn("background", F.lit("own")).unionByName(enrichment(foreground, sets, universe, by, item, term).withColumn("background", F.lit("whole")))
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """rank with ties at their mean."""
-    keys = list(by) or [F.lit(1)]
-    return df.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """rank with ties at their mean; values are counted first, and ranks are running sums over ranges of the value."""
+    counts = running_before(df.groupBy(*by, value).agg(F.count("*").alias("__c")), by, value, "__c")
+    ranks = counts.select(*by, value, (F.col("__before") + (F.col("__c") + 1) / 2).alias("rank"))
+    return null_safe_join(df, ranks, [*by, value])
+
+
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
+    """(by, r, n): Pearson of average ranks, over pairs without null or NaN."""
+    d = df.select(*by, clean(x).alias("__sx"), clean(y).alias("__sy")).filter("__sx is not null and __sy is not null")
+    d = average_ranks(average_ranks(d, "__sx", by).withColumnRenamed("rank", "__rx"), "__sy", by)
+    return pearson(d, by, "__rx", "rank", least)
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve of a score against 0/1 labels, ties a half. Scores are counted first: the window's rows are distinct scores."""
+    """Area under the curve of a score against 0/1 labels, ties a half. Scores are counted first, and summed in ranges."""
     at = df.select(clean(score).alias("s"), F.col(label).cast("int").alias("y")).filter("s is not null and y is not null").groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = at.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running_before(at, [], "s", "neg").withColumn("won", F.col("pos") * (F.col("__before") + F.col("neg") / 2))
     return won.agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
@@ -208,3 +288,50 @@ def member_rollup(members: DataFrame, values: DataFrame, module: str, item: str,
     v = members.select(module, item).distinct().join(values.select(item, clean(value).alias("__v")), item).filter("__v is not null")
     least = F.min(F.struct("__v", item)).alias("b")
     return v.groupBy(module).agg(F.median("__v").alias("median"), F.count("*").alias("n"), least).select(module, "median", "n", F.col(f"b.{item}").alias("best"), F.col("b.__v").alias("best_value"))
+
+
+def pairwise_ari(runs: DataFrame, rank: str, seed: str, item: str, label: str) -> DataFrame:
+    """(rank, a, b, ari) for each two seeds of a rank, from their tables of label counts; seeds are few, items any number."""
+    l, r = (runs.select(rank, item, F.col(seed).alias(s), F.col(label).alias(f"l{s}")) for s in "ab")
+    cells = l.join(r, [rank, item]).filter("a < b").groupBy(rank, "a", "b", "la", "lb").agg(F.count("*").alias("c"))
+    pairs = lambda df, name: df.groupBy(rank, "a", "b").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name), F.sum("c").alias(f"{name}_n"))
+    side = lambda s, name: pairs(cells.groupBy(rank, "a", "b", f"l{s}").agg(F.sum("c").alias("c")), name).drop(f"{name}_n")
+    t = pairs(cells, "ij").join(side("a", "i"), [rank, "a", "b"]).join(side("b", "j"), [rank, "a", "b"])
+    expected = F.try_divide(F.col("i") * F.col("j"), F.col("ij_n") * (F.col("ij_n") - 1) / 2)
+    return t.select(rank, "a", "b", F.coalesce(F.try_divide(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected), F.lit(1.0)).alias("ari"))
+
+
+def ari_by_rank(pairs: DataFrame, rank: str) -> DataFrame:
+    """Of pairwise_ari by rank: pairs, mean, quartiles, and whether its median is the largest (ties: the smallest rank)."""
+    got = quantile_stats(pairs, [rank], "ari").select(rank, "n", "mean", "q1", "median", "q3")
+    best = got.agg(F.max(F.struct(F.round("median", 9).alias("m"), (-F.col(rank)).alias("r"))).alias("b")).select((-F.col("b.r")).alias("__best"))
+    return got.crossJoin(best).withColumn("picked", F.col(rank) == F.col("__best")).drop("__best")
+
+
+def consensus_dispersion(runs: DataFrame, seed: str, item: str, label: str) -> DataFrame:
+    """Of the items-by-items matrix C of the share of seeds that label two alike: n_items, mean, and dispersion, the mean of 4 (C - 1/2)^2.
+
+    Both follow from the label counts of each two seeds, so that the matrix is never made: work is items times seeds squared."""
+    l, r = (runs.select(item, F.col(seed).alias(s), F.col(label).alias(f"l{s}")) for s in "ab")
+    cells = l.join(r, item).groupBy("a", "b", "la", "lb").agg(F.count("*").cast("double").alias("c"))
+    n = runs.agg(F.count_distinct(item).alias("n_items"), F.count_distinct(seed).cast("double").alias("s"))
+    both = cells.agg(F.sum(F.when((F.col("a") == F.col("b")) & F.col("la").eqNullSafe(F.col("lb")), F.col("c") * F.col("c"))).alias("one"), F.sum(F.col("c") * F.col("c")).alias("two")).crossJoin(n)
+    pairs = F.col("n_items").cast("double") * F.col("n_items")
+    mean = F.col("one") / F.col("s") / pairs
+    return both.select("n_items", mean.alias("mean"), (4 * F.col("two") / (F.col("s") * F.col("s")) / pairs - 4 * mean + 1).alias("dispersion"))
+
+
+def first_floor(fdr: DataFrame, target: float) -> DataFrame:
+    """One row: the first floor whose fdr is at most the target, and its numbers; null if none is."""
+    best = F.min(F.when(F.col("fdr") <= target, F.struct("floor", "observed", "null_mean", "fdr"))).alias("b")
+    return fdr.agg(best).select("b.floor", "b.observed", "b.null_mean", "b.fdr")
+
+
+def recovery(df: DataFrame, support: str, hit: str, distance: str, edges: Sequence[int]) -> DataFrame:
+    """By bin of support (bin k holds the values from edges[k - 1] up to below edges[k]): rows, the share hit, median distance."""
+    bin_ = F.lit(0)
+    for e in edges:
+        bin_ = bin_ + (F.col(support) >= e).cast("int")
+    held = df.withColumn("bin", bin_)
+    got = held.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col(hit), F.lit(False)).cast("int")).alias("recovered"))
+    return _with_quantiles(got, quantiles(held.withColumn("__d", F.abs(distance)), ["bin"], "__d", median_distance=0.5), ["bin"])

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,26 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, at, ignore_errors=True)
     context.addPyFile(shutil.make_archive(f"{at}/peakloom", "zip", root, "peakloom"))
     context._peakloom_shipped = True
+
+
+_OWN: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), deleted when the application ends. Where the
+    setting is unset: a folder of our own in local mode (tests), else an error, for executors couldn't see that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="peakloom-")
+            atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
+        root = f"file://{_OWN['dir']}"
+    own = f"{root.rstrip('/')}/peakloom-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(own)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return f"{own}/{uuid.uuid4().hex}/{label}"

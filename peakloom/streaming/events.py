@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a parquet file or folder; the schema is the files' own."""
@@ -19,12 +19,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
     spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{shared.rstrip('/')}/streams/{name}" if shared else tempfile.mkdtemp(prefix="peakloom-stream-")
+    at = scratch(spark, name)
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
     q.awaitTermination()
-    if not shared:
-        shutil.rmtree(at, ignore_errors=True)
     return spark.table(name)
 
 

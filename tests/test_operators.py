@@ -204,3 +204,64 @@ def test_streams(spark, tmp_path):
     split_stream(spark, path, str(tmp_path / "halves"))
     halves = spark.read.parquet(str(tmp_path / "halves"))
     assert halves.count() == events.count() and halves.groupBy("user_id").agg(F.count_distinct("half").alias("h")).filter("h > 1").isEmpty()
+
+
+def test_hypergeometric_is_exact(spark):
+    from fractions import Fraction
+
+    cases = [(k, n, big_k, big_n) for k, n, big_k, big_n in [(1, 5, 3, 10), (3, 3, 3, 3), (2, 40, 50, 90), (30, 40, 50, 90), (10, 40, 50, 90), (5, 5, 80, 90), (200, 1000, 2000, 9000), (260, 1000, 2000, 9000), (120, 1000, 2000, 9000)]]
+    got = stats.hypergeometric(spark.createDataFrame(cases, "k bigint, n bigint, big_k bigint, big_n bigint")).collect()
+    for r in got:
+        total = math.comb(r.big_n, r.n)
+        want = sum(Fraction(math.comb(r.big_k, x) * math.comb(r.big_n - r.big_k, r.n - x), total) for x in range(r.k, min(r.n, r.big_k) + 1) if r.n - x <= r.big_n - r.big_k)
+        assert abs(r.p_value - float(want)) < 1e-9 * max(1e-3, float(want)) + 1e-12, r
+    big = spark.createDataFrame([(50_500, 10**6, 5 * 10**6, 10**8)], "k bigint, n bigint, big_k bigint, big_n bigint")
+    assert 0 < stats.hypergeometric(big).first().p_value < 0.05
+
+
+def test_quantiles_and_ranks(spark):
+    rng = np.random.default_rng(1)
+    rows_ = [(str(g), float(v)) for g in range(3) for v in rng.integers(0, 40, 200 + g)] + [("1", None), ("1", float("nan")), ("x", 5.0), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows_, "g string, v double")
+    got = {r.g: r for r in stats.quantiles(df, ["g"], "v", a=0.0, b=0.25, c=0.5, d=0.9, e=1.0).collect()}
+    for g in ("0", "1", "2", "x", None):
+        v = [x for h, x in rows_ if h == g and x is not None and x == x]
+        assert np.allclose([got[g][c] for c in "abcde"], np.quantile(v, [0, 0.25, 0.5, 0.9, 1]))
+    assert stats.quantiles(df, [], "v", m=0.5).first().m == np.median([x for _, x in rows_ if x is not None and x == x])
+    ranks = {r.v: r["rank"] for r in stats.average_ranks(df.filter("g = '0'"), "v").collect()}
+    v = sorted(x for h, x in rows_ if h == "0")
+    assert all(ranks[x] == np.mean([i + 1 for i, y in enumerate(v) if y == x]) for x in v)
+
+
+def test_tiles_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(str(g), int(s), int(s + n), int(w)) for g, s, n, w in zip(rng.integers(0, 2, 300), rng.integers(0, 9000, 300), rng.integers(1, 200, 300), rng.integers(1, 9, 300))], "tf string, start long, end long, w int")
+    for tile in (50, 700, 10**6):
+        for f in (lambda t: intervals.coverage(df, ["tf"], tile=t), lambda t: intervals.coverage(df, ["tf"], weight=F.col("w"), tile=t), lambda t: intervals.merge_intervals(df, ["tf"], tile=t)):
+            assert rows(f(tile), "tf", "start") == rows(f(None), "tf", "start")
+        clusters = lambda t: intervals.gap_clusters(df, ["tf"], "start", 60, tie=["end", "w"], tile=t)
+        assert sorted(map(tuple, clusters(tile).collect())) == sorted(map(tuple, clusters(None).collect()))
+
+
+def test_heavy_rows_are_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(int(r), int(i)) for r, i in zip(rng.integers(0, 4, 400), rng.integers(0, 60, 400))], "r int, i int")
+    want = rows(relational.pair_cooccurrence(df, "r", "i", 1), "item_a", "item_b")
+    monkeypatch.setattr(relational, "HEAVY", 7)
+    assert rows(relational.pair_cooccurrence(df, "r", "i", 1), "item_a", "item_b") == want
+
+
+def test_dense_steps_refuse_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "DENSE", 10)
+    with pytest.raises(ValueError):
+        cluster.dense(spark.range(11), "x")
+
+
+def test_module_and_matrix_ids(spark):
+    found = spark.createDataFrame([(a, i) for a in (-3, 5, 200_000, 70_000) for i in range(3)], "anchor_id long, local_idx int")
+    got = rows(segment.module_ids(found, "anchor_id", tile=1000), "anchor_id", "local_idx")
+    assert [r[2] for r in got] == list(range(12))
+    modules = spark.createDataFrame([(m, m % 3) for m in range(0, 900, 7)], "m long, n int")
+    cells = relational.matrix_rows(modules, modules.withColumn("i", F.lit("x")), "m", "i", "n", tile=64)
+    kept = [m for m in range(0, 900, 7) if m % 3]
+    assert [(r[0], r[1]) for r in rows(cells, "row_id")] == list(enumerate(kept))
