@@ -309,12 +309,11 @@ def hypergeom_bh(spark, sf):
     return rounded(st.enrichment(foreground, bought, universe, "g"), 6, "p_value", "odds_ratio", "q_value").select("g", "term", "k", "n", "big_k", "big_n", "p_value", "odds_ratio", "q_value")
 
 
-@query("""WITH d AS (SELECT label AS a, list_position(embedding[1:10], list_max(embedding[1:10])) AS b FROM embeddings), c AS (SELECT a, b, count(*) AS c FROM d GROUP BY 1, 2),
+@query("""WITH d AS (SELECT label AS a, list_position(embedding, list_max(embedding)) AS b FROM embeddings), c AS (SELECT a, b, count(*) AS c FROM d GROUP BY 1, 2),
 t AS (SELECT sum(c * (c - 1) / 2) AS ij, sum(c) AS n FROM c), x AS (SELECT sum(c * (c - 1) / 2) AS i FROM (SELECT sum(c) AS c FROM c GROUP BY a)), y AS (SELECT sum(c * (c - 1) / 2) AS j FROM (SELECT sum(c) AS c FROM c GROUP BY b))
 SELECT round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)), 6) AS ari, CAST(n AS BIGINT) AS n FROM t, x, y""")
 def ari(spark, sf):
-    first = F.slice("embedding", 1, 10)
-    return rounded(st.adjusted_rand(table(spark, sf, "embeddings").select(F.col("label").alias("a"), F.array_position(first, F.array_max(first)).alias("b")), "a", "b"), 6, "ari")
+    return rounded(st.adjusted_rand(table(spark, sf, "embeddings").select(F.col("label").alias("a"), F.array_position("embedding", F.array_max("embedding")).alias("b")), "a", "b"), 6, "ari")
 
 
 @query("""WITH d AS (SELECT n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS k FROM d)
@@ -324,14 +323,20 @@ def auc_rank(spark, sf):
     return rounded(st.auc(scored, "n_chars", "quality"), 6, "auc")
 
 
-@query("""WITH l AS (SELECT k AS seed, vec_id, floor((embedding[k] + 1) * 2) AS lab FROM embeddings, (SELECT unnest(range(1, 6)) AS k) WHERE vec_id < 40)
-SELECT a.vec_id AS a, b.vec_id AS b, round(avg(CASE WHEN a.lab = b.lab THEN 1.0 ELSE 0.0 END), 6) AS together FROM l a JOIN l b ON a.seed = b.seed AND a.vec_id < b.vec_id GROUP BY 1, 2""")
-def consensus_matrix(spark, sf):
-    """Of 40 items (the matrix is items by items), how often five labellings put two of them together."""
-    from ..operators.cluster import consensus
+def labellings(spark, sf):
+    """Each dimension of the embeddings as a labelling of all of them by its sign."""
+    runs = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("seed", "x"))
+    return runs.select("seed", F.col("vec_id").alias("item"), (F.col("x") > 0).cast("int").alias("label"))
 
-    runs = table(spark, sf, "embeddings").filter("vec_id < 40").select("vec_id", F.posexplode(F.slice("embedding", 1, 5)).alias("seed", "x"))
-    return rounded(consensus(runs.select("seed", F.col("vec_id").alias("item"), F.floor((F.col("x") + 1) * 2).alias("label"))), 6, "together")
+
+SIGNS = "l AS (SELECT s AS seed, vec_id AS item, (embedding[s] > 0)::INT AS label FROM embeddings, (SELECT unnest(range(1, 65)) AS s) WHERE s <= len(embedding))"
+
+
+@query(f"""WITH {SIGNS}, c AS (SELECT a.item AS a, b.item AS b, avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END) AS c FROM l a JOIN l b ON a.seed = b.seed GROUP BY 1, 2)
+SELECT (SELECT count(DISTINCT item) FROM l) AS n_items, round(avg(c), 6) AS mean, round(avg(4 * (c - 0.5) * (c - 0.5)), 6) AS dispersion FROM c""")
+def consensus_dispersion(spark, sf):
+    """How often 64 labellings put two of all items together, and how decided that is; the SQL makes the items-by-items matrix."""
+    return rounded(st.consensus_dispersion(labellings(spark, sf), "seed", "item", "label"), 6, "mean", "dispersion")
 
 
 @query("""WITH d AS (SELECT l_returnflag AS s, l_quantity AS c, l_linestatus = 'O' AS fg FROM lineitem), e AS (SELECT [quantile_cont(c, 0.25), quantile_cont(c, 0.5), quantile_cont(c, 0.75)] AS e FROM d),
@@ -384,29 +389,29 @@ def blocks(spark, sf):
 
 @query(f"WITH {P}, {BLOCKS}, {MERGED} " + STEPS.format(w="1", b="merged").replace("value FROM (", "CAST(value AS BIGINT) AS value FROM (", 1))
 def coverage_binary(spark, sf):
-    return iv.coverage(iv.merge_intervals(blocks(spark, sf), ["tf"]), ["tf"])
+    return iv.coverage(iv.merge_intervals(blocks(spark, sf), ["tf"], tile=DAY), ["tf"], tile=DAY)
 
 
 @query(f"WITH {P}, {BLOCKS} " + STEPS.format(w="score", b="b").replace("value FROM (", "CAST(value AS BIGINT) AS value FROM (", 1))
 def coverage_score(spark, sf):
-    return iv.coverage(blocks(spark, sf), ["tf"], weight=F.col("score"))
+    return iv.coverage(blocks(spark, sf), ["tf"], weight=F.col("score"), tile=DAY)
 
 
 @query(f"WITH {P}, {BLOCKS} " + STEPS.format(w="1", b="b").replace("value FROM (", "CAST(value AS BIGINT) AS value FROM (", 1))
 def coverage_raw(spark, sf):
-    return iv.coverage(blocks(spark, sf), ["tf"])
+    return iv.coverage(blocks(spark, sf), ["tf"], tile=DAY)
 
 
 @query(f"""WITH {P}, {BLOCKS}, lo AS (SELECT CAST(floor(min(s) / 3600) * 3600 AS BIGINT) AS lo FROM b), c AS (SELECT tf, s - lo AS s, e - lo AS e FROM b, lo), k AS (SELECT tf, s, e, unnest(range(s // 3600, (e - 1) // 3600 + 1)) AS bin FROM c)
-SELECT tf, bin, CAST(sum(least(e, (bin + 1) * 3600) - greatest(s, bin * 3600)) AS BIGINT) AS value FROM k WHERE bin < 500 GROUP BY 1, 2""")
+SELECT tf, bin, CAST(sum(least(e, (bin + 1) * 3600) - greatest(s, bin * 3600)) AS BIGINT) AS value FROM k WHERE bin < (SELECT max(e) // 3600 FROM c) GROUP BY 1, 2""")
 def rebinned_coverage(spark, sf):
-    first = blocks(spark, sf).agg(F.floor(F.min("start") / 3600) * 3600).first()[0]
-    return iv.rebin(iv.coverage(blocks(spark, sf), ["tf"]), ["tf"], 3600, 500, first or 0)
+    first, end = blocks(spark, sf).agg(F.floor(F.min("start") / 3600) * 3600, F.max("end")).first()
+    return iv.rebin(iv.coverage(blocks(spark, sf), ["tf"], tile=DAY), ["tf"], 3600, ((end or 0) - (first or 0)) // 3600, first or 0)
 
 
 @query(f"WITH {P}, {BLOCKS}, {MERGED} SELECT tf, s AS start, e AS \"end\" FROM merged")
 def merge_intervals(spark, sf):
-    return iv.merge_intervals(blocks(spark, sf), ["tf"])
+    return iv.merge_intervals(blocks(spark, sf), ["tf"], tile=DAY)
 
 
 @query(f"WITH {P} SELECT event_id, round(1.0 / count(*) OVER (PARTITION BY chrom, tf ORDER BY pos RANGE BETWEEN {10 * DAY} PRECEDING AND {10 * DAY} FOLLOWING), 6) AS weight FROM peaks")
@@ -417,7 +422,7 @@ def local_weight(spark, sf):
 @query(f"""WITH {P}, g AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, event_id) > {2 * DAY} THEN 1 ELSE 0 END AS o FROM peaks), c AS (SELECT *, CAST(sum(o) OVER (PARTITION BY chrom ORDER BY pos, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM g)
 SELECT event_id, cluster, count(*) OVER (PARTITION BY chrom, cluster) AS cluster_size FROM c""")
 def gap_clusters(spark, sf):
-    return iv.gap_clusters(peaks(spark, sf), ["chrom"], gap=2 * DAY, tie=["event_id"]).select("event_id", "cluster", "cluster_size")
+    return iv.gap_clusters(peaks(spark, sf), ["chrom"], gap=2 * DAY, tie=["event_id"], tile=5 * DAY).select("event_id", "cluster", "cluster_size")
 
 
 def _nearest_sql(tie: str) -> str:
@@ -431,18 +436,18 @@ def nearest_anchor(spark, sf):
 
 @query(f"WITH {P}, {_nearest_sql('right')} SELECT event_id, nearest, pos - nearest AS distance FROM n WHERE abs(pos - nearest) <= {3 * DAY}")
 def nearest_anchor_within(spark, sf):
-    return iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"], tie="right", within=3 * DAY).select("event_id", "nearest", "distance")
+    return iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"], tie="right", within=3 * DAY, tile=10 * DAY).select("event_id", "nearest", "distance")
 
 
 @query(f"WITH {P}, {_nearest_sql('left')} SELECT CASE WHEN abs(pos - nearest) <= {DAY} THEN 'promoter' WHEN abs(pos - nearest) <= {5 * DAY} THEN 'proximal' ELSE 'distal' END AS stratum, count(*) AS n FROM n GROUP BY 1")
 def strata_counts(spark, sf):
-    near = iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"])
+    near = iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"], tile=10 * DAY)
     return near.groupBy(iv.stratum(F.col("distance"), DAY, 5 * DAY).alias("stratum")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {P}, {_nearest_sql('left')} SELECT tf, round(avg(CASE WHEN abs(pos - nearest) <= {DAY} THEN 1.0 ELSE 0.0 END), 6) AS near, round(avg(CASE WHEN abs(pos - nearest) > {DAY} AND abs(pos - nearest) <= {5 * DAY} THEN 1.0 ELSE 0.0 END), 6) AS middle, round(avg(CASE WHEN abs(pos - nearest) > {5 * DAY} THEN 1.0 ELSE 0.0 END), 6) AS far, median(abs(pos - nearest)) AS median_distance, count(*) AS n FROM n WHERE nearest IS NOT NULL GROUP BY tf")
 def tf_locality(spark, sf):
-    near = iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"])
+    near = iv.nearest_join(peaks(spark, sf).filter("tf <> 'purchase'"), anchors(spark, sf), ["chrom"], tile=10 * DAY)
     return rounded(iv.locality(near, "tf", near=DAY, far=5 * DAY), 6, "near", "middle", "far")
 
 
@@ -559,7 +564,10 @@ def archetypes(spark, sf):
 def _brand_matrix(spark, sf):
     """Brand by type counts: as many rows and columns as there are brands and part types."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    return table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("p_brand").pivot("p_type").count().fillna(0).orderBy("p_brand").toPandas()
+    from ..operators.cluster import dense
+
+    counts = table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("p_brand").pivot("p_type").count().fillna(0).orderBy("p_brand")
+    return dense(counts, "brands by types")
 
 
 @query()
@@ -603,7 +611,13 @@ def program_matching(spark, sf):
     return spark.createDataFrame([(i + 1, j + 1, greedy[i] + 1, float(c[i, j])) for i, j in assign(1 - c)], "a int, b int, greedy int, cosine double")
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT p_brand AS term, o_custkey AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), z AS (SELECT term, count(*) AS n FROM s GROUP BY term HAVING count(*) >= 3),
+o AS (SELECT item, arg_min(term, (n, term)) AS term FROM s JOIN z USING (term) GROUP BY item), c AS (SELECT term, c_mktsegment AS seg, count(*)::DOUBLE AS c FROM o JOIN customer ON c_custkey = item GROUP BY 1, 2),
+x AS (SELECT term, sum(c) AS x FROM c GROUP BY term), y AS (SELECT seg, sum(c) AS y FROM c GROUP BY seg), t AS (SELECT sum(c) AS n FROM c),
+mi AS (SELECT sum(c / n * ln(n * c / (x * y))) AS mi FROM c JOIN x USING (term) JOIN y USING (seg), t), h AS (SELECT (SELECT -sum(x / n * ln(x / n)) FROM x, t) AS hx, (SELECT -sum(y / n * ln(y / n)) FROM y, t) AS hy),
+e AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS e
+  FROM (SELECT x, y, n, unnest(range(CAST(greatest(1, x + y - n) AS BIGINT), CAST(least(x, y) AS BIGINT) + 1))::DOUBLE AS k FROM x, y, t))
+SELECT round((mi - e) / ((hx + hy) / 2 - e), 6) AS ami, CAST(n AS BIGINT) AS n FROM mi, h, e, t""")
 def ami(spark, sf):
     """Agreement of customers' segments with the smallest brand set that holds each, by counts of the two labellings."""
     from ..operators.cluster import adjusted_mutual_information, smallest_set_label
@@ -615,7 +629,7 @@ def ami(spark, sf):
     import numpy as np
 
     got = adjusted_mutual_information(np.repeat(np.array(a), n), np.repeat(np.array(b), n))
-    return spark.createDataFrame([(float(got), int(sum(n)))], "ami double, n bigint")
+    return spark.createDataFrame([(round(float(got), 6), int(sum(n)))], "ami double, n bigint")
 
 
 @query("SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) AS n FROM events WHERE value >= 20 GROUP BY 1, 2")
@@ -626,9 +640,12 @@ def stream_counts(spark, sf):
     return drained_counts(spark, f"{sf}/events.parquet", 20)
 
 
-@query("SELECT CAST(k AS BIGINT) AS bin, count(o_orderkey) AS n FROM (SELECT unnest(range(0, 20)) AS k) LEFT JOIN orders ON o_totalprice >= 0 AND o_totalprice <= 400000 AND least(floor(o_totalprice / 20000), 19) = k GROUP BY k")
+@query("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 20)), 19) AS k FROM orders, e)
+SELECT CAST(r.k AS BIGINT) AS bin, count(b.k) AS n FROM (SELECT unnest(range(0, 20)) AS k) r LEFT JOIN b ON b.k = r.k GROUP BY r.k""")
 def histogram(spark, sf):
-    return st.histogram(table(spark, sf, "orders"), "o_totalprice", 0, 400_000, 20)
+    """Twenty bins from the least to the largest price."""
+    low, high = table(spark, sf, "orders").agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    return st.histogram(table(spark, sf, "orders"), "o_totalprice", low, high, 20)
 
 
 @query(f"WITH {NATION} SELECT col, round(sum(ln(1 + x)), 4) AS weight, row_number() OVER (ORDER BY sum(ln(1 + x)) DESC, col) AS place FROM v GROUP BY col")
@@ -636,9 +653,10 @@ def column_order(spark, sf):
     return rounded(st.column_order(nation_values(spark, sf), "col", "x"), 4, "weight")
 
 
-@query()
+@query("WITH q AS (" + ORACLES["hypergeom_bh"] + """), best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY q_value, p_value, term) AS place FROM q WHERE q_value < 0.9), five AS (SELECT * FROM best WHERE place <= 5)
+SELECT count(DISTINCT g) AS n_groups, round(median(-log10(greatest(q_value, 1e-300))) FILTER (place = 1), 6) AS median_top, round(median(odds_ratio), 6) AS median_odds, count(DISTINCT term) AS n_terms, avg(CASE WHEN big_k >= 1000 THEN 1.0 ELSE 0.0 END) AS generic_share FROM five""")
 def enrichment_quality(spark, sf):
-    return st.enrichment_quality(hypergeom_bh(spark, sf), "g", least_q=0.9)
+    return rounded(st.enrichment_quality(hypergeom_bh(spark, sf), "g", least_q=0.9), 6, "median_top", "median_odds")
 
 
 @query(f"""WITH {P}, x AS (SELECT DISTINCT tf AS item, pos // {DAY} AS unit, chrom AS e, s AS level FROM peaks JOIN (SELECT unnest([0, 50, 100, 200]) AS s) ON score >= s), h AS (SELECT level, item, e, (row_number() OVER (PARTITION BY level, item ORDER BY md5(CAST(e AS VARCHAR)), e) - 1) % 2 AS half FROM (SELECT DISTINCT level, item, e FROM x)),

@@ -167,3 +167,120 @@ def resume(spark: SparkSession, path: str, build) -> DataFrame:
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         write_table(build(), path)
     return spark.read.parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_files(df: DataFrame, path: str, by: str, suffix: str) -> None:
+    """One gzipped tab-separated file for each value of a column, named by it: path/value + suffix. Files are named on the driver, for
+    features are some thousands; the rows of one go through one task, as one file must."""
+    spark, folder = df.sparkSession, f"{path}-parts"
+    df.withColumn("__key", F.col(by)).repartition(by).write.partitionBy("__key").option("compression", "gzip").csv(folder, sep="\t")
+    root, store = _store(spark, folder)
+    store.mkdirs(_store(spark, path)[0])
+    for d in store.listStatus(root):
+        if d.isDirectory():
+            value = d.getPath().getName().partition("=")[2]
+            for f in store.listStatus(d.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    store.rename(f.getPath(), _store(spark, f"{path}/{value}{suffix}")[0])
+    store.delete(root, True)
+
+
+def read_samples(spark: SparkSession, path: str, samples: str, known: DataFrame, sample: str = "SAMPID", tissue: str = "SMTSD") -> DataFrame:
+    """(transcript_id, tissue, tpm, sample) of a wide TSV of transcripts (versioned) by samples: of the known transcripts, and of samples
+    that the table at `samples` gives a tissue. The table of samples shapes the plan and is small; cells are never joined to it."""
+    of = {r[0]: r[1] for r in spark.read.csv(samples, sep="\t", header=True).filter(F.col(tissue).isNotNull()).select(sample, tissue).collect()}
+    wide = spark.read.csv(path, sep="\t", header=True)
+    cells = F.explode(F.array(*[F.struct(F.lit(of[c]).alias("tissue"), F.expr(f"try_cast(`{c}` AS double)").alias("tpm"), F.lit(c).alias("sample")) for c in wide.columns if c in of]))
+    rows = wide.withColumn("transcript_id", F.substring_index("transcript_id", ".", 1)).join(known.select("transcript_id").distinct(), "transcript_id", "left_semi")
+    return rows.select("transcript_id", cells.alias("x")).select("transcript_id", "x.tissue", "x.tpm", "x.sample")
+
+
+def sparse_blocks(cells: DataFrame, rows: int) -> DataFrame:
+    """(first_row, content): cells (row, col, value) as compressed sparse row blocks of so many rows, each an npz with data, indices,
+    indptr, shape and row numbers."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["row", "col"])
+        names, at = np.unique(frame["row"].to_numpy(), return_index=True)
+        held = io.BytesIO()
+        np.savez_compressed(held, data=frame["value"].to_numpy(), indices=frame["col"].to_numpy(), indptr=np.append(at, len(frame)), shape=np.array([len(names), frame["col"].max() + 1]), rows=names)
+        return pd.DataFrame({"first_row": [int(names[0])], "content": [held.getvalue()]})
+
+    return cells.groupBy(F.floor(F.col("row") / rows).alias("__b")).applyInPandas(lambda _, f: pack(f[["row", "col", "value"]]), "first_row bigint, content binary")
+
+
+def sparse_cells(files: DataFrame, column: str = "content") -> DataFrame:
+    """(row, col, value) of compressed sparse row matrices in npz format, as a binaryFile scan or sparse_blocks gives them; without row
+    numbers in a file its rows are numbered from 0."""
+
+    def load(frames):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            for content in f[column]:
+                z = np.load(io.BytesIO(content))
+                names = z["rows"] if "rows" in z.files else np.arange(len(z["indptr"]) - 1)
+                yield pd.DataFrame({"row": np.repeat(names, np.diff(z["indptr"])), "col": z["indices"], "value": z["data"].astype(float)})
+
+    return files.select(column).mapInPandas(load, "row bigint, col bigint, value double")
+
+
+def create_table(df: DataFrame, name: str, path: str, casts: dict[str, str]) -> None:
+    """A catalogue table over parquet at path, of the columns named, with their types; replaces one of that name."""
+    df.select(*[F.col(c).cast(t).alias(c) for c, t in casts.items()]).write.mode("overwrite").option("path", path).option("compression", "zstd").saveAsTable(name)
+
+
+def insert_rows(df: DataFrame, name: str) -> None:
+    """Appends df's columns of the table's names, as its types."""
+    fields = df.sparkSession.table(name).schema.fields
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.insertInto(name)
+
+
+def create_view(spark: SparkSession, name: str, sql: str) -> DataFrame:
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS {sql}")
+    return spark.table(name)
+
+
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Replaces the table at path whole: written beside it, moved there when it is complete."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.new")
+    at, store = _store(spark, path)
+    store.delete(at, True)
+    if not store.rename(_store(spark, f"{path}.new")[0], at):
+        raise OSError(f"{path} wasn't moved to its place")
+
+
+def _sums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of the data files at path; content is read where the files are."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_archive(df: DataFrame, path: str) -> None:
+    """Compressed tab-separated files, and beside them a manifest of their sizes, checksums and rows."""
+    write_tsv(df, f"{path}/data")
+    spark = df.sparkSession
+    rows = read_tsv(spark, f"{path}/data", df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")).groupBy(F.substring_index(F.input_file_name(), "/", -1).alias("file")).agg(F.count("*").alias("n_rows"))
+    _sums(spark, f"{path}/data").join(rows, "file", "left").fillna(0, ["n_rows"]).write.mode("overwrite").json(f"{path}/manifest")
+    written, told = df.count(), spark.read.json(f"{path}/manifest").agg(F.sum("n_rows")).first()[0] or 0
+    if written != told:
+        raise OSError(f"{written} rows were given to the archive, {told} are in it")
+
+
+def check_archive(spark: SparkSession, path: str) -> DataFrame:
+    """(n_rows, whole): rows by the manifest, and whether every file is there with its size and checksum."""
+    told = spark.read.schema("file string, bytes bigint, sha256 string, n_rows bigint").json(f"{path}/manifest")
+    same = told.join(_sums(spark, f"{path}/data").withColumn("found", F.lit(True)), ["file", "bytes", "sha256"], "full")
+    return same.agg(F.sum("n_rows").alias("n_rows"), F.every(F.coalesce("found", F.lit(False)) & F.col("n_rows").isNotNull()).alias("whole"))
