@@ -38,8 +38,8 @@ from .common import KEPT, batch, by_arrow, columns, materialise, new_path, write
 MAGIC = b"WVM2"
 BLOCK = 16 << 10  # bytes of a plane to a block
 DOCS = 4096  # documents to a block of their table
-_CACHE = 500_000
-PIECE = 8 << 20  # bytes of text encoded at a time
+_CACHE = 600_000
+PIECE = 16 << 20  # bytes of text encoded at a time
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -313,14 +313,21 @@ class ChunkEncoder:
             got[i] = known[words[i]]
         lens = np.fromiter(map(len, got), np.int64, len(got)) // last.itemsize
         pool = np.concatenate([np.frombuffer(b"".join(got), self.dtype), last])
-        starts = np.concatenate([np.cumsum(lens) - lens, [len(pool) - 1]])  # the last is the end id's own word
-        lens = np.concatenate([lens, [1]])
+        starts = np.concatenate([np.cumsum(lens) - lens, [len(pool) - 1]]).astype(np.int32)  # the last is the end id's own word
+        lens = np.concatenate([lens, [1]]).astype(np.int32)
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        codes = np.insert(coded.indices.to_numpy(), offsets[1:], len(words))
-        own = lens[codes]
-        ends = np.cumsum(own)
-        ids = pool[np.repeat(starts[codes] - ends + own, own) + np.arange(ends[-1])]
-        return ids, np.diff(ends[offsets[1:] + np.arange(len(texts))], prepend=0)
+        indices, out, sizes, a = coded.indices.to_numpy(), [], [], 0
+        del texts, split, coded, words, got
+        while a < len(offsets) - 1:  # some documents at a time, so that no array holds all words or ids at eight bytes each
+            z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 18), "right")) - 1)
+            ends_of = offsets[a + 1 : z + 1] - offsets[a]
+            codes = np.insert(indices[offsets[a] : offsets[z]], ends_of, len(lens) - 1)
+            own = lens[codes]
+            ends = np.cumsum(own)
+            out.append(pool[np.repeat(starts[codes] - ends + own, own) + np.arange(ends[-1])])
+            sizes.append(np.diff(ends[ends_of + np.arange(z - a)], prepend=0))
+            a = z
+        return np.concatenate(out), np.concatenate(sizes)
 
 
 def _encode(path: str, end_id: int, bounds: list[tuple]):
