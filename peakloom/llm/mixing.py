@@ -29,6 +29,7 @@ from .common import batch, by_arrow, columns, discard, materialise, pieces_of, r
 from .decontaminate import _FOLD
 
 DOMAINS = ("high", "low", "toxic")
+PIECE = 4 << 20  # bytes of text taken at a time
 LEAST_DOCS = 8
 LEAST_Z = 5.0
 #: Share of the tokens, or of the sampled labels, as which a rarer domain counts.
@@ -60,7 +61,7 @@ class Classifier:
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Posteriors of the domains and numbers of words, of texts some megabytes at a time."""
-        parts = [self._posteriors(texts.slice(a, z - a)) for a, z in pieces_of(texts)]
+        parts = [self._posteriors(texts.slice(a, z - a)) for a, z in pieces_of(texts, PIECE)]
         return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
 
     def _posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def _sample(told: DataFrame, max_rows: int) -> list:
 def _present(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("domain", pa.int32()), ("hashes", pa.binary())])
     for b in (x for x in batches if x.num_rows):
-        for a, z in pieces_of(b.column(2)):
+        for a, z in pieces_of(b.column(2), PIECE):
             doc, hashes, _ = presence(b.column(2).slice(a, z - a))
             own = np.split(hashes, np.searchsorted(doc, np.arange(1, z - a)))
             yield batch(schema, b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), [x.tobytes() for x in own])

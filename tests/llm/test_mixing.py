@@ -72,3 +72,26 @@ def test_rare_toxic_texts_go(spark):
         labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id bigint, quality int, toxic int")
         kept = sorted(r.doc_id for r in keep_mixed(docs, labels).collect())
         assert kept == [r[0] for r in rows if not r[3]]
+
+
+def test_query_is_whole_and_fit_reads_whole_texts(spark, sf):
+    from peakloom.llm.queries import op7_soft_mixing
+
+    rows = op7_soft_mixing(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+    n, p, rate = (np.array([f(r) for r in rows]) for f in (lambda r: r.n_tokens, lambda r: (r.p_high, r.p_low, r.p_toxic), lambda r: r.rate))
+    assert np.allclose(p.sum(1), 1) and (rate >= 0).all() and all(r.copies == int(np.floor(r.rate + 0.5)) for r in rows)
+    clean = ((n @ p) * [1, 1, 0]).sum()
+    targets, total = np.array([0.85, 0.15, 0]) * clean, n.sum()
+    scale = np.maximum(1, 0.1 * total / np.maximum(n @ p, targets))  # rare domains weigh as a tenth
+    cost = lambda r: (scale * ((n * r) @ p - targets) ** 2).sum() / (2 * total**2) + 0.01 * (n * (r - 1) ** 2).sum() / (2 * total)
+    best = np.ones(len(n))
+    for _ in range(20_000):
+        best = np.maximum(0, best - 0.2 * (p @ (scale * ((n * best) @ p - targets) / total) + 0.01 * (best - 1)))
+    assert cost(best) <= cost(rate) < cost(best) + 1e-4 * cost(np.ones(len(n)))
+    late = [(i, "filler " * 9000 + ("vile scum" if i % 2 else "sound fine")) for i in range(60)]  # what tells comes after 60,000 characters
+    docs = spark.createDataFrame(late, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    told = {r.doc_id: int(np.argmax(r.posteriors)) for r in domain_posteriors(docs, fit_on(docs, labels)).collect()}
+    assert told == {i: 2 * (i % 2) for i in range(60)}
