@@ -399,17 +399,22 @@ def _clusters(docs: DataFrame, n: int, t100: int) -> tuple[DataFrame, DataFrame,
     left = by_arrow(texts, marks_of(open_, "gid").filter_arrow("gid"), "gid bigint, text binary").join(open_, "gid", "left_semi")
     first = F.col("n") - F.ceil(F.col("n") * t100 / 100) + 1 - (F.col("n") - F.size("codes"))
     sets = materialise(_exchange(left, n, 8, lambda size: size, True, *of_open).join(sizes, "gid").withColumn("first", first.cast("int")).filter("first > 0"), "shared_shingles")
-    # clusters: classes that common prefix shingles connect, found by an edge from each member to the least of the shingle and its
-    # length class, and one between the leasts of neighbouring length classes that have lengths near enough to link
+    # clusters: classes that common prefix shingles connect, found by an edge from each member to the shingle's least. Of a shingle whose
+    # members' lengths differ too much to link all, the least of each length class, and an edge between the leasts of neighbouring
+    # length classes with lengths near enough
+    prefix = sets.select("gid", "n", F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
+    met = prefix.groupBy("code").agg(F.min("gid").alias("b"), F.count("*").alias("members"), F.min("n").alias("short"), F.max("n").alias("long"))
+    met = materialise(met.filter("members > 1").select("code", "b", (F.col("long") * t100 > F.col("short") * 100).alias("wide")), "prefix_shingles")
+    own = prefix.join(met.filter("not wide"), "code").select(F.col("gid").alias("a"), "b")
     length = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t100)) + 1e-9) if t100 < 100 else F.col("n")
-    prefix = sets.select("gid", "n", length.alias("length"), F.explode(F.slice("codes", F.lit(1), F.col("first"))).alias("code"))
-    met = materialise(prefix.groupBy("code", "length").agg(F.min("gid").alias("b"), F.count("*").alias("members"), F.min("n").alias("short"), F.max("n").alias("long")), "prefix_shingles")
-    own = prefix.join(met.filter("members > 1"), ["code", "length"]).select(F.col("gid").alias("a"), "b")
+    far = prefix.join(met.filter("wide").select("code"), "code", "left_semi").withColumn("length", length)
+    parts = materialise(far.groupBy("code", "length").agg(F.min("gid").alias("b"), F.min("n").alias("short"), F.max("n").alias("long")), "length_classes")
+    within = far.join(parts.select("code", "length", "b"), ["code", "length"]).select(F.col("gid").alias("a"), "b")
     next_ = Window.partitionBy("code").orderBy("length")  # a row for each length class
-    after = met.select(F.col("b").alias("a"), "length", "long", *[F.lead(c).over(next_).alias(f"next_{c}") for c in ("b", "length", "short")])
+    after = parts.select(F.col("b").alias("a"), "length", "long", *[F.lead(c).over(next_).alias(f"next_{c}") for c in ("b", "length", "short")])
     after = after.filter((F.col("next_length") <= F.col("length") + 2) & (F.col("next_short") * t100 <= F.col("long") * 100)).select("a", F.col("next_b").alias("b"))
-    clusters = materialise(components(own.unionByName(after)), "clusters").withColumnRenamed("node", "gid")
-    discard(met)
+    clusters = materialise(components(own.unionByName(within).unionByName(after)), "clusters").withColumnRenamed("node", "gid")
+    discard(met, parts)
     return made, classes, sets, clusters.withColumnRenamed("component", "cluster")
 
 
@@ -456,14 +461,14 @@ def jaccard_links(docs: DataFrame, n: int = 5, t100: int = 75, block: int = BLOC
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("n_links", zero).alias("n_links")), links
 
 
-def _with_class(n: int, at: int):
-    """Rows with the class of their text, at column `at`, and a digest of the whole row added."""
+def _with_class(n: int, at: int, *names: str):
+    """Rows with the class of their text, at column `at`, and a digest of the whole row added, under these names."""
 
     def run(batches):
         for b in (x for x in batches if x.num_rows):
             cid = [_class(h) for h in shingle_sets(b.column(at), n)]
             row = [hashlib.blake2b(pickle.dumps(r, 4), digest_size=16).digest() for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.binary()), pa.array(row, pa.binary())], names=[*b.schema.names, "__class", "__row"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cid, pa.binary()), pa.array(row, pa.binary())], names=[*b.schema.names, *names])
 
     return run
 
@@ -489,7 +494,7 @@ def keep_first(docs: DataFrame, n: int = 5, t100: int = 75) -> DataFrame:
     if unclear is None:
         return out
     fields = [*docs.schema.fields, StructField(cid, BinaryType()), StructField(row, BinaryType())]
-    held = materialise(by_arrow(unclear, _with_class(n, docs.columns.index("text")), StructType(fields)), "unclear_rows")
+    held = materialise(by_arrow(unclear, _with_class(n, docs.columns.index("text"), cid, row), StructType(fields)), "unclear_rows")
     wordless = held.filter(F.col(cid).isNull())
     met = held.join(first, (F.col(cid) == first["of_class"]) & held["doc_id"].cast("bigint").eqNullSafe(first[by_id]), "left_semi")
     order = Window.partitionBy(cid).orderBy("text", row)
