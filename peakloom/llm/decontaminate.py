@@ -247,17 +247,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_shar
 
     n_chars, where there is such a column, follows the text."""
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    held = StructType([*docs.schema.fields, StructField(free_name(docs, "spans"), BinaryType())])
+    name = free_name(docs, "spans")
+    held = StructType([*docs.schema.fields, StructField(name, BinaryType())])
     cut = _cut_spans(at, chars, max_words, max_share)
 
     def step(shared, first, last):
-        mark = _mark_spans(shared, at, first)
+        mark = _mark_spans(shared, at, first, name)
         return (lambda batches: cut(mark(batches)), docs.schema) if last else (mark, held)
 
     return _passes(docs, benchmark, window, MAX_WORDS, step)
 
 
-def _mark_spans(shared, at: int, first: bool):
+def _mark_spans(shared, at: int, first: bool, name: str):
     """Adds to the spans in the last column, which the first pass makes."""
 
     def run(batches):
@@ -267,7 +268,7 @@ def _mark_spans(shared, at: int, first: bool):
                 got = shared.value.scan(words_of(text.as_buffer().to_pybytes()), set()) if text.is_valid else []
                 spans.append((had or b"") + np.array(got, "<u4").tobytes())
             own = b.columns if first else b.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.binary())], names=[*b.schema.names[: len(own)], "spans"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.binary())], names=[*b.schema.names[: len(own)], name])
 
     return run
 

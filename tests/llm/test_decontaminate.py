@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+import pytest
 
 from peakloom.llm.decontaminate import decontamination_report, match_benchmark, remove_spans
 from peakloom.llm.queries import OP2_SQL, op2_benchmark_decontamination
@@ -46,6 +47,9 @@ def test_items_without_id_and_clashing_columns(spark, sf):
     assert of(decontamination_report(docs, bench)) == want
     kept = keep_clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id: (r.spans, r.text) for r in kept.collect()} == {1: ("mine", f"Some words, then . {'x ' * 40}"), 2: ("mine", "clean"), 3: ("mine", None)}
+    with pytest.MonkeyPatch.context() as m:  # several groups of items: passes over written rows
+        m.setattr("peakloom.llm.decontaminate.MAX_WORDS", 10)
+        assert sorted(map(str, keep_clean(docs, bench).collect())) == sorted(map(str, kept.collect()))
     long = spark.createDataFrame([(1, "a " * 200_000 + item)], "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
     r = keep_clean(long, bench).first()
     assert r.n_chars == len(r.text) == 400_000

@@ -57,3 +57,42 @@ def test_mixed_texts_stay(spark):
     kept = keep_identified(odd, model)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "None"]
     assert fit_on(odd) is None and keep_identified(odd, fit_on(odd)).count() == len(rows)
+
+
+def plain_posteriors(model, words):
+    """Forward-backward word by word, without chunks, scaled at each word."""
+    pot, move = np.exp(model.emissions(words)), np.exp(model.moves)
+    ahead, back = [pot[0] / pot[0].sum()], [np.ones(len(move))]
+    for p in pot[1:]:
+        x = ahead[-1] @ move * p
+        ahead.append(x / x.sum())
+    for p in pot[:0:-1]:
+        x = move @ (p * back[-1])
+        back.append(x / x.sum())
+    post = np.array(ahead) * np.array(back[::-1])
+    return post / post.sum(1, keepdims=True)
+
+
+def test_query_against_plain_forward_backward(spark, sf):
+    from peakloom.llm.crf_langid import words_of
+    from peakloom.llm.queries import op3_crf_language_id
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model, got = fit_on(docs), {r.doc_id: r for r in op3_crf_language_id(spark, sf).collect()}
+    for r in docs.collect():
+        words = words_of(r.text)
+        share = plain_posteriors(model, words).mean(0)
+        assert got[r.doc_id].lang_pred == model.labels[int(share.argmax())] and abs(got[r.doc_id].score - share.max()) < 1e-6
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_fit_reads_whole_texts_and_repeated_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars > 600")
+    by_lang = {r.lang: r.text for r in docs.collect()}
+    late = "zzqx " * 5000 + by_lang["de"]  # its language shows at the end only
+    rows = [(2 * i, x, y) for i, (x, y) in enumerate([(late, "de"), (by_lang["fr"], "fr"), (by_lang["en"], "en")] * 12)]
+    odd = spark.createDataFrame(rows + rows[:7] + [(None, by_lang["fr"], "fr")], "doc_id bigint, text string, lang string").selectExpr("*", "1 AS h", "2 AS score")
+    got = language_id(odd).collect()
+    assert len(got) == len(rows) + 8 and {r.lang_pred for r in got} <= {"de", "fr", "en"}
+    model = fit_on(odd, max_words=640)
+    assert model and predict(spark.createDataFrame([(1, by_lang["de"])], "doc_id bigint, text string"), model).first().lang_pred == "de"

@@ -56,3 +56,26 @@ def test_keep_first_with_clashing_names_and_maps(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, __id map<string, int>").selectExpr("*", "1 AS first_id", "2 AS class_id", "3 AS cid", "4 AS row_digest", "5 AS of_class")
     got = keep_first(docs)
     assert got.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", text), ("7", ""), ("7", "None"), ("None", "alone here")]
+
+
+def test_every_stage_with_odd_rows(spark, sf):
+    """Nulls, empty and very long texts, ties, repeated rows and other columns, stage by stage."""
+    from pyspark.sql import functions as F
+
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").limit(60).collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    long = " ".join(f"{w}{i}" for i in range(15_000) for w in ("the", "of", "and"))
+    odd = [(1000, None, "en", None), (None, real[0][1], "en", "s"), (None, None, None, None), (1001, "", "en", "s"), (1002, long, "en", "s"), (1003, long, None, "s"), (1003, "a quite different text of its own here", "en", "s"), (1004, item + " and more", "en", "s"), (1005, "12 ½ _", "en", "s"), real[3], real[3]]
+    docs = spark.createDataFrame(real + odd, "doc_id bigint, text string, lang string, source string").selectExpr("*", "CAST(length(text) AS bigint) AS n_chars", "'x' AS spans", "2 AS cid", "'y' AS __row")
+    frames = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        frames.append(corpus_pipeline.materialise(stage(spark, frames[-1], sf), name))
+    assert all(f.columns == docs.columns and {r.spans for r in f.collect()} == {"x"} for f in frames[:-1])
+    ids = [[r.doc_id for r in f.select("doc_id").collect()] for f in frames]
+    assert 1000 not in ids[1] and 1001 not in ids[1] and 1005 not in ids[1] and 1002 in ids[1] and ids[1].count(real[3][0]) == 3
+    assert ids[2].count(real[3][0]) == 1 and (1002 in ids[2]) != (1003 in ids[2] and any(r.text == long and r.doc_id == 1003 for r in frames[2].collect()))
+    assert any(r.doc_id == 1003 and r.text.startswith("a quite") for r in frames[2].collect())
+    assert 1004 in ids[2] and 1004 not in ids[3] and 1002 in ids[3]
+    assert sorted(map(str, ids[5])) == sorted(map(str, ids[4])) and frames[5].agg(F.sum("n_tokens")).first()[0] > 15_000
+    empty = corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf)
+    assert empty.count() == 0
