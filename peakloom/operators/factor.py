@@ -236,3 +236,82 @@ def class_coherence(top: DataFrame, classes: DataFrame, group: str, item: str, k
     pairs = l.join(r, group).filter("a < b").join(dots, ["a", "b"], "left")
     w = F.col("wa") * F.col("wb")
     return pairs.groupBy(group).agg(F.try_divide(F.sum(w * F.coalesce("cos", F.lit(0.0))), F.sum(w)).alias("coherence"))
+
+
+def class_entropy(classes: DataFrame, item: str, kind: str) -> DataFrame:
+    """(item, n, entropy): natural-log entropy of each item's class counts."""
+    counts = classes.groupBy(item, kind).agg(F.count("*").cast("double").alias("c"))
+    total = counts.groupBy(item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    return total.select(item, F.col("n").cast("bigint").alias("n"), (F.log("n") - F.col("s") / F.col("n")).alias("entropy"))
+
+
+def raw_enrichment(df: DataFrame, stratum: str, foreground: str) -> DataFrame:
+    """log2 enrichment of the foreground in each stratum, without regard to complexity: its share of the foreground over its share of all."""
+    one = F.sum(F.col(foreground).cast("bigint"))
+    both = df.agg(one.alias("of_f"), F.count("*").alias("of_a"))
+    cells = df.groupBy(stratum).agg(one.alias("f"), F.count("*").alias("a")).crossJoin(both)  # one row
+    return cells.select(stratum, F.log2((F.try_divide("f", "of_f") + 1e-9) / (F.try_divide("a", "of_a") + 1e-9)).alias("log2fe"))
+
+
+def _hidden(keys: np.ndarray, n_columns: int, share: float, fold: int) -> np.ndarray:
+    """Marks of the entries held out in a fold, by a hash of it, the row's key and the column (splitmix64's finaliser, whose shifts and
+    factors are fixed values), so that every pass and every machine hides the same ones."""
+    x = keys.astype(np.int64).view(np.uint64)[:, None] + (np.arange(n_columns, dtype=np.uint64) + np.uint64(1 + 1_000_003 * fold)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) / 2.0**64 < share
+
+
+def _masked_rows(x: np.ndarray, seen: np.ndarray, h: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
+    """Rows' factor for a fixed H, of the entries seen."""
+    w, held = np.full((len(x), len(h)), max(EPS, float(np.sqrt(x.mean() / len(h))))), (x * seen) @ h.T + EPS
+    for _ in range(rounds):
+        w = w * held / ((seen * (w @ h)) @ h.T + l2 * w + EPS)
+    return w
+
+
+def block_masked_nmf(rows: DataFrame, row: str, k: int, n_columns: int, fold: int, share: float = 0.1, seed: int = 0, rounds: int = 30, l2: float = 0.0) -> np.ndarray:
+    """H of the entries that a fold doesn't hide, for rows (row, x) of any number: as block_nmf, a round gathers two sums of k by columns.
+    A fit that is no better than zero, or that exceeds ten times the data, is refused."""
+    keyed = rows.select(F.xxhash64(row).alias("key"), "x")
+    mean, top = keyed.select(F.avg(F.aggregate("x", F.lit(0.0), lambda a, b: a + b)) / n_columns, F.max(F.array_max("x"))).first()
+    h, last = _start(n_columns, k, float(np.sqrt((mean or 0.0) / k)), seed), None
+    for _ in range(rounds):
+
+        def sums(frames: Iterable[pd.DataFrame], h=h):
+            for f in frames:
+                if len(f):
+                    x = np.stack(f["x"].to_numpy())
+                    seen = ~_hidden(f["key"].to_numpy(), n_columns, share, fold)
+                    w = _masked_rows(x, seen, h, l2)
+                    fit = w @ h
+                    yield pd.DataFrame({"s": [np.concatenate([(w.T @ (seen * x)).ravel(), (w.T @ (seen * fit)).ravel(), [(seen * (x - fit) ** 2).sum(), (seen * x**2).sum()]])], "most": [float(fit.max())]})
+
+        parts = keyed.mapInPandas(sums, "s array<double>, most double")
+        got = parts.select(F.posexplode("s").alias("i", "v"), "most").groupBy("i").agg(F.sum("v").alias("v"), F.max("most").alias("most")).collect()
+        if not got:
+            return h
+        flat, most = np.array([r.v for r in sorted(got, key=lambda r: r.i)]), max(r.most for r in got)
+        over, under = flat[: k * n_columns].reshape(k, -1), flat[k * n_columns : -2].reshape(k, -1)
+        error, zero = flat[-2:]
+        if last is not None and (error >= zero or most > 10 * top):
+            raise RuntimeError("the masked fit diverged")
+        if last is not None and last - error < 1e-5 * zero:
+            break
+        h, last = h * (over + EPS) / (under + l2 * h + EPS), error
+    return h
+
+
+def held_out_entries(rows: DataFrame, row: str, h: np.ndarray, fold: int, share: float = 0.1, l2: float = 0.0) -> DataFrame:
+    """(score, value) of every entry that the fold hides: what the fit foretells, and what is there."""
+    n_columns = h.shape[1]
+
+    def score(frames):
+        for f in frames:
+            if len(f):
+                x = np.stack(f["x"].to_numpy())
+                hidden = _hidden(f["key"].to_numpy(), n_columns, share, fold)
+                fit = _masked_rows(x, ~hidden, h, l2) @ h
+                yield pd.DataFrame({"score": fit[hidden], "value": x[hidden].astype(float)})
+
+    return rows.select(F.xxhash64(row).alias("key"), "x").mapInPandas(score, "score double, value double")

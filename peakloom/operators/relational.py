@@ -186,3 +186,8 @@ def collapse(df: DataFrame, group: str, item: str, key: str) -> DataFrame:
 def any_value(df: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
     """One value of each column by group; the least, so that results repeat."""
     return df.groupBy(*by).agg(*[F.min(c).alias(c) for c in columns])
+
+
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
+    """Counts of each row by column value, a column each, 0 where there are none."""
+    return df.groupBy(row).pivot(column, list(values)).count().fillna(0)

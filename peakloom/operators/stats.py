@@ -335,3 +335,15 @@ def recovery(df: DataFrame, support: str, hit: str, distance: str, edges: Sequen
     held = df.withColumn("bin", bin_)
     got = held.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col(hit), F.lit(False)).cast("int")).alias("recovered"))
     return _with_quantiles(got, quantiles(held.withColumn("__d", F.abs(distance)), ["bin"], "__d", median_distance=0.5), ["bin"])
+
+
+def sweep(cells: Sequence[dict], run) -> tuple[list[dict], list[dict]]:
+    """(results, failures) over cells of parameters: run(**cell) gives a table of one row; a cell that fails is reported with its reason
+    and the others go on."""
+    done, failed = [], []
+    for cell in cells:
+        try:
+            done.append(cell | run(**cell).first().asDict())
+        except Exception as error:  # whatever a cell dies of, the sweep reports it
+            failed.append(cell | {"reason": f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"})
+    return done, failed

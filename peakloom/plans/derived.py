@@ -211,3 +211,50 @@ def session_windows(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     got = events.groupBy("user_id", F.session_window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
     return got.select("user_id", F.floor(F.col("w.start").cast("double")).alias("first"), "n")
+
+
+# tables, entropy, enrichment, sweeps
+
+
+@query("SELECT p_brand, count(*) FILTER (l_returnflag = 'A') AS A, count(*) FILTER (l_returnflag = 'N') AS N, count(*) FILTER (l_returnflag = 'R') AS R FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def crosstab(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return rel.crosstab(table(spark, sf, "lineitem").select("l_partkey", "l_returnflag").join(part, "l_partkey"), "p_brand", "l_returnflag", ["A", "N", "R"])
+
+
+@query("WITH c AS (SELECT p_brand, o_orderpriority AS k, count(*) AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), n AS (SELECT p_brand, sum(c) AS n FROM c GROUP BY 1) SELECT p_brand, CAST(n AS BIGINT) AS n, round(-sum(c / n * ln(c / n)), 6) AS entropy FROM c JOIN n USING (p_brand) GROUP BY p_brand, n")
+def class_entropy(spark, sf):
+    from ..operators.factor import class_entropy as entropy
+
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey").join(orders, "l_orderkey")
+    return rounded(entropy(lines, "p_brand", "o_orderpriority"), 6, "entropy")
+
+
+@query("WITH t AS (SELECT count(*) FILTER (l_linestatus = 'O') AS f, count(*) AS a FROM lineitem) SELECT l_returnflag AS s, round(log2((count(*) FILTER (l_linestatus = 'O') / min(f) + 1e-9) / (count(*) / min(a) + 1e-9)), 6) AS log2fe FROM lineitem, t GROUP BY 1")
+def raw_enrichment(spark, sf):
+    from ..operators.factor import raw_enrichment as raw
+
+    return rounded(raw(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("s"), (F.col("l_linestatus") == "O").alias("fg")), "s", "fg"), 6, "log2fe")
+
+
+@query("WITH s AS (" + ORACLES["feature_summary"] + ") SELECT count(*) AS n, round(quantile_cont(score_max / binary_max, 0.25), 6) AS q1, round(median(score_max / binary_max), 6) AS median, round(quantile_cont(score_max / binary_max, 0.75), 6) AS q3 FROM s")
+def ratio_quantiles(spark, sf):
+    """Quartiles over features of the score profile's maximum to the binary one's."""
+    ratios = feature_summary(spark, sf).select(F.lit(1).alias("all"), F.try_divide("score_max", "binary_max").alias("r"))
+    return rounded(st.quantile_stats(ratios, ["all"], "r").select("n", "q1", "median", "q3"), 6, "q1", "median", "q3")
+
+
+@query(f"WITH {P} SELECT CAST(f AS BIGINT) AS floor, 'ok' AS status, (SELECT count(*) FROM peaks WHERE score >= f) AS n FROM (SELECT unnest([0, 50, 100]) AS f) UNION ALL SELECT -1, 'failed', NULL")
+def parameter_sweep(spark, sf):
+    """Peaks at several floors; a floor that isn't allowed is reported as failed, and the others go on."""
+
+    def run(floor):
+        if floor < 0:
+            raise ValueError("a floor from 0")
+        return peaks(spark, sf).filter(F.col("score") >= floor).agg(F.count("*").alias("n"))
+
+    done, failed = st.sweep([{"floor": f} for f in (0, 50, -1, 100)], run)
+    rows = [(r["floor"], "ok", r["n"]) for r in done] + [(r["floor"], "failed", None) for r in failed]
+    return spark.createDataFrame(rows, "floor bigint, status string, n bigint")

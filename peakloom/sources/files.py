@@ -36,11 +36,17 @@ class BuildSpec:
         return f"{self.tier}.{self.axis}.s{self.min_score}"
 
     @classmethod
-    def from_env(cls, prefix: str = "PEAKLOOM_", defaults: dict | None = None) -> BuildSpec:
-        """Environment over defaults; a missing tier fails loudly."""
-        got = dict(defaults or {})
+    def from_env(cls, prefix: str = "PEAKLOOM_", defaults: dict | None = None, env_file: str | None = None) -> BuildSpec:
+        """Environment over a file of NAME=value lines over defaults; a missing tier fails loudly."""
+        got, told = dict(defaults or {}), {}
+        if env_file and os.path.exists(env_file):
+            with open(env_file) as lines:
+                for line in lines:
+                    name, found, value = line.strip().removeprefix("export ").partition("=")
+                    if found and not name.startswith("#"):
+                        told[name.strip()] = value.strip().strip("'\"")
         for k, kind in (("tier", str), ("axis", str), ("min_score", int), ("rank", int)):
-            if (v := os.environ.get(prefix + k.upper())) is not None:
+            if (v := os.environ.get(prefix + k.upper(), told.get(prefix + k.upper()))) is not None:
                 got[k] = kind(v)
         if "tier" not in got:
             raise KeyError(f"{prefix}TIER isn't set")

@@ -265,3 +265,25 @@ def test_module_and_matrix_ids(spark):
     cells = relational.matrix_rows(modules, modules.withColumn("i", F.lit("x")), "m", "i", "n", tile=64)
     kept = [m for m in range(0, 900, 7) if m % 3]
     assert [(r[0], r[1]) for r in rows(cells, "row_id")] == list(enumerate(kept))
+
+
+def test_masked_fit_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    w, h = rng.random((300, 2)) * (rng.random((300, 2)) < 0.6), rng.random((2, 12)) * (rng.random((2, 12)) < 0.7)
+    x = w @ h
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "r long, x array<double>").repartition(3)
+    keys = np.array([r[0] for r in df.select(F.xxhash64("r")).collect()])
+    hidden = factor._hidden(keys, 12, 0.1, 1)
+    assert 0.07 < hidden.mean() < 0.13 and (hidden == factor._hidden(keys, 12, 0.1, 1)).all() and (hidden != factor._hidden(keys, 12, 0.1, 2)).any()
+    fit = factor.block_masked_nmf(df, "r", 2, 12, fold=1, rounds=15)
+    out = factor.held_out_entries(df, "r", fit, fold=1)
+    got = out.toPandas()
+    assert len(got) == hidden.sum() and np.sqrt(((got.score - got.value) ** 2).mean()) < 0.3 * np.sqrt((got.value**2).mean())
+    auc = stats.auc(out.withColumn("y", (F.col("value") > 1e-9).cast("int")), "score", "y").first().auc
+    assert auc > 0.9 and abs(auc - factor.rank_auc(got.score.to_numpy(), (got.value > 1e-9).to_numpy())) < 1e-9
+
+
+def test_block_fit_refuses_collapse(spark):
+    one = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "r long, x array<double>")
+    with pytest.raises(RuntimeError):
+        factor.block_nmf(one, "r", 3, 2, rounds=3, extra=1)

@@ -99,3 +99,29 @@ def test_catalog(spark):
         df.collect()
     with pytest.raises(FileNotFoundError):
         Catalog(spark, {}).programs()
+
+
+def test_env_file_is_under_the_environment(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# build\nexport PEAKLOOM_TIER='q1e-5'\nPEAKLOOM_RANK=7\nOTHER=1\n")
+    monkeypatch.setenv("PEAKLOOM_RANK", "9")
+    spec = files.BuildSpec.from_env(defaults={"axis": "main", "rank": 3}, env_file=str(tmp_path / ".env"))
+    assert (spec.tier, spec.axis, spec.rank) == ("q1e-5", "main", 9)
+
+
+def test_archive_tells_of_changes(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    files.write_archive(spark.range(100).selectExpr("id", "CAST(id AS string) AS s").repartition(3), path)
+    assert tuple(files.check_archive(spark, path).first()) == (100, True)
+    one = next((tmp_path / "archive/data").glob("part-*"))
+    one.write_bytes(one.read_bytes()[:-3] + b"abc")
+    crc = one.parent / f".{one.name}.crc"
+    crc.unlink(missing_ok=True)
+    assert files.check_archive(spark, path).first().whole is False
+
+
+def test_sparse_files(spark, tmp_path):
+    import numpy as np
+
+    np.savez(tmp_path / "m.npz", data=np.array([1.0, 2.0]), indices=np.array([3, 1]), indptr=np.array([0, 1, 1, 2]), shape=np.array([3, 4]))
+    got = files.sparse_cells(spark.read.format("binaryFile").load(f"file://{tmp_path}/m.npz"))
+    assert sorted(map(tuple, got.collect())) == [(0, 3, 1.0), (2, 1, 2.0)]
