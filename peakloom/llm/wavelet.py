@@ -5,8 +5,8 @@ bit plane (BLOCK bytes of it), the directory of a plane (ones before each block)
 null marks, ends). A reader takes the header and the directories, and of the planes only the blocks that a question
 touches: one a plane for a token, two for a count, so that a question reads a small part of one file.
 
-Plan: a sample of (doc_id, hash of the text) in which each row stands for its bytes gives range bounds, so that partitions
-hold about the same number of bytes and rows of one id, or without id, are split too. Documents are encoded where they lie
+Plan: a sample of (doc_id, hash of the text), a few rows of each input partition that stand for equal shares of its bytes, gives
+range bounds, so that partitions hold about the same number of bytes and rows of one id, or without id, are split too. Documents are encoded where they lie
 (narrow) and only the ids, two bytes each for vocabularies up to 65,536, are shuffled, by range. A task sorts its range
 (which may spill) and cuts it into shards by bytes as it goes; it holds one shard. Starts come from the manifest of shards.
 
@@ -386,16 +386,25 @@ def _write(folder: str, dtype: str, shard_ids: int):
     return run
 
 
-def _bounds(docs: DataFrame, parts: int, total: int) -> list[tuple]:
-    """parts - 1 keys (has an id, id, tie) that cut the rows into ranges of about the same bytes. A row is in the sample if its hash is
-    below its bytes' share, and stands for the larger of its bytes and a step; at most about a million rows are gathered."""
-    step = max(1, total // min(20 * parts, 1_000_000))
-    chance = F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.filter(chance * step < F.col("size")).select("doc_id", "tie", F.greatest("size", F.lit(step)).alias("weight")).collect()
+def _sampled(points: int):
+    """Of a partition's rows (doc_id, tie, size) those in which its bytes are a whole number of points-ths, each standing for as many."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("weight", pa.float64())])
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            ends = np.cumsum(rows["size"].to_numpy())
+            at = pa.array(np.searchsorted(ends, ends[-1] * (np.arange(points) + 0.5) / points))
+            yield batch(schema, *(rows[c].take(at).combine_chunks() for c in ("doc_id", "tie")), np.full(points, ends[-1] / points))
+
+    return run
+
+
+def _bounds(rows: list, parts: int) -> list[tuple]:
+    """rows: a sample of keys and their weights. parts - 1 keys (has an id, id, tie) that cut the rows into ranges of about the same bytes."""
     rows = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.weight) for r in rows)
     ends = np.cumsum([r[3] for r in rows])
-    if not len(ends):
-        return []
     at = np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts)
     return sorted({rows[i][:3] for i in np.minimum(at, len(rows) - 1).tolist()})
 
@@ -408,10 +417,12 @@ def write_wavelets(docs: DataFrame, folder: str, tokenizer: str, end_id: int, sh
 
     docs = columns(docs, doc_id=F.col(id_col).cast("bigint"), text=text_col).withColumn("tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
     sized = docs.select("doc_id", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
-    total, n_rows = (x or 0 for x in sized.agg(F.sum("size"), F.count("*")).first())
+    # four rows of each input partition, whose bytes are then known too
+    rows = by_arrow(sized, _sampled(4), "doc_id bigint, tie bigint, weight double", keeps=True).collect()
+    total = int(sum(r.weight for r in rows))
     # two shards to a partition, or more where there would be very many partitions
     parts = max(1, min(-(-total // (2 * shard_bytes)), 2048), total // (16 * shard_bytes))
-    bounds = _bounds(sized, parts, total) if parts > 1 else []
+    bounds = _bounds(rows, parts) if parts > 1 else []
     dtype = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
     coded = by_arrow(docs.select("doc_id", "text", "tie"), _encode(tokenizer, end_id, bounds), "part int, doc_id bigint, tie bigint, ids binary", keeps=True)
     dealt = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "ids")
