@@ -93,6 +93,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_topk import exact_topk
 
@@ -169,6 +175,20 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH pieces AS (SELECT row_number() OVER () AS p, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS s FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM pieces),
+c AS (SELECT lang, x, k, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS x FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+q AS (SELECT lang, x, k, f, string_split(x, ' ') AS w FROM c WHERE k > 1 AND f >= 10),
+cuts AS (SELECT q.lang, q.x, q.k, q.f AS a, j, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * q.f * q.f) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM q) q JOIN c l ON l.lang = q.lang AND l.x = array_to_string(q.w[1:j], ' ') JOIN c r ON r.lang = q.lang AND r.x = array_to_string(q.w[j + 1:], ' ')),
+best AS (SELECT lang, x, k, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, x ORDER BY score, j) AS o FROM cuts) WHERE o = 1),
+longer AS (SELECT lang, y, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS y FROM q WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.y = b.x AND b.k = 2 WHERE g.f IS NULL OR 100 * g.f < 50 * b.a)
+SELECT lang, rank, x AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, x) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP12_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
@@ -185,5 +205,5 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
 
-QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op6_tool_call_linking, op7_soft_mixing, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts, op12_exact_topk, op13_hard_negatives)}
-ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL, "op6_tool_call_linking": OP6_SQL, "op8_bwt_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op12_exact_topk": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_additive_ann, op2_benchmark_decontamination, op3_crf_language_id, op4_wavelet_tokens, op5_debruijn_dedup, op6_tool_call_linking, op7_soft_mixing, op8_bwt_dedup, op9_ngram_jaccard_join, op10_token_counts, op11_phrase_mining, op12_exact_topk, op13_hard_negatives)}
+ORACLES = {"op2_benchmark_decontamination": OP2_SQL, "op5_debruijn_dedup": OP5_SQL, "op6_tool_call_linking": OP6_SQL, "op8_bwt_dedup": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_phrase_mining": OP11_SQL, "op12_exact_topk": OP12_SQL, "op13_hard_negatives": OP13_SQL}
