@@ -47,34 +47,91 @@ def absolute_bounds(low: Column, high: Column, anchor: Column, strand: Column) -
     return F.when(plus, anchor + low).otherwise(anchor - high), F.when(plus, anchor + high).otherwise(anchor - low)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Names, bin_size: int, left_on: tuple[str, str] = ("start", "end"), right_on: tuple[str, str] = ("r_start", "r_end"), how: str = "inner") -> DataFrame:
-    """All pairs of half-open intervals that overlap, by an equi-join on bins; how: inner or left_semi.
+#: A level's bins are so many times as wide as those of the level below.
+FANOUT = 8
+
+
+def _widths(width: int) -> Column:
+    out = [width]
+    while out[-1] * FANOUT < 2**62:
+        out.append(out[-1] * FANOUT)
+    return F.array(*[F.lit(w).cast("bigint") for w in [*out, 2**62]])  # no interval is longer than that
+
+
+def _level(length: Column, width: int) -> Column:
+    """The lowest level whose bins are at least that long."""
+    return F.size(F.filter(_widths(width), lambda w: w < length)).cast("int")
+
+
+def _bin(at: Column, level: Column, width: int) -> Column:
+    w = F.get(_widths(width), level)
+    return F.call_function("div", at - F.pmod(at, w), w)  # whole numbers all the way
 
-    A pair is kept in the bin of the later start only, so that none is found twice and nothing need be made distinct.
-    A semi join makes a shuffle less than joining and dropping. bin_size: about the longer side's usual length."""
-    (a, b), (c, d) = left_on, right_on
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor((F.col(e) - 1) / bin_size)))
-    lefts = left.filter(F.col(a) < F.col(b)).withColumn("__bin", bins(a, b))
-    rights = right.filter(F.col(c) < F.col(d)).withColumn("__bin", bins(c, d))
-    if how == "left_semi":
-        met = lefts.alias("l").join(rights.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*on, "__bin"]] + [F.col(a) < F.col(d), F.col(c) < F.col(b)], "left_semi")
-        return met.drop("__bin").distinct()
-    met = lefts.join(rights, [*on, "__bin"]).filter((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("__bin") == F.floor(F.greatest(a, c) / bin_size)))
-    return met.drop("__bin")
 
+def _own_bins(df: DataFrame, first: Column, last: Column, width: int) -> DataFrame:
+    """Closed [first, last] in the one or two bins of the level of their length."""
+    leveled = df.withColumn("__level", _level(last - first + 1, width))
+    return leveled.withColumn("__bin", F.explode(F.array_distinct(F.array(_bin(first, F.col("__level"), width), _bin(last, F.col("__level"), width)))))
 
-def point_in_interval_join(points: DataFrame, intervals: DataFrame, on: Names, bin_size: int, point: str = "pos", low: str = "low", high: str = "high") -> DataFrame:
-    """Pairs with low <= point <= high."""
-    binned = intervals.filter(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor(F.col(high) / bin_size))))
-    met = points.withColumn("__bin", F.floor(F.col(point) / bin_size)).join(binned, [*on, "__bin"])
-    return met.filter(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+
+def _levels(df: DataFrame, length: Column, width: int) -> list[int]:
+    """The levels of df's intervals: 22 at most, whatever the lengths."""
+    return sorted(r[0] for r in df.select(_level(length, width)).distinct().collect() if r[0] is not None)
+
+
+def _all_bins(df: DataFrame, first: Column, last: Column, width: int, levels: Sequence[int], above: Column) -> DataFrame:
+    """Closed [first, last] in its bins of each of the levels from `above` on: one or two a level, for these are as long as itself."""
+    one = lambda level: F.transform(F.array_distinct(F.array(_bin(first, level, width), _bin(last, level, width))), lambda b: F.struct(level.alias("__level"), b.alias("__bin")))
+    some = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= above)
+    return df.withColumn("__at", F.explode(F.flatten(F.transform(some, one)))).withColumns({"__level": F.col("__at.__level"), "__bin": F.col("__at.__bin")}).drop("__at")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: Names, bin_size: int = 64, left_on: tuple[str, str] = ("start", "end"), right_on: tuple[str, str] = ("r_start", "r_end"), how: str = "inner") -> DataFrame:
+    """All pairs of half-open intervals that overlap, by equi-joins on bins of several levels; how: inner or left_semi.
+
+    Each interval lies in one or two bins of the level of its length, so that a long one makes no more rows than a short one, and
+    is looked for in the bins of every level of the other side that is as long as itself or longer. A pair is kept
+    in the bin of the later start only, so that none is found twice and nothing need be made distinct. bin_size: width of
+    the lowest level's bins; it changes the work, not the rows. The levels there are, 22 numbers at most, are read first.
+    A semi join makes a shuffle less than joining and dropping. Intervals that are empty or have a null end meet nothing."""
+    (a, b), (c, d) = left_on, right_on
+    left, right = left.filter(F.col(a) < F.col(b)), right.filter(F.col(c) < F.col(d))
+    (l0, l1), (r0, r1) = (F.col(a), F.col(b) - 1), (F.col(c), F.col(d) - 1)
+    lefts, rights = _levels(left, l1 - l0 + 1, bin_size), _levels(right, r1 - r0 + 1, bin_size)
+    own = _own_bins(left, l0, l1, bin_size), _own_bins(right, r0, r1, bin_size)
+    # pairs whose left is as long or longer meet at the left's level, the others at the right's
+    meetings = [(own[0], _all_bins(right, r0, r1, bin_size, lefts, _level(r1 - r0 + 1, bin_size)))]
+    if rights and lefts and max(rights) > min(lefts):
+        meetings.append((_all_bins(left, l0, l1, bin_size, rights, _level(l1 - l0 + 1, bin_size) + 1), own[1]))
+    out = None
+    for x, y in meetings:
+        keys = [*on, "__level", "__bin"]
+        if how == "left_semi":
+            met = x.alias("l").join(y.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col(a) < F.col(d), F.col(c) < F.col(b)], "left_semi")
+        else:
+            met = x.join(y, keys).filter((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("__bin") == _bin(F.greatest(a, c), F.col("__level"), bin_size)))
+        met = met.drop("__level", "__bin")
+        out = met if out is None else out.unionByName(met)
+    return out.distinct() if how == "left_semi" else out
+
+
+def point_in_interval_join(points: DataFrame, intervals: DataFrame, on: Names, bin_size: int = 64, point: str = "pos", low: str = "low", high: str = "high") -> DataFrame:
+    """Pairs with low <= point <= high: intervals lie in one or two bins of the level of their length, points are looked for in one bin of
+    each level there is (see overlap_join)."""
+    intervals = intervals.filter(F.col(low) <= F.col(high))
+    levels = _levels(intervals, F.col(high) - F.col(low) + 1, bin_size)
+    level = F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")) if len(levels) != 1 else F.lit(levels[0])
+    asked = points.withColumn("__level", level).withColumn("__bin", _bin(F.col(point), F.col("__level"), bin_size))
+    met = asked.join(_own_bins(intervals, F.col(low), F.col(high), bin_size), [*on, "__level", "__bin"])
+    return met.filter(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bin")
 
 
 def nearest_join(points: DataFrame, anchors: DataFrame, on: Names, position: str = "pos", anchor: str = "anchor", tie: str = "left", within: int | None = None, tile: int | None = None) -> DataFrame:
     """Each point with its group's nearest anchor position (null without one) and signed distance; tie: left or right anchor.
 
     One sort of both sides together, no range join: the last anchor at or before, and the first at or after, each point.
-    tile: long groups are dealt out in tiles of that length; the anchors next to a tile come from a table of tiles."""
+    tile: long groups are dealt out in tiles of that length; the anchors next to a tile come from a table of tiles.
+    A null group is a group like others, with a tile or without; points without position go."""
     marks = anchors.select(*on, F.col(anchor).alias("__at")).distinct()
     both = points.withColumn("__at", F.lit(None).cast("bigint")).withColumn("__key", F.col(position))
     both = both.unionByName(marks.withColumn("__key", F.col("__at")), allowMissingColumns=True)
@@ -83,11 +140,12 @@ def nearest_join(points: DataFrame, anchors: DataFrame, on: Names, position: str
         by.append("__tile")
         at = lambda c: F.floor(F.col(c) / tile).alias("__tile")
         ends = marks.groupBy(*on, at("__at")).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-        every = points.select(*on, at(position)).distinct().join(ends, by, "full")
+        none = F.lit(None).cast("bigint")
+        every = points.select(*on, at(position), none.alias("__lo"), none.alias("__hi")).unionByName(ends).groupBy(*by).agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
         order = Window.partitionBy(*on).orderBy("__tile")
         every = every.withColumn("__left", F.last("__hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
         every = every.withColumn("__right", F.first("__lo", True).over(order.rowsBetween(1, Window.unboundedFollowing))).drop("__lo", "__hi")
-        both = both.withColumn("__tile", at("__key")).join(every, by)
+        both = null_safe_join(both.withColumn("__tile", at("__key")), every, by)
     else:
         both = both.withColumns({"__left": F.lit(None).cast("bigint"), "__right": F.lit(None).cast("bigint")})
     order = Window.partitionBy(*by).orderBy("__key")
@@ -159,17 +217,19 @@ def rebin(runs: DataFrame, by: Names, width: int, n_bins: int, low: int = 0) ->
 
 
 def local_weights(df: DataFrame, by: Names, position: str = "pos", reach: int = 1500, tile: int | None = None) -> DataFrame:
-    """weight = 1 / number of the group's points within reach, itself and its peers included.
+    """weight = 1 / number of the group's points within reach, itself and its peers included; null where the position is.
 
     tile: long groups are dealt out in tiles of that length (at least twice the reach), with the neighbours' points within reach as halo."""
+    known = F.col(position).isNotNull()
     if tile is None:
         near = Window.partitionBy(*by).orderBy(position).rangeBetween(-reach, reach)
-        return df.withColumn("weight", 1 / F.count("*").over(near))
+        return df.withColumn("weight", F.when(known, 1 / F.count("*").over(near)))
     first, last = F.floor((F.col(position) - reach) / tile), F.floor((F.col(position) + reach) / tile)
-    dealt = df.withColumn("__tile", F.explode(F.sequence(first, last)))
+    nowhere = F.array(F.spark_partition_id().cast("bigint"))  # rows without position lie anywhere
+    dealt = df.withColumn("__tile", F.explode(F.when(known, F.sequence(first, last)).otherwise(nowhere)))
     near = Window.partitionBy(*by, "__tile").orderBy(position).rangeBetween(-reach, reach)
-    weighed = dealt.withColumn("weight", 1 / F.count("*").over(near))
-    return weighed.filter(F.col("__tile") == F.floor(F.col(position) / tile)).drop("__tile")
+    weighed = dealt.withColumn("weight", F.when(known, 1 / F.count("*").over(near)))
+    return weighed.filter(~known | (F.col("__tile") == F.floor(F.col(position) / tile))).drop("__tile")
 
 
 def group_weights(df: DataFrame, by: Names) -> DataFrame:

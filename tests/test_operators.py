@@ -25,6 +25,38 @@ def test_overlap_and_points(spark):
     assert rows(got.select("i", "j"), "i", "j") == sorted((i, j) for i, (c, s, e) in enumerate(l) for j, (d, t, f) in enumerate(r) if c == d and s < f and t < e and s < e and t < f)
 
 
+def test_intervals_of_all_lengths(spark):
+    """From 1 to 10^9 and beyond, at any width of the lowest bins: the same pairs, and few rows from each interval."""
+    rng = np.random.default_rng(1)
+    make = lambda n: [(int(c), int(s), int(s + e)) for c, s, e in zip(rng.integers(0, 2, n), rng.integers(-(10**9), 2 * 10**9, n), (10.0 ** rng.uniform(0, 9.3, n)).astype(int))]
+    l, r = make(120), make(150) + [(0, -(2**60), 2**60), (1, 5, 5), (0, 8**10, 2 * 8**10 + 1)]
+    left = spark.createDataFrame([(*x, i) for i, x in enumerate(l)] + [(None, 0, 9, -1), (0, None, 9, -2)], "chrom long, start long, end long, i int")
+    right = spark.createDataFrame([(*x, j) for j, x in enumerate(r)], "chrom long, r_start long, r_end long, j int")
+    want = sorted((i, j) for i, (c, s, e) in enumerate(l) for j, (d, t, f) in enumerate(r) if c == d and s < f and t < e and t < f)
+    for width in (1, 64, 10**6):
+        assert rows(intervals.overlap_join(left, right, ["chrom"], width).select("i", "j"), "i", "j") == want
+    assert rows(intervals.overlap_join(right, left, ["chrom"], left_on=("r_start", "r_end"), right_on=("start", "end")).select("i", "j"), "i", "j") == want
+    assert rows(intervals.overlap_join(left, right, ["chrom"], how="left_semi").select("i"), "i") == sorted({(i,) for i, _ in want})
+    points = left.select("chrom", F.col("start").alias("pos"), "i")
+    met = intervals.point_in_interval_join(points, right, ["chrom"], low="r_start", high="r_end")
+    assert rows(met.select("i", "j"), "i", "j") == sorted((i, j) for i, (c, s, _) in enumerate(l) for j, (d, t, f) in enumerate(r) if c == d and t <= s <= f)
+    for width in (1, 64):
+        own = intervals._own_bins(right.filter("r_start < r_end"), F.col("r_start"), F.col("r_end") - 1, width)
+        assert own.groupBy("j").count().agg(F.max("count")).first()[0] <= 2 and len(intervals._levels(right, F.col("r_end") - F.col("r_start"), width)) <= 22
+    none = right.limit(0)
+    assert intervals.overlap_join(left, none, ["chrom"]).count() == intervals.point_in_interval_join(points, none, ["chrom"], low="r_start", high="r_end").count() == 0
+
+
+def test_tiles_keep_null_groups_and_positions(spark):
+    points = spark.createDataFrame([("a", 3, 0), (None, 7, 1), (None, 90, 2), ("b", 5, 3), ("a", None, 4), ("a", None, 5), (None, None, 6), ("a", 50, 7)], "g string, pos long, i int")
+    marks = spark.createDataFrame([("a", 1), ("a", 60), (None, 8), (None, 200), ("c", 1)], "g string, anchor long")
+    for tie in ("left", "right"):
+        near = [rows(intervals.nearest_join(points, marks, ["g"], tie=tie, tile=t).select("i", "nearest", "distance"), "i") for t in (None, 10, 1000)]
+        assert near[0] == near[1] == near[2] == [(0, 1, 2), (1, 8, -1), (2, 8, 82), (3, None, None), (7, 60, -10)]
+    weights = [rows(intervals.local_weights(points, ["g"], reach=45, tile=t).select("i", "weight"), "i") for t in (None, 90, 1000)]
+    assert weights[0] == weights[1] == weights[2] and weights[0][4:7] == [(4, None), (5, None), (6, None)] and len(weights[0]) == 8
+
+
 def test_projections(spark):
     one = spark.createDataFrame([(100, 301, "+"), (0, 10, "-")], "s long, e long, strand string")
     start, end = intervals.recenter(F.col("s"), F.col("e"))
