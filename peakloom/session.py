@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,3 +59,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     store.mkdirs(at)
     store.deleteOnExit(at)
     return f"{own}/{uuid.uuid4().hex}/{label}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read back: its plan runs once however often it is used, and lineage ends there."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

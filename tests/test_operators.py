@@ -214,6 +214,42 @@ def test_clusters():
     assert cluster.greedy_match(np.array([[0.9, 0.8], [0.85, 0.1]])) == [(0, 0, 0.9), (1, 1, 0.1)]
 
 
+def test_fixed_sums_and_few_points():
+    """Adding the kernel at points or the grid at taps is the same, bit by bit with fixed numbers."""
+    rng = np.random.default_rng(4)
+    for mode in ("reflect", "constant"):
+        s = segment.Segmenter(reach=300, sigma=10, mode=mode, fixed=True)
+        for n in (0, 1, 30, 79, 82, 500):
+            o = rng.integers(-300, 301, n)
+            w = 1 / rng.integers(1, 9, n)
+            got = s.density(o, w)
+            assert np.allclose(got, segment.gaussian(np.bincount(o + 300, w, minlength=601), 10, mode), atol=1e-5)
+            turned = rng.permutation(n)
+            assert (got == s.density(o[turned], w[turned])).all()
+    wide = segment.Segmenter(reach=5, sigma=4, fixed=True)  # a kernel longer than the grid is mirrored more than once
+    assert np.allclose(wide.density(np.array([0]), np.array([1.0])), segment.gaussian(np.eye(1, 11, 5)[0], 4), atol=1e-5)
+
+
+def test_redetection(spark):
+    """All shuffles at once find what each finds alone; counts by floor against plain ones; a shuffle without elements counts."""
+    rng = np.random.default_rng(5)
+    rows_ = [(c, f, int(p), int(x)) for c in ("a", "b") for f in range(6) for p, x in zip(rng.integers(0, 20_000, 12), rng.integers(0, 500, 12))]
+    rows_ += [("a", f, 7_000 + f, 400) for f in range(6)] + [(None, f, 90 + f, 400) for f in range(4)] + [("a", 1, None, 400)]
+    df = spark.createDataFrame(rows_, "chrom string, tf int, pos long, score int")
+    how = {"min_score": 250, "floor": 0, "reach": 500, "tile": 4_000, "segmenter": segment.Segmenter(sigma=25, mode="constant", fixed=True)}
+    got = segment.redetected(df, "chrom", "tf", 3, 1, **how)
+    each = rows(got.select("shuffle", "chrom", "low", "high", "n_assigned"), "shuffle", "chrom", "low")
+    moved = intervals.circular_shift(df, ["tf"], "chrom", "pos", 3, 1)
+    for k in range(4):
+        alone = segment.discover(df if k == 0 else moved.filter(F.col("shuffle") == k).drop("shuffle"), "chrom", "tf", **how)
+        assert rows(alone.select("chrom", "low", "high", "n_assigned"), "chrom", "low") == [r[1:] for r in each if r[0] == k]
+    assert any(r[:2] == (0, None) for r in each) and any(r[0] == 0 and r[4] == 6 for r in each)
+    found = spark.createDataFrame([(0, 3), (0, 5), (0, 9), (1, 3), (1, 1), (3, 4)], "shuffle int, n_assigned long")
+    assert rows(segment.redetection_fdr(found, 3, 2, 6), "floor") == [
+        (f, o, m, pytest.approx(np.std(n, ddof=1)), m / o) for f, o, n, m in [(2, 3, [1, 0, 1], 2 / 3), (3, 3, [1, 0, 1], 2 / 3), (4, 2, [0, 0, 1], 1 / 3), (5, 2, [0, 0, 0], 0.0), (6, 1, [0, 0, 0], 0.0)]
+    ]
+
+
 def test_gate_and_labels(spark):
     elements = spark.createDataFrame([("c", 100, 200, 150), ("c", 20_000, 20_100, 20_050)], "chrom string, low long, high long, center long")
     modules = spark.createDataFrame([(0, "c", 140, 180, 160, 12), (1, "c", 190, 700, 650, 12), (2, "c", 9_000, 9_100, 9_050, 3), (3, "d", 0, 9, 4, 20)], "module_id long, chrom string, low long, high long, center long, n_assigned long")

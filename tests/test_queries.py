@@ -1,6 +1,6 @@
 import pytest
 
-from peakloom.plans import derived, invariants, round_trips, serve  # noqa: F401  (they register their queries)
+from peakloom.plans import derived, detection, invariants, round_trips, serve  # noqa: F401  (they register their queries)
 from peakloom.plans.queries import ORACLES, QUERIES
 
 from .helpers import of, oracle
