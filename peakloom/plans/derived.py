@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import gram
 from ..operators import intervals as iv
 from ..operators import relational as rel
 from ..operators import stats as st
@@ -141,8 +142,7 @@ def pearson_filled(spark, sf):
     m = months(spark, sf).select("row", "t", F.when(F.col("x") > 40, F.col("x")).alias("x"))
     grid = m.select("row").distinct().crossJoin(m.select("t").distinct())  # brands by months
     full = st.fill_by_row_mean(grid.join(m, ["row", "t"], "left"), "row", "x")
-    a, b = full.select("t", F.col("row").alias("a"), F.col("x").alias("xa")), full.select("t", F.col("row").alias("b"), F.col("x").alias("xb"))
-    return rounded(st.pearson(a.join(b, "t").filter("a < b"), ["a", "b"], "xa", "xb"), 6, "r")
+    return rounded(gram.pairwise_pearson(full, "row", "t", "x"), 6, "r")
 
 
 @query("""WITH r AS (SELECT k, s, vec_id, floor((embedding[s] + 1) * k / 2) AS lab FROM embeddings, (SELECT unnest(range(1, 65)) AS s), (SELECT unnest([2, 4, 16]) AS k) WHERE s <= len(embedding)),

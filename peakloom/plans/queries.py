@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import gram
 from ..operators import intervals as iv
 from ..operators import relational as rel
 from ..operators import stats as st
@@ -266,9 +267,7 @@ def months(spark, sf):
 
 @query(f"WITH {MONTHS} SELECT a.row AS a, b.row AS b, round(corr(a.x, b.x), 6) AS r, count(*) AS n FROM m a JOIN m b ON a.t = b.t AND a.row < b.row GROUP BY 1, 2 HAVING count(*) >= 12")
 def pearson_pairs(spark, sf):
-    m = months(spark, sf).select("row", "t", "x")
-    a, b = m.select("t", F.col("row").alias("a"), F.col("x").alias("xa")), m.select("t", F.col("row").alias("b"), F.col("x").alias("xb"))
-    return rounded(st.pearson(a.join(b, "t").filter("a < b"), ["a", "b"], "xa", "xb", least=12), 6, "r")
+    return rounded(gram.pairwise_pearson(months(spark, sf), "row", "t", "x", least=12), 6, "r")
 
 
 @query(f"WITH {MONTHS} SELECT row, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM m GROUP BY row HAVING count(*) >= 3")
@@ -279,9 +278,8 @@ def ols_line(spark, sf):
 @query(f"""WITH {MONTHS}, r AS (SELECT a.row AS a, b.row AS b, corr(a.x, b.x) AS r FROM m a JOIN m b ON a.t = b.t AND a.row <> b.row GROUP BY 1, 2 HAVING count(*) >= 12)
 SELECT a, arg_max(b, abs(r)) AS driver, round(arg_max(r, abs(r)), 6) AS driver_r, count(*) FILTER (abs(r) >= 0.2) AS n_high FROM r GROUP BY a""")
 def driver_summary(spark, sf):
-    m = months(spark, sf).select("row", "t", "x")
-    a, b = m.select("t", F.col("row").alias("a"), F.col("x").alias("xa")), m.select("t", F.col("row").alias("b"), F.col("x").alias("xb"))
-    r = st.pearson(a.join(b, "t").filter("a <> b"), ["a", "b"], "xa", "xb", least=12)
+    m = months(spark, sf)
+    r = gram.pairwise_pearson(m, "row", "t", "x", least=12, other=m).filter("a <> b")
     best = F.max(F.struct(F.abs("r").alias("s"), "b", "r")).alias("best")
     return rounded(r.groupBy("a").agg(best, F.sum((F.abs("r") >= 0.2).cast("bigint")).alias("n_high")).select("a", F.col("best.b").alias("driver"), F.col("best.r").alias("driver_r"), "n_high"), 6, "driver_r")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import cluster, factor, intervals, relational, segment, stats
+from peakloom.operators import cluster, factor, gram, intervals, relational, segment, stats
 
 
 def rows(df, *by):
@@ -250,6 +250,34 @@ def test_redetection(spark):
     ]
 
 
+def test_blocked_sums(spark):
+    """Masked products in blocks of a few rows and columns against plain sums; missing, repeated, flat and unnamed cells."""
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((23, 31)) < 0.3, np.nan, rng.normal(size=(23, 31)) * 10 + 1e6)
+    x[4], x[5, 3:] = 0.1, np.nan
+    cells = [(f"r{i}", j, float(x[i, j])) for i in range(23) for j in range(31) if not (np.isnan(x[i, j]) and j % 2)]
+    cells += [(None, 1, 1.0), ("r1", None, 1.0), ("lone", 99, 1.0), ("r2", 5, None)] + [c for c in cells if c[0] == "r3"]
+    df = spark.createDataFrame(cells, "g string, t int, v double").withColumn("n", F.lit(1))
+    want = {}
+    for i in range(23):
+        for j in range(23):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            n = int(both.sum())
+            if n >= 3:
+                a, b = x[i, both] - x[i, both].mean(), x[j, both] - x[j, both].mean()
+                flat = np.ptp(x[i, both]) == 0 or np.ptp(x[j, both]) == 0
+                want[f"r{i}", f"r{j}"] = (None if flat else float(a @ b / np.sqrt((a @ a) * (b @ b))), n)
+    for size in ({"rows": 5, "columns": 7}, {}):
+        got = {(r.a, r.b): (r.r, r.n) for r in gram.pairwise_pearson(df, "g", "t", "v", **size).collect()}
+        assert got.keys() == {k for k in want if k[0] < k[1]}
+        for k, (r, n) in got.items():
+            assert n == want[k][1] and (r is None) == (want[k][0] is None) and (r is None or abs(r - want[k][0]) < 1e-9)
+    left = df.filter("g in ('r1', 'r7', 'r4')")
+    got = {(r.a, r.b): (r.r, r.n) for r in gram.pairwise_pearson(left, "g", "t", "v", other=df, rows=5, columns=7).collect()}
+    assert got.keys() == {k for k in want if k[0] in ("r1", "r7", "r4")} and all(n == want[k][1] and (r is None or abs(r - want[k][0]) < 1e-9) for k, (r, n) in got.items())
+    assert gram.pairwise_pearson(df.limit(0), "g", "t", "v").count() == 0
+
+
 def test_gate_and_labels(spark):
     elements = spark.createDataFrame([("c", 100, 200, 150), ("c", 20_000, 20_100, 20_050)], "chrom string, low long, high long, center long")
     modules = spark.createDataFrame([(0, "c", 140, 180, 160, 12), (1, "c", 190, 700, 650, 12), (2, "c", 9_000, 9_100, 9_050, 3), (3, "d", 0, 9, 4, 20)], "module_id long, chrom string, low long, high long, center long, n_assigned long")
