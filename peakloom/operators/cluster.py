@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .stats import clean
+
 
 #: Cells of a matrix that a dense step on the driver takes at most.
 DENSE = 4_000_000
@@ -145,15 +148,43 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def greedy_match(similarity: np.ndarray) -> list[tuple[int, int, float]]:
-    """Best pairs first, each row and column once."""
-    s, out = similarity.astype(float).copy(), []
-    for _ in range(min(s.shape)):
-        i, j = divmod(int(np.argmax(s)), s.shape[1])
-        out.append((i, j, float(s[i, j])))
-        s[i], s[:, j] = -np.inf, -np.inf
+    """Rows by their best similarity, the highest first (ties: the first row), each with its best column that is still free (ties: the first)."""
+    free, out = np.ones(similarity.shape[1], bool), []
+    for i in np.argsort(-similarity.max(1, initial=-np.inf), kind="stable"):
+        if not free.any():
+            break
+        j = int(np.argmax(np.where(free, similarity[i], -np.inf)))
+        free[j] = False
+        out.append((int(i), j, float(similarity[i, j])))
     return out
 
 
+def dominant_match(pairs: DataFrame, a: str = "a", b: str = "b", s: str = "s") -> DataFrame:
+    """(a, b, s): greedy_match of a long table of similarities, by joins: rows (a) in order of their best similarity, each with its best free b.
+
+    All rows at once ask for their best column; a column goes to the row of the highest place that asks, and keeps it only
+    until a higher one does; the others ask for their next best column that no higher row holds. Since all columns rank rows
+    alike, where this ends is what one row after the other would take. A round is three joins on written tables; rows that hold a
+    column do nothing. Pairs without similarity (null, NaN) aren't there; of a pair given more than once the most counts; ties go by a, then b;
+    rows whose columns are all taken have none."""
+    known = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), clean(s).alias("s")).filter("a is not null and b is not null and s is not null")
+    known = known.groupBy("a", "b").agg(F.max("s").alias("s"))
+    # (-best, a) is a row's place: the least is the highest
+    ranked = written(known.withColumn("best", F.max("s").over(Window.partitionBy("a"))).select("a", "b", "s", F.struct((-F.col("best")).alias("m"), "a").alias("place")), "ranked")
+    held, asking = None, written(ranked.select("a").distinct(), "asking")
+    while not asking.isEmpty():
+        open_ = ranked.join(asking, "a", "left_semi")
+        if held is not None:
+            open_ = open_.join(held.select("b", F.col("place").alias("by")), "b", "left").filter(F.col("by").isNull() | (F.col("place") < F.col("by")))
+        asked = open_.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).filter("n = 1").select("b", "s", "place")
+        every = written(asked if held is None else asked.unionByName(held.select("b", "s", "place")), "asked")
+        now = written(every.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("place"))).select("b", "s", "place", "n"), "held")
+        held = now.filter("n = 1").drop("n")
+        asking = now.filter("n > 1").select("place.a")
+    out = ranked.limit(0).select("a", "b", "s") if held is None else held.select("place.a", "b", "s")
+    return out.withColumnsRenamed({"a": a, "b": b, "s": s})
+
+
 def adjusted_mutual_information(a: np.ndarray, b: np.ndarray) -> float:
     """(MI - E) / (mean entropy - E), E under random labellings with the same sizes."""
     ia, ib = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]

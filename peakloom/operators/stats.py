@@ -225,6 +225,38 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.coalesce(F.try_divide(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected), F.lit(1.0)).alias("ari"), "n")
 
 
+def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (ami, n): mutual information of two labellings of the rows, less what random labellings of the same sizes have, over mean entropy
+    less that; 1 for two labellings of one class each. Rows without either label don't count.
+
+    Items are counted by pair of labels once; the rest works on those counts. The expected information is summed over pairs of different
+    class sizes (weighted by how many classes have them; there are at most the root of twice the items of each), and for each over
+    the overlaps within 40 deviations of their mean, whose other terms a double doesn't hold."""
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("c"))
+    total = cells.agg(F.sum("c").alias("n"))
+    side = lambda k, x: cells.groupBy(k).agg(F.sum("c").alias(x))
+    n = F.col("n").cast("double")
+    information = cells.join(side(a, "x"), a).join(side(b, "y"), b).crossJoin(total)  # one row
+    mi = information.agg(F.sum(F.col("c") / n * F.log(n * F.col("c") / (F.col("x").cast("double") * F.col("y")))).alias("mi"))
+    sizes = {x: side(k, x).groupBy(x).agg(F.count("*").alias(f"m_{x}")) for k, x in ((a, "x"), (b, "y"))}
+    entropy = lambda x: sizes[x].crossJoin(total).agg((-F.sum(F.col(f"m_{x}") * F.col(x) / n * F.log(F.col(x) / n))).alias(f"h_{x}"), F.sum(f"m_{x}").alias(f"k_{x}"))
+    met = sizes["x"].crossJoin(sizes["y"]).crossJoin(total)  # sizes by sizes, not classes by classes
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    mean = x * y / n
+    reach = 40 * F.sqrt(mean * (1 - x / n) * (1 - y / n) * n / F.greatest(n - 1, F.lit(1.0))) + 40
+    low = F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("n"), F.floor(mean - reach)).cast("bigint")
+    high = F.least(F.col("x"), F.col("y"), F.ceil(mean + reach)).cast("bigint")
+    met = met.filter(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    k = F.col("k").cast("double")
+    lf = log_factorial
+    chance = F.exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(k) - lf(x - k) - lf(y - k) - lf(n - x - y + k))
+    expected = met.agg(F.coalesce(F.sum(F.col("m_x") * F.col("m_y") * k / n * F.log(n * k / (x * y)) * chance), F.lit(0.0)).alias("e"))
+    one = mi.crossJoin(entropy("x")).crossJoin(entropy("y")).crossJoin(expected).crossJoin(total)  # rows of one each
+    apart = (F.col("h_x") + F.col("h_y")) / 2 - F.col("e")
+    trivial = ((F.col("k_x") == 1) & (F.col("k_y") == 1)) | (F.abs(apart) < 1e-15)
+    return one.select(F.when(trivial, 1.0).otherwise((F.col("mi") - F.col("e")) / apart).alias("ami"), "n")
+
+
 def tail_counts(df: DataFrame, value: str, low: int, high: int) -> DataFrame:
     """How many rows have value >= floor, for each floor from low to high, in one pass: values are counted, then summed from above."""
     counts = df.select(F.least(F.col(value), F.lit(high)).cast("bigint").alias("floor")).filter(F.col("floor") >= low).groupBy("floor").agg(F.count("*").alias("n"))

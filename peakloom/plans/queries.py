@@ -618,16 +618,26 @@ e AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1)
 SELECT round((mi - e) / ((hx + hy) / 2 - e), 6) AS ami, CAST(n AS BIGINT) AS n FROM mi, h, e, t""")
 def ami(spark, sf):
     """Agreement of customers' segments with the smallest brand set that holds each, by counts of the two labellings."""
-    from ..operators.cluster import adjusted_mutual_information, smallest_set_label
+    from ..operators.cluster import smallest_set_label
 
     sets = customer_brands(spark, sf).select(F.col("col").alias("term"), F.col("row").alias("item"))
     items = table(spark, sf, "customer").select(F.col("c_custkey").alias("item"), "c_mktsegment")
-    cells = smallest_set_label(items, sets).join(items, "item").groupBy("term", "c_mktsegment").count().collect()
-    a, b, n = zip(*cells, strict=True)
-    import numpy as np
-
-    got = adjusted_mutual_information(np.repeat(np.array(a), n), np.repeat(np.array(b), n))
-    return spark.createDataFrame([(round(float(got), 6), int(sum(n)))], "ami double, n bigint")
+    return rounded(st.adjusted_mutual_information(smallest_set_label(items, sets).join(items, "item"), "term", "c_mktsegment"), 6, "ami")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_brand AS a, n_name AS b, count(*) AS s FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+o AS (SELECT a, row_number() OVER (ORDER BY max(s) DESC, a) AS k FROM s GROUP BY a),
+r AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS a, NULL::VARCHAR AS b, 0::BIGINT AS s, []::VARCHAR[] AS used
+  UNION ALL SELECT k + 1, a, b, s, list_append(used, b) FROM (SELECT r.k, s.a, s.b, s.s, r.used, row_number() OVER (ORDER BY s.s DESC, s.b) AS p FROM r JOIN o ON o.k = r.k + 1 JOIN s ON s.a = o.a WHERE NOT list_contains(r.used, s.b)) WHERE p = 1)
+SELECT a, b, s::DOUBLE AS s FROM r WHERE k > 0""")
+def dominant_matching(spark, sf):
+    """Each brand with the nation of its most lines among those that no brand before it took; brands by their most lines."""
+    from ..operators.cluster import dominant_match
+
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("a"))
+    named = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("b"))
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").join(part, "l_partkey").join(named, "l_suppkey")
+    return dominant_match(lines.groupBy("a", "b").agg(F.count("*").alias("s")))
 
 
 @query("SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 86400 AS day, count(*) AS n FROM events WHERE value >= 20 GROUP BY 1, 2")

@@ -278,6 +278,29 @@ def test_blocked_sums(spark):
     assert gram.pairwise_pearson(df.limit(0), "g", "t", "v").count() == 0
 
 
+def test_dominant_match(spark):
+    """By joins as by a plain loop, with ties, missing pairs and more rows than columns."""
+    assert cluster.greedy_match(np.array([[0.9, 0.1, 0], [0.85, 0.8, 0], [0, 0.82, 0.1]])) == [(0, 0, 0.9), (1, 1, 0.8), (2, 2, 0.1)]
+    rng = np.random.default_rng(11)
+    for n, m, levels in ((9, 9, 4), (12, 5, 1000), (7, 3, 2)):
+        x = rng.integers(0, levels, (n, m)) / levels
+        df = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(m)] + [(0, 0, -1.0), (None, 1, 9.0), (1, None, 9.0), (50, 1, None)], "a int, b int, s double")
+        assert rows(cluster.dominant_match(df), "a") == sorted(cluster.greedy_match(x))
+    few = spark.createDataFrame([("p", "x", 0.5), ("q", "x", 0.7), ("r", "y", float("nan"))], "a string, b string, s double")
+    assert rows(cluster.dominant_match(few), "a") == [("q", "x", 0.7)] and cluster.dominant_match(few.limit(0)).count() == 0
+
+
+def test_ami_from_counts(spark):
+    rng = np.random.default_rng(12)
+    cases = [(rng.integers(0, k, n), rng.integers(0, j, n)) for n, k, j in ((60, 3, 4), (200, 9, 2), (500, 40, 30))]
+    same = rng.integers(0, 5, 90)
+    cases += [(same, same), (same, np.where(rng.random(90) < 0.2, 0, same)), (np.zeros(8, int), np.zeros(8, int)), (np.zeros(8, int), np.arange(8)), (np.repeat([0, 1], [4000, 30]), np.repeat([0, 1], [4010, 20]))]
+    for a, b in cases:
+        df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)] + [(None, 1), (1, None)], "a int, b int")
+        got = stats.adjusted_mutual_information(df, "a", "b").first()
+        assert got.n == len(a) and got.ami == pytest.approx(cluster.adjusted_mutual_information(a, b), abs=1e-9)
+
+
 def test_gate_and_labels(spark):
     elements = spark.createDataFrame([("c", 100, 200, 150), ("c", 20_000, 20_100, 20_050)], "chrom string, low long, high long, center long")
     modules = spark.createDataFrame([(0, "c", 140, 180, 160, 12), (1, "c", 190, 700, 650, 12), (2, "c", 9_000, 9_100, 9_050, 3), (3, "d", 0, 9, 4, 20)], "module_id long, chrom string, low long, high long, center long, n_assigned long")
