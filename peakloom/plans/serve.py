@@ -123,8 +123,8 @@ serve("archetype_top_terms", "archetype_go_top", lambda c: c.top_terms("archetyp
 TERMS = "terms AS (SELECT term, min(go_id) AS go_id, count(DISTINCT program) AS n_programs, count(DISTINCT archetype) AS n_archetypes, min(q_value) AS min_q FROM (SELECT term, go_id, q_value, program, NULL AS archetype FROM program_go_top UNION ALL SELECT term, go_id, q_value, NULL, archetype FROM archetype_go_top) GROUP BY term)"
 serve("list_terms", "program_go_top archetype_go_top", lambda c: c.list_terms(), f", {TERMS} SELECT * FROM terms")
 serve("find_terms", "program_go_top archetype_go_top", lambda c: c.find_terms("my 1"), f", {TERMS} SELECT * FROM terms WHERE contains(upper(term), 'MY 1')")
-serve("programs_of_term", "program_go_top", lambda c: c.groups_of_term("program", "PROMO 7"), "SELECT * FROM program_go_top WHERE term = 'PROMO 7'")
-serve("archetypes_of_term", "archetype_go_top", lambda c: c.groups_of_term("archetype", "PROMO 7"), "SELECT * FROM archetype_go_top WHERE term = 'PROMO 7'")
+serve("programs_of_term", "program_go_top", lambda c: c.groups_of_term("program", "LARGE 22"), "SELECT * FROM program_go_top WHERE term = 'LARGE 22'")
+serve("archetypes_of_term", "archetype_go_top", lambda c: c.groups_of_term("archetype", "LARGE 22"), "SELECT * FROM archetype_go_top WHERE term = 'LARGE 22'")
 serve("program_centers", "modules module_program", lambda c: c.program_centers(2), "SELECT module_id, center_offset, width, dominant_weight FROM modules JOIN module_program USING (module_id) WHERE dominant_program = 2")
 serve("genes_in_archetype", "gene_archetypes gene_configs", lambda c: c.genes_in_archetype(2, 50), "SELECT a.transcript_id, a.gene_name, dominant_archetype, dominant_weight, n_modules, program_path FROM gene_archetypes a JOIN gene_configs c USING (transcript_id) WHERE dominant_archetype = 2 ORDER BY dominant_weight DESC, a.transcript_id LIMIT 50")
 serve("program_cooccurrence", "modules module_program", lambda c: c.program_cooccurrence(), ", m AS (SELECT DISTINCT gene_name AS k, dominant_program AS g FROM modules JOIN module_program USING (module_id) WHERE gene_name <> ''), s AS (SELECT g, count(*) AS n FROM m GROUP BY g), t AS (SELECT count(DISTINCT k) AS n_rows FROM m) SELECT a.g AS a, b.g AS b, count(*) AS n_shared, round(CAST(count(*) AS DOUBLE) * min(n_rows) / (CAST(min(x.n) AS DOUBLE) * min(y.n)), 3) AS lift FROM m a JOIN m b USING (k) JOIN s x ON a.g = x.g JOIN s y ON b.g = y.g, t GROUP BY 1, 2")
@@ -134,7 +134,7 @@ serve("tf_program_loadings", "program_tf_top", lambda c: c.tf_program_loadings("
 serve("representative_modules", "module_program module_tf_target modules", lambda c: c.representative_modules(2, 10), ", own AS (SELECT module_id, dominant_weight FROM module_program WHERE dominant_program = 2 ORDER BY dominant_weight DESC, module_id LIMIT 10), named AS (SELECT module_id, string_agg(tf, ', ' ORDER BY k) AS top_tfs FROM (SELECT module_id, tf, row_number() OVER (PARTITION BY module_id ORDER BY abs(r) DESC, tf) AS k FROM module_tf_target SEMI JOIN own USING (module_id)) WHERE k <= 5 GROUP BY module_id) SELECT m.*, dominant_weight, top_tfs FROM modules m JOIN own USING (module_id) LEFT JOIN named USING (module_id)")
 serve("strand_shares", "modules module_program tss", lambda c: c.strand_distribution(), "SELECT dominant_program, count(*) FILTER (strand = '+') AS plus, count(*) FILTER (strand = '-') AS minus, round(count(*) FILTER (strand = '+') / count(*), 4) AS share FROM modules m JOIN module_program USING (module_id) JOIN tss ON tss.tss_id = m.tss_id GROUP BY dominant_program")
 serve("program_diff", "gene_configs", lambda c: c.program_diff("T7", "T8"), ", a AS (SELECT DISTINCT unnest(string_split(program_path, ',')) AS program FROM gene_configs WHERE transcript_id = 'T7'), b AS (SELECT DISTINCT unnest(string_split(program_path, ',')) AS program FROM gene_configs WHERE transcript_id = 'T8') SELECT coalesce(a.program, b.program) AS program, CASE WHEN b.program IS NULL THEN 'a only' WHEN a.program IS NULL THEN 'b only' ELSE 'shared' END AS side FROM a FULL JOIN b ON a.program = b.program")
-serve("gene_frequency", "program_go_top tss", lambda c: c.gene_frequency("PROMO 7"), "SELECT item, count(*) AS n FROM (SELECT trim(unnest(string_split(genes_in_overlap, ','))) AS item FROM program_go_top WHERE term = 'PROMO 7') WHERE item IN (SELECT gene_name FROM tss WHERE gene_name <> '') GROUP BY item")
+serve("gene_frequency", "program_go_top tss", lambda c: c.gene_frequency("LARGE 22"), "SELECT item, count(*) AS n FROM (SELECT trim(unnest(string_split(genes_in_overlap, ','))) AS item FROM program_go_top WHERE term = 'LARGE 22') WHERE item IN (SELECT gene_name FROM tss WHERE gene_name <> '') GROUP BY item")
 serve("lineage_index", "lineages", lambda c: c.lineage_index(), "SELECT * FROM lineages")
 serve("gene_lineage", "gene_lineage", lambda c: c.gene_lineage("Brand#1"), "SELECT * FROM gene_lineage WHERE gene = 'Brand#1'")
 serve("gene_summary", "gene_summary", lambda c: c.gene_summary(["Brand#1", "Brand#7", "none"]), "SELECT * FROM gene_summary WHERE gene IN ('Brand#1', 'Brand#7', 'none')")

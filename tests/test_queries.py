@@ -15,3 +15,10 @@ def test_query_equals_its_sql(spark, sf, name):
         assert got[1] == want[1]
     else:
         assert got[1]
+
+
+@pytest.mark.parametrize("name", ["serve_programs_of_term", "serve_archetypes_of_term", "serve_gene_frequency"])
+def test_look_ups_of_a_term_that_occurs(sf, name):
+    """An empty result on both sides would prove nothing, at any size."""
+    for size in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
+        assert oracle(ORACLES[name], size)[1]
