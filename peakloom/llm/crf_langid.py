@@ -6,8 +6,8 @@ neighbouring words are learned too, half of the training rows being spliced from
 a text costs something but is possible. A text's label is the language with the largest expected share of its words,
 its score that share.
 
-The fit, on the driver, is bounded: at most max_rows labelled texts (chosen by hash of the id), and of a text with more
-than max_words words as many runs of CHUNK words as make that number, spread evenly from its first word to its last. Prediction is a narrow pass over whole texts: long ones are cut into chunks whose transfer matrices are
+The fit, on the driver, is of at most max_rows labelled texts (chosen by hash of the id), each read whole, whatever its length: its
+words, as numbers, are what the driver holds of it. Prediction is a narrow pass over whole texts: long ones are cut into chunks whose transfer matrices are
 multiplied, so that results are exactly those of one pass over the whole text. The model's size is fixed.
 
 Edge cases: null texts, texts without a letter: 'und', score 0; no labelled row: 'und' for all; ties go to the first
@@ -214,30 +214,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _spread(max_words: int):
-    """Whole texts in; out their words, or where they are many, runs of CHUNK words at even distances from end to end."""
-
-    def run(batches):
-        for b in (x for x in batches if x.num_rows):
-            texts = []
-            for t in b.column(2).to_pylist():
-                words = words_of(t)
-                if len(words) > max_words:
-                    starts = np.linspace(0, len(words) - CHUNK, max(1, max_words // CHUNK)).astype(int).tolist()
-                    words = [w for a in starts for w in words[a : a + CHUNK]]
-                texts.append(" ".join(words))
-            yield b.set_column(2, b.schema.field(2), pa.array(texts))
-
-    return run
-
-
-def fit_on(docs: DataFrame, max_rows: int = 600, max_words: int = 4000) -> Model | None:
-    """Fits on labelled texts that aren't held out."""
+def fit_on(docs: DataFrame, max_rows: int = 600) -> Model | None:
+    """Fits on at most max_rows labelled texts that aren't held out, each of them whole."""
     rows = columns(docs, doc_id="doc_id", lang="lang", text="text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     ids = [r[0] for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(max_rows).collect()]
     chosen = rows.filter(F.col("doc_id").isin([i for i in ids if i is not None]) | (F.col("doc_id").isNull() & F.lit(None in ids)))
     chosen = chosen.withColumn("h", F.xxhash64("text", "lang")).orderBy("doc_id", "h").limit(max_rows).drop("h")  # ids may be repeated
-    got = by_arrow(chosen, _spread(max_words), chosen.schema).toArrow() if ids else None
+    got = chosen.toArrow() if ids else None
     texts = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "lang", "text")), strict=True), key=str) if got else []
     model = fit([(t, y) for _, y, t in texts])
     release_memory()

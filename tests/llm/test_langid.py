@@ -94,5 +94,15 @@ def test_fit_reads_whole_texts_and_repeated_rows(spark):
     odd = spark.createDataFrame(rows + rows[:7] + [(None, by_lang["fr"], "fr")], "doc_id bigint, text string, lang string").selectExpr("*", "1 AS h", "2 AS score")
     got = language_id(odd).collect()
     assert len(got) == len(rows) + 8 and {r.lang_pred for r in got} <= {"de", "fr", "en"}
-    model = fit_on(odd, max_words=640)
+    model = fit_on(odd)
     assert model and predict(spark.createDataFrame([(1, by_lang["de"])], "doc_id bigint, text string"), model).first().lang_pred == "de"
+
+
+def test_every_word_of_a_chosen_text_is_fitted(spark):
+    """One word between 40,000 others, wherever it stands, is in the lexicon."""
+    from peakloom.llm.crf_langid import word_features
+
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(a, "the of and " * 7000 + "hapaxone " + "to in is " * 7000, "en"), (b, "der die das " * 7000 + "hapaxdrei", "de")]
+    model = fit_on(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert np.isin(word_features(["hapaxone", "hapaxdrei", "the"])[2], model.lexicon).all()
