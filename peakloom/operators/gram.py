@@ -23,11 +23,13 @@ ROWS, COLUMNS = 256, 1024
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def _blocks(df: DataFrame, row: str, column: str, value: str, n_rows: int, n_columns: int):
-    """(rb, cb, row array, column array, x binary): dense blocks, NaN where there is no value; each row less its least value, so that sums of
-    squares don't cancel and rows of one value are all 0."""
+def _blocks(df: DataFrame, row: str, column: str, value: str, n_rows: int, n_columns: int, shift: bool):
+    """(rb, cb, row array, column array, x binary): dense blocks, NaN where there is no value. shift: each row less its least value, so that
+    sums of squares don't cancel and rows of one value are all 0."""
     cells = df.select(F.col(row).alias("row"), F.col(column).cast("string").alias("col"), clean(value).alias("x")).filter("row is not null and col is not null and x is not null")
-    cells = cells.groupBy("row", "col").agg(F.avg("x").alias("x")).withColumn("x", F.col("x") - F.min("x").over(Window.partitionBy("row")))
+    cells = cells.groupBy("row", "col").agg(F.avg("x").alias("x"))
+    if shift:
+        cells = cells.withColumn("x", F.col("x") - F.min("x").over(Window.partitionBy("row")))
     cells = cells.withColumn("rb", F.pmod(F.xxhash64("row"), F.lit(n_rows)).cast("int")).withColumn("cb", F.pmod(F.xxhash64("col"), F.lit(n_columns)).cast("int"))
     kind = dict(cells.dtypes)["row"]
     schema = df.sparkSession.createDataFrame([], f"rb int, cb int, rows array<{kind}>, cols array<string>, x binary").schema
@@ -53,15 +55,15 @@ def _unpacked(row: dict):
     return x, np.array(row["cols"], object).astype(str)
 
 
-def pair_sums(df: DataFrame, row: str, column: str, value: str, other: DataFrame | None = None, rows: int = ROWS, columns: int = COLUMNS) -> DataFrame:
-    """(a, b, n, sx, sy, sxx, syy, sxy) over the columns that both have, values less their row's least: of every two rows a < b, or with
+def pair_sums(df: DataFrame, row: str, column: str, value: str, other: DataFrame | None = None, rows: int = ROWS, columns: int = COLUMNS, shift: bool = True) -> DataFrame:
+    """(a, b, n, sx, sy, sxx, syy, sxy) over the columns that both have, values less their row's least (with shift): of every two rows a < b, or with
     another table of every row of df and every row of it. Pairs without a common column aren't there. A cell given
     more than once counts with its mean; null and NaN cells are missing; rows and columns without name take no part."""
     sizes = _sizes((df, row, column), *([(other, row, column)] if other is not None else []))
     n_columns = max(1, math.ceil(max(c for _, c in sizes) / columns))
     n_left, n_right = (max(1, math.ceil(n / rows)) for n in (sizes[0][0], sizes[-1][0]))
-    left, kind = _blocks(df, row, column, value, n_left, n_columns)
-    right = left if other is None else _blocks(other, row, column, value, n_right, n_columns)[0]
+    left, kind = _blocks(df, row, column, value, n_left, n_columns, shift)
+    right = left if other is None else _blocks(other, row, column, value, n_right, n_columns, shift)[0]
     every = lambda low, high: F.explode(F.sequence(low, high))
     square, zero = other is None, F.lit(0)
     left = left.withColumnRenamed("rb", "i").withColumn("j", every(F.col("i") if square else zero, F.lit(n_right - 1)))
@@ -101,3 +103,9 @@ def pairwise_pearson(df: DataFrame, row: str, column: str, value: str, least: in
     s = s.withColumns({"xx": about("sxx", "sx", "sx"), "yy": about("syy", "sy", "sy"), "xy": about("sxy", "sx", "sy")})
     flat = (F.col("xx") <= 1e-12 * F.col("sxx")) | (F.col("yy") <= 1e-12 * F.col("syy"))
     return s.select("a", "b", F.when(~flat, F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("r"), F.col("n").cast("bigint").alias("n"))
+
+
+def distances(df: DataFrame, row: str, column: str, value: str, **blocks) -> DataFrame:
+    """(a, b, d): Euclidean distances of every two rows a < b over the columns that both have."""
+    s = pair_sums(df, row, column, value, shift=False, **blocks)
+    return s.select("a", "b", F.sqrt(F.greatest(F.col("sxx") + F.col("syy") - 2 * F.col("sxy"), F.lit(0.0))).alias("d"))

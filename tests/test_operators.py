@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import cluster, factor, gram, intervals, relational, segment, stats
+from peakloom.operators import cluster, factor, gram, intervals, relational, segment, stats, trees
 
 
 def rows(df, *by):
@@ -301,6 +301,34 @@ def test_ami_from_counts(spark):
         assert got.n == len(a) and got.ami == pytest.approx(cluster.adjusted_mutual_information(a, b), abs=1e-9)
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_reciprocal_trees(spark, method):
+    """The kernel's heights, clusters and leaves, one merge at a time; with ties the same heights."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(21, 4))
+    merges = cluster.linkage(x, method)
+    cells = spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r)], "i int, j int, v double")
+    apart = gram.distances(cells, "i", "j", "v", rows=8)
+    assert apart.count() == 210
+    got = trees.linkage(apart, method)
+    held = got.orderBy("height").collect()
+    assert np.allclose([r.height for r in held], merges[:, 2]) and [r["size"] for r in held] == merges[:, 3].astype(int).tolist() and len({r.round for r in held}) < 20
+    items = spark.range(21).select(F.col("id").cast("int").alias("item"))
+    roots = dict(map(tuple, trees.cut(items, got, 5).collect()))
+    labels = cluster.cut(merges, 5)
+    assert [roots[i] for i in range(21)] == [int(np.flatnonzero(labels == labels[i])[0]) for i in range(21)]
+    place = [r.item for r in trees.leaf_order(items, got).orderBy("place").collect()]
+    assert sorted(place) == list(range(21))
+    for k in range(2, 20):  # every cluster's leaves stand together
+        own = cluster.cut(merges, k)[place]
+        assert (own[1:] != own[:-1]).sum() == k - 1
+    even = np.array([[0, 1, 1, 3], [1, 0, 1, 3], [1, 1, 0, 1], [3, 3, 1, 0]], float)
+    ties = spark.createDataFrame([(b, a, float(even[a, b])) for a in range(4) for b in range(a)] + [(0, 0, 0.0)], "a int, b int, d double")
+    assert np.allclose(sorted(r.height for r in trees.linkage(ties, method).collect()), cluster.linkage(even, method, distances=True)[:, 2])
+    none = trees.linkage(ties.limit(0), method)
+    assert none.count() == 0 and trees.cut(items, none, 3).filter("item = root").count() == 21
+
+
 def test_gate_and_labels(spark):
     elements = spark.createDataFrame([("c", 100, 200, 150), ("c", 20_000, 20_100, 20_050)], "chrom string, low long, high long, center long")
     modules = spark.createDataFrame([(0, "c", 140, 180, 160, 12), (1, "c", 190, 700, 650, 12), (2, "c", 9_000, 9_100, 9_050, 3), (3, "d", 0, 9, 4, 20)], "module_id long, chrom string, low long, high long, center long, n_assigned long")
