@@ -8,6 +8,8 @@ that ties have one outcome too. A round is a few joins on written tables; nothin
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,27 @@ def leaf_order(items: DataFrame, merges: DataFrame, item: str = "item") -> DataF
     before = Window.partitionBy("a").orderBy("round")
     steps = merges.withColumn("at", F.coalesce(F.lag("size").over(before), F.lit(1))).select("b", "a", "at")
     return _roots(one, steps).select(F.col("item").alias(item), F.col("at").alias("place"))
+
+
+def profile_clusters(profiles: DataFrame, row: str, clusters: int, floor: float = 0.02, sigma: float = 10.0) -> DataFrame:
+    """(row, cluster): profiles (row, x) whose maximum reaches floor times the largest of all, smoothed, scaled to their peak, clustered by Ward's
+    linkage; clusters are numbered from 1 by the place where their mean profile is highest. A row given more than once is one by its mean."""
+    from .gram import distances
+    from .segment import gaussian
+
+    top = profiles.agg(F.max(F.array_max("x"))).first()[0]
+    kind = dict(profiles.dtypes)[row]
+
+    def smooth(frames):
+        for f in frames:
+            x = [gaussian(np.array(v, float), sigma) for v in f["x"]]
+            yield pd.DataFrame({row: f[row], "x": [v / max(v.max(), 1e-300) for v in x]})
+
+    held = profiles.filter(F.col(row).isNotNull() & (F.array_max("x") >= floor * (top or 0.0))).select(row, "x").mapInPandas(smooth, f"`{row}` {kind}, x array<double>")
+    cells = written(held.select(F.col(row).alias("item"), F.posexplode("x").alias("place", "v")), "profiles")
+    items = cells.select("item").distinct()
+    roots = written(cut(items, linkage(distances(cells, "item", "place", "v")), clusters), "clusters")
+    means = cells.join(roots, "item").groupBy("root", "place").agg(F.avg("v").alias("m"))
+    peaks = means.groupBy("root").agg(F.max(F.struct("m", (-F.col("place")).alias("p"))).alias("top")).select("root", (-F.col("top.p")).alias("place"))
+    numbered = peaks.withColumn("cluster", F.row_number().over(Window.orderBy("place", "root"))).select("root", "cluster")  # a row for each cluster
+    return roots.join(numbered, "root").select(F.col("item").alias(row), "cluster")

@@ -589,12 +589,14 @@ def heldout_cv(spark, sf):
 
 @query()
 def ward_clusters(spark, sf):
-    from ..operators.cluster import profile_clusters
+    """Brands by their counts of part types, smoothed and scaled, in four clusters."""
+    from ..operators.factor import vectors
+    from ..operators.trees import profile_clusters
 
-    m = _brand_matrix(spark, sf)
-    x = m.iloc[:, 1:].to_numpy(float)
-    kept, labels = profile_clusters(x / x.max(), 4, sigma=0.5)
-    return spark.createDataFrame([(m.iloc[i, 0], int(c)) for i, c in zip(kept, labels)], "brand string, cluster int")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), "p_type")
+    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").collect()]
+    counts = table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("brand", "p_type").agg(F.count("*").alias("n"))
+    return profile_clusters(vectors(counts, "brand", "p_type", "n", types), "brand", 4, sigma=0.5)
 
 
 @query()

@@ -329,6 +329,15 @@ def test_reciprocal_trees(spark, method):
     assert none.count() == 0 and trees.cut(items, none, 3).filter("item = root").count() == 21
 
 
+def test_profile_clusters_on_tables(spark):
+    rng = np.random.default_rng(14)
+    x = np.abs(rng.normal(size=(18, 9))) + 5 * np.eye(9)[rng.integers(0, 4, 18) * 2]
+    x[3] *= 1e-4  # below the floor
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(None, x[0].tolist())], "i int, x array<double>")
+    kept, labels = cluster.profile_clusters(x / x.max(), 4, sigma=1.0)
+    assert rows(trees.profile_clusters(df, "i", 4, sigma=1.0), "i") == [(int(i), int(c)) for i, c in zip(kept, labels)]
+
+
 def test_gate_and_labels(spark):
     elements = spark.createDataFrame([("c", 100, 200, 150), ("c", 20_000, 20_100, 20_050)], "chrom string, low long, high long, center long")
     modules = spark.createDataFrame([(0, "c", 140, 180, 160, 12), (1, "c", 190, 700, 650, 12), (2, "c", 9_000, 9_100, 9_050, 3), (3, "d", 0, 9, 4, 20)], "module_id long, chrom string, low long, high long, center long, n_assigned long")
