@@ -1,14 +1,15 @@
 """Benchmark decontamination: a generalised suffix automaton of the test items, streamed over by every document's words.
 
-Plan: test items are cut into groups of bounded size; each group's automaton is broadcast (its size is bounded by
-max_words, whatever the benchmark's) and the documents pass through one group's pass after another, narrowly: no
-shuffle, no text leaves its partition. With several groups each pass is written before the next one's automaton is made,
+Plan: test items are cut into pieces that overlap by a window less a word, so that each window lies whole in a piece; equal pieces
+of an item are taken once, and pieces are dealt out by hash to groups of about max_words words. So an automaton, which is
+broadcast, is of bounded size however long an item is and however often it is repeated. The documents pass through one group's
+pass after another, narrowly: no shuffle, no text leaves its partition. With several groups each pass is written before the next one's automaton is made,
 so that one is held at a time. At each word the automaton holds the longest suffix of the text that some
 item contains; where it is `window` words or more, those words are hit. Shorter items count whole.
 
 Edge cases: null or empty texts have no words and no hits; items without words are ignored; with no items nothing is
 hit; repeated ids stay, a row each; repeated items all count; items without id hit too, count as one item and stand in no
-list of ids; other columns are ignored.
+list of ids; other columns are ignored; very long texts are scanned whole, word by word, and very long items are met in any of their windows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import batch, by_arrow, columns, discard, free_name, materialise
+from .common import batch, by_arrow, columns, discard, free_name, materialise, raw
 
 #: ASCII that isn't a letter or digit parts words; A-Z become a-z; other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -124,8 +125,9 @@ class SuffixAutomaton:
         return spans
 
 
-def _automaton(items: list[tuple[int, str | None]], window: int) -> SuffixAutomaton:
-    told = [(k, w) for k, text in items if (w := words_of((text or "").encode()))]
+def _automaton(items: list[tuple[int, bytes]], window: int) -> SuffixAutomaton:
+    """Of pieces: (item, words joined by a space)."""
+    told = [(k, piece.split(b" ")) for k, piece in items]
     automaton = SuffixAutomaton()
     for _, words in told:
         automaton.add(words)
@@ -133,6 +135,24 @@ def _automaton(items: list[tuple[int, str | None]], window: int) -> SuffixAutoma
     return automaton
 
 
+def _cut(window: int, size: int):
+    """Pieces of size words at most (item_id, piece, weight), each next one beginning window - 1 words before the last one's end.
+
+    weight: how many words of two bytes, a letter and its gap, the piece's bytes would hold."""
+    schema = pa.schema([("item_id", pa.int64()), ("piece", pa.binary()), ("weight", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+                words = words_of(text or b"")
+                starts = range(0, max(1, len(words) - window + 1), size - window + 1) if words else ()
+                for some in (starts[i : i + 64] for i in range(0, len(starts), 64)):
+                    pieces = [b" ".join(words[i : i + size]) for i in some]
+                    yield batch(schema, [item] * len(pieces), pieces, [len(p) // 2 + 1 for p in pieces])
+
+    return run
+
+
 def _pass(shared):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.binary()), ("items", pa.list_(pa.int64()))])
 
@@ -157,8 +177,10 @@ def covered(spans: bytes, n: int) -> np.ndarray:
     return np.cumsum(steps[: n + 1])[:n] > 0
 
 
-def _items(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("text").isNotNull())
+def item_pieces(benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
+    """(item_id, piece, weight): the items' pieces of at most a sixteenth of max_words each, each of an item's once."""
+    items = columns(benchmark, item_id=F.col("item_id").cast("bigint"), text="text").filter("text is not null")
+    return by_arrow(items, _cut(window, max(2 * window, max_words // 16)), "item_id bigint, piece binary, weight bigint").distinct()
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
@@ -173,12 +195,13 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, max
 
 def _passes(out: DataFrame, benchmark: DataFrame, window: int, max_words: int, step) -> DataFrame:
     """out through one group of items after another: step(automaton, whether it is the first, the last) gives a pass and its schema."""
-    items = _items(columns(benchmark, item_id=F.col("item_id").cast("bigint"), text="text"))
-    words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # a word and its gap are two bytes at least
+    items = materialise(item_pieces(benchmark, window, max_words), "item_pieces")
+    words = items.agg(F.sum("weight")).first()[0] or 0
     groups, before = max(1, -(-int(words) // max_words)), None
     for g in range(groups):
-        own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        shared = out.sparkSession.sparkContext.broadcast(_automaton([tuple(r) for r in own.collect()], window))
+        own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "piece"), F.lit(groups)) == g)
+        pieces = [(k, bytes(piece)) for k, piece in own.select("item_id", "piece").collect()]
+        shared = out.sparkSession.sparkContext.broadcast(_automaton(pieces, window))
         out = by_arrow(out, *step(shared, g == 0, g == groups - 1))
         if g < groups - 1:
             out = materialise(out, "marked_texts")
@@ -186,6 +209,7 @@ def _passes(out: DataFrame, benchmark: DataFrame, window: int, max_words: int, s
             if before:
                 discard(before)
             before = out
+    discard(items)
     return out
 
 

@@ -53,3 +53,37 @@ def test_items_without_id_and_clashing_columns(spark, sf):
     long = spark.createDataFrame([(1, "a " * 200_000 + item)], "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
     r = keep_clean(long, bench).first()
     assert r.n_chars == len(r.text) == 400_000
+
+
+def test_long_and_repeated_items(spark, sf):
+    """One item of many words, and one repeated in thousands of rows, make automata of bounded size, and every window is met."""
+    from pyspark.sql import functions as F
+
+    from peakloom.llm.decontaminate import item_pieces
+
+    rnd = random.Random(8)
+    item = [f"v{rnd.randrange(10**6)}" for _ in range(3000)]
+    rows = [(1, " ".join(item)), (2, "p q r"), (3, " ".join(item[:11]))] + [(5, " ".join(item[100:130]))] * 300 + [(None, "z z")] * 300
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = [(k, "x " + " ".join(item[k : k + 10]) + " y") for k in range(2985, 2991)] + [(k, "x " + " ".join(item[k : k + 10]) + " y") for k in range(0, 2900, 7)]
+    docs += [(9000, " ".join(item)), (9001, "p q r z z"), (9002, None)]
+    docs = [(k, t) for k, t in dict(docs).items()]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole, cut = match_benchmark(d, bench), match_benchmark(d, bench, max_words=3000)
+    from peakloom.llm.decontaminate import covered
+
+    told = lambda df: sorted((r.doc_id, r["items"], covered(r.spans or b"", len((r.text or "").split())).sum()) for r in df.collect())
+    assert told(cut) == told(whole)
+    want = oracle(OP2_SQL, sf, documents=pd.DataFrame(docs, columns=["doc_id", "text"]), benchmark=pd.DataFrame(rows, columns=["item_id", "text"]).astype({"item_id": "Int64"}))
+    assert of(decontamination_report(d, bench)) == want
+    p = item_pieces(bench, 10, 3000)
+    assert p.count() == 3000 // 178 + 5 and p.agg(F.max(F.octet_length("piece"))).first()[0] < 187 * 8
+
+
+def test_one_item_of_two_million_words(spark):
+    """No automaton holds more than about max_words of it; a passage from anywhere in it is found."""
+    from peakloom.llm.decontaminate import item_pieces
+
+    bench = spark.range(1).selectExpr("id AS item_id", "array_join(transform(sequence(1, 2000000), i -> concat('w', i)), ' ') AS text")
+    p = item_pieces(bench, 10, 400_000).selectExpr("pmod(xxhash64(item_id, piece), 40) AS g", "size(split(decode(piece, 'utf-8'), ' ')) AS n").groupBy("g").agg({"n": "sum"}).toDF("g", "n").collect()
+    assert max(r.n for r in p) <= 400_000 and sum(r.n for r in p) >= 2_000_000
