@@ -207,11 +207,11 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -
     return pearson(d, by, "__rx", "rank", least)
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve of a score against 0/1 labels, ties a half. Scores are counted first, and summed in ranges."""
-    at = df.select(clean(score).alias("s"), F.col(label).cast("int").alias("y")).filter("s is not null and y is not null").groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    won = running_before(at, [], "s", "neg").withColumn("won", F.col("pos") * (F.col("__before") + F.col("neg") / 2))
-    return won.agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the curve of a score against 0/1 labels, ties a half, of each group. Scores are counted first, and summed in ranges."""
+    at = df.select(*by, clean(score).alias("s"), F.col(label).cast("int").alias("y")).filter("s is not null and y is not null").groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    won = running_before(at, by, "s", "neg").withColumn("won", F.col("pos") * (F.col("__before") + F.col("neg") / 2))
+    return won.groupBy(*by).agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -84,6 +84,24 @@ def leaf_order(items: DataFrame, merges: DataFrame, item: str = "item") -> DataF
     return _roots(one, steps).select(F.col("item").alias(item), F.col("at").alias("place"))
 
 
+def cophenetic(distances: DataFrame, merges: DataFrame, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
+    """(a, b, d, height): with each distance the height of the merge that brings its two items together; null for items that the tree
+    doesn't join. Each item carries the names of its cluster after every round of merges, of which there are few; a pair meets in
+    the first round after which the two names are the same."""
+    pairs = distances.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(d).alias("d"))
+    at = merges.select(F.explode(F.array("a", "b")).alias("item")).distinct().select("item", F.col("item").alias("root"), F.array().cast(f"array<{dict(merges.dtypes)['a']}>").alias("names"))
+    for nth in range(1, (merges.agg(F.max("round")).first()[0] or 0) + 1):
+        moved = merges.filter(F.col("round") == nth).select(F.col("b").alias("root"), F.col("a").alias("into"))
+        root = F.coalesce("into", "root")
+        at = written(at.join(moved, "root", "left").select("item", root.alias("root"), F.concat("names", F.array(root)).alias("names")), "names")
+    for side in ("a", "b"):
+        pairs = pairs.join(at.select(F.col("item").alias(side), F.col("names").alias(f"n{side}")), side, "left")
+    nth = F.array_position(F.zip_with("na", "nb", lambda x, y: x == y), True).cast("int")
+    pairs = pairs.withColumn("round", nth).withColumn("into", F.get("na", F.col("round") - 1))
+    height = merges.select("round", F.col("a").alias("into"), "height")
+    return pairs.join(height, ["round", "into"], "left").select("a", "b", "d", "height")
+
+
 def profile_clusters(profiles: DataFrame, row: str, clusters: int, floor: float = 0.02, sigma: float = 10.0) -> DataFrame:
     """(row, cluster): profiles (row, x) whose maximum reaches floor times the largest of all, smoothed, scaled to their peak, clustered by Ward's
     linkage; clusters are numbered from 1 by the place where their mean profile is highest. A row given more than once is one by its mean."""

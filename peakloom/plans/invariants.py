@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
+from ..session import written
 from . import queries as q
 from .queries import query, table
 
@@ -85,12 +86,14 @@ def matching_holds(spark, sf):
 @query("SELECT count(DISTINCT p_brand) AS n, true AS fine FROM part JOIN lineitem ON l_partkey = p_partkey")
 def leaf_order(spark, sf):
     """The leaves of the brands' tree hold every brand once, and the tree's heights agree with the distances."""
-    import numpy as np
-
-    from ..operators.cluster import cophenetic, leaves, linkage
-
-    x = q._brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
-    merges = linkage(x, "average")
-    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    fine = sorted(leaves(merges)) == list(range(len(x))) and bool(cophenetic(merges, apart) > 0.3)
-    return table(spark, sf, "part").limit(1).select(F.lit(len(x)).cast("bigint").alias("n"), F.lit(fine).alias("fine"))
+    from ..operators.gram import distances
+    from ..operators.trees import cophenetic, linkage
+    from ..operators.trees import leaf_order as leaves
+
+    cells = q.brand_types(spark, sf)[0].select("brand", F.posexplode("x").alias("i", "v"))
+    apart = written(distances(cells, "brand", "i", "v"), "apart")
+    merges = linkage(apart, "average")
+    order = leaves(cells.select("brand").distinct(), merges, "brand")
+    alike = cophenetic(apart, merges).agg((F.corr("d", "height") > 0.3).alias("alike"), F.every(F.col("height").isNotNull()).alias("joined"))
+    whole = order.agg(F.count("*").alias("n"), ((F.count_distinct("place") == F.count("*")) & (F.min("place") == 0) & (F.max("place") == F.count("*") - 1)).alias("dense"))
+    return whole.crossJoin(alike).select("n", (F.col("dense") & F.col("alike") & F.col("joined")).alias("fine"))  # one row each

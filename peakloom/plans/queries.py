@@ -550,63 +550,103 @@ def nmf_programs(spark, sf):
 
 @query()
 def archetypes(spark, sf):
-    """Segments' counts of dominant programs, factorised on the driver (five rows, as many columns as programs)."""
-    from ..operators.factor import guarded_nmf, top_columns
+    """Segments' counts of dominant programs, factorised: the medoid of three seeds."""
+    from ..operators.factor import medoid, top_columns, vectors
+    from ..operators.stacks import Fit, keyed, sound, stacked_nmf
 
     dominant = nmf_programs(spark, sf).select(F.col("row").alias("c_custkey"), "dominant")
-    counts = dominant.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment").pivot("dominant", [1, 2, 3, 4, 5]).count().fillna(0).orderBy("c_mktsegment").toPandas()
-    _, h, _ = guarded_nmf(counts[["1", "2", "3", "4", "5"]].to_numpy(float), 2)
-    return spark.createDataFrame([(a, r, p, float(v)) for a, r, p, v in top_columns(h, [1, 2, 3, 4, 5], 5)], "archetype int, rank int, program int, loading double")
+    counts = dominant.join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").groupBy("c_mktsegment", "dominant").agg(F.count("*").alias("n"))
+    rows = keyed(vectors(counts, "c_mktsegment", "dominant", "n", [1, 2, 3, 4, 5]), "c_mktsegment")
+    fits = list(sound(stacked_nmf(rows, [Fit(2, s) for s in range(3)], 5)).values())
+    return spark.createDataFrame([(a, r, p, float(v)) for a, r, p, v in top_columns(fits[medoid(fits)], [1, 2, 3, 4, 5], 5)], "archetype int, rank int, program int, loading double")
 
 
-def _brand_matrix(spark, sf):
-    """Brand by type counts: as many rows and columns as there are brands and part types."""
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    from ..operators.cluster import dense
+@query()
+def archetype_ranks(spark, sf):
+    """How well customers' dominant programs agree between three seeds at ranks 2 to 4; all nine fits side by side."""
+    from ..operators.stacks import Fit, keyed, labels, sound, stacked_nmf
+
+    rows, names = brand_vectors(spark, sf)
+    rows, fits = keyed(rows, "row"), [Fit(k, s) for k in (2, 3, 4) for s in range(3)]
+    fitted = sound(stacked_nmf(rows, fits, len(names), rounds=8))
+    of = F.create_map(*[F.lit(v) for n, fit in enumerate(fits) for v in (n, fit.k)]), F.create_map(*[F.lit(v) for n, fit in enumerate(fits) for v in (n, fit.seed)])
+    runs = labels(rows, {fit: fitted[fit] for fit in fits}).select(of[0][F.col("fit")].alias("rank"), of[1][F.col("fit")].alias("seed"), F.col("key").alias("item"), "label")
+    return st.ari_by_rank(st.pairwise_ari(runs, "rank", "seed", "item", "label"), "rank")
+
+
+BRANDS = "v AS (SELECT o_custkey AS r, p_brand AS c, count(*)::DOUBLE AS x FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+@query(f"""WITH RECURSIVE {BRANDS}, g AS (SELECT a.c AS a, b.c AS b, sum(a.x * b.x) AS g FROM v a JOIN v b USING (r) GROUP BY 1, 2),
+p AS (SELECT 0 AS k, c AS a, 1.0::DOUBLE AS h FROM (SELECT DISTINCT c FROM v) UNION ALL
+  SELECT k + 1, a, y / sqrt(sum(y * y) OVER ()) FROM (SELECT max(p.k) AS k, g.a, sum(g.g * p.h) AS y FROM p JOIN g ON g.b = p.a WHERE p.k < 60 GROUP BY g.a)),
+l AS (SELECT sum(x.h * g.g * y.h) AS l FROM p x JOIN g ON g.a = x.a JOIN p y ON y.a = g.b WHERE x.k = 60 AND y.k = 60)
+SELECT CAST(s AS INT) AS seed, round(sqrt((SELECT sum(x * x) FROM v) - l), 2) AS error FROM l, (SELECT unnest([0, 1, 2]) AS s)""")
+def rank_one_fits(spark, sf):
+    """The error of fits of rank one from three seeds: what the largest singular value leaves, which SQL finds by power iteration."""
+    from ..operators.stacks import Fit, keyed, stacked_nmf
+
+    rows, names = brand_vectors(spark, sf)
+    got = stacked_nmf(keyed(rows, "row"), [Fit(1, s) for s in range(3)], len(names))
+    return rounded(spark.createDataFrame([(fit.seed, one.errors[-1]) for fit, one in got.items()], "seed int, error double"), 2, "error")
+
 
-    counts = table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("p_brand").pivot("p_type").count().fillna(0).orderBy("p_brand")
-    return dense(counts, "brands by types")
+def brand_types(spark, sf):
+    """Brands' counts of part types as vectors, and the types."""
+    from ..operators.factor import vectors
+
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), "p_type")
+    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").collect()]
+    counts = table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("brand", "p_type").agg(F.count("*").alias("n"))
+    return vectors(counts, "brand", "p_type", "n", types), types
 
 
 @query()
 def stability(spark, sf):
-    """How well each of three programs of the medoid fit recurs over five seeds."""
-    from ..operators.factor import guarded_nmf, medoid
+    """How well each of three programs of the medoid fit recurs over five seeds, fitted side by side."""
+    from ..operators.factor import medoid
     from ..operators.factor import stability as recurs
+    from ..operators.stacks import Fit, keyed, sound, stacked_nmf
 
-    x = _brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
-    fits = [guarded_nmf(x, 3, s)[1] for s in range(5)]
+    rows, types = brand_types(spark, sf)
+    fits = list(sound(stacked_nmf(keyed(rows, "brand"), [Fit(3, s) for s in range(5)], len(types))).values())
     return spark.createDataFrame([tuple(r.values()) for r in recurs(fits, medoid(fits))], "component int, median double, least double, at_90 double, at_80 double")
 
 
 @query()
 def heldout_cv(spark, sf):
-    from ..operators.factor import held_out_scores
+    """Ranks 1 to 3 by three folds, nine fits side by side, scored on the entries that each fold hides."""
+    from ..operators.stacks import held_out_scores, keyed
 
-    x = _brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
-    return spark.createDataFrame([tuple(r.values()) for r in held_out_scores(x / x.max(), [1, 2, 3], l2=0.01)], "k int, auc double, auc_sd double, rmse double, rmse_sd double, folds int")
+    rows, types = brand_types(spark, sf)
+    most = rows.agg(F.max(F.array_max("x"))).first()[0] or 1.0
+    scaled = rows.withColumn("x", F.transform("x", lambda v: v / F.lit(float(most))))
+    return held_out_scores(keyed(scaled, "brand"), [1, 2, 3], len(types), l2=0.01)
 
 
 @query()
 def ward_clusters(spark, sf):
     """Brands by their counts of part types, smoothed and scaled, in four clusters."""
-    from ..operators.factor import vectors
     from ..operators.trees import profile_clusters
 
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), "p_type")
-    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").collect()]
-    counts = table(spark, sf, "lineitem").select("l_partkey").join(part, "l_partkey").groupBy("brand", "p_type").agg(F.count("*").alias("n"))
-    return profile_clusters(vectors(counts, "brand", "p_type", "n", types), "brand", 4, sigma=0.5)
+    return profile_clusters(brand_types(spark, sf)[0], "brand", 4, sigma=0.5)
 
 
 @query()
 def program_matching(spark, sf):
-    """Programs of two halves of the brands' rows, matched one to one by cosine."""
+    """Programs of two halves of the brands' rows (by md5), each the medoid of three seeds, matched one to one by cosine over
+    the types that both halves hold. The six fits run side by side; only programs are matched here, whose number is given."""
     from ..operators.cluster import assign, cosine, greedy_match
-    from ..operators.factor import guarded_nmf
-
-    x = _brand_matrix(spark, sf).iloc[:, 1:].to_numpy(float)
-    c = cosine(guarded_nmf(x[::2], 3)[1], guarded_nmf(x[1::2], 3)[1])
+    from ..operators.factor import medoid
+    from ..operators.stacks import Fit, keyed, sound, stacked_nmf
+
+    rows, types = brand_types(spark, sf)
+    half = rows.withColumn("half", F.conv(F.substring(F.md5("brand"), 1, 1), 16, 10).cast("int") % 2)
+    both = half.select("half", F.posexplode("x").alias("i", "v")).filter("v > 0").groupBy("i").agg(F.count_distinct("half").alias("n")).filter("n = 2")
+    shared = sorted(r.i for r in both.collect())
+    fitted = sound(stacked_nmf(keyed(half, "brand", "half"), [Fit(3, s, part=p) for p in (0, 1) for s in range(3)], len(types)))
+    a, b = (fits[medoid(fits)][:, shared] for p in (0, 1) for fits in [[h for fit, h in fitted.items() if fit.part == p]])
+    c = cosine(a, b)
     greedy = {i: j for i, j, _ in greedy_match(c)}
     return spark.createDataFrame([(i + 1, j + 1, greedy[i] + 1, float(c[i, j])) for i, j in assign(1 - c)], "a int, b int, greedy int, cosine double")
 

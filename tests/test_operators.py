@@ -322,6 +322,12 @@ def test_reciprocal_trees(spark, method):
     for k in range(2, 20):  # every cluster's leaves stand together
         own = cluster.cut(merges, k)[place]
         assert (own[1:] != own[:-1]).sum() == k - 1
+    high = {(r.a, r.b): r.height for r in trees.cophenetic(apart, got).collect()}
+    groups, n = {i: [i] for i in range(21)}, 21
+    for k, (i, j, height, _) in enumerate(merges):
+        a, b = groups.pop(int(i)), groups.pop(int(j))
+        assert all(np.isclose(high.get((p, q), high.get((q, p), np.nan)), height) for p in a for q in b)
+        groups[n + k] = a + b
     even = np.array([[0, 1, 1, 3], [1, 0, 1, 3], [1, 1, 0, 1], [3, 3, 1, 0]], float)
     ties = spark.createDataFrame([(b, a, float(even[a, b])) for a in range(4) for b in range(a)] + [(0, 0, 0.0)], "a int, b int, d double")
     assert np.allclose(sorted(r.height for r in trees.linkage(ties, method).collect()), cluster.linkage(even, method, distances=True)[:, 2])
@@ -443,3 +449,51 @@ def test_block_fit_refuses_collapse(spark):
     one = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "r long, x array<double>")
     with pytest.raises(RuntimeError):
         factor.block_nmf(one, "r", 3, 2, rounds=3, extra=1)
+
+
+def test_stacked_fits_equal_single_ones(spark):
+    from peakloom.operators import stacks
+
+    rng = np.random.default_rng(21)
+    x = rng.random((120, 3)) * (rng.random((120, 3)) < 0.5) @ rng.random((3, 10))
+    x = x + 0.01 * rng.random(x.shape)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "r long, x array<double>, half int").repartition(3).cache()
+    fits = [stacks.Fit(2), stacks.Fit(3, 4), stacks.Fit(2, 1, fold=1), stacks.Fit(2, 0, part=1)]
+    got = stacks.stacked_nmf(stacks.keyed(df, "r", "half"), fits, 10, rounds=12)
+    assert list(got) == fits and stacks.sound(got).keys() == set(fits)
+    for fit in fits[:2]:
+        h, errors = factor.block_nmf(df, "r", fit.k, 10, fit.seed, 12)
+        assert np.allclose(got[fit].h, h) and np.allclose(got[fit].errors, errors)
+    assert np.allclose(got[fits[2]].h, factor.block_masked_nmf(df, "r", 2, 10, fold=1, seed=1, rounds=12))
+    assert np.allclose(got[fits[3]].h, factor.block_nmf(df.filter("half = 1"), "r", 2, 10, 0, 12)[0])
+    named = stacks.labels(stacks.keyed(df, "r", "half"), {f: got[f].h for f in fits[:2]})
+    for n, fit in enumerate(fits[:2]):
+        want = {r[0]: r[1] for r in factor.transform(df, "r", got[fit].h).select(F.xxhash64("r"), "dominant").collect()}
+        assert {r.key: r.label for r in named.filter(F.col("fit") == n).collect()} == want
+    one = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "r long, x array<double>")
+    bad = stacks.stacked_nmf(stacks.keyed(one, "r"), [stacks.Fit(3), stacks.Fit(1)], 2, rounds=3, extra=1)
+    assert bad[stacks.Fit(3)].fault == "collapsed" and bad[stacks.Fit(1)].fault is None
+    with pytest.raises(RuntimeError):
+        stacks.sound(bad)
+    none = stacks.stacked_nmf(stacks.keyed(one.limit(0), "r"), [stacks.Fit(2)], 2)
+    assert none[stacks.Fit(2)].errors == [] and none[stacks.Fit(2)].h.shape == (2, 2)
+
+
+def test_held_out_scores_of_blocks(spark):
+    from peakloom.operators import stacks
+
+    rng = np.random.default_rng(6)
+    x = (rng.random((150, 2)) * (rng.random((150, 2)) < 0.6)) @ (rng.random((2, 12)) * (rng.random((2, 12)) < 0.7))
+    rows_ = stacks.keyed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "r long, x array<double>").repartition(2), "r").cache()
+    with pytest.raises(ValueError):
+        stacks.held_out_scores(rows_, [1, 2], 12)
+    got = {r.k: r for r in stacks.held_out_scores(rows_, [1, 2, 3], 12, folds=2, rounds=15).collect()}
+    fits = {f: one.h for f, one in stacks.stacked_nmf(rows_, [stacks.Fit(k, f, fold=f) for k in (1, 2, 3) for f in range(2)], 12, 15).items() if not one.fault}
+    frame = stacks.held_out(rows_, fits).toPandas()
+    for k, part in frame.groupby("k"):
+        folds = [p for _, p in part.groupby("fold")]
+        rmse = [np.sqrt(((p.score - p.value) ** 2).mean()) for p in folds]
+        auc = [factor.rank_auc(p.score.to_numpy(), (p.value > 0).to_numpy()) for p in folds]
+        assert got[k].folds == len(folds) and np.isclose(got[k].rmse, np.mean(rmse)) and np.isclose(got[k].rmse_sd, np.std(rmse))
+        assert np.isclose(got[k].auc, np.mean(auc)) and np.isclose(got[k].auc_sd, np.std(auc))
+    assert got[2].rmse < got[1].rmse
