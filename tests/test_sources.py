@@ -125,3 +125,24 @@ def test_sparse_files(spark, tmp_path):
     np.savez(tmp_path / "m.npz", data=np.array([1.0, 2.0]), indices=np.array([3, 1]), indptr=np.array([0, 1, 1, 2]), shape=np.array([3, 4]))
     got = files.sparse_cells(spark.read.format("binaryFile").load(f"file://{tmp_path}/m.npz"))
     assert sorted(map(tuple, got.collect())) == [(0, 3, 1.0), (2, 1, 2.0)]
+
+
+def test_strided_scan(spark, tmp_path):
+    """Strides from file sizes, gzip or not, several files a task, comments counted and left out, no shuffle."""
+    import gzip
+
+    want = {}
+    for name, n, pack in (("A.bed.gz", 5000, True), ("B.bed", 900, False), ("C.bed.gz", 3, True), ("D.bed.gz", 0, True)):
+        lines = ["track name=x"] * (n > 0) + [f"chr{i % 7}\t{i}\t{i + 10}\tx\t{i % 1000}" for i in range(n)]
+        data = "".join(f"{line}\n" for line in lines).encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if pack else data)
+        size = (tmp_path / name).stat().st_size * (4 if pack else 1)
+        stride = max(1, int(size / 50) // 40)
+        want[name.split(".")[0]] = [int(line.split("\t")[1]) for line in lines[::stride] if not line.startswith("track")]
+    got = files.read_strided(spark, str(tmp_path), 40)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    held = got.collect()
+    assert sorted(map(str, held)) == sorted(map(str, got.collect()))
+    for name, starts in want.items():
+        assert sorted(r.start for r in held if r.feature == name) == starts
+    assert len(want["A"]) > 30 and len(want["C"]) == 3 and files.read_strided(spark, str(tmp_path / "D.bed.gz"), 40).count() == 0
