@@ -690,6 +690,26 @@ def stream_counts(spark, sf):
     return drained_counts(spark, f"{sf}/events.parquet", 20)
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 86400000000 THEN 1 ELSE 0 END AS o FROM events), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, count(*) AS n FROM s GROUP BY user_id, k HAVING epoch_us(max(ts)) + 86400000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 172800000000 FROM events)""")
+def stream_sessions(spark, sf):
+    """Extension: sessions of a user's events from a stream with a watermark of two days, drained to files: those that nothing can add to."""
+    from ..streaming.events import drained_sessions
+
+    got = drained_sessions(spark, f"{sf}/events.parquet", "1 day", "2 days")
+    return got.select("user_id", F.floor(F.col("start").cast("double")).alias("first"), "n")
+
+
+@query("SELECT CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 2))::INT % 2 AS INT) AS half, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2")
+def stream_split(spark, sf):
+    """Extension: the stream of events written to a folder for each half of the users, and read back from there."""
+    from ..session import scratch
+    from ..streaming.events import split_stream
+
+    got = split_stream(spark, f"{sf}/events.parquet", scratch(spark, "halves"))
+    return got.groupBy("half", "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
 @query("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 20)), 19) AS k FROM orders, e)
 SELECT CAST(r.k AS BIGINT) AS bin, count(b.k) AS n FROM (SELECT unnest(range(0, 20)) AS k) r LEFT JOIN b ON b.k = r.k GROUP BY r.k""")
 def histogram(spark, sf):
