@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .factor import EPS, _hidden, _masked_rows, _start, update_rows
 from .stats import auc
 
@@ -197,13 +198,13 @@ def held_out(rows: DataFrame, fitted: dict[Fit, np.ndarray], share: float = 0.1,
 def held_out_scores(rows: DataFrame, ranks: Sequence[int], n_columns: int, folds: int = 3, rounds: int = 60, share: float = 0.1, l2: float = 0.0) -> DataFrame:
     """(k, auc, auc_sd, rmse, rmse_sd, folds): mean and deviation over folds of the area under the curve (entries over 0 against the others)
     and of the root mean square error, on entries that the fits haven't seen, of keyed rows. A fold without a fit at a rank doesn't count there;
-    one whose hidden entries are all over 0, or none, has no area. Fewer than 3 ranks are refused, for no optimum could show."""
+    one whose hidden entries are all over 0, or none, has no area, and auc is null where no fold has one. Fewer than 3 ranks are refused, for no optimum could show."""
     if len(ranks) < 3:
         raise ValueError("three ranks at least")
     fits = [Fit(k, f, fold=f) for k in ranks for f in range(folds)]
     good = {fit: one.h for fit, one in stacked_nmf(rows, fits, n_columns, rounds, share=share, l2=l2).items() if not one.fault}
-    entries = held_out(rows, good, share, l2).withColumn("y", (F.col("value") > 0).cast("int"))
+    entries = written(held_out(rows, good, share, l2).withColumn("y", (F.col("value") > 0).cast("int")), "held_out")
     error = F.sqrt(F.avg((F.col("score") - F.col("value")) ** 2))
     by_fold = entries.groupBy("k", "fold").agg(error.alias("rmse")).join(auc(entries, "score", "y", ["k", "fold"]), ["k", "fold"])
-    spread = [F.coalesce(f(c), F.lit(float("nan"))).alias(n) for c in ("auc", "rmse") for f, n in ((F.avg, c), (F.stddev_pop, f"{c}_sd"))]
+    spread = [f(c).alias(n) for c in ("auc", "rmse") for f, n in ((F.avg, c), (F.stddev_pop, f"{c}_sd"))]
     return by_fold.groupBy("k").agg(*spread, F.count("*").cast("int").alias("folds"))

@@ -68,7 +68,7 @@ def stability_holds(spark, sf):
 @query("SELECT k, 3 AS folds, true AS fine FROM (SELECT unnest([1, 2, 3]) AS k)")
 def heldout_holds(spark, sf):
     c = F.col
-    return q.heldout_cv(spark, sf).select("k", "folds", ((c("rmse") > 0) & (F.isnan("auc") | c("auc").between(0, 1))).alias("fine"))
+    return q.heldout_cv(spark, sf).select("k", "folds", ((c("rmse") > 0) & (c("auc").isNull() | c("auc").between(0, 1))).alias("fine"))
 
 
 @query("SELECT count(DISTINCT p_brand) AS n_brands, 4 AS n_clusters, 4 AS most FROM part JOIN lineitem ON l_partkey = p_partkey")
