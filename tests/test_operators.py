@@ -497,3 +497,18 @@ def test_held_out_scores_of_blocks(spark):
         assert got[k].folds == len(folds) and np.isclose(got[k].rmse, np.mean(rmse)) and np.isclose(got[k].rmse_sd, np.std(rmse))
         assert np.isclose(got[k].auc, np.mean(auc)) and np.isclose(got[k].auc_sd, np.std(auc))
     assert got[2].rmse < got[1].rmse
+
+
+def test_fits_of_rows_that_are_nearly_alike(spark):
+    """Every random start collapses, in the stack and in blocks; rows far apart give fits whose components all win rows."""
+    from peakloom.operators.stacks import Fit, keyed, labels, sound, stacked_nmf
+
+    x = np.random.default_rng(1).poisson(6e5, (15, 6)).astype(float)
+    rows_ = spark.createDataFrame([(f"r{i}", r.tolist(), i % 2) for i, r in enumerate(x)], "row string, x array<double>, half int")
+    data = keyed(rows_, "row", "half")
+    fits = [Fit(3, 0), Fit(3, 1), Fit(2, 0, part=1)]
+    got = sound(stacked_nmf(data, fits, 6, extra=1))
+    won = {(r["fit"], r["label"]) for r in labels(data, got).collect()}
+    assert won == {(n, c) for n, fit in enumerate(fits) for c in range(1, fit.k + 1)}
+    h, errors = factor.block_nmf(rows_, "row", 3, 6, extra=0)
+    assert h.shape == (3, 6) and errors[-1] < 0.01 * np.linalg.norm(x)
