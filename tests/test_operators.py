@@ -512,3 +512,17 @@ def test_fits_of_rows_that_are_nearly_alike(spark):
     assert won == {(n, c) for n, fit in enumerate(fits) for c in range(1, fit.k + 1)}
     h, errors = factor.block_nmf(rows_, "row", 3, 6, extra=0)
     assert h.shape == (3, 6) and errors[-1] < 0.01 * np.linalg.norm(x)
+
+
+def test_ranks_of_values_that_come_out_differently_when_made_again(spark):
+    """As sums of doubles do in their last digit, by the order of the rows: no pair is lost, and none counts twice."""
+    import pandas as pd
+
+    def shaken(frames):
+        for f in frames:
+            yield pd.DataFrame({"g": f["id"] % 2, "x": (f["id"] + 1) * (1 + np.random.default_rng().integers(-4, 5, len(f)) * 2.0**-50), "y": -1.0 * f["id"] * (1 + np.random.default_rng().integers(-4, 5, len(f)) * 2.0**-50)})
+
+    df = spark.range(0, 400, 1, 4).mapInPandas(shaken, "g long, x double, y double")
+    assert rows(stats.spearman(df, ["g"], "x", "y").withColumn("r", F.round("r", 9)), "g") == [(0, -1.0, 200), (1, -1.0, 200)]
+    assert stats.average_ranks(df, "x", ["g"]).agg(F.sum("rank")).first()[0] == 2 * 200 * 201 / 2
+    assert [r.n for r in stats.running_before(df.groupBy("g", "x").agg(F.count("*").alias("c")), ["g"], "x", "c").groupBy("g").agg(F.max(F.col("__before") + F.col("c")).alias("n")).collect()] == [200, 200]
