@@ -526,3 +526,27 @@ def test_ranks_of_values_that_come_out_differently_when_made_again(spark):
     assert rows(stats.spearman(df, ["g"], "x", "y").withColumn("r", F.round("r", 9)), "g") == [(0, -1.0, 200), (1, -1.0, 200)]
     assert stats.average_ranks(df, "x", ["g"]).agg(F.sum("rank")).first()[0] == 2 * 200 * 201 / 2
     assert [r.n for r in stats.running_before(df.groupBy("g", "x").agg(F.count("*").alias("c")), ["g"], "x", "c").groupBy("g").agg(F.max(F.col("__before") + F.col("c")).alias("n")).collect()] == [200, 200]
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Strides, means and tiles give the same whatever number of partitions the size asks for, and tasks are that many."""
+    from peakloom import session
+    from peakloom.sources import files
+
+    assert [session.parts(spark.range(1001), n, times) for n, times in ((500, 1), (500, 2), (5000, 1))] == [3, 5, 1]
+    rng = np.random.default_rng(6)
+    cells = [(None if i % 5 == 0 else int(g), int(k)) for i, (g, k) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 90, 300)))]
+    want = sorted((-1 if g is None else g, k) for g in {g for g, _ in cells} for k in sorted(k for h, k in cells if h == g)[::10])
+    pts = spark.createDataFrame([("c", int(p), f"t{rng.integers(6)}", int(rng.integers(1000))) for c in rng.integers(0, 60_000, 40) for p in c + rng.normal(0, 20, 8) if p > 0], "chrom string, pos long, tf string, score int")
+    values = spark.createDataFrame([(i, c, float(i * 3 + c)) for i in range(4) for c in range(3)] + [(0, 0, None)], "item int, cat int, x double")
+    members = spark.createDataFrame([(m, m % 4) for m in range(40)] * 2 + [(m, (m + 1) % 4) for m in range(40)], "module int, item int")
+    found = []
+    for n in (1, 7):
+        for module in (files, relational, segment):
+            monkeypatch.setattr(module, "parts", lambda df, *a, n=n, **k: n)
+        got = files.strided(spark.createDataFrame(cells, "g int, k int"), ["k"], ["g"], 10)
+        assert sorted((-1 if r.g is None else r.g, r.k) for r in got.collect()) == want
+        means = relational.member_means(members, values, "module", "item", "cat", "x")
+        assert means.rdd.getNumPartitions() == n
+        found.append((rows(segment.discover(pts, "chrom", "tf", floor=2, tile=3_000), "low"), rows(means, "module", "cat")))
+    assert found[0] == found[1] and found[0][1][0] == (0, 0, 1.5, 2) and len(found[0][1]) == 120
