@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import parts, written
+
 PEAK = "chrom string, start int, end int, name string, score int"
 PEAK7 = "chrom string, start int, end int, tf string, score int, srx string, cell_group string"
 GTF = "seqid string, source string, feature string, start int, end int, score string, strand string, frame string, attributes string"
@@ -149,10 +151,20 @@ def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strided(df: DataFrame, order: Sequence[str], by: Sequence[str], stride: int) -> DataFrame:
-    """Every stride-th row of each group in order, from the first: a sampling operator."""
+    """Every stride-th row of each group in order, from the first: a sampling operator. Rows are numbered in ranges of the order, of about
+    equal size, and the ranges' sizes summed, so that no task sorts a group."""
     from pyspark.sql import Window
 
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter((F.col("__r") - 1) % stride == 0).drop("__r")
+    from ..operators.relational import null_safe_join
+
+    n = parts(df)
+    held = written(df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = held.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    ranked = held.repartition(n, *by, "__part").withColumn("__r", own)
+    ranked = null_safe_join(ranked, sizes.withColumn("__before", before).drop("__n"), [*by, "__part"])
+    return ranked.filter((F.col("__before") + F.col("__r") - 1) % stride == 0).select(*df.columns)
 
 
 def read_strided(spark: SparkSession, paths: str | Sequence[str], target: int, schema: str = PEAK, stride: int | None = None, ratio: float = 4.0, row_bytes: int = 50) -> DataFrame:
