@@ -216,10 +216,11 @@ def rebin(runs: DataFrame, by: Names, width: int, n_bins: int, low: int = 0) ->
     return cut.groupBy(*by, "bin").agg(F.sum(F.col("value") * part).alias("value"))
 
 
-def local_weights(df: DataFrame, by: Names, position: str = "pos", reach: int = 1500, tile: int | None = None) -> DataFrame:
+def local_weights(df: DataFrame, by: Names, position: str = "pos", reach: int = 1500, tile: int | None = None, n: int | None = None) -> DataFrame:
     """weight = 1 / number of the group's points within reach, itself and its peers included; null where the position is.
 
-    tile: long groups are dealt out in tiles of that length (at least twice the reach), with the neighbours' points within reach as halo."""
+    tile: long groups are dealt out in tiles of that length (at least twice the reach), with the neighbours' points within reach as halo;
+    n: number of the partitions that they are dealt to."""
     known = F.col(position).isNotNull()
     if tile is None:
         near = Window.partitionBy(*by).orderBy(position).rangeBetween(-reach, reach)
@@ -227,6 +228,8 @@ def local_weights(df: DataFrame, by: Names, position: str = "pos", reach: int =
     first, last = F.floor((F.col(position) - reach) / tile), F.floor((F.col(position) + reach) / tile)
     nowhere = F.array(F.spark_partition_id().cast("bigint"))  # rows without position lie anywhere
     dealt = df.withColumn("__tile", F.explode(F.when(known, F.sequence(first, last)).otherwise(nowhere)))
+    if n:
+        dealt = dealt.repartition(n, *by, "__tile")
     near = Window.partitionBy(*by, "__tile").orderBy(position).rangeBetween(-reach, reach)
     weighed = dealt.withColumn("weight", F.when(known, 1 / F.count("*").over(near)))
     return weighed.filter(~known | (F.col("__tile") == F.floor(F.col(position) / tile))).drop("__tile")

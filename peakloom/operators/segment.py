@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import parts
 from .intervals import circular_shift, gap_clusters, local_weights, nearest_join, overlap_join, stratum
 from .stats import quantiles
 
@@ -151,8 +152,9 @@ class Segmenter:
 MODULE = "local_idx int, low int, high int, center int, width int, height double, n_peaks int, n_supporting int, n_assigned int"
 
 
-def by_group(df: DataFrame, keys: Sequence[str], values: Sequence[str], schema, f: Callable[[tuple, list[np.ndarray]], list[tuple]]) -> DataFrame:
-    """f(key, columns) of every group of rows with equal keys, its values sorted in the order named; groups stream through sorted partitions."""
+def by_group(df: DataFrame, keys: Sequence[str], values: Sequence[str], schema, f: Callable[[tuple, list[np.ndarray]], list[tuple]], n: int | None = None) -> DataFrame:
+    """f(key, columns) of every group of rows with equal keys, its values sorted in the order named; groups stream through sorted partitions,
+    whose number n may be given."""
     arrow = to_arrow_schema(schema)
 
     def batch(rows):
@@ -183,7 +185,7 @@ def by_group(df: DataFrame, keys: Sequence[str], values: Sequence[str], schema,
         if out:
             yield batch(out)
 
-    dealt = df.select(*keys, *values).repartition(*keys).sortWithinPartitions(*keys, *values)
+    dealt = df.select(*keys, *values).repartition(*([n] if n else []), *keys).sortWithinPartitions(*keys, *values)
     return dealt.mapInArrow(run, schema)
 
 
@@ -226,14 +228,15 @@ def discover(points: DataFrame, chrom: str | Sequence[str], feature: str, positi
     """Annotation-free elements along each axis: (chrom, low, high, center, width, height, n_peaks, n_supporting, n_assigned).
 
     chrom: a column, or several that together name an axis. Each point weighs 1 over its feature's points within reach; the axis is
-    worked on in tiles, each with a halo of its neighbours' points; an element belongs to the tile of its centre. Positions are divided
+    worked on in tiles, each with a halo of its neighbours' points, dealt to partitions whose number follows the points' (see parts); an element belongs to the tile of its centre. Positions are divided
     by grid. floor: least number of assigned features. Points without position are in no element."""
     axis = [chrom] if isinstance(chrom, str) else list(chrom)
     halo = 20 * int(segmenter.sigma) + 10 * segmenter.distance
     points = points.filter(F.col(position).isNotNull())
-    weighed = local_weights(points, [*axis, feature], position, reach, max(tile * grid, 2 * reach))
+    n = parts(points)
+    weighed = local_weights(points, [*axis, feature], position, reach, max(tile * grid, 2 * reach), n)
     weighed = weighed.withColumn("__w", segmenter.weight(F.col("weight"))).withColumn("__p", F.floor(F.col(position) / grid))
-    cells = weighed.groupBy(*axis, feature, "__p").agg(F.sum("__w").alias("__w"), F.count("*").alias("__n"), F.max(score).cast("double").alias("__s"))
+    cells = weighed.repartition(n, *axis, feature, "__p").groupBy(*axis, feature, "__p").agg(F.sum("__w").alias("__w"), F.count("*").alias("__n"), F.max(score).cast("double").alias("__s"))
     first, last = F.floor((F.col("__p") - halo) / tile), F.floor((F.col("__p") + halo) / tile)
     dealt = cells.withColumn("__t", F.explode(F.sequence(first, last)))
 
@@ -250,7 +253,7 @@ def discover(points: DataFrame, chrom: str | Sequence[str], feature: str, positi
                     rows.append((*key[:-1], a + begin, b + begin, p + begin, b - a + 1, height, int(n[own].sum()), supporting, assigned))
         return rows
 
-    return by_group(dealt, [*axis, "__t"], ["__p", feature, "__w", "__n", "__s"], _schema(points, axis, ELEMENT), close)
+    return by_group(dealt, [*axis, "__t"], ["__p", feature, "__w", "__n", "__s"], _schema(points, axis, ELEMENT), close, n)
 
 
 def redetected(points: DataFrame, chrom: str, feature: str, shuffles: int = 5, seed: int = 0, position: str = "pos", **how) -> DataFrame:
