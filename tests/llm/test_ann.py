@@ -79,3 +79,13 @@ def test_query_against_brute_force(spark, sf):
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64)
     got, want = result(op1_additive_ann(spark, sf)), brute(ids, x, [i for i in ids if i % 100 == 0])
     assert got.keys() == want.keys() and sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+
+
+def test_rows_far_from_zero_and_of_unlike_sizes(spark):
+    """All but a few rows in one list, whose codes tell nothing; and all of them so far from 0 that single precision tells nothing."""
+    rng = np.random.default_rng(8)
+    small = rng.normal(size=(3000, 8))
+    for x in (np.concatenate([rng.normal(size=(400, 8)) * 1e5, small]), small + 1e5):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(2)
+        got, want = result(nearest(df, df.filter("vec_id % 100 = 0"))), brute(list(range(len(x))), x, range(0, len(x), 100))
+        assert got.keys() == want.keys() and sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.99 * 10 * len(want)
