@@ -146,3 +146,15 @@ def test_strided_scan(spark, tmp_path):
     for name, starts in want.items():
         assert sorted(r.start for r in held if r.feature == name) == starts
     assert len(want["A"]) > 30 and len(want["C"]) == 3 and files.read_strided(spark, str(tmp_path / "D.bed.gz"), 40).count() == 0
+
+
+def test_features_are_read_off_the_last_part_of_a_path(spark, tmp_path):
+    """The pattern isn't sought in the whole path, row by row: that took time with the square of its parts' lengths."""
+    folder = tmp_path / ("long" * 50) / "a.bed.gz"
+    folder.mkdir(parents=True)
+    for name in ("x.bed", "y", "z.bed.txt"):
+        (folder / name).write_text("chr1\t1\t2\tn\t5\n")
+    got = files.read_bed(spark, str(folder))
+    assert {r["feature"] for r in got.collect()} == {"x", "y", "z.bed.txt"}
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract(substring_index(_metadata" in plan
