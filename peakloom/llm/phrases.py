@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Marks, batch, bits_of, by_arrow, columns, discard, hashes_of, materialise, mix, pieces_of, raw
+from .common import LARGE_ROWS, Marks, batch, bits_of, by_arrow, columns, discard, hashes_of, materialise, mix, pieces_of, raw
 
 SHARD = 4 << 20
 
@@ -210,7 +210,7 @@ def frequencies(docs: DataFrame, least: int = 10, longest: int = 3, text_col: st
     """(lang, n) and, for phrases of 1, 2, ... words, the frequent ones: (k1, ..., f), that of words with lang and word too. All written."""
     spark = docs.sparkSession
     texts = columns(docs, lang=F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")), text=F.col(f"`{text_col}`").cast("string")).filter("text is not null and text <> ''")
-    index = materialise(by_arrow(texts, _index(size, longest - 1), LISTS), "inverted_lists")
+    index = materialise(by_arrow(texts, _index(size, longest - 1), LISTS), "inverted_lists", **LARGE_ROWS)
     for seed in range(64):
         words = by_arrow(index, _count_words(seed), "lang string, word string, k1 bigint, f bigint").groupBy("lang", "word", "k1").agg(F.sum("f").alias("f"))
         words = materialise(words, "word_counts")

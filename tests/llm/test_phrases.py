@@ -124,3 +124,26 @@ def test_query_equals_its_sql(spark, sf):
 
     got = of(QUERIES["op11_phrase_mining"](spark, sf))
     assert got == oracle(ORACLES["op11_phrase_mining"], sf) and got[1]
+
+
+def test_row_groups_of_the_index_are_bounded(spark, monkeypatch):
+    """A reader decodes a group of so few rows at once: a task's whole share of shards in one group doesn't fit its memory."""
+    import os
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    class Done(Exception):
+        pass
+
+    def only_index(df, label, **options):
+        raise Done(written(df, label, **options))
+
+    written = phrases.materialise
+    monkeypatch.setattr(phrases, "materialise", only_index)
+    docs = spark.createDataFrame([(" ".join(os.urandom(4).hex() for _ in range(100_000)), "en") for _ in range(40)], "text string, lang string").coalesce(1)
+    with pytest.raises(Done) as got:
+        phrases.frequencies(docs, size=1 << 20)
+    files = [pq.ParquetFile(urlparse(f).path).metadata for f in got.value.args[0].inputFiles()]
+    assert sum(m.num_rows for m in files) == 40
+    assert max(m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)) < 48 << 20
