@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import parts
+from ..session import parts, written
 from .intervals import circular_shift, gap_clusters, local_weights, nearest_join, overlap_join, stratum
 from .stats import quantiles
 
@@ -26,6 +27,12 @@ def kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     return k / k.sum()
 
 
+@lru_cache
+def _taps(sigma: float, fixed: bool) -> np.ndarray:
+    k = kernel(sigma)
+    return np.rint(k * 2.0**24) / 2.0**24 if fixed else k
+
+
 def gaussian(x: np.ndarray, sigma: float, mode: str = "reflect") -> np.ndarray:
     """Smoothed x; beyond the ends x is mirrored with its edge repeated ('reflect') or 0 ('constant')."""
     k = kernel(sigma)
@@ -41,12 +48,10 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     """Places above both neighbours; of a plateau its middle, rounded down. The ends are none."""
     if len(x) < 3:
         return np.empty(0, int)
-    begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    ends = np.concatenate([begins[1:], [len(x)]]) - 1
-    inner = (begins > 0) & (ends < len(x) - 1)
-    b, e = begins[inner], ends[inner]
-    top = (x[b - 1] < x[b]) & (x[e + 1] < x[e])
-    return (b[top] + e[top]) // 2
+    last = np.flatnonzero(x[1:] != x[:-1])  # of each plateau but the one at the end
+    rises = x[last] < x[last + 1]
+    top = np.flatnonzero(rises[:-1] & ~rises[1:])
+    return (last[top] + 1 + last[top + 1]) // 2
 
 
 def prominence(x: np.ndarray, at: int) -> float:
@@ -63,7 +68,7 @@ def find_peaks(x: np.ndarray, height: float, prominent: float, distance: int) ->
     peaks = local_maxima(x)
     peaks = peaks[x[peaks] >= height]
     keep = np.ones(len(peaks), bool)
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
+    for i in np.argsort(x[peaks], kind="stable")[::-1] if distance > 1 else ():  # no two are nearer than 1
         if keep[i]:
             keep[(np.abs(peaks - peaks[i]) < distance) & (np.arange(len(peaks)) != i)] = False
     return np.array([p for p in peaks[keep] if prominence(x, p) >= prominent], int)
@@ -101,15 +106,18 @@ class Segmenter:
 
     @property
     def taps(self) -> np.ndarray:
-        k = kernel(self.sigma)
-        return np.rint(k * 2.0**24) / 2.0**24 if self.fixed else k
+        return _taps(self.sigma, self.fixed)  # made once a worker, not for each grid
 
     def smooth(self, places: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
         """The smoothed grid of that size: the kernel is added at the places that hold points, or, if these are more than its taps, the
         grid at each tap, so that work follows the points and never is grid times kernel for a grid of few points."""
         x, k = np.bincount(places, weights, minlength=size), self.taps
         reach = len(k) // 2
-        padded = np.pad(x, reach, mode="constant" if self.mode == "constant" else "symmetric")
+        if self.mode == "constant":
+            padded = np.zeros(size + 2 * reach)
+            padded[reach : reach + size] = x
+        else:
+            padded = np.pad(x, reach, mode="symmetric")
         at, out = np.flatnonzero(padded), np.zeros(size + 4 * reach)
         if len(at) <= len(k):
             for p in at:
@@ -196,8 +204,10 @@ def _schema(df: DataFrame, keys: Sequence[str], rest: str):
 
 def anchor_modules(points: DataFrame, anchor_id: str, feature: str, offset: str = "offset", score: str = "score", min_score: float = 250, segmenter: Segmenter = Segmenter()) -> DataFrame:
     """(anchor_id, MODULE) of every anchor. A group is one anchor's points within reach, made one per (feature, offset) first:
-    repeated points are counted before they reach Python, so that a hot anchor's group is bounded by features x offsets."""
+    repeated points are counted before they reach Python, so that a hot anchor's group is bounded by features x offsets. Groups are dealt to
+    partitions whose number follows these rows (see parts): each makes a grid, so that shares of few bytes hold much work."""
     near = points.filter(F.abs(offset) <= segmenter.reach).groupBy(anchor_id, feature, F.col(offset).cast("int").alias("__o")).agg(F.count("*").alias("__n"), F.max(score).cast("double").alias("__s"))
+    near = written(near.filter(F.col(anchor_id).isNotNull()), "near")  # counted here, read once more below
     names = [c.split()[0] for c in MODULE.split(", ")]
 
     def close(key, cols):
@@ -205,12 +215,14 @@ def anchor_modules(points: DataFrame, anchor_id: str, feature: str, offset: str
         each = np.repeat(np.arange(len(counts)), counts)
         return [(*key, *(m[n] for n in names)) for m in segmenter.modules(offsets[each], features[each], scores[each], min_score)]
 
-    return by_group(near.filter(F.col(anchor_id).isNotNull()), [anchor_id], ["__o", feature, "__n", "__s"], _schema(near, [anchor_id], MODULE), close)
+    return by_group(near, [anchor_id], ["__o", feature, "__n", "__s"], _schema(near, [anchor_id], MODULE), close, parts(near, 50_000))
 
 
 def module_ids(modules: DataFrame, anchor_id: str, tile: int = 65_536) -> DataFrame:
     """module_id from 0 by (anchor, local index): sizes of the anchors' runs are summed, for numbered anchors in ranges of `tile`
-    numbers and over the ranges, so that neither modules nor anchors are sorted in one task."""
+    numbers and over the ranges, so that neither modules nor anchors are sorted in one task. Modules are written first, for they are read
+    twice here, and by what follows, and would be segmented anew each time."""
+    modules = written(modules, "modules")
     sizes = modules.groupBy(anchor_id).agg(F.count("*").alias("__n"))
     numbered = dict(modules.dtypes)[anchor_id] in ("tinyint", "smallint", "int", "bigint")
     sizes = sizes.withColumn("__t", F.floor(F.col(anchor_id) / tile) if numbered else F.lit(0))
@@ -282,8 +294,8 @@ def redetection_fdr(elements: DataFrame, shuffles: int, low: int, high: int, sup
 
 
 def label_elements(elements: DataFrame, anchors: DataFrame, chrom: str, anchor: str = "anchor", gap: int = 12_500, near: int = 1_000, far: int = 10_000) -> DataFrame:
-    """Distance to the nearest anchor, its stratum, gap cluster and cluster size."""
-    out = nearest_join(elements, anchors, [chrom], position="center", anchor=anchor, tile=1_000_000)
+    """Distance to the nearest anchor, its stratum, gap cluster and cluster size. Elements are written first, for each step reads them more than once."""
+    out = nearest_join(written(elements, "elements"), anchors, [chrom], position="center", anchor=anchor, tile=1_000_000)
     out = out.withColumn("stratum", F.when(F.col("distance").isNotNull(), stratum(F.col("distance"), near, far)))
     return gap_clusters(out, [chrom], "center", gap, tie=["low"], tile=1_000_000)
 

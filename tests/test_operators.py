@@ -562,3 +562,20 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
         assert means.rdd.getNumPartitions() == n
         found.append((rows(segment.discover(pts, "chrom", "tf", floor=2, tile=3_000), "low"), rows(means, "module", "cat")))
     assert found[0] == found[1] and found[0][1][0] == (0, 0, 1.5, 2) and len(found[0][1]) == 120
+
+
+def test_segments_are_found_once(spark):
+    """Ids, labels and what counts modules again read the segments that were written, and don't segment anew."""
+    from pyspark.sql import DataFrame
+
+    def passes(df: DataFrame) -> int:
+        return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+    pts = spark.createDataFrame([(a, f"t{f}", o, 300) for a in range(4) for f in range(4) for o in (7 * f - 20, 7 * f + 600)], "anchor_id long, tf string, offset int, score int")
+    found = segment.anchor_modules(pts, "anchor_id", "tf")
+    assert passes(found) == 1 and passes(segment.module_ids(found, "anchor_id")) == 0
+    assert [r.module_id for r in segment.module_ids(found, "anchor_id").orderBy("anchor_id", "local_idx").collect()] == list(range(8))
+    axis = spark.createDataFrame([("c", p, f"t{i}", 300) for i in range(4) for p in (1000 + 5 * i, 9000 + 5 * i)], "chrom string, pos long, tf string, score int")
+    elements = segment.discover(axis, "chrom", "tf", floor=2, tile=3_000)
+    labelled = segment.label_elements(elements, spark.createDataFrame([("c", 1010)], "chrom string, anchor long"), "chrom")
+    assert passes(elements) == 1 and passes(labelled) == 0 and sorted(r.low for r in labelled.collect()) == sorted(r.low for r in elements.collect())
