@@ -526,6 +526,21 @@ def test_fits_that_collapse_from_rows_far_apart_too(spark):
     assert {r["label"] for r in labels(data, got).collect()} == {1, 2, 3}
 
 
+def test_fits_that_collapse_in_the_first_round(spark):
+    """Ten rows that are nearly alike, of which each start loses a component at once: the rows far apart are the fit, in the stack and in blocks."""
+    from peakloom.operators.stacks import Fit, keyed, labels, sound, stacked_nmf
+
+    x = np.random.default_rng(418).poisson(2.4e5, (10, 6)).astype(float)
+    rows_ = spark.createDataFrame([(f"r{i}", r.tolist()) for i, r in enumerate(x)], "row string, x array<double>").coalesce(1)
+    data = keyed(rows_, "row")
+    fitted = stacked_nmf(data, [Fit(3)], 6, extra=1)
+    got = sound(fitted)
+    assert {r["label"] for r in labels(data, got).collect()} == {1, 2, 3}
+    assert len(fitted[Fit(3)].errors) == 1 and fitted[Fit(3)].errors[0] < 0.01 * np.linalg.norm(x)
+    h, errors = factor.block_nmf(rows_, "row", 3, 6, extra=0)
+    assert len(errors) == 1 and np.allclose(h, got[Fit(3)])
+
+
 def test_ranks_of_values_that_come_out_differently_when_made_again(spark):
     """As sums of doubles do in their last digit, by the order of the rows: no pair is lost, and none counts twice."""
     import pandas as pd
