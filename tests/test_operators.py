@@ -541,6 +541,17 @@ def test_fits_that_collapse_in_the_first_round(spark):
     assert len(errors) == 1 and np.allclose(h, got[Fit(3)])
 
 
+def test_stability_of_brands_that_are_nearly_alike(spark, monkeypatch):
+    """Four of the five seeds lose a component from each start."""
+    from peakloom.plans import queries
+
+    x = np.random.default_rng(418).poisson(2.4e5, (10, 6)).astype(float)
+    brands = spark.createDataFrame([(f"r{i}", r.tolist()) for i, r in enumerate(x)], "brand string, x array<double>").coalesce(1)
+    monkeypatch.setattr(queries, "brand_types", lambda *_: (brands, list("abcdef")))
+    got = rows(queries.stability(spark, ""), "component")
+    assert [r[0] for r in got] == [1, 2, 3] and all(0.9 < r[2] <= r[1] <= 1 + 1e-9 for r in got)
+
+
 def test_ranks_of_values_that_come_out_differently_when_made_again(spark):
     """As sums of doubles do in their last digit, by the order of the rows: no pair is lost, and none counts twice."""
     import pandas as pd
