@@ -605,3 +605,13 @@ def test_segments_are_found_once(spark):
     elements = segment.discover(axis, "chrom", "tf", floor=2, tile=3_000)
     labelled = segment.label_elements(elements, spark.createDataFrame([("c", 1010)], "chrom string, anchor long"), "chrom")
     assert passes(elements) == 1 and passes(labelled) == 0 and sorted(r.low for r in labelled.collect()) == sorted(r.low for r in elements.collect())
+
+
+def test_redetection_is_dealt_by_its_points(spark, monkeypatch):
+    """Points of all shuffles, and their tiles, go to partitions counted from them, not to a setting's."""
+    asked = []
+    monkeypatch.setattr(segment, "parts", lambda df, *a, **k: asked.append(df.count()) or 5)
+    pts = spark.createDataFrame([("c", 1000 * i + j, f"t{j}", 300) for i in range(10) for j in range(5)], "chrom string, pos long, tf string, score int")
+    got = segment.redetected(pts, "chrom", "tf", 2, floor=2, reach=100, tile=3_000)
+    assert asked == [150] and got.rdd.getNumPartitions() == 5
+    assert sorted(r.center for r in got.filter("shuffle = 0").collect()) == [1000 * i + 2 for i in range(10)]
