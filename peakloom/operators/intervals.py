@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import parts
 from .relational import null_safe_join
 
 Names = Sequence[str]
@@ -304,15 +305,27 @@ def profile_summary(blocks: DataFrame, feature: str = "tf", value: str = "value"
     return blocks.groupBy(feature).agg(F.sum(F.col(value) * size).alias("total"), F.max(value).alias("top"), F.sum(size).alias("covered")).orderBy(F.desc("total"), feature)
 
 
-def circular_shift(points: DataFrame, by: Names, chrom: str, position: str, shuffles: int, seed: int = 0) -> DataFrame:
+def circular_shift(points: DataFrame, by: Names, chrom: str, position: str, shuffles: int, seed: int = 0, tile: int | None = None, own: bool = False) -> DataFrame:
     """Each feature's points moved around by one offset per (shuffle, group), modulo the group's length: spacing is kept.
 
-    The offset comes from a hash of (seed, shuffle, group), so that any engine can repeat it."""
-    length = points.groupBy(chrom).agg((F.max(position) + 1).alias("__len"))
-    out = points.join(length, chrom).withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
+    The offset comes from a hash of (seed, shuffle, group), so that any engine can repeat it. tile: groups are dealt out in tiles of that length, to
+    partitions counted from the points of all shuffles, so that neither the join with the lengths nor what a task hands on grows with the input.
+    own: the points themselves come too, as shuffle 0."""
+    if tile is None:
+        length = points.groupBy(chrom).agg((F.max(position) + 1).alias("__len"))
+        dealt, out = points, points.join(length, chrom)
+    else:
+        n = parts(points, times=shuffles + 1)
+        tiled = points.withColumn("__tile", F.coalesce(F.floor(F.col(position) / tile), F.lit(0)))
+        ends = tiled.groupBy(chrom, "__tile").agg((F.max(position) + 1).alias("__len")).repartition(n, chrom)
+        length = ends.withColumn("__len", F.max("__len").over(Window.partitionBy(chrom))).repartition(n, chrom, "__tile")
+        tiled = tiled.repartition(n, chrom, "__tile")
+        dealt, out = tiled.drop("__tile"), tiled.join(length, [chrom, "__tile"]).drop("__tile")
+    out = out.withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
     key = F.concat_ws("|", F.lit(str(seed)), F.col("shuffle").cast("string"), *[F.col(c).cast("string") for c in (chrom, *by)])
     offset = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return out.withColumn(position, (F.col(position) + offset) % F.col("__len")).drop("__len")
+    moved = out.withColumn(position, (F.col(position) + offset) % F.col("__len")).drop("__len")
+    return dealt.withColumn("shuffle", F.lit(0)).unionByName(moved) if own else moved
 
 
 def locality(points: DataFrame, feature: str, distance: str = "distance", near: int = 1_500, far: int = 10_000) -> DataFrame:

@@ -273,8 +273,7 @@ def redetected(points: DataFrame, chrom: str, feature: str, shuffles: int = 5, s
     a chromosome move around by an offset of its own.
 
     The shuffle is one more key of the axis: weights, tiles, halos and segments of all shuffles come from one pass."""
-    moved = circular_shift(points, [feature], chrom, position, shuffles, seed)
-    every = points.withColumn("shuffle", F.lit(0)).unionByName(moved)
+    every = circular_shift(points, [feature], chrom, position, shuffles, seed, how.get("tile", 200_000) * how.get("grid", 1), own=True)
     return discover(every, ["shuffle", chrom], feature, position, **how)
 
 

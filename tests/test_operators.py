@@ -627,3 +627,17 @@ def test_redetection_is_dealt_by_its_points(spark, monkeypatch):
     got = segment.redetected(pts, "chrom", "tf", 2, floor=2, reach=100, tile=3_000)
     assert asked == [150] and got.rdd.getNumPartitions() == 5
     assert sorted(r.center for r in got.filter("shuffle = 0").collect()) == [1000 * i + 2 for i in range(10)]
+
+
+def test_shuffles_are_dealt_by_their_points(spark, monkeypatch):
+    """The join with the lengths and what it hands on go to partitions counted from the points, a group in tiles, and move the points as before."""
+    asked = []
+    monkeypatch.setattr(intervals, "parts", lambda df, *a, times=1.0, **k: asked.append((df.count(), times)) or 6)
+    rows_ = [(c, p, f"t{(p or 0) % 3}") for c in ("c", "d", None) for p in (*range(0, 900, 7), None)]
+    pts = spark.createDataFrame(rows_, "chrom string, pos long, tf string").coalesce(1)
+    got = intervals.circular_shift(pts, ["tf"], "chrom", "pos", 2, 7, tile=100, own=True)
+    assert asked == [(390, 3)]
+    spread = got.groupBy("shuffle", F.spark_partition_id().alias("p")).count().groupBy("shuffle").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()
+    assert len(spread) == 3 and all(r.n > 2 and r.most < 200 for r in spread)
+    want = pts.withColumn("shuffle", F.lit(0)).unionByName(intervals.circular_shift(pts, ["tf"], "chrom", "pos", 2, 7))
+    assert got.count() == 390 + 2 * 260 and got.exceptAll(want.select(got.columns)).isEmpty() and want.select(got.columns).exceptAll(got).isEmpty()
