@@ -564,6 +564,63 @@ def test_stability_of_all_brands_at_60_times(spark, monkeypatch):
     assert [r[0] for r in got] == [1, 2, 3] and all(0.9 < r[2] <= r[1] <= 1 + 1e-9 for r in got)
 
 
+def test_stability_is_of_random_starts(spark, monkeypatch):
+    """Found anew row by row of the definition: 300 rounds, and for a fit that collapses the first sound one of other seeds, not rows far apart or fits cut short."""
+    from peakloom.plans import queries
+
+    def fit(x, seed):
+        h, errors = factor._start(6, 3, float(np.sqrt(x.mean() / 3)), seed), []
+        for _ in range(300):
+            w = factor.update_rows(x, h)
+            errors.append(np.linalg.norm(x - w @ h))
+            h = h * (w.T @ x) / (w.T @ w @ h + factor.EPS)
+            if len(errors) > 1 and errors[-2] - errors[-1] < 1e-5 * errors[0]:
+                break
+        won = np.bincount(factor.update_rows(x, h, rounds=100).argmax(1), minlength=3)
+        return h[np.argsort(-won, kind="stable")] if won.all() else None
+
+    x = np.random.default_rng(418).poisson(2.4e5, (10, 6)).astype(float)
+    tried = ([seed, *(100_000 * t + seed * 50 + i for t in range(1, 11) for i in range(50))] for seed in range(5))
+    fits = [next(h for h in (fit(x, s) for s in some) if h is not None) for some in tried]
+    want = [tuple(r.values()) for r in factor.stability(fits, factor.medoid(fits))]
+    brands = spark.createDataFrame([(f"r{i}", r.tolist()) for i, r in enumerate(x)], "brand string, x array<double>")
+    monkeypatch.setattr(queries, "brand_types", lambda *_: (brands, list("abcdef")))
+    got = rows(queries.stability(spark, ""), "component")
+    assert len(got) == 3 and np.allclose([tuple(r) for r in got], want, atol=1e-5)
+
+
+def test_stability_without_a_sound_fit_is_no_result(spark, monkeypatch):
+    """Brands that differ by a part in 30,000, of which no random start is sound, are an error; no brands at all have no programs."""
+    from peakloom.plans import queries
+
+    x = np.random.default_rng(418).poisson(1e9, (10, 6)).astype(float)
+    brands = spark.createDataFrame([(f"r{i}", r.tolist()) for i, r in enumerate(x)], "brand string, x array<double>").coalesce(1)
+    monkeypatch.setattr(queries, "brand_types", lambda *_: (brands, list("abcdef")))
+    with pytest.raises(RuntimeError, match="collapsed from every seed"):
+        queries.stability(spark, "")
+    monkeypatch.setattr(queries, "brand_types", lambda *_: (brands.limit(0), list("abcdef")))
+    assert queries.stability(spark, "").collect() == []
+
+
+def test_stacked_fits_at_once(spark):
+    """A task a fit gives what a pass a round does; a fit from rows far apart is marked, and a fit of no rows is no use."""
+    from peakloom.operators.stacks import Fit, keyed, sound, stacked_nmf
+
+    rng = np.random.default_rng(21)
+    x = rng.random((60, 3)) * (rng.random((60, 3)) < 0.5) @ rng.random((3, 10)) + 0.01 * rng.random((60, 10))
+    data = keyed(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "r long, x array<double>, half int").repartition(3), "r", "half").cache()
+    fits = [Fit(2), Fit(3, 4), Fit(2, 1, fold=1), Fit(2, 0, part=1), Fit(2, 0, part=7)]
+    by_round, at_once, too_many = (stacked_nmf(data, fits, 10, 12, at_once=n) for n in (0, 600, 599))
+    for fit in fits:
+        for other in (at_once, too_many):
+            assert np.allclose(by_round[fit].h, other[fit].h) and np.allclose(by_round[fit].errors, other[fit].errors)
+            assert (by_round[fit].fault, by_round[fit].apart) == (other[fit].fault, other[fit].apart) == ("empty" if fit.part == 7 else None, False)
+    with pytest.raises(RuntimeError, match="no rows"):
+        sound(by_round)
+    alike = keyed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(418).poisson(1e9, (10, 6)).astype(float))], "r long, x array<double>").coalesce(1), "r")
+    assert [(one.fault, one.apart) for far in (True, False) for one in stacked_nmf(alike, [Fit(3)], 6, extra=1, apart=far).values()] == [(None, True), ("collapsed", False)]
+
+
 def test_ranks_of_values_that_come_out_differently_when_made_again(spark):
     """As sums of doubles do in their last digit, by the order of the rows: no pair is lost, and none counts twice."""
     import pandas as pd
